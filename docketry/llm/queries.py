@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketry.llm.common import table
 
@@ -15,8 +16,16 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.simhash import components_within_two, fingerprint_text
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = components_within_two(docs)
+    return found.select(F.col("id").alias("doc_id"), fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op1_token_store": op1_token_store}
+    return {f.__name__: f for f in (op1_token_store, op5_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
