@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table
+from docketry.llm.common import crc_bucket, table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,25 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.langid import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_bucket("doc_id", 4) == 2
+    found = identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "toxic")
+    held_out = crc_bucket("key", 5) == 0
+    found = score(docs, learn(docs, labels, ~held_out))
+    return found.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.simhash import components_within_two, fingerprint_text
 
@@ -25,7 +44,7 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op5_simhash_components)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:

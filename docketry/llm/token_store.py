@@ -6,7 +6,8 @@ digests, each shard of recipes a root over its documents, and the manifest a roo
 
 Layout below the store's path (all Parquet, written by Spark's committer, so a lost executor only repeats tasks):
 
-``chunks``    digest, n, payload (ids as little-endian unsigned integers of ``id_bytes`` bytes)
+``packs``     kind 0: a distinct chunk (digest, n, payload: ids as little-endian unsigned integers of ``id_bytes``
+              bytes); kind 1: the draft of a document's recipe, not yet in order
 ``recipes``   shard, row, doc_id, shard_start, n_tokens, digests, lengths, root   - ascending doc_id, nulls first
 ``manifest``  shard, docs, tokens, start, root; shard -1 is the whole store
 
@@ -18,6 +19,7 @@ further columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import drop_path, fresh_path, settle
+from docketry.llm.common import fresh_path
 
 DIGEST = 16
 #: Words held per Python worker before the cache starts over; it only saves time.
@@ -91,10 +93,14 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, dtype: str, words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        # A tokenizer that lower-cases all but its special tokens may be given lower-cased ASCII: fewer words to hold.
+        self.folds = "Lowercase()" in str(self.tokenizer.normalizer)
+        self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.cache) + len(words) > self.words:
@@ -109,7 +115,10 @@ class WordEncoder:
         """Ids of each text (UTF-8), packed."""
         out, get = [], self.cache.__getitem__
         for text in texts:
-            words = (text or b"").split()  # at ASCII white space
+            text = text or b""
+            if self.folds and not any(x in (low := text.lower()) for x in self.specials):
+                text = low
+            words = text.split()  # at ASCII white space
             try:
                 out.append(b"".join(map(get, words)))
             except KeyError:
@@ -126,80 +135,87 @@ def _encoder(path: str, dtype: str) -> WordEncoder:
     return _WORKER[path, dtype]
 
 
-_OCCURRENCES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("tie", T.BinaryType()), T.StructField("uid", T.LongType()),
-    T.StructField("seq", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()),
-    T.StructField("payload", T.BinaryType()),
-])
+_PACK = "kind int, key binary, n int, payload binary, doc_id long, uid long, digests binary, lengths binary, root binary"
+_PACK_ARROW = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, bits: int = 8) -> DataFrame:
-    """One row for each chunk of each document, in the order of the stream (``seq``)."""
+    """Rows of kind 0, a chunk under its digest, once for each task that meets it, and 1, the draft of a recipe.
+
+    ``key`` deals them out: a chunk's digest, or the digest of a document's place, so that neither a chunk that
+    many documents share nor a document that many rows repeat gathers in one task.
+    """
     dtype = f"<u{id_bytes}"
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, uid = _encoder(tokenizer, dtype), TaskContext.get().partitionId() << 40
+        encoder, uid, sent = _encoder(tokenizer, dtype), TaskContext.get().partitionId() << 40, set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                rows: list[tuple] = []
+                batch, rows = whole.slice(lo, 512), []
                 for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                     packed += end
-                    tie, at = digest(packed), 0
-                    for seq, to in enumerate(cut(np.frombuffer(packed, dtype), bits)):
+                    at, leaves, sizes = 0, [], []
+                    for to in cut(np.frombuffer(packed, dtype), bits):
                         part = packed[at * id_bytes : to * id_bytes]
-                        rows.append((doc_id, tie, uid, seq, digest(part), to - at, part))
+                        leaves.append(d := digest(part))
+                        sizes.append(to - at)
+                        if d not in sent:
+                            sent.add(d)
+                            rows.append((0, d, to - at, part, None, None, None, None, None))
                         at = to
+                    if len(sent) > 1_000_000:
+                        sent.clear()
+                    rows.append((1, digest(uid.to_bytes(8, "little")), at, None, doc_id, uid, b"".join(leaves), np.array(sizes, "<u4").tobytes(), merkle(leaves)))
                     uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], _OCCURRENCES.names)
+                yield _batch(rows, _names(_PACK), _PACK_ARROW)
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, _OCCURRENCES)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, _PACK)
 
 
-_ARROW = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop the chunks that this task has passed on before; it holds all rows of a digest."""
+    seen: set[bytes] = set()
+    for b in batches:
+        fresh = []
+        for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            fresh.append(kind == 1 or key not in seen)
+            if kind == 0:
+                seen.add(key)
+        yield b.filter(pa.array(fresh))
+
 
 _RECIPES = "kind int, shard int, row long, doc_id long, shard_start long, n_tokens long, digests binary, lengths binary, root binary"
 
 
+_RECIPES_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold the sorted chunk rows of a shard into its documents' recipes, then one row that sums the shard up."""
+    """Number the sorted drafts of a shard and add up their lengths; a last row of kind 1 sums the shard up."""
     from pyspark import TaskContext
 
     shard, start, row, roots = TaskContext.get().partitionId(), 0, 0, []
-    now, parts, sizes, done = None, [], [], []
-    names = [c.split()[0] for c in _RECIPES.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-    def close() -> None:
-        nonlocal start, row
-        root = merkle(parts)
-        done.append((0, shard, row, now[0], start, sum(sizes), b"".join(parts), np.array(sizes, "<u4").tobytes(), root))
-        roots.append(root)
-        start += sum(sizes)
-        row += 1
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
-        done.clear()
-        return out
-
-    for batch in batches:
-        for doc_id, uid, d, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "digest", "n")), strict=True):
-            if now != (doc_id, uid):
-                if now is not None:
-                    close()
-                now, parts, sizes = (doc_id, uid), [], []
-            parts.append(d)
-            sizes.append(n)
-        if len(done) >= 1000:
-            yield flush()
-    if now is not None:
-        close()
-        done.append((1, shard, row, None, 0, start, None, None, merkle(roots)))
-        yield flush()
+    for b in batches:
+        rows = []
+        for doc_id, n, digests, lengths, root in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "digests", "lengths", "root")), strict=True):
+            rows.append((0, shard, row, doc_id, start, n, digests, lengths, root))
+            roots.append(root)
+            start, row = start + n, row + 1
+        yield _batch(rows, _names(_RECIPES), _RECIPES_ARROW)
+    if row:
+        yield _batch([(1, shard, row, None, 0, start, None, None, merkle(roots))], _names(_RECIPES), _RECIPES_ARROW)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bytes: int = 2, shards: int | None = None, bits: int = 8) -> None:
@@ -209,17 +225,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     driver gets one row for each shard.
     """
     spark = docs.sparkSession
-    rows = settle(encode_chunks(docs, tokenizer, end_id, id_bytes, bits), "occurrences")
-    rows.select("digest", "n", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/chunks")
+    encode_chunks(docs, tokenizer, end_id, id_bytes, bits).repartition("key").mapInArrow(_distinct, _PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
+    drafts = spark.read.schema(_PACK).parquet(f"{path}/packs").where("kind = 1").select("doc_id", "root", "uid", "n", "digests", "lengths")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        rows.select("doc_id", "tie", "uid", "seq", "digest", "n")
-        .repartitionByRange(shards, "doc_id", "tie", "uid")
-        .sortWithinPartitions("doc_id", "tie", "uid", "seq")
+        drafts.repartitionByRange(shards, "doc_id", "root", "uid")
+        .sortWithinPartitions("doc_id", "root", "uid")
         .mapInArrow(_recipes, _RECIPES)
-        .write.parquet(f"{path}/all_recipes")
+        .write.parquet(f"{path}/recipes")
     )
-    both = spark.read.schema(_RECIPES).parquet(f"{path}/all_recipes")
+    both = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     sums = both.where("kind = 1").select("shard", "row", "n_tokens", "root").orderBy("shard").collect()
     start, lines = 0, []
     for s in sums:
@@ -227,7 +242,6 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
         start += s.n_tokens
     lines.append((-1, sum(s.row for s in sums), start, 0, merkle([bytes(s.root) for s in sums]), id_bytes, end_id))
     spark.createDataFrame(lines, "shard int, docs long, tokens long, start long, root binary, id_bytes int, end_id int").coalesce(1).write.parquet(f"{path}/manifest")
-    drop_path(spark, rows.inputFiles()[0].rsplit("/", 1)[0]) if lines[-1][1] else None
 
 
 class Store:
@@ -240,11 +254,11 @@ class Store:
         self.id_bytes, self.end_id, self.root, self.tokens = total.id_bytes, total.end_id, bytes(total.root), total.tokens
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, n int, payload binary").parquet(f"{self.path}/chunks")
+        return self.spark.read.schema(_PACK).parquet(f"{self.path}/packs").where("kind = 0").select(F.col("key").alias("digest"), "n", "payload")
 
     def recipes(self) -> DataFrame:
         """One row per document with ``start``, the number of ids before it in the whole store."""
-        rows = self.spark.read.schema(_RECIPES).parquet(f"{self.path}/all_recipes").where("kind = 0").drop("kind")
+        rows = self.spark.read.schema(_RECIPES).parquet(f"{self.path}/recipes").where("kind = 0").drop("kind")
         base = self.manifest.where("shard >= 0").select("shard", F.col("start").alias("base"))
         # one manifest row for each shard
         return rows.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("shard_start")).drop("base")
