@@ -43,8 +43,15 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.mixing import mix_table
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return mix_table(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
