@@ -50,8 +50,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.multi_index import search
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search(rows, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op8_mixing)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op8_mixing, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
