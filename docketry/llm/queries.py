@@ -43,6 +43,13 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.licences import recognise
+
+    found = recognise(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences", "unknown")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.mixing import mix_table
 
@@ -58,8 +65,10 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op8_mixing, op10_multi_index)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op7_licences, op8_mixing, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docketry.llm import licences
+
+    return {"op7_licences": licences.oracle()}
