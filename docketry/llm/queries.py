@@ -57,6 +57,49 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """Captures as WARC records: page_id is the date, every third page a 304 answer, the page's title its version."""
+    title = F.md5(F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).cast("binary"))
+    revisit = F.pmod("page_id", F.lit(3)) == 2
+    tag = F.concat(F.when(F.pmod("page_id", F.lit(2)) == 0, "W/").otherwise(""), F.lit('"'), title, F.lit('"'))
+    own = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("cache-control"), F.lit("max-age=600"))
+    new = F.create_map(F.lit("content-type"), F.lit("none"), F.lit("etag"), tag, F.lit("date"), F.col("page_id").cast("string"))
+    body = [F.octet_length("html").cast("long").alias("body_bytes"), F.md5(F.col("html").cast("binary")).alias("body_md5")]
+    return pages.select(F.col("page_id").alias("id"), "url", F.col("page_id").alias("date"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, new).otherwise(own).alias("headers"), *body)
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.warc import resolve
+
+    found = resolve(page_records(table(spark, sf_dir, "pages")), ("body_bytes", "body_md5"))
+    entries = F.array_sort(F.map_entries("headers"))
+    line = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return found.select(F.col("id").alias("page_id"), F.col("base_id").alias("base_page_id"), "status", line.alias("headers"), "body_bytes", "body_md5")
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, page_id % 3 = 2 AS revisit, '"' || md5(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')) || '"' AS tag,
+    regexp_replace(trim(url), '#.*$', '') AS bare
+  FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest
+  FROM p
+), k AS (
+  SELECT *, host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS key
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|jsessionid|phpsessionid|sid)(=|$)'))) AS kept FROM q)
+), b AS (
+  SELECT r.page_id, r.tag, max(f.page_id) AS base FROM k r LEFT JOIN k f ON r.key = f.key AND NOT f.revisit AND f.page_id < r.page_id WHERE r.revisit GROUP BY 1, 2
+)
+SELECT b.page_id, b.base AS base_page_id,
+  CASE WHEN f.page_id IS NULL THEN 'no_base' WHEN f.tag = b.tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+  CASE WHEN f.tag = b.tag THEN 'cache-control: max-age=600; content-type: text/html; date: ' || b.page_id || '; etag: ' || CASE WHEN b.page_id % 2 = 0 THEN 'W/' ELSE '' END || b.tag END AS headers,
+  CASE WHEN f.tag = b.tag THEN octet_length(encode(f.html)) END AS body_bytes, CASE WHEN f.tag = b.tag THEN md5(f.html) END AS body_md5
+FROM b LEFT JOIN k f ON b.base = f.page_id"""
+
+
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.multi_index import search
 
@@ -65,10 +108,10 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op7_licences, op8_mixing, op10_multi_index)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
     from docketry.llm import licences
 
-    return {"op7_licences": licences.oracle()}
+    return {"op7_licences": licences.oracle(), "op9_warc_revisits": OP9_SQL}
