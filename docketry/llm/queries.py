@@ -43,6 +43,13 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), fingerprint_text("fp").alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.decontamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("print")
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.licences import recognise
 
@@ -108,7 +115,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
