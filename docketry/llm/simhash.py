@@ -255,7 +255,6 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """id and group_id (smallest id of its group) of each row of ``docs`` (id, text), groups being near copies.
 
-    Texts that are equal after lower-casing A-Z and reading white space as one are one class without estimation.
     ``similarity`` is that of the shingle sets (Jaccard); the share of bits that differ estimates it. Of pairs at
     0.8 five in six meet at an anchor, at 0.85 nineteen in twenty, from 0.9 on all but one in two hundred or fewer.
     """
@@ -266,5 +265,25 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     known = classes.where("least is not null").withColumnRenamed("least", "id")
     parts = settle(components(near_links(known, most)), "parts")
     named = classes.join(parts.withColumnRenamed("node", "least"), "least", "left").select(*words, F.coalesce("component", "least").alias("group_id"))
-    out = prints.join(named, words).select("id", "group_id")
-    return out
+    return prints.join(named, words).select("id", "group_id")
+
+
+#: Rows to drop that may be broadcast (8 bytes each); beyond that the join shuffles.
+SMALL = 1_000_000
+
+
+def keep_one(docs: DataFrame, id_column: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near copies.
+
+    Rows that repeat this id are kept once if their texts agree. Rows without an id have no group and stay.
+    """
+    groups = near_copies(docs.select(F.col(id_column).alias("id"), "text"), size, similarity)
+    gone = settle(groups.where("id <> group_id").select(F.col("id").alias("__gone")).distinct(), "gone")
+    few = gone.limit(SMALL + 1).count() <= SMALL
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_column) == F.col("__gone"), "left_anti")
+    again = settle(groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__again")), "again")
+    if again.isEmpty():
+        return left
+    marked = left.join(again, F.col(id_column) == F.col("__again"), "left")
+    once = marked.where("__again is not null").dropDuplicates([id_column, "text"])
+    return marked.where("__again is null").unionByName(once).drop("__again")
