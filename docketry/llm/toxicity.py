@@ -28,47 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BITS, WINDOW = 20, 4
-DISCOUNT = 1.5
+from docketry.llm.words import WORD_BITS, word_slots
+
+WINDOW, DISCOUNT = 4, 1.5
 #: Label rows that may be broadcast (16 bytes each); beyond that the join shuffles.
 SMALL_LABELS = 2_000_000
-_TABLE = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
-_BLOCK = 1 << 20
-_PRIME = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    k = 1
-    with np.errstate(over="ignore"):
-        while k < n:
-            out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
-    return out
-
-
-_HELD: dict[str, np.ndarray] = {}
-
-
-def word_slots(text: bytes | None) -> np.ndarray:
-    """Slot of each word (run of letters, lower-cased) of a UTF-8 text."""
-    text = (text or b"").decode("utf-8", "replace").lower().encode("utf-8").translate(_TABLE)
-    if "up" not in _HELD:
-        _HELD["up"], _HELD["down"] = _powers(_PRIME, 2 * _BLOCK), _powers(_INVERSE, 2 * _BLOCK)
-    parts, lo = [], 0
-    while lo < len(text):
-        to = len(text) if len(text) - lo <= _BLOCK else text.rfind(b" ", lo, lo + _BLOCK) + 1 or lo + _BLOCK
-        x = np.frombuffer(text, np.uint8, to - lo, lo)
-        letter = np.concatenate([[0], (x != 32).view(np.int8), [0]])
-        edge = np.diff(letter)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x.astype(np.uint64) * _HELD["up"][: len(x)], dtype=np.uint64)])
-        h = (total[end] - total[start]) * _HELD["down"][start]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        parts.append(((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - WORD_BITS))
-        lo = to
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def pair_keys(words: np.ndarray) -> np.ndarray:
@@ -89,15 +53,12 @@ class Model:
     weights: np.ndarray
 
     def __post_init__(self) -> None:
-        self.logs = np.zeros(len(self.types))
-        if self.ready():
+        self.logs, self.ready = np.zeros(len(self.types)), bool(self.contexts.sum(axis=1).min() > 0)
+        if self.ready:
             shared = (self.types + 0.5) / (self.types.sum() + 0.5 * len(self.types))
             by = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * shared) / n.sum() for n in self.contexts]
             self.logs = np.log(by[1]) - np.log(by[0])
 
-    def ready(self) -> bool:
-        return bool(self.contexts.sum(axis=1).min() > 0)
-
     def evidence(self, words: np.ndarray) -> tuple[float, float, float]:
         """Largest ratio of a word, largest mean of a window, mean of the text; a short text counts as a full window."""
         if not len(words):
@@ -108,7 +69,7 @@ class Model:
         return float(r.max()), float((total[k:] - total[:-k]).max() / WINDOW), float(total[-1] / max(len(r), WINDOW))
 
     def score(self, words: np.ndarray) -> float:
-        if not self.ready():
+        if not self.ready:
             return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, *self.evidence(words)]), -50, 50))))
 
@@ -179,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, calibration: i
     marked = docs.where(learn_from).select("key", "text").join(F.broadcast(marks) if few <= SMALL_LABELS else marks, "key")
     held = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(5)) == 0
     model = gather(marked.where(~held).select(F.col("text").cast("binary"), "toxic"))
-    if not model.ready():
+    if not model.ready:
         return model
     share = min(1.0, 5 * calibration / max(few, 1)) if few <= SMALL_LABELS else 5 * calibration / marks.count()
     ticket = F.pmod(F.xxhash64("key", F.lit(12)), F.lit(1 << 20)) < int(share * (1 << 20))
