@@ -16,6 +16,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.langid import identify
 
@@ -115,7 +121,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
+    return {f.__name__: f for f in (op1_token_store, op2_passages, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:

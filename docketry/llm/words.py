@@ -6,40 +6,46 @@ import numpy as np
 
 WORD_BITS = 20
 SLOTS = 1 << WORD_BITS
-_TABLE = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
+#: Letters stay, also those beyond ASCII; all else separates.
+LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
+#: Only white space separates.
+SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 _BLOCK = 1 << 20
-_PRIME = 0x9E3779B97F4A7C15 | 1
+_PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    k = 1
-    with np.errstate(over="ignore"):
-        while k < n:
-            out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
+        k *= 2
     return out
 
 
 _HELD: dict[str, np.ndarray] = {}
 
 
-def word_slots(text: bytes | None) -> np.ndarray:
-    """Slot of each word (run of letters, lower-cased) of a UTF-8 text."""
-    text = (text or b"").decode("utf-8", "replace").lower().encode("utf-8").translate(_TABLE)
-    if "up" not in _HELD:
-        _HELD["up"], _HELD["down"] = _powers(_PRIME, 2 * _BLOCK), _powers(_INVERSE, 2 * _BLOCK)
+def word_hashes(text: bytes | None, table: bytes = LETTERS) -> np.ndarray:
+    """Hash of each lower-cased word of a UTF-8 text; words longer than a block of a million bytes are cut."""
+    text = (text or b"").decode("utf-8", "replace").lower().encode("utf-8").translate(table)
+    if not _HELD:
+        _HELD["up"], _HELD["down"] = _powers(_PRIME, _BLOCK + 1), _powers(_INVERSE, _BLOCK + 1)
     parts, lo = [], 0
     while lo < len(text):
         to = len(text) if len(text) - lo <= _BLOCK else text.rfind(b" ", lo, lo + _BLOCK) + 1 or lo + _BLOCK
         x = np.frombuffer(text, np.uint8, to - lo, lo)
-        letter = np.concatenate([[0], (x != 32).view(np.int8), [0]])
-        edge = np.diff(letter)
+        edge = np.diff(np.concatenate([[0], (x != 32).view(np.int8), [0]]))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # the sum of bytes times rising powers of a base; its slice over a word, scaled back to the word's start
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x.astype(np.uint64) * _HELD["up"][: len(x)], dtype=np.uint64)])
         h = (total[end] - total[start]) * _HELD["down"][start]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        parts.append(((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - WORD_BITS))
+        parts.append((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
         lo = to
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def word_slots(text: bytes | None) -> np.ndarray:
+    """Slot of each word (run of letters, lower-cased) of a UTF-8 text."""
+    return (word_hashes(text) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
