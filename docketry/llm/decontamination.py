@@ -155,7 +155,7 @@ def fit(space: Space, staged: DataFrame, seed: int = 5) -> Space:
                     held.append((row + rows, col, w))
                     rows += int(row[-1]) + 1
                     n += len(row)
-                if n > 100_000:
+                if n > 5_000:
                     flush()
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([out.tobytes()])], ["n", "array"])
