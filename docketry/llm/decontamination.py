@@ -32,6 +32,8 @@ from docketry.llm.common import settle
 from docketry.llm.words import SLOTS, word_slots
 
 PASSAGE, MAX_DF, RANK, OVERSAMPLE = 32, 0.05, 128, 10
+#: Passages that a word may be in without being a stop word, however few there are.
+RARE = 20
 CANDIDATE, WHOLE, PART, ANSWER, SHORT = 0.55, 0.8, 0.55, 0.5, 8
 ITEM_BLOCK = 2_000
 #: Contaminated texts that may be broadcast as 16-byte hashes; beyond that the join shuffles.
@@ -130,9 +132,9 @@ def fit(space: Space, staged: DataFrame, seed: int = 5) -> Space:
 
     total, df = added_up(staged.select("cols").mapInArrow(frequencies, _PART), np.zeros(size, np.int64))
     idf = np.log((1 + total) / (1 + df)) + 1
-    idf[df > MAX_DF * max(total, 1)] = 0
+    idf[df > max(MAX_DF * total, RARE)] = 0
     if not idf.any():
-        idf = np.ones(size)  # a corpus so small that all words are frequent
+        idf = np.ones(size)
     width = min(size, RANK + OVERSAMPLE)
     omega = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, omega))  # vocabulary of a block of items x width

@@ -33,6 +33,8 @@ from docketry.llm.common import settle
 
 CENTROIDS, FIT_SAMPLE, ROUNDS = 64, 20_000, 10
 DATA_BLOCK, QUERY_BLOCK = 32_768, 8_192
+#: Vectors that a walk sees at least, so that few vectors are searched whole.
+LEAST_SEEN = 256
 
 
 def usable(vector: str, dim: int) -> Column:
@@ -135,7 +137,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, share: float = 0.45, c
     if not len(sample):
         sample = _matrix(classes.select("vector").limit(1).toArrow().column(0).combine_chunks(), dim)
     one, two = fit(_unit(sample), min(centroids, 64))
-    half = dim // 2
+    half, enough = dim // 2, max(share * n, LEAST_SEEN)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +165,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, share: float = 0.45, c
                 b = whole.slice(lo, 256)
                 x = _unit(_matrix(b.column(1), dim))
                 da, db = _distances(x[:, :half], one), _distances(x[:, half:], two)
-                masks = np.array([walk(p, q, held, share * n) for p, q in zip(da, db, strict=True)])
+                masks = np.array([walk(p, q, held, enough) for p, q in zip(da, db, strict=True)])
                 row, i = np.nonzero(masks)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(i.astype(np.int32)), pa.array(masks[row, i])], ["entry", "vector", "i", "mask"])
 
