@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from docketry.llm.common import fresh_path
 
 DIGEST = 16
 #: Words held per Python worker before the cache starts over; it only saves time.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 3_000_000
 
 _WORKER: dict = {}
 
@@ -85,48 +84,166 @@ def cut(ids: np.ndarray, bits: int = 8, least: int = 64, most: int = 2048) -> li
     return ends
 
 
+#: A pre-tokenizer that has this alternative splits between letters and the signs after them.
+_SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Signs that begin no contraction.
+_TAIL = b".,;:!?*#$%&)"
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BLOCK = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
+        k *= 2
+    return out
+
+
+def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space, and two hashes of each that together identify it."""
+    if "powers" not in _WORKER:
+        _WORKER["powers"] = [(_powers(b, _BLOCK + 1), _powers(pow(b, -1, 1 << 64), _BLOCK + 1)) for b in _BASES]
+    x = np.frombuffer(text, np.uint8)
+    inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
+    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    hashes = np.zeros((2, len(start)), np.uint64)
+    k = 0
+    while k < len(start):
+        lo = int(start[k])
+        to = max(k + 1, int(np.searchsorted(end, lo + _BLOCK, side="right")))
+        part = x[lo : int(end[to - 1])]
+        for h, (up, down), base in zip(hashes, _WORKER["powers"], _BASES, strict=True):
+            if len(part) > _BLOCK:  # one word longer than a block
+                up = _powers(base, len(part))
+            # the sum of bytes times rising powers of a base; its slice over a word, scaled back to the word's start
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+            of = (total[end[k:to] - lo] - total[start[k:to] - lo]) * down[start[k:to] - lo]
+            of = (of ^ (of >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h[k:to] = of ^ (of >> np.uint64(29))
+        k = to
+    return start, end, hashes[0], hashes[1]
+
+
 class WordEncoder:
-    """Encodes whole texts through a cache of white-space separated words.
+    """Encodes whole texts through a table of white-space separated words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are its words' ids in
-    order; ``test_token_store`` holds this against whole-text encoding.
+    order; ``test_token_store`` holds this against whole-text encoding. The table holds each known word's two hashes
+    and the place of its ids, some 30 bytes a word.
     """
 
     def __init__(self, path: str, dtype: str, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}
-        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.tokenizer, self.words, self.dtype = Tokenizer.from_file(path), words, np.dtype(dtype)
         # A tokenizer that lower-cases all but its special tokens may be given lower-cased ASCII: fewer words to hold.
         self.folds = "Lowercase()" in str(self.tokenizer.normalizer)
+        # Where letters and signs never share a token, signs after a letter are encoded on their own.
+        self.parts = _SPLIT in str(self.tokenizer.pre_tokenizer)
         self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > self.words:
-            self.cache.clear()
-        found = list(words)
-        for lo in range(0, len(found), 4096):
-            part = found[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = array(self.code, e.ids).tobytes()
+        self.tails: dict[bytes, list[int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], split: bool) -> list[list[int]]:
+        """Ids of words that the table doesn't have."""
+        if not (split and self.parts):
+            return self._ids(words)
+        stems, tails = [], []
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            fits = stem != w and stem[-1:].isalpha()
+            stems.append(stem if fits else w)
+            tails.append(w[len(stem) :] if fits else b"")
+        for t in set(tails).difference(self.tails, [b""]):
+            self.tails[t] = self._ids([t])[0]
+        if len(self.tails) > 100_000:
+            self.tails = {}
+            return self._ids(words)
+        flat, sizes = self._stream(b" ".join(stems), False)
+        ends = np.cumsum(sizes).tolist()
+        flat = flat.tolist()
+        return [flat[e - n : e] + (self.tails[t] if t else []) for e, n, t in zip(ends, sizes.tolist(), tails, strict=True)]
+
+    def _stream(self, text: bytes, split: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and how many each of its words has."""
+        start, end, h, g = split_words(text)
+        known, first, of = np.unique(h, return_index=True, return_inverse=True)
+        mark = g[first]
+        if (mark[of] != g).any():  # two words of one hash: all of the text goes to the tokenizer
+            lists = self._ids([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+            return np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64)
+        at = np.searchsorted(self.keys, known)
+        there = np.zeros(len(known), bool)
+        inside = at < len(self.keys)
+        there[inside] = (self.keys[at[inside]] == known[inside]) & (self.check[at[inside]] == mark[inside])
+        new = np.flatnonzero(~there)
+        if len(new):
+            words = [text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            lists = [x for lo in range(0, len(words), 8192) for x in self._learn(words[lo : lo + 8192], split)]
+            if len(self.keys) + len(new) > self.words:
+                self._clear()
+                return self._stream(text, split) if len(new) < len(known) else self._added(known, mark, new, lists, of)
+            self._add(known[new], mark[new], lists)
+            at = np.searchsorted(self.keys, known)
+        return self._gather(self.place[at], self.size[at], of)
+
+    def _added(self, known, mark, new, lists, of) -> tuple[np.ndarray, np.ndarray]:
+        self._add(known[new], mark[new], lists)
+        at = np.searchsorted(self.keys, known)
+        return self._gather(self.place[at], self.size[at], of)
+
+    def _add(self, keys: np.ndarray, marks: np.ndarray, lists: list[list[int]]) -> None:
+        size = np.array([len(x) for x in lists], np.int64)
+        flat = np.fromiter((i for x in lists for i in x), self.dtype, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        place = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        # learning may have added words meanwhile; of one hash the last stays
+        every = np.concatenate([keys, self.keys])
+        order = np.unique(every, return_index=True)[1]
+        self.keys = every[order]
+        self.check, self.place, self.size = (np.concatenate(x)[order] for x in ((marks, self.check), (place, self.place), (size, self.size)))
+
+    def _gather(self, place: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = size[of]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(place[of] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+    def _folded(self, text: bytes) -> bytes:
+        if self.folds and not any(x in (low := text.lower()) for x in self.specials):
+            return low
+        return text
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text (UTF-8), packed."""
-        out, get = [], self.cache.__getitem__
-        for text in texts:
-            text = text or b""
-            if self.folds and not any(x in (low := text.lower()) for x in self.specials):
-                text = low
-            words = text.split()  # at ASCII white space
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:
-                self.learn({w for w in words if w not in self.cache})
-                if any(w not in self.cache for w in words):  # the cache started over
-                    self.learn(set(words))
-                out.append(b"".join(map(get, words)))
-        return out
+        texts = [self._folded(t or b"") for t in texts]
+        joined = b" ".join(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        flat, sizes = self._stream(joined, True)
+        start = split_starts(joined)
+        stop = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, ends)]
+        packed, width = flat.tobytes(), self.dtype.itemsize
+        return [packed[a * width : b * width] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+
+
+def split_starts(text: bytes) -> np.ndarray:
+    x = np.frombuffer(text, np.uint8)
+    inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
+    return np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
 
 
 def _encoder(path: str, dtype: str) -> WordEncoder:
@@ -148,6 +265,16 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some ``rows`` rows and ``size`` bytes of text, one row at least."""
+    n, lo, held = batch.column(1), 0, 0
+    for i in range(batch.num_rows):
+        held += len(n[i].as_buffer()) if n[i].is_valid else 0
+        if held >= size or i + 1 - lo >= rows or i + 1 == batch.num_rows:
+            yield batch.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+
+
 def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, bits: int = 8) -> DataFrame:
     """Rows of kind 0, a chunk under its digest, once for each task that meets it, and 1, the draft of a recipe.
 
@@ -162,8 +289,8 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, b
 
         encoder, uid, sent = _encoder(tokenizer, dtype), TaskContext.get().partitionId() << 40, set()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch, rows = whole.slice(lo, 512), []
+            for batch in _slices(whole):
+                rows = []
                 for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                     packed += end
                     at, leaves, sizes = 0, [], []
