@@ -1,0 +1 @@
+"""Evidence-grounded document analytics on Spark: DataFrame in, DataFrame out."""
