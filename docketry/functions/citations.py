@@ -142,7 +142,9 @@ def parse_source(source: str | Column) -> Column:
     get = lambda p: F.nullif(F.regexp_extract(c, "(?iu)" + p, 1), F.lit(""))
     article = get(r"стать[яи]\s+([0-9]+(?:\.[0-9]+)*)")
     code = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(c, r"(?iu)^(.*?)[:,]?\s*стать[яи]\s+[0-9]", 1), r"\s+", " ")), F.lit(""))
-    part, point = get(r"(?:^|[\s.,])ч(?:\.|асть)\s*([0-9]+(?:\.[0-9]+)*)"), get(r"(?:^|[\s.,])п(?:\.|ункт)\s*([0-9]+(?:\.[0-9]+)*|[а-я])")
+    rest = F.regexp_extract(c, r"(?iu)стать[яи]\s+[0-9]+(?:\.[0-9]+)*(.*)$", 1)
+    after = lambda p: F.nullif(F.regexp_extract(rest, "(?iu)" + p, 1), F.lit(""))
+    part, point = after(r"(?:^|[\s.,])ч(?:\.|асть)\s*([0-9]+(?:\.[0-9]+)*)"), after(r"(?:^|[\s.,])п(?:\.|ункт)\s*([0-9]+(?:\.[0-9]+)*|[а-я])")
     return F.when(article.isNotNull(), F.struct(code.alias("code"), article.alias("article"), part.alias("part"), point.alias("point")))
 
 

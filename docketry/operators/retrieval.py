@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,7 +148,6 @@ def context_in_order(candidates: DataFrame, keep: int = 5) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, predict: Callable[[pd.Series, pd.Series], pd.Series], schema: str = "string", output: str = "prediction") -> DataFrame:
     """Pairs with the output of an injected predictor or reranker, which gets (premise, hypothesis) in Arrow batches."""
-    from collections.abc import Iterator
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
