@@ -38,7 +38,7 @@ _WORD = r"(?<!\w)(?:ст\.\s*ст\.|ст\.|стать(?:я|и|е|ю|ёй|ей|я
 _LIST = rf"{_NUMBER}(?:\s*(?:,|;|и|или|[-–—])\s*{_NUMBER})*"
 _ARTICLES = re.compile(rf"{_WORD}\s*(?P<list>{_LIST})", re.IGNORECASE)
 _PART = re.compile(rf"(?<!\w)(?:ч\.?|част(?:ь|и|ью|ей))\s*(\d+(?:\.\d+)*)", re.IGNORECASE)
-_POINT = re.compile(r"(?<!\w)(?:п\.?|пункт(?:|а|у|ом|е))\s*[«\"]?(\d+(?:\.\d+)*|[а-я](?!\w))", re.IGNORECASE)
+_POINT = re.compile(r"(?<!\w)(?:п\.|пункт(?:|а|у|ом|е))\s*[«\"]?(\d+(?:\.\d+)*|[а-я](?!\w))", re.IGNORECASE)
 _LEVELS = re.compile(rf"[\s,]*(?:(?:{_PART.pattern}|{_POINT.pattern})[\s,]*)*", re.IGNORECASE)
 _BOUND = re.compile(r"[;.!?]\s+(?=[А-ЯЁA-Z])")
 

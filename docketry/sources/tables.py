@@ -180,7 +180,7 @@ def write_export(units: DataFrame, notes: DataFrame, path: str) -> dict:
     """CSV with byte-order mark and JSONL of units, JSONL of notes, and a manifest of hashes, which is returned."""
     spark = units.sparkSession
     first = units.columns[0]
-    units.select(*(F.col(c).cast("string") if k.startswith(("array", "struct")) else F.col(c) for c, k in units.dtypes)).withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("header", True).csv(f"{path}/units_csv")
+    units.select(*(F.col(c).cast("string") if k.startswith(("array", "struct")) else F.col(c) for c, k in units.dtypes)).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(f"{path}/units_csv")
     units.write.mode("overwrite").json(f"{path}/units_jsonl")
     notes.write.mode("overwrite").json(f"{path}/notes_jsonl")
     h = frame_hash(units, first).first()
