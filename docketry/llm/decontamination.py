@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import settle
+from docketry.llm.common import settle, trimmed
 from docketry.llm.words import SLOTS, word_slots
 
 PASSAGE, MAX_DF, RANK, OVERSAMPLE = 32, 0.05, 128, 10
 #: Passages that a word may be in without being a stop word, however few there are.
 RARE = 20
+#: Share of stop words from which on an item keeps all of its words.
+MOST_STOPS = 0.6
 CANDIDATE, WHOLE, PART, ANSWER, SHORT = 0.55, 0.8, 0.55, 0.5, 8
 ITEM_BLOCK = 2_000
 #: Contaminated texts that may be broadcast as 16-byte hashes; beyond that the join shuffles.
@@ -110,7 +112,7 @@ def added_up(parts: DataFrame, zero: np.ndarray) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], ["n", "array"])
 
     n, total = 0, zero.copy()
-    for r in settle(parts.repartition(groups, "group").select("n", "array").mapInArrow(add, _PART), "parts").toLocalIterator():
+    for r in settle(parts.repartition(groups, "group").select("n", "array").mapInArrow(trimmed(add), _PART), "parts").toLocalIterator():
         n, total = n + r.n, total + np.frombuffer(r["array"], zero.dtype).reshape(zero.shape)
     return n, total
 
@@ -130,11 +132,13 @@ def fit(space: Space, staged: DataFrame, seed: int = 5) -> Space:
                 df += np.bincount(np.unique(at // PASSAGE * size + cols[at]) % size, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()])], ["n", "array"])
 
-    total, df = added_up(staged.select("cols").mapInArrow(frequencies, _PART), np.zeros(size, np.int64))
+    total, df = added_up(staged.select("cols").mapInArrow(trimmed(frequencies), _PART), np.zeros(size, np.int64))
     idf = np.log((1 + total) / (1 + df)) + 1
-    idf[df > max(MAX_DF * total, RARE)] = 0
-    if not idf.any():
-        idf = np.ones(size)
+    stop = df > max(MAX_DF * total, RARE)
+    for _, c, _ in space.items:
+        if stop[c].mean() > MOST_STOPS:  # an item of common words is looked for by these
+            stop[c] = False
+    idf[stop] = 0
     width = min(size, RANK + OVERSAMPLE)
     omega = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, omega))  # vocabulary of a block of items x width
@@ -162,7 +166,7 @@ def fit(space: Space, staged: DataFrame, seed: int = 5) -> Space:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([out.tobytes()])], ["n", "array"])
 
-    mass, y = added_up(staged.select("cols").mapInArrow(passages, _PART), np.zeros((size, width), np.float32))
+    mass, y = added_up(staged.select("cols").mapInArrow(trimmed(passages), _PART), np.zeros((size, width), np.float32))
     shared.destroy()
     parts = []
     for k, (_, c, _) in enumerate(space.items):
@@ -203,9 +207,10 @@ class Matcher:
         z = np.array([self.axes[c].sum(axis=0) for _, c, _ in space.items], np.float32)
         self.latent = z / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)[:, None]
         lengths = np.array([len(c) for _, c, _ in space.items])
-        size = 2 ** np.ceil(np.log2(np.maximum(lengths * 1.25, 16))).astype(int)
+        steps = np.array([int(x * 2**k) for k in range(4, 40) for x in (1, 1.5)])
+        size = steps[np.searchsorted(steps, np.maximum(lengths * 1.25, 16))]  # 16, 24, 32, 48 .. words
         self.classes = [(int(s), np.flatnonzero(size == s)) for s in np.unique(size)]
-        self.unit = self.classes[0][0] // 4  # words of a block; all strides are multiples
+        self.unit = min(s & -s for s, _ in self.classes) // 4  # words of a block; all strides are multiples
 
     def find(self, cols: np.ndarray) -> list[tuple[int, float, float, float, int, int]]:
         """(item place, cosine, share of the item, share of the answer, first and last word) of each contaminating item."""
@@ -279,7 +284,7 @@ def _block(docs: DataFrame, space: Space) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([place[word_slots(t.as_py())].tobytes() for t in b.column(2)], pa.binary())], ["doc_id", "print", "cols"])
 
     text = F.col("text").cast("binary")
-    staged = settle(docs.where("text is not null").select("doc_id", F.unhex(F.md5(text)).alias("print"), text).mapInArrow(stage, "doc_id long, print binary, cols binary"), "columns")
+    staged = settle(docs.where("text is not null").select("doc_id", F.unhex(F.md5(text)).alias("print"), text).mapInArrow(trimmed(stage), "doc_id long, print binary, cols binary"), "columns")
     fitted = docs.sparkSession.sparkContext.broadcast(fit(space, staged))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +298,7 @@ def _block(docs: DataFrame, space: Space) -> DataFrame:
             names = [c.split()[0] for c in _FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    return settle(staged.mapInArrow(match, _FOUND), "contaminated")
+    return settle(staged.mapInArrow(trimmed(match), _FOUND), "contaminated")
 
 
 def filter_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
