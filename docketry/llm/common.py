@@ -52,6 +52,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docketry/{name}-{uuid.uuid4().hex}"
 
 
+def trimmed(run):
+    """``run`` of mapInArrow that hands freed memory back to the machine at its end.
+
+    Python workers live on for other tasks, and the C library keeps what large arrays have freed.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
     path = fresh_path(df.sparkSession, name)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import discard, settle
+from docketry.llm.common import discard, settle, trimmed
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     loops are left out. An empty table gives an empty result.
     """
     u, v = edges.columns[:2]
-    now = settle(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
+    now = settle(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").mapInArrow(trimmed(_forest), "u long, v long"), "edges")
     seen = None
     while True:
         both = now.union(now.select("v", "u").toDF("u", "v"))

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import trimmed
+
 SLOT_BITS, WIDTH = 16, 16
 #: Languages learned at most, the most frequent first.
 MOST_LANGS = 256
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, per_lang: int = 600, alpha: float = 0.002) -> Model:
                     rows.append((g, t, at.astype("<u2").tobytes(), full[at].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.binary(), pa.binary()))], ["lang", "ticket", "at", "n"])
 
-    found = sorted(chosen.mapInArrow(count, "lang string, ticket double, at binary, n binary").collect(), key=lambda r: (r.ticket, r.lang, bytes(r.at)))
+    found = sorted(chosen.mapInArrow(trimmed(count), "lang string, ticket double, at binary, n binary").collect(), key=lambda r: (r.ticket, r.lang, bytes(r.at)))
     rows, taken = [], dict[str, int]()
     for r in found:
         if taken.get(r.lang, 0) < per_lang:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.common import settle
+from docketry.llm.common import settle, trimmed
 
 CENTROIDS, FIT_SAMPLE, ROUNDS = 64, 20_000, 10
 DATA_BLOCK, QUERY_BLOCK = 32_768, 8_192
@@ -146,7 +146,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, share: float = 0.45, c
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], ["entry", "vector", "ids", "i", "j"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    index = settle(classes.mapInArrow(place, f"entry long, vector {kind}, ids array<long>, i int, j int"), "index")
+    index = settle(classes.mapInArrow(trimmed(place), f"entry long, vector {kind}, ids array<long>, i int, j int"), "index")
     sizes = np.zeros((len(one), len(two)), np.int64)
     for r in index.groupBy("i", "j").count().collect():  # centroids x centroids at most
         sizes[r.i, r.j] = r["count"]
@@ -170,7 +170,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, share: float = 0.45, c
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(i.astype(np.int32)), pa.array(masks[row, i])], ["entry", "vector", "i", "mask"])
 
     of = F.element_at(F.array(*map(F.lit, blocks)), F.col("i") + 1)
-    probes = points.mapInArrow(route, f"entry long, vector {kind}, i int, mask long")
+    probes = points.mapInArrow(trimmed(route), f"entry long, vector {kind}, i int, mask long")
     probes = probes.select("*", F.pmod(F.xxhash64("entry"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), of.cast("int") - 1)).alias("db"))
     data = index.select("entry", "vector", F.element_at("ids", 1).alias("least"), "i", "j", F.pmod(F.xxhash64("entry"), of).cast("int").alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import golay
-from docketry.llm.common import discard, settle
+from docketry.llm.common import discard, settle, trimmed
 from docketry.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, size: int, lanes: int = 1) -> DataFrame:
             found = np.array([majority(shingle_hashes(t.as_py(), size), lanes) for t in b.column(1)], np.uint64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i].view(np.int64)) for i in range(lanes))], ["id", *names])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +123,8 @@ def links_within_two(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     dealt by the 65 words within one bit of them. Two fingerprints within two bits share such a word; all that share
     one are within two bits, 65 at most, and are linked to the smallest.
     """
-    homes = settle(prints.mapInArrow(_homes, "anchor long, fp long"), "homes")
-    sent = prints.mapInArrow(_replicas, "anchor long, fp long")
+    homes = settle(prints.mapInArrow(trimmed(_homes), "anchor long, fp long"), "homes")
+    sent = prints.mapInArrow(trimmed(_replicas), "anchor long, fp long")
     crowded = settle(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowded")
     every = homes.select("anchor", "fp", F.lit(True).alias("own")).union(sent.select("anchor", "fp", F.lit(False)))
     calm = homes.join(crowded, "anchor", "left_anti").select("anchor", F.col("fp").alias("a"))
@@ -246,9 +246,9 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
         if held and sum(x.num_rows for x in held):
             yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    led = settle(prints.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(first, _LED), "led")
+    led = settle(prints.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(trimmed(first), _LED), "led")
     rows = led.where("other is null").select(*_FIELDS).repartition("anchor").sortWithinPartitions("anchor")
-    met = rows.mapInArrow(second, _LED).select("id", "other")
+    met = rows.mapInArrow(trimmed(second), _LED).select("id", "other")
     return led.where("other is not null").select("id", "other").union(met).toDF("a", "b").distinct()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import fresh_path
+from docketry.llm.common import fresh_path, trimmed
 
 DIGEST = 16
 #: Words held per Python worker before the cache starts over; it only saves time.
@@ -90,6 +90,9 @@ _SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TAIL = b".,;:!?*#$%&)"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BLOCK = 1 << 18
+_ZERO = np.zeros(1, np.int8)
+#: Words learned before they are merged into the large table.
+_RECENT = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -106,7 +109,7 @@ def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         _WORKER["powers"] = [(_powers(b, _BLOCK + 1), _powers(pow(b, -1, 1 << 64), _BLOCK + 1)) for b in _BASES]
     x = np.frombuffer(text, np.uint8)
     inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    edge = np.diff(np.concatenate([_ZERO, inside.view(np.int8), _ZERO]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = np.zeros((2, len(start)), np.uint64)
     k = 0
@@ -148,10 +151,25 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # keys, check, place and size of the words, by key: a large table and what was learned since
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.tables = [none, none]
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def _find(self, known: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are there, and the place and number of their ids."""
+        there, place, size = np.zeros(len(known), bool), np.zeros(len(known), np.int64), np.zeros(len(known), np.int32)
+        for keys, check, places, sizes in self.tables:
+            at = np.searchsorted(keys, known)
+            at[at == len(keys)] = 0
+            hit = (keys[at] == known) & (check[at] == mark) if len(keys) else np.zeros(len(known), bool)
+            place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+            there |= hit
+        return there, place, size
+
     def _ids(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
 
@@ -183,42 +201,41 @@ class WordEncoder:
         if (mark[of] != g).any():  # two words of one hash: all of the text goes to the tokenizer
             lists = self._ids([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
             return np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64)
-        at = np.searchsorted(self.keys, known)
-        there = np.zeros(len(known), bool)
-        inside = at < len(self.keys)
-        there[inside] = (self.keys[at[inside]] == known[inside]) & (self.check[at[inside]] == mark[inside])
+        there, place, size = self._find(known, mark)
         new = np.flatnonzero(~there)
         if len(new):
             words = [text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
             lists = [x for lo in range(0, len(words), 8192) for x in self._learn(words[lo : lo + 8192], split)]
-            if len(self.keys) + len(new) > self.words:
+            if len(self) + len(new) > self.words and len(new) < len(known):
                 self._clear()
-                return self._stream(text, split) if len(new) < len(known) else self._added(known, mark, new, lists, of)
+                return self._stream(text, split)
             self._add(known[new], mark[new], lists)
-            at = np.searchsorted(self.keys, known)
-        return self._gather(self.place[at], self.size[at], of)
-
-    def _added(self, known, mark, new, lists, of) -> tuple[np.ndarray, np.ndarray]:
-        self._add(known[new], mark[new], lists)
-        at = np.searchsorted(self.keys, known)
-        return self._gather(self.place[at], self.size[at], of)
+            there, place, size = self._find(known, mark)
+        return self._gather(place, size, of)
 
     def _add(self, keys: np.ndarray, marks: np.ndarray, lists: list[list[int]]) -> None:
-        size = np.array([len(x) for x in lists], np.int64)
+        size = np.array([len(x) for x in lists], np.int32)
         flat = np.fromiter((i for x in lists for i in x), self.dtype, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
         self.ids[self.used : self.used + len(flat)] = flat
-        place = self.used + np.cumsum(size) - size
+        place = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used += len(flat)
-        # learning may have added words meanwhile; of one hash the last stays
-        every = np.concatenate([keys, self.keys])
-        order = np.unique(every, return_index=True)[1]
-        self.keys = every[order]
-        self.check, self.place, self.size = (np.concatenate(x)[order] for x in ((marks, self.check), (place, self.place), (size, self.size)))
+        self.tables[1] = self._merged((keys, marks, place, size), self.tables[1])
+        if len(self.tables[1][0]) > _RECENT:
+            self.tables = [self._merged(self.tables[1], self.tables[0]), tuple(c[:0] for c in self.tables[1])]
+
+    @staticmethod
+    def _merged(new: tuple, old: tuple) -> tuple:
+        """Both tables by key; learning may have added a word meanwhile: of one key the newer stays."""
+        keys = np.concatenate([new[0], old[0]])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        order = order[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else order
+        return tuple(np.concatenate([n, o])[order] for n, o in zip(new, old, strict=True))
 
     def _gather(self, place: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = size[of]
+        sizes = size[of].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(place[of] - (ends - sizes), sizes) + np.arange(total)], sizes
@@ -265,7 +282,7 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of some ``rows`` rows and ``size`` bytes of text, one row at least."""
     n, lo, held = batch.column(1), 0, 0
     for i in range(batch.num_rows):
@@ -308,7 +325,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, b
                     uid += 1
                 yield _batch(rows, _names(_PACK), _PACK_ARROW)
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, _PACK)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(trimmed(run), _PACK)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,13 +369,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     driver gets one row for each shard.
     """
     spark = docs.sparkSession
-    encode_chunks(docs, tokenizer, end_id, id_bytes, bits).repartition("key").mapInArrow(_distinct, _PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
+    encode_chunks(docs, tokenizer, end_id, id_bytes, bits).repartition("key").mapInArrow(trimmed(_distinct), _PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
     drafts = spark.read.schema(_PACK).parquet(f"{path}/packs").where("kind = 1").select("doc_id", "root", "uid", "n", "digests", "lengths")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         drafts.repartitionByRange(shards, "doc_id", "root", "uid")
         .sortWithinPartitions("doc_id", "root", "uid")
-        .mapInArrow(_recipes, _RECIPES)
+        .mapInArrow(trimmed(_recipes), _RECIPES)
         .write.parquet(f"{path}/recipes")
     )
     both = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
@@ -411,14 +428,14 @@ class Store:
                 crc = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in held]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-        parts = self.chunks().mapInArrow(sums, "digest binary, n int, crc long")
+        parts = self.chunks().mapInArrow(trimmed(sums), "digest binary, n int, crc long")
         lists = (
             self.references().join(parts, "digest").groupBy("shard", "row")
             .agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))
         )
         found = self.recipes().select("shard", "row", "doc_id", "start", "n_tokens", "digests", "root").join(lists, ["shard", "row"], "left")
         flat = found.select("doc_id", "start", "n_tokens", "digests", "root", F.col("parts.n").alias("ns"), F.col("parts.crc").alias("crcs"))
-        return flat.mapInArrow(_combined, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
+        return flat.mapInArrow(trimmed(_combined), "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int")
 
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens, ids: the id streams themselves, put together from the chunks."""

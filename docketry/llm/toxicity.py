@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import trimmed
 from docketry.llm.words import WORD_BITS, word_slots
 
 WINDOW, DISCOUNT = 4, 1.5
@@ -110,8 +111,8 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gather(rows: DataFrame) -> Model:
     """Count over all ``rows`` (text binary, toxic 0/1). The driver gets a row for each slot, 2^WORD_BITS at most."""
-    pairs = rows.mapInArrow(_pairs, "key long, classes int").groupBy("key").agg(F.bit_or("classes").alias("classes"))
-    shares = pairs.mapInArrow(_tables, "slot int, n0 long, n1 long, n long")
+    pairs = rows.mapInArrow(trimmed(_pairs), "key long, classes int").groupBy("key").agg(F.bit_or("classes").alias("classes"))
+    shares = pairs.mapInArrow(trimmed(_tables), "slot int, n0 long, n1 long, n long")
     whole = shares.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n"))).toArrow()
     full = np.zeros((3, 1 << WORD_BITS))
     slot = whole.column(0).to_numpy()
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, calibration: i
             found = np.array([shared.value.evidence(word_slots(t)) for t in b.column(0).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(3)), b.column(1)], ["top", "window", "mean", "toxic"])
 
-    seen = marked.where(held & ticket).select(F.col("text").cast("binary"), "toxic").mapInArrow(weigh, "top double, window double, mean double, toxic int").toArrow()
+    seen = marked.where(held & ticket).select(F.col("text").cast("binary"), "toxic").mapInArrow(trimmed(weigh), "top double, window double, mean double, toxic int").toArrow()
     found = np.stack([seen.column(i).to_numpy() for i in range(3)], axis=1)
     toxic = seen.column(3).to_numpy()
     order = np.lexsort((toxic, *found.T))  # sums don't depend on the order of tasks
@@ -168,4 +169,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(word_slots(t.as_py())) for t in b.column(1)], pa.float64())], ["key", "score"])
 
-    return docs.select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, score double")
+    return docs.select("key", F.col("text").cast("binary")).mapInArrow(trimmed(run), "key long, score double")

@@ -11,6 +11,7 @@ LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in ra
 #: Only white space separates.
 SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 _BLOCK = 1 << 20
+_ZERO = np.zeros(1, np.int8)
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 
@@ -35,7 +36,7 @@ def word_hashes(text: bytes | None, table: bytes = LETTERS) -> np.ndarray:
     while lo < len(text):
         to = len(text) if len(text) - lo <= _BLOCK else text.rfind(b" ", lo, lo + _BLOCK) + 1 or lo + _BLOCK
         x = np.frombuffer(text, np.uint8, to - lo, lo)
-        edge = np.diff(np.concatenate([[0], (x != 32).view(np.int8), [0]]))
+        edge = np.diff(np.concatenate([_ZERO, (x != 32).view(np.int8), _ZERO]))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # the sum of bytes times rising powers of a base; its slice over a word, scaled back to the word's start
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x.astype(np.uint64) * _HELD["up"][: len(x)], dtype=np.uint64)])
