@@ -33,7 +33,7 @@ from docketry.llm.common import fresh_path, trimmed
 
 DIGEST = 16
 #: Words held per Python worker before the cache starts over; it only saves time.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_500_000
 
 _WORKER: dict = {}
 
@@ -92,7 +92,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BLOCK = 1 << 18
 _ZERO = np.zeros(1, np.int8)
 #: Words learned before they are merged into the large table.
-_RECENT = 1 << 18
+_RECENT = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -134,7 +134,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are its words' ids in
     order; ``test_token_store`` holds this against whole-text encoding. The table holds each known word's two hashes
-    and the place of its ids, some 30 bytes a word.
+    and the place of its ids, some 20 bytes a word.
     """
 
     def __init__(self, path: str, dtype: str, words: int = CACHE_WORDS):
@@ -152,7 +152,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         # keys, check, place and size of the words, by key: a large table and what was learned since
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16))
         self.tables = [none, none]
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
@@ -161,7 +161,7 @@ class WordEncoder:
 
     def _find(self, known: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which words are there, and the place and number of their ids."""
-        there, place, size = np.zeros(len(known), bool), np.zeros(len(known), np.int64), np.zeros(len(known), np.int32)
+        there, place, size = np.zeros(len(known), bool), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
         for keys, check, places, sizes in self.tables:
             at = np.searchsorted(keys, known)
             at[at == len(keys)] = 0
@@ -197,10 +197,10 @@ class WordEncoder:
         """Ids of a text, and how many each of its words has."""
         start, end, h, g = split_words(text)
         known, first, of = np.unique(h, return_index=True, return_inverse=True)
+        g = (g >> np.uint64(32)).astype(np.uint32)
         mark = g[first]
         if (mark[of] != g).any():  # two words of one hash: all of the text goes to the tokenizer
-            lists = self._ids([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-            return np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64)
+            return self._plain(text, start, end)
         there, place, size = self._find(known, mark)
         new = np.flatnonzero(~there)
         if len(new):
@@ -211,17 +211,25 @@ class WordEncoder:
                 return self._stream(text, split)
             self._add(known[new], mark[new], lists)
             there, place, size = self._find(known, mark)
+            if not there.all():
+                return self._plain(text, start, end)
         return self._gather(place, size, of)
 
+    def _plain(self, text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._ids([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64)
+
     def _add(self, keys: np.ndarray, marks: np.ndarray, lists: list[list[int]]) -> None:
-        size = np.array([len(x) for x in lists], np.int32)
+        size = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter((i for x in lists for i in x), self.dtype, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
         self.ids[self.used : self.used + len(flat)] = flat
         place = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used += len(flat)
-        self.tables[1] = self._merged((keys, marks, place, size), self.tables[1])
+        short = size < 1 << 16  # longer ones are looked up anew each time
+        new = (keys[short], marks[short], place[short].astype(np.uint32), size[short].astype(np.uint16))
+        self.tables[1] = self._merged(new, self.tables[1])
         if len(self.tables[1][0]) > _RECENT:
             self.tables = [self._merged(self.tables[1], self.tables[0]), tuple(c[:0] for c in self.tables[1])]
 
@@ -235,7 +243,7 @@ class WordEncoder:
         return tuple(np.concatenate([n, o])[order] for n, o in zip(new, old, strict=True))
 
     def _gather(self, place: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = size[of].astype(np.int64)
+        sizes = size[of]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(place[of] - (ends - sizes), sizes) + np.arange(total)], sizes
@@ -282,7 +290,7 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 2048, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of some ``rows`` rows and ``size`` bytes of text, one row at least."""
     n, lo, held = batch.column(1), 0, 0
     for i in range(batch.num_rows):

@@ -18,7 +18,7 @@ def _texts():
     out = [None, "", "   ", "<|startoftext|> hi"]
     out += [" ".join(rng.choice(words) + rng.choice(["", "\n", "\t"]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
     long = " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(6000))
-    return out + [long, "prefix words first " + long, long]
+    return out + [long, "prefix words first " + long, long, "no blank " + "xyzzy" * 60_000 + " end"]
 
 
 TEXTS = _texts()
