@@ -8,8 +8,8 @@ quarter, is compared with the items by its cosine there. Candidates from ``CANDI
 longest common subsequence of item and window, and of the item's answer (or its end, where there is no answer column)
 and window. A text is contaminated by an item if
 
-* the common subsequence holds 0.8 of the item's words, or
-* it holds 0.55 of them and half of the answer's (a paraphrase).
+* the common subsequence holds 0.7 of the item's words, or
+* it holds half of them and half of the answer's (a paraphrase).
 
 Items of fewer than eight words must be there whole.
 
@@ -36,7 +36,7 @@ PASSAGE, MAX_DF, RANK, OVERSAMPLE = 32, 0.05, 128, 10
 RARE = 20
 #: Share of stop words from which on an item keeps all of its words.
 MOST_STOPS = 0.6
-CANDIDATE, WHOLE, PART, ANSWER, SHORT = 0.55, 0.8, 0.55, 0.5, 8
+CANDIDATE, WHOLE, PART, ANSWER, SHORT = 0.55, 0.7, 0.5, 0.5, 8
 ITEM_BLOCK = 2_000
 #: Contaminated texts that may be broadcast as 16-byte hashes; beyond that the join shuffles.
 SMALL = 1_000_000

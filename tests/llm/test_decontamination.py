@@ -53,8 +53,8 @@ def test_planted_items(spark):
 
 def test_answers_decide_on_paraphrases(spark):
     item, answer = words(40), VOCABULARY[200:206]
-    part = [w if n % 5 else "other" for n, w in enumerate(item)]  # 0.8 of it is below WHOLE together with two more
-    part[1], part[2], part[3] = "x1", "x2", "x3"
+    part = [w if n % 3 else "other" for n, w in enumerate(item)]
+    part[1], part[2] = "x1", "x2"  # 0.6 of the item: a paraphrase at most
     docs = [(1, " ".join(words(50) + part + answer)), (2, " ".join(words(50) + part + words(50)))]
     bench = spark.createDataFrame([(7, " ".join(item), " ".join(answer))], "item_id long, text string, answer string")
     got = {r.doc_id for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
