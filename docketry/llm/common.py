@@ -63,7 +63,10 @@ def trimmed(run):
         import ctypes
         import gc
 
+        import pyarrow as pa
+
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library

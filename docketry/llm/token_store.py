@@ -33,7 +33,7 @@ from docketry.llm.common import fresh_path, trimmed
 
 DIGEST = 16
 #: Words held per Python worker before the cache starts over; it only saves time.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 2_500_000
 
 _WORKER: dict = {}
 
@@ -89,7 +89,7 @@ _SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Signs that begin no contraction.
 _TAIL = b".,;:!?*#$%&)"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 _ZERO = np.zeros(1, np.int8)
 #: Words learned before they are merged into the large table.
 _RECENT = 1 << 17

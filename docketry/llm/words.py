@@ -10,7 +10,7 @@ SLOTS = 1 << WORD_BITS
 LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
 #: Only white space separates.
 SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _ZERO = np.zeros(1, np.int8)
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -28,7 +28,7 @@ _HELD: dict[str, np.ndarray] = {}
 
 
 def word_hashes(text: bytes | None, table: bytes = LETTERS) -> np.ndarray:
-    """Hash of each lower-cased word of a UTF-8 text; words longer than a block of a million bytes are cut."""
+    """Hash of each lower-cased word of a UTF-8 text; words longer than a block of 131,072 bytes are cut."""
     text = (text or b"").decode("utf-8", "replace").lower().encode("utf-8").translate(table)
     if not _HELD:
         _HELD["up"], _HELD["down"] = _powers(_PRIME, _BLOCK + 1), _powers(_INVERSE, _BLOCK + 1)
