@@ -158,6 +158,8 @@ def fingerprint_text(column: str):
 
 
 LANES, TABLES, EXTRA = 4, 64, 9
+#: Bits within which rows are linked before the shuffle, and within which the links of an anchor are a tree.
+SAME, SURE = 4, 20
 
 
 def _table_bits() -> np.ndarray:
@@ -175,6 +177,40 @@ def table_anchor(fps: np.ndarray, places: np.ndarray, table: int) -> np.ndarray:
     return (np.uint64(table) << np.uint64(golay.LENGTH + EXTRA)) | (word >> np.uint64(golay.LENGTH) << np.uint64(golay.LENGTH)) | code
 
 
+def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most: int) -> np.ndarray:
+    """(a, b) places of links within the anchors: trees that connect what ``sure`` bits connect, and, for each row and each
+    other of these trees, the nearest member within ``most`` bits.
+
+    A row that is reached is compared with all rows that no tree has reached yet, not just the first of its anchor.
+    """
+    order = np.lexsort((ids, anchors))
+    links = []
+    for part in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):
+        if len(part) < 2:
+            continue
+        words, tree, left = fps[part], np.full(len(part), -1), np.arange(len(part))
+        trees = 0
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            tree[todo[0]] = trees
+            while todo and len(left):
+                i = todo.pop()
+                near = np.bitwise_count(words[left] ^ words[i]).sum(axis=1) <= sure
+                links += [(part[i], part[j]) for j in left[near].tolist()]
+                tree[left[near]] = trees
+                todo += left[near].tolist()
+                left = left[~near]
+            trees += 1
+        if trees > 1:
+            for i in range(len(part)):
+                apart = np.bitwise_count(words ^ words[i]).sum(axis=1)
+                there = np.flatnonzero((apart <= most) & (tree != tree[i]))
+                there = there[np.lexsort((apart[there], tree[there]))]
+                first = np.concatenate([[True], np.diff(tree[there]) != 0])[: len(there)]
+                links += [(part[min(i, j)], part[max(i, j)]) for j in there[first].tolist()]
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
 def lead(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows that stay as leaders of their anchors, and (leader, row) places of the rows linked to one.
 
@@ -216,8 +252,8 @@ def _words(b: pa.RecordBatch, at: int) -> np.ndarray:
 def near_links(prints: DataFrame, most: int) -> DataFrame:
     """(a, b): links between rows of ``prints`` (id, f0 ..) that meet at an anchor and differ in ``most`` bits or fewer.
 
-    Rows that join a leader within their own task are not shuffled further, so a large group of near copies sends
-    a few rows for each task and anchor; nothing is dropped.
+    Rows within ``SAME`` bits of a leader in their own batch are linked to it and not shuffled further; a leader stands for
+    these with 2 SAME bits more. All other rows of an anchor are compared with those that joined before, too (``meet``).
     """
     bits = _table_bits()
 
@@ -226,14 +262,14 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
             ids, fps = b.column(0).to_numpy(zero_copy_only=False), _words(b, 1)
             for t in range(TABLES):
                 anchors = table_anchor(fps, bits[t], t)
-                yield from _out(anchors, ids, fps, *lead(anchors, ids, fps, most), True)
+                yield from _out(anchors, ids, fps, *lead(anchors, ids, fps, SAME), True)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             anchors, ids, fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False), _words(b, 2)
-            yield from _out(anchors, ids, fps, *lead(anchors, ids, fps, most), False)
+            yield from _out(anchors, ids, fps, ids[:0], meet(anchors, ids, fps, min(SURE, most), most + 2 * SAME), False)
 
         for b in batches:
             anchors = b.column(0).to_numpy(zero_copy_only=False)

@@ -5,7 +5,7 @@ import xxhash
 
 from docketry.llm import golay
 from docketry.llm.components import components
-from docketry.llm.simhash import components_within_two, links_within_two, near_copies, replicas
+from docketry.llm.simhash import components_within_two, links_within_two, near_copies, near_links, replicas
 
 rng = random.Random(5)
 WORDS = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(400)]
@@ -123,3 +123,16 @@ def test_near_copies_by_similarity(spark):
     got = {r.id: r.group_id for r in near_copies(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert sum(got[i] == group[i] for i in group) >= 0.98 * len(group)
     assert all(group[got[i]] == group[i] for i in group)
+
+
+def test_rows_that_joined_a_leader_are_compared_further(spark):
+    rows = []
+    for g in range(20):
+        a = rng.getrandbits(256)
+        flips = rng.sample(range(256), 36)
+        b = a ^ sum(1 << p for p in flips[:8])
+        c = b ^ sum(1 << p for p in flips[8:])  # a-b 8 bits, b-c 28, a-c 36
+        rows += [(3 * g + k, *((x >> 64 * i & (1 << 64) - 1) - (x >> 64 * i + 63 & 1) * (1 << 64) for i in range(4))) for k, x in enumerate((a, b, c))]
+    df = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long").coalesce(1)
+    got = {frozenset((r.a, r.b)) for r in near_links(df, 30).collect()}
+    assert sum({3 * g + 1, 3 * g + 2} in got for g in range(20)) >= 19
