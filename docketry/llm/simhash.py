@@ -10,9 +10,10 @@ blocks at most, by code words within 3 + 2 bits in one block or 3 + 1 bits in ea
 replicated to these. Homes are compared with what was sent to them; an anchor that is home to very many is split
 exactly (see there).
 
-``near_copies`` groups whole texts whose sets of five-word shingles have a similarity of 0.8 or more, as estimated by
-256 bits. Bits of such pairs differ too often (in 15 % at 0.8) for a fixed distance of a few bits, so each of 64
-tables decodes a part of the bits to its anchor; pairs that meet at any anchor are compared over all bits.
+``near_copies`` groups whole texts whose sets of five-word shingles have a similarity of 0.8 or more, as proposed by
+256 bits. Bits of such pairs differ too often (in 15 % at 0.8) for a fixed distance of a few bits, so each of 128
+tables decodes a part of the bits to its anchor; pairs that meet at any anchor are compared over all bits. Bits only
+propose, with a margin of three deviations; the shingle sets of the two texts decide each link.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, like any other; repeated rows are kept, and
 are one class; null ids take part and are never the smallest id; an empty table gives an empty result.
@@ -157,7 +158,7 @@ def fingerprint_text(column: str):
 # near copies by similarity
 
 
-LANES, TABLES, EXTRA = 4, 64, 9
+LANES, TABLES, EXTRA = 4, 128, 9
 #: Bits within which rows are linked before the shuffle, and within which the links of an anchor are a tree.
 SAME, SURE = 4, 20
 
@@ -288,18 +289,51 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
     return led.where("other is not null").select("id", "other").union(met).toDF("a", "b").distinct()
 
 
+def alike(links: DataFrame, prints: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) between rows of ``prints`` (id, f0 ..) whose texts in ``docs`` (id, text) have shingle sets of ``similarity`` or more."""
+    words = [f"f{i}" for i in range(LANES)]
+    linked = links.select(F.col("a").alias("__id")).union(links.select("b")).distinct()
+    named = prints.join(linked, F.col("id") == F.col("__id")).select("__id", *words)
+    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(named, F.col("id") == F.col("__id")).select("id", "text", *words)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = [], []
+            for i, text, own in zip(b.column(0).to_pylist(), b.column(1), _words(b, 2), strict=True):
+                h = shingle_hashes(text.as_py(), size)
+                if (majority(h, LANES) == own).all():  # other texts may have this id, too
+                    ids.append(i)
+                    found.append(np.unique(h).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    of = settle(texts.mapInArrow(trimmed(sets), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
+    pairs = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return settle(pairs.mapInArrow(trimmed(near), "a long, b long"), "alike")
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """id and group_id (smallest id of its group) of each row of ``docs`` (id, text), groups being near copies.
 
-    ``similarity`` is that of the shingle sets (Jaccard); the share of bits that differ estimates it. Of pairs at
-    0.8 five in six meet at an anchor, at 0.85 nineteen in twenty, from 0.9 on all but one in two hundred or fewer.
+    ``similarity`` is that of the shingle sets (Jaccard), which decide each link that the bits propose.
     """
-    most = int(64 * LANES * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(np.ceil(64 * LANES * share + 3 * np.sqrt(64 * LANES * share * (1 - share))))
     prints = settle(fingerprints(docs, size, LANES), "prints")
     words = [f"f{i}" for i in range(LANES)]
     classes = settle(prints.groupBy(*words).agg(F.min("id").alias("least")), "classes")
     known = classes.where("least is not null").withColumnRenamed("least", "id")
-    parts = settle(components(near_links(known, most)), "parts")
+    links = alike(settle(near_links(known, most), "links"), known, docs, size, similarity)
+    parts = settle(components(links), "parts")
     named = classes.join(parts.withColumnRenamed("node", "least"), "least", "left").select(*words, F.coalesce("component", "least").alias("group_id"))
     return prints.join(named, words).select("id", "group_id")
 

@@ -136,3 +136,18 @@ def test_rows_that_joined_a_leader_are_compared_further(spark):
     df = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long").coalesce(1)
     got = {frozenset((r.a, r.b)) for r in near_links(df, 30).collect()}
     assert sum({3 * g + 1, 3 * g + 2} in got for g in range(20)) >= 19
+
+
+def test_shingle_sets_decide(spark):
+    rows, near = [], {}
+    for g in range(60):
+        base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(200)]
+        other = list(base)
+        for p in range(12, 12 + 10 * (3 if g % 2 else 6), 10):  # 15 or 30 of 196 shingles: 0.86 or 0.73
+            other[p] = "changed" + str(rng.randrange(10**6))
+        x, y = ({tuple(t[i : i + 5]) for i in range(196)} for t in (base, other))
+        near[2 * g + 1] = len(x & y) >= 0.8 * len(x | y)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    got = {r.id: r.group_id for r in near_copies(spark.createDataFrame(rows, "id long, text string"), similarity=0.8).collect()}
+    assert not any(got[i] != i for i, yes in near.items() if not yes)
+    assert sum(got[i] == i - 1 for i, yes in near.items() if yes) >= 28
