@@ -10,8 +10,8 @@ The level of whole pairs is left out of the evidence: pairs of rare words recur
 level only recalls whether copies were toxic (on held-out rows of the test tables: area under the curve 0.75 with
 it, 0.999 without).
 
-Pairs are counted over all learning rows without loss; what they say of words goes to tables of fixed size (hashed),
-which bounds what the driver and the workers hold.
+Pairs are counted over all learning rows without loss; what they say of words goes to hashed tables that grow with the
+counted vocabulary: ``SPARE`` slots for each word, 2^WORD_BITS at least. Workers get four bytes a slot.
 
 Edge cases: null and empty texts get the score of a text without evidence; an empty table gives an empty result; without
 labelled rows of both classes every score is 0; repeated label rows count once (toxic if any says so), repeated
@@ -29,17 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import trimmed
-from docketry.llm.words import WORD_BITS, word_slots
+from docketry.llm.words import WORD_BITS, word_hashes, word_slots
 
 WINDOW, DISCOUNT = 4, 1.5
+#: Slots for each word of the learning rows.
+SPARE = 4
 #: Label rows that may be broadcast (16 bytes each); beyond that the join shuffles.
 SMALL_LABELS = 2_000_000
 
 
-def pair_keys(words: np.ndarray) -> np.ndarray:
+def pair_keys(words: np.ndarray, bits: int = WORD_BITS) -> np.ndarray:
     """(word before, word) of each position as one number; slot 0 stands before the first."""
     before = np.concatenate([[0], words[:-1]]) if len(words) else words
-    return before << WORD_BITS | words
+    return before << bits | words
 
 
 @dataclass
@@ -49,22 +51,26 @@ class Model:
     ``weights``: of 1, the largest word, the largest window and the mean.
     """
 
-    contexts: np.ndarray  # 2 x 2^WORD_BITS
+    contexts: np.ndarray  # 2 x slots, a power of two
     types: np.ndarray
     weights: np.ndarray
 
     def __post_init__(self) -> None:
-        self.logs, self.ready = np.zeros(len(self.types)), bool(self.contexts.sum(axis=1).min() > 0)
+        self.bits = len(self.types).bit_length() - 1
+        self.logs, self.ready = np.zeros(len(self.types), np.float32), bool(self.contexts.sum(axis=1).min() > 0)
         if self.ready:
             shared = (self.types + 0.5) / (self.types.sum() + 0.5 * len(self.types))
             by = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * shared) / n.sum() for n in self.contexts]
-            self.logs = np.log(by[1]) - np.log(by[0])
+            self.logs = (np.log(by[1]) - np.log(by[0])).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("contexts", "types")}  # workers need the ratios only
 
     def evidence(self, words: np.ndarray) -> tuple[float, float, float]:
         """Largest ratio of a word, largest mean of a window, mean of the text; a short text counts as a full window."""
         if not len(words):
             return 0.0, 0.0, 0.0
-        r = self.logs[words]
+        r = self.logs[words].astype(np.float64)
         total = np.concatenate([[0.0], np.cumsum(r)])
         k = min(WINDOW, len(r))
         return float(r.max()), float((total[k:] - total[:-k]).max() / WINDOW), float(total[-1] / max(len(r), WINDOW))
@@ -75,7 +81,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, *self.evidence(words)]), -50, 50))))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The distinct word pairs of each class, as far as the task's memory allows."""
     held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
 
@@ -90,34 +96,40 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held[toxic].append(pair_keys(word_slots(text)))
+            held[toxic].append(pair_keys(word_slots(text, bits), bits))
             if sum(map(len, held[0])) + sum(map(len, held[1])) > 4_000_000 or len(held[0]) + len(held[1]) > 50_000:
                 yield from flush()
     yield from flush()
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of the task's distinct pairs each word comes second: in ordinary, in toxic, in all texts."""
-    full = np.zeros((3, 1 << WORD_BITS), np.int64)
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct word hashes of each batch."""
     for b in batches:
-        word, classes = b.column(0).to_numpy() & ((1 << WORD_BITS) - 1), b.column(1).to_numpy()
-        for row, which in enumerate((classes & 1 > 0, classes & 2 > 0, classes > 0)):
-            full[row] += np.bincount(word[which], minlength=1 << WORD_BITS)
-    at = np.flatnonzero(full[2])
-    for lo in range(0, len(at), 100_000):
-        a = at[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), *(pa.array(full[i][a]) for i in range(3))], ["slot", "n0", "n1", "n"])
+        found = [word_hashes(t) for t in b.column(0).to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["word"])
+
+
+def table_bits(words: int) -> int:
+    """Bits of a table with ``SPARE`` slots for each word; a pair of slots fits a long up to 31."""
+    return min(31, max(WORD_BITS, (SPARE * words - 1).bit_length()))
 
 
 def gather(rows: DataFrame) -> Model:
-    """Count over all ``rows`` (text binary, toxic 0/1). The driver gets a row for each slot, 2^WORD_BITS at most."""
-    pairs = rows.mapInArrow(trimmed(_pairs), "key long, classes int").groupBy("key").agg(F.bit_or("classes").alias("classes"))
-    shares = pairs.mapInArrow(trimmed(_tables), "slot int, n0 long, n1 long, n long")
-    whole = shares.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n"))).toArrow()
-    full = np.zeros((3, 1 << WORD_BITS))
-    slot = whole.column(0).to_numpy()
+    """Count over all ``rows`` (text binary, toxic 0/1). The driver gets a row for each slot that a word has."""
+    bits = table_bits(rows.select("text").mapInArrow(trimmed(_vocabulary), "word long").agg(F.approx_count_distinct("word", 0.02)).first()[0])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(batches, bits)
+
+    seen = rows.mapInArrow(trimmed(pairs), "key long, classes int").groupBy("key").agg(F.bit_or("classes").alias("classes"))
+    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot")
+    counted = [F.sum(F.when(F.col("classes").bitwiseAND(which) > 0, 1).otherwise(0)).cast("int").alias(n) for n, which in (("n0", 1), ("n1", 2), ("n", 3))]
+    whole = seen.groupBy(slot).agg(*counted).toArrow()
+    full = np.zeros((3, 1 << bits), np.int32)
+    at = whole.column(0).to_numpy()
     for i in range(3):
-        full[i, slot] = whole.column(1 + i).to_numpy()
+        full[i, at] = whole.column(1 + i).to_numpy()
     return Model(full[:2], full[2], np.zeros(4))
 
 
@@ -149,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, calibration: i
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([shared.value.evidence(word_slots(t)) for t in b.column(0).to_pylist()]).reshape(-1, 3)
+            found = np.array([shared.value.evidence(word_slots(t, shared.value.bits)) for t in b.column(0).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(3)), b.column(1)], ["top", "window", "mean", "toxic"])
 
     seen = marked.where(held & ticket).select(F.col("text").cast("binary"), "toxic").mapInArrow(trimmed(weigh), "top double, window double, mean double, toxic int").toArrow()
@@ -163,10 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, calibration: i
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """key, score of each row of ``docs`` (key, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size, see WORD_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ratios, four bytes a slot; grows with the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(word_slots(t.as_py())) for t in b.column(1)], pa.float64())], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score(word_slots(t.as_py(), shared.value.bits)) for t in b.column(1)], pa.float64())], ["key", "score"])
 
     return docs.select("key", F.col("text").cast("binary")).mapInArrow(trimmed(run), "key long, score double")

@@ -47,6 +47,6 @@ def word_hashes(text: bytes | None, table: bytes = LETTERS) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def word_slots(text: bytes | None) -> np.ndarray:
-    """Slot of each word (run of letters, lower-cased) of a UTF-8 text."""
-    return (word_hashes(text) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def word_slots(text: bytes | None, bits: int = WORD_BITS) -> np.ndarray:
+    """Slot of each word (run of letters, lower-cased) of a UTF-8 text, in a table of 2^bits."""
+    return (word_hashes(text) >> np.uint64(64 - bits)).astype(np.int64)

@@ -74,6 +74,15 @@ def test_toxicity_counts_by_brute_force(spark):
     assert math.isfinite(model.logs.max())
 
 
+def test_toxicity_table_grows_with_the_vocabulary(spark):
+    letters = "abcdefghij"
+    name = lambda n: "".join(letters[int(c)] for c in str(n))
+    rows = [(" ".join(name(i * 1000 + j) for j in range(1000)).encode(), i % 2) for i in range(600)]
+    model = toxicity.gather(spark.createDataFrame(rows, "text binary, toxic int"))
+    assert len(model.types) >= 2 * 600_000 and (model.types > 0).sum() >= 0.85 * 600_000
+    assert toxicity.table_bits(15_000_000) == 26
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "x y"), (None, "x")], "key long, text string")
     model = toxicity.learn(docs, spark.createDataFrame([], "key long, toxic int"), F.lit(True))
