@@ -37,7 +37,8 @@ RARE = 20
 #: Share of stop words from which on an item keeps all of its words.
 MOST_STOPS = 0.6
 CANDIDATE, WHOLE, PART, ANSWER, SHORT = 0.55, 0.7, 0.5, 0.5, 8
-ITEM_BLOCK = 2_000
+#: Items of a block: RANK dimensions tell so many apart. Each block is a pass over the texts.
+ITEM_BLOCK = 250
 #: Contaminated texts that may be broadcast as 16-byte hashes; beyond that the join shuffles.
 SMALL = 1_000_000
 
@@ -207,9 +208,10 @@ class Matcher:
         z = np.array([self.axes[c].sum(axis=0) for _, c, _ in space.items], np.float32)
         self.latent = z / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)[:, None]
         lengths = np.array([len(c) for _, c, _ in space.items])
-        size = 2 ** np.ceil(np.log2(np.maximum(lengths * 1.25, 16))).astype(int)
+        steps = np.array([int(x * 2**k) for k in range(3, 40) for x in (1, 1.5)])
+        size = steps[np.searchsorted(steps, np.maximum(lengths * 1.25, 8))]  # 8, 12, 16, 24, 32, 48 .. words
         self.classes = [(int(s), np.flatnonzero(size == s)) for s in np.unique(size)]
-        self.unit = self.classes[0][0] // 4  # words of a block; all strides are multiples
+        self.unit = max(1, min(s & -s for s, _ in self.classes) // 4)  # words of a block; all strides are multiples
 
     def find(self, cols: np.ndarray) -> list[tuple[int, float, float, float, int, int]]:
         """(item place, cosine, share of the item, share of the answer, first and last word) of each contaminating item."""

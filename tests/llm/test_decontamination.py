@@ -1,6 +1,8 @@
 import random
 
-from docketry.llm.decontamination import contaminated, filter_clean
+import numpy as np
+
+from docketry.llm.decontamination import ITEM_BLOCK, RANK, Matcher, contaminated, filter_clean, read_items
 
 rng = random.Random(6)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
@@ -61,6 +63,16 @@ def test_answers_decide_on_paraphrases(spark):
     assert got == {1}
 
 
+def test_items_fill_half_of_their_windows():
+    space = read_items([(n, " ".join(VOCABULARY[:n]), None) for n in range(5, 400)])
+    space.axes = np.ones((len(space.vocabulary), 2), np.float32)
+    matcher = Matcher(space)
+    for size, items in matcher.classes:
+        assert size % matcher.unit == size // 4 % matcher.unit == 0
+        assert all(0.5 <= len(space.items[k][1]) / size <= 0.8 for k in items)
+    assert ITEM_BLOCK <= 2 * RANK
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "some text")], "doc_id long, text string"), spark.createDataFrame([(1, "some text")], "item_id long, text string")
     assert contaminated(docs, bench.where("false")).count() == 0 and contaminated(docs.where("false"), bench).count() == 0
