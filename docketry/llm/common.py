@@ -33,13 +33,15 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and kept for the life of the session.
+    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder is made and kept for the
+    life of the session if driver and executors are one process, as in tests; on a cluster that is an error.
     """
     bound_batches(spark)
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="docketry-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -76,10 +78,12 @@ def trimmed(run):
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage; see ``discard``."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -88,11 +92,38 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a settled table once nothing reads them any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/docketry/" in f:
-            drop_path(df.sparkSession, f)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables once nothing reads them any more.
+
+    Spark deletes the shuffle files behind them once the JVM has collected their plans, so it is asked to.
+    """
+    for t in tables:
+        drop_path(t.sparkSession, t._settled_at)
+    if tables:
+        tables[0].sparkSession._jvm.java.lang.System.gc()
+
+
+#: Keys with more than one row in so many are spread by ``spread_join``: there are fewer such keys than this.
+COMMON = 1000
+
+
+def spread_join(rows: DataFrame, of_key: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``of_key`` (one row for each ``key``) in which no task gathers the rows of a common key.
+
+    Keys with more than 1 / COMMON of all rows (``total``, if known) are counted with partial sums. Their rows are dealt by a
+    further hash, as many ways as they have such shares, and what ``of_key`` says of them is copied as often: fewer than
+    2 COMMON copies in all. The only thing broadcast are these keys, fewer than COMMON.
+    """
+    share = (rows.count() if total is None else total) / COMMON + 100
+    common = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share).select(F.col(key).alias("__of"), F.ceil(F.col("__n") / share).alias("__ways"))
+    common = settle(common, "common")
+    if common.isEmpty():
+        discard(common)
+        return rows.join(of_key, key)
+    marked = [t.join(F.broadcast(common), F.col(key) == F.col("__of"), "left").drop("__of").withColumn("__ways", F.coalesce("__ways", F.lit(1))) for t in (rows, of_key)]
+    dealt = marked[0].withColumn("__way", F.pmod(F.xxhash64(*rows.columns), "__ways")).drop("__ways")
+    copied = marked[1].withColumn("__way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ways") - 1))).drop("__ways")
+    return dealt.join(copied, [key, "__way"]).drop("__way")
 
 
 def crc_bucket(column: str, buckets: int):
