@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import fresh_path, trimmed
+from docketry.llm.common import fresh_path, spread_join, trimmed
 
 DIGEST = 16
-#: Words held per Python worker before the cache starts over; it only saves time.
-CACHE_WORDS = 2_500_000
+#: Words held per Python worker at most; it only saves time.
+CACHE_WORDS = 700_000
 
 _WORKER: dict = {}
 
@@ -88,187 +89,121 @@ def cut(ids: np.ndarray, bits: int = 8, least: int = 64, most: int = 2048) -> li
 _SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Signs that begin no contraction.
 _TAIL = b".,;:!?*#$%&)"
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BLOCK = 1 << 16
-_ZERO = np.zeros(1, np.int8)
-#: Words learned before they are merged into the large table.
-_RECENT = 1 << 17
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out, k = np.ones(n, np.uint64), 1
-    while k < n:
-        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
-        k *= 2
-    return out
-
-
-def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between ASCII white space, and two hashes of each that together identify it."""
-    if "powers" not in _WORKER:
-        _WORKER["powers"] = [(_powers(b, _BLOCK + 1), _powers(pow(b, -1, 1 << 64), _BLOCK + 1)) for b in _BASES]
-    x = np.frombuffer(text, np.uint8)
-    inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
-    edge = np.diff(np.concatenate([_ZERO, inside.view(np.int8), _ZERO]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = np.zeros((2, len(start)), np.uint64)
-    k = 0
-    while k < len(start):
-        lo = int(start[k])
-        to = max(k + 1, int(np.searchsorted(end, lo + _BLOCK, side="right")))
-        part = x[lo : int(end[to - 1])]
-        for h, (up, down), base in zip(hashes, _WORKER["powers"], _BASES, strict=True):
-            if len(part) > _BLOCK:  # one word longer than a block
-                up = _powers(base, len(part))
-            # the sum of bytes times rising powers of a base; its slice over a word, scaled back to the word's start
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
-            of = (total[end[k:to] - lo] - total[start[k:to] - lo]) * down[start[k:to] - lo]
-            of = (of ^ (of >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h[k:to] = of ^ (of >> np.uint64(29))
-        k = to
-    return start, end, hashes[0], hashes[1]
+#: Words of more bytes are encoded anew each time and never held.
+_LONGEST = 256
+#: The letters up to here are their own normal form; words of nothing else may go to the tokenizer's model itself.
+_PLAIN = "\u024f"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + n for n, b in enumerate(rest)}
 
 
 class WordEncoder:
     """Encodes whole texts through a table of white-space separated words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are its words' ids in
-    order; ``test_token_store`` holds this against whole-text encoding. The table holds each known word's two hashes
-    and the place of its ids, some 20 bytes a word.
+    order; ``test_token_store`` holds this against whole-text encoding. The table maps a word's bytes to its packed
+    ids. It has two generations of ``words`` / 2 entries: once the younger is full it becomes the older, whose words
+    are taken over as they are met again.
     """
 
     def __init__(self, path: str, dtype: str, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.dtype = Tokenizer.from_file(path), words, np.dtype(dtype)
+        self.tokenizer, self.half, self.dtype = Tokenizer.from_file(path), max(1, words // 2), np.dtype(dtype)
+        normal, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
         # A tokenizer that lower-cases all but its special tokens may be given lower-cased ASCII: fewer words to hold.
-        self.folds = "Lowercase()" in str(self.tokenizer.normalizer)
-        # Where letters and signs never share a token, signs after a letter are encoded on their own.
-        self.parts = _SPLIT in str(self.tokenizer.pre_tokenizer)
+        self.folds = "Lowercase()" in normal
+        # Where letters and signs never share a token, signs after a letter are encoded on their own,
+        self.parts = _SPLIT in split
+        # and a run of letters is one piece, which the model takes as its bytes' letters.
+        self.direct = self.folds and self.parts and "ByteLevel(add_prefix_space=False" in split and normal.count("Replace(") == normal.count(r'Replace(pattern=Regex("\s+")')
+        self.letters, self.code = _byte_letters(), "H" if self.dtype.itemsize == 2 else "I"
         self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tails: dict[bytes, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        # keys, check, place and size of the words, by key: a large table and what was learned since
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16))
-        self.tables = [none, none]
-        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.tails: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __len__(self) -> int:
-        return sum(len(t[0]) for t in self.tables)
-
-    def _find(self, known: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which words are there, and the place and number of their ids."""
-        there, place, size = np.zeros(len(known), bool), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-        for keys, check, places, sizes in self.tables:
-            at = np.searchsorted(keys, known)
-            at[at == len(keys)] = 0
-            hit = (keys[at] == known) & (check[at] == mark) if len(keys) else np.zeros(len(known), bool)
-            place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
-            there |= hit
-        return there, place, size
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes], split: bool) -> list[list[int]]:
-        """Ids of words that the table doesn't have."""
-        if not (split and self.parts):
-            return self._ids(words)
-        stems, tails = [], []
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            fits = stem != w and stem[-1:].isalpha()
-            stems.append(stem if fits else w)
-            tails.append(w[len(stem) :] if fits else b"")
-        for t in set(tails).difference(self.tails, [b""]):
-            self.tails[t] = self._ids([t])[0]
-        if len(self.tails) > 100_000:
-            self.tails = {}
-            return self._ids(words)
-        flat, sizes = self._stream(b" ".join(stems), False)
-        ends = np.cumsum(sizes).tolist()
-        flat = flat.tolist()
-        return [flat[e - n : e] + (self.tails[t] if t else []) for e, n, t in zip(ends, sizes.tolist(), tails, strict=True)]
-
-    def _stream(self, text: bytes, split: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and how many each of its words has."""
-        start, end, h, g = split_words(text)
-        known, first, of = np.unique(h, return_index=True, return_inverse=True)
-        g = (g >> np.uint64(32)).astype(np.uint32)
-        mark = g[first]
-        if (mark[of] != g).any():  # two words of one hash: all of the text goes to the tokenizer
-            return self._plain(text, start, end)
-        there, place, size = self._find(known, mark)
-        new = np.flatnonzero(~there)
-        if len(new):
-            words = [text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            lists = [x for lo in range(0, len(words), 8192) for x in self._learn(words[lo : lo + 8192], split)]
-            if len(self) + len(new) > self.words and len(new) < len(known):
-                self._clear()
-                return self._stream(text, split)
-            self._add(known[new], mark[new], lists)
-            there, place, size = self._find(known, mark)
-            if not there.all():
-                return self._plain(text, start, end)
-        return self._gather(place, size, of)
-
-    def _plain(self, text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = self._ids([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        return np.array([i for x in lists for i in x], self.dtype), np.array([len(x) for x in lists], np.int64)
-
-    def _add(self, keys: np.ndarray, marks: np.ndarray, lists: list[list[int]]) -> None:
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), self.dtype, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        place = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += len(flat)
-        short = size < 1 << 16  # longer ones are looked up anew each time
-        new = (keys[short], marks[short], place[short].astype(np.uint32), size[short].astype(np.uint16))
-        self.tables[1] = self._merged(new, self.tables[1])
-        if len(self.tables[1][0]) > _RECENT:
-            self.tables = [self._merged(self.tables[1], self.tables[0]), tuple(c[:0] for c in self.tables[1])]
-
-    @staticmethod
-    def _merged(new: tuple, old: tuple) -> tuple:
-        """Both tables by key; learning may have added a word meanwhile: of one key the newer stays."""
-        keys = np.concatenate([new[0], old[0]])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        order = order[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else order
-        return tuple(np.concatenate([n, o])[order] for n, o in zip(new, old, strict=True))
-
-    def _gather(self, place: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = size[of]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(place[of] - (ends - sizes), sizes) + np.arange(total)], sizes
+        return len(self.known) + len(self.older)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words as the whole tokenizer gives them."""
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _word(self, word: bytes) -> bytes | None:
+        """Packed ids of a word of plain lower-case letters; None if it has others."""
+        if not self.direct:
+            return None
+        if word.isalpha():  # of ASCII letters only
+            piece = word.decode("ascii")
+            if not word.islower():
+                return None
+        else:
+            text = word.decode("utf-8")
+            if not text.isalpha() or max(text) > _PLAIN or text != text.lower():
+                return None
+            piece = word.decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _tail(self, tail: bytes) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._whole([tail])[0]
+        return self.tails[tail]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Find and hold the ids of words that the younger generation hasn't; those too long to be held are returned."""
+        known, older, extra, hard = self.known, self.older, dict[bytes, bytes](), []
+        code, letters, tokens = self.code, self.direct, self.tokenizer.model.tokenize
+        for w in dict.fromkeys(words):
+            if (ids := older.get(w)) is None:
+                if letters and w.isalpha() and w.islower():  # the same as _word, for most words
+                    ids = array(code, [t.id for t in tokens(w.decode())]).tobytes()
+                elif self.parts and (stem := w.rstrip(_TAIL)) != w:
+                    if (ids := known.get(stem) or older.get(stem) or self._word(stem)) is not None:
+                        ids += self._tail(w[len(stem) :])
+                else:
+                    ids = self._word(w)
+            if ids is None:
+                hard.append(w)
+            else:
+                (extra if len(w) > _LONGEST else known)[w] = ids
+        for w, ids in zip(hard, self._whole(hard) if hard else [], strict=True):
+            (extra if len(w) > _LONGEST else known)[w] = ids
+        return extra
+
+    def _text(self, text: bytes) -> bytes:
+        words = text.split()
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return b"".join(found)
+        at = [i for i, x in enumerate(found) if x is None]
+        extra = self._learn([words[i] for i in at])
+        for i in at:
+            w = words[i]
+            found[i] = extra[w] if w in extra else self.known[w]
+        if len(self.known) >= self.half:
+            self.known, self.older = {}, self.known
+        return b"".join(found)
 
     def _folded(self, text: bytes) -> bytes:
-        if self.folds and not any(x in (low := text.lower()) for x in self.specials):
-            return low
-        return text
+        """The text with ASCII letters lower-cased, unless this could make a special token of something else."""
+        if not self.folds:
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.specials) else low
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text (UTF-8), packed."""
-        texts = [self._folded(t or b"") for t in texts]
-        joined = b" ".join(texts)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        flat, sizes = self._stream(joined, True)
-        start = split_starts(joined)
-        stop = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, ends)]
-        packed, width = flat.tobytes(), self.dtype.itemsize
-        return [packed[a * width : b * width] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
-
-
-def split_starts(text: bytes) -> np.ndarray:
-    x = np.frombuffer(text, np.uint8)
-    inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
-    return np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+        return [self._text(self._folded(t or b"")) for t in texts]
 
 
 def _encoder(path: str, dtype: str) -> WordEncoder:
@@ -327,7 +262,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, b
                             sent.add(d)
                             rows.append((0, d, to - at, part, None, None, None, None, None))
                         at = to
-                    if len(sent) > 1_000_000:
+                    if len(sent) > 200_000:
                         sent.clear()
                     rows.append((1, digest(uid.to_bytes(8, "little")), at, None, doc_id, uid, b"".join(leaves), np.array(sizes, "<u4").tobytes(), merkle(leaves)))
                     uid += 1
@@ -336,18 +271,6 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, b
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(trimmed(run), _PACK)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the chunks that this task has passed on before; it holds all rows of a digest."""
-    seen: set[bytes] = set()
-    for b in batches:
-        fresh = []
-        for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            fresh.append(kind == 1 or key not in seen)
-            if kind == 0:
-                seen.add(key)
-        yield b.filter(pa.array(fresh))
-
-
 _RECIPES = "kind int, shard int, row long, doc_id long, shard_start long, n_tokens long, digests binary, lengths binary, root binary"
 
 
@@ -377,7 +300,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     driver gets one row for each shard.
     """
     spark = docs.sparkSession
-    encode_chunks(docs, tokenizer, end_id, id_bytes, bits).repartition("key").mapInArrow(trimmed(_distinct), _PACK).write.option("compression", "zstd").parquet(f"{path}/packs")
+    encode_chunks(docs, tokenizer, end_id, id_bytes, bits).repartition("key").dropDuplicates(["key"]).write.parquet(f"{path}/packs")
     drafts = spark.read.schema(_PACK).parquet(f"{path}/packs").where("kind = 1").select("doc_id", "root", "uid", "n", "digests", "lengths")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
@@ -430,15 +353,20 @@ class Store:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                held = b.column("payload").to_pylist()
-                if [digest(p) for p in held] != b.column("digest").to_pylist() or [len(p) // width for p in held] != b.column("n").to_pylist():
+                held, n = b.column("payload"), b.column("n").to_numpy()
+                offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int32)
+                packed = memoryview(held.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
+                ends = (offsets - offsets[0]).tolist()
+                if [digest(packed[x:y]) for x, y in zip(ends, ends[1:])] != b.column("digest").to_pylist() or (np.diff(offsets) != n * width).any():
                     raise ValueError("a stored chunk doesn't have the digest under which it is stored")
-                crc = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in held]
+                wide = memoryview(np.frombuffer(packed, f"<u{width}").astype("<u4").tobytes())
+                ends = [4 * x // width for x in ends]
+                crc = [zlib.crc32(wide[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
         parts = self.chunks().mapInArrow(trimmed(sums), "digest binary, n int, crc long")
         lists = (
-            self.references().join(parts, "digest").groupBy("shard", "row")
+            spread_join(self.references(), parts, "digest").groupBy("shard", "row")
             .agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))
         )
         found = self.recipes().select("shard", "row", "doc_id", "start", "n_tokens", "digests", "root").join(lists, ["shard", "row"], "left")
@@ -460,53 +388,60 @@ class Store:
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, starts, totals, digests, roots, ns, crcs = (b.column(i).to_pylist() for i in range(7))
-        out = []
-        for total, d, root, n, c in zip(totals, digests, roots, ns, crcs, strict=True):
+        if not b.num_rows:
+            continue
+        totals, digests, roots, ns, crcs = (b.column(i) for i in (2, 3, 4, 5, 6))
+        sizes, parts, of = [], [], []
+        for k, (total, d, root, n, c) in enumerate(zip(totals.to_pylist(), digests.to_pylist(), roots.to_pylist(), ns.to_pylist(), crcs.to_pylist(), strict=True)):
             leaves = [d[i : i + DIGEST] for i in range(0, len(d), DIGEST)]
             if n is None or len(n) != len(leaves) or sum(n) != total or merkle(leaves) != root:
                 raise ValueError("a recipe doesn't lead to the chunks that it was written with")
-            crc = 0
-            for size, part in zip(n, c, strict=True):
-                crc = crc_join(crc, part, 4 * size)
-            out.append(crc)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64()), pa.array([len(d) // DIGEST for d in digests], pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
-
-
-_SHIFTS: dict[int, list[int]] = {}
-
-
-def _shift(nbytes: int) -> list[int]:
-    """Images of the 32 unit vectors under appending ``nbytes`` zero bytes to a message."""
-    if nbytes not in _SHIFTS:
-        if len(_SHIFTS) > 50_000:
-            _SHIFTS.clear()
-        one, power, left = [1 << i for i in range(32)], [], nbytes
-        # a zero bit: the register moves one place, the polynomial is added if a one falls out
-        power = [0xEDB88320] + [1 << (i - 1) for i in range(1, 32)]
-        for _ in range(3):
-            power = [_apply(power, v) for v in power]
-        while left:
-            if left & 1:
-                one = [_apply(power, v) for v in one]
-            power, left = [_apply(power, v) for v in power], left >> 1
-        _SHIFTS[nbytes] = one
-    return _SHIFTS[nbytes]
-
-
-def _apply(matrix: list[int], v: int) -> int:
-    out, i = 0, 0
-    while v:
-        if v & 1:
-            out ^= matrix[i]
-        v >>= 1
-        i += 1
-    return out
-
-
-def crc_join(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two messages one after the other, from the crc32 of each and the second's length."""
-    return _apply(_shift(second_bytes), first) ^ second if first else second
+            sizes += n
+            parts += c
+            of += [k] * len(n)
+        sizes, parts, of = np.array(sizes, np.int64), np.array(parts, np.uint32), np.array(of)
+        ends = np.cumsum(sizes)
+        last = ends[np.searchsorted(of, np.arange(b.num_rows), side="right") - 1]
+        shifted = crc_shift(parts, 4 * (last[of] - ends))
+        out = np.bitwise_xor.reduceat(shifted, np.searchsorted(of, np.arange(b.num_rows)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out.astype(np.int64)), pa.array([len(d) // DIGEST for d in digests.to_pylist()], pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
+
+
+_CRC_STEPS: list[np.ndarray] = []
+
+
+def _crc_step(k: int) -> np.ndarray:
+    """What each byte of a crc32 (4 x 256 values) becomes when 2^k zero bytes are appended to the message."""
+    while len(_CRC_STEPS) <= k:
+        if _CRC_STEPS:  # twice the step before
+            half = _CRC_STEPS[-1]
+            unit = _crc_apply(half, _crc_apply(half, np.uint32(1) << np.arange(32, dtype=np.uint32)))
+        else:  # eight zero bits: the register moves, the polynomial is added if a one falls out
+            unit = np.uint32(1) << np.arange(32, dtype=np.uint32)
+            for _ in range(8):
+                unit = (unit >> np.uint32(1)) ^ np.where(unit & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+        table = np.zeros((4, 256), np.uint32)
+        for bit in range(8):
+            table[:, 1 << bit : 2 << bit] = table[:, : 1 << bit] ^ unit.reshape(4, 8)[:, bit : bit + 1]
+        _CRC_STEPS.append(table)
+    return _CRC_STEPS[k]
+
+
+def _crc_apply(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    low = np.uint32(255)
+    return table[0][crc & low] ^ table[1][crc >> np.uint32(8) & low] ^ table[2][crc >> np.uint32(16) & low] ^ table[3][crc >> np.uint32(24)]
+
+
+def crc_shift(crc: np.ndarray, nbytes: np.ndarray) -> np.ndarray:
+    """The part of each crc32 in that of a longer message, ``nbytes`` of which come after; the parts of consecutive pieces add up (xor)."""
+    crc, nbytes = crc.copy(), nbytes.copy()
+    k = 0
+    while (nbytes > 0).any():
+        some = np.flatnonzero(nbytes & 1)
+        crc[some] = _crc_apply(_crc_step(k), crc[some])
+        nbytes >>= 1
+        k += 1
+    return crc
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, id_bytes: int = 2) -> DataFrame:
