@@ -2,7 +2,7 @@
 
 A citation is a struct (code, article, part, point) of strings; numbers stay strings, so that 18.8 isn't 18.80. The
 grammar, in order: groups of article numbers with their word ("ст. 5.35, 5.36", "статья 12.8", "ст.ст. 20.1 - 20.3"), a part
-and a point near them, and the code named nearest, before or after, within ``REACH`` characters.
+and a point right before or after them, and the code named nearest, on either side, within ``REACH`` characters.
 """
 
 from __future__ import annotations
@@ -19,106 +19,116 @@ from docketry.schemas import CITATION
 
 REACH, NEAR = 180, 100
 
-# Codes and their inflected names.
+# Names of codes in all their forms, instruments that aren't codes, and how articles, parts and points are written.
+_RF = r"(?:\s+(?:Российской\s+Федерации|РФ))?"
 CODES = {
-    "КоАП РФ": r"КоАП(?:\s+(?:РФ|Российской\s+Федерации))?|Кодекс\w*\s+(?:РФ|Российской\s+Федерации)\s+об\s+административных\s+правонарушениях",
-    "УК РФ": r"УК\s+(?:РФ|Российской\s+Федерации)|Уголовн\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "УПК РФ": r"УПК\s+(?:РФ|Российской\s+Федерации)|Уголовно-процессуальн\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "ГК РФ": r"ГК\s+(?:РФ|Российской\s+Федерации)|Гражданск\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "ГПК РФ": r"ГПК\s+(?:РФ|Российской\s+Федерации)|Гражданск\w+\s+процессуальн\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "КАС РФ": r"КАС\s+(?:РФ|Российской\s+Федерации)|Кодекс\w*\s+административного\s+судопроизводства(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "ТК": r"ТК(?:\s+(?:РФ|Российской\s+Федерации))?|Трудов\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
-    "УИК РФ": r"УИК\s+(?:РФ|Российской\s+Федерации)|Уголовно-исполнительн\w+\s+кодекс\w*(?:\s+(?:РФ|Российской\s+Федерации))?",
+    "КоАП РФ": (
+        r"КоАП(?:\s*РФ)?|КРФ\s*о\s*АП|КРФ\s*об\s*АП|КРФоАП|Кодекс(?:а|ом|у|е)?\s+(?:Российской\s+Федерации|РФ)\s+об\s+"
+        r"административных\s+правонарушениях|Кодекс(?:а|ом|у|е)?\s+РФ\s+об\s+АП"
+    ),
+    "УПК РФ": r"УПК(?:\s*РФ)?|Уголовно[-\s]процессуальн\w*\s+кодекс\w*" + _RF,
+    "УИК РФ": r"УИК(?:\s*РФ)?|Уголовно[-\s]исполнительн\w*\s+кодекс\w*" + _RF,
+    "УК РФ": r"УК(?:\s*РФ)?|Уголовн\w*\s+кодекс\w*" + _RF,
+    "ГПК РФ": r"ГПК(?:\s*РФ)?|Гражданск\w*\s+процессуальн\w*\s+кодекс\w*" + _RF,
+    "ГК РФ": r"ГК(?:\s*РФ)?|Гражданск\w*\s+кодекс\w*" + _RF,
+    "КАС РФ": r"КАС(?:\s*РФ)?|Кодекс\w*\s+административного\s+судопроизводства" + _RF,
+    "ТК": r"ТК(?:\s*РФ)?|Трудов\w*\s+кодекс\w*" + _RF,
 }
-#: Instruments that aren't codes; one of them between an article and a code keeps them apart.
-OTHER = r"Федеральн\w+\s+закон\w*|Закон\w*\s+(?:РФ|Российской\s+Федерации)|Постановлени\w+\s+Правительства|Правил\w*\s+дорожного\s+движения|ПДД"
+OTHER = r"\b(?:Федеральн\w*\s+закон\w*|ФЗ(?:\s*[-№])?|закон\w*\s+РФ)"
+_NUMBER = r"[0-9]+(?:\.[0-9]+)*"
+_WORD = r"\bст(?:атья|атьи|атью|атье|атьей|атьёй|атьями)?\.?(?:\s*ст\.?)?\s*"
+_LIST = rf"{_NUMBER}(?:\s*(?:,|;|\bи\b|[-–—])\s*(?:ст\.?)?\s*{_NUMBER})*"
+_PART = rf"(?:ч\.?|часть|части|частью|частей|частями)\s*(?P<part>{_NUMBER})"
+_POINT = rf"(?:п\.?|пункт|пункта|пунктом|пункте)\s*(?P<point>{_NUMBER})"
 
-_NUMBER = r"\d+(?:\.\d+)*"
-_WORD = r"(?<!\w)(?:ст\.\s*ст\.|ст\.|стать(?:я|и|е|ю|ёй|ей|ями|ях|ям)|статей)"
-_LIST = rf"{_NUMBER}(?:\s*(?:,|;|и|или|[-–—])\s*{_NUMBER})*"
-_ARTICLES = re.compile(rf"{_WORD}\s*(?P<list>{_LIST})", re.IGNORECASE)
-_PART = re.compile(rf"(?<!\w)(?:ч\.?|част(?:ь|и|ью|ей))\s*(\d+(?:\.\d+)*)", re.IGNORECASE)
-_POINT = re.compile(r"(?<!\w)(?:п\.|пункт(?:|а|у|ом|е))\s*[«\"]?(\d+(?:\.\d+)*|[а-я](?!\w))", re.IGNORECASE)
-_LEVELS = re.compile(rf"[\s,]*(?:(?:{_PART.pattern}|{_POINT.pattern})[\s,]*)*", re.IGNORECASE)
-_BOUND = re.compile(r"[;.!?]\s+(?=[А-ЯЁA-Z])")
+_ARTICLES = re.compile(f"{_WORD}(?P<list>{_LIST})", re.IGNORECASE)
+#: What may stand right before a group of articles, and right after it.
+_BEFORE = re.compile(rf"(?:{_POINT}\s*)?(?:{_PART}\s*)?[,;:()\s]*\Z", re.IGNORECASE)
+_AFTER = re.compile(rf"[()\s]*(?:{_PART}\s*)?(?:{_POINT}\s*)?", re.IGNORECASE)
 
 
 def expand_numbers(group: str, single: bool = False) -> list[str] | None:
     """Article numbers of a list with ranges, in order, each once; None if a range can't be read.
 
-    The ends of a range have to agree but for their last component and rise; without ``single`` they need two components.
+    The ends of a range have to agree but for their last component and rise; without ``single`` they need two components,
+    with it they are 100 apart at most.
     """
     out: list[str] = []
-    for item in re.split(r"\s*(?:,|;|\bи\b|\bили\b)\s*", group.strip()):
-        ends = re.split(r"\s*[-–—]\s*", item)
-        if len(ends) == 1:
-            out.append(ends[0])
+    joined = False
+    for token in re.findall(rf"{_NUMBER}|[-–—]", group):
+        if token in "-–—":
+            joined = True
             continue
-        a, b = (e.split(".") for e in ends[:2])
-        if len(ends) > 2 or a[:-1] != b[:-1] or len(a) != len(b) or (len(a) < 2 and not single) or not 0 <= int(b[-1]) - int(a[-1]) <= 100:
-            return None
-        out += [".".join([*a[:-1], str(n)]) for n in range(int(a[-1]), int(b[-1]) + 1)]
+        if joined and out:
+            (*head, first), (*tail, last) = out[-1].split("."), token.split(".")
+            if head != tail or not (head or single) or not 0 <= int(last) - int(first) <= (100 if single else 1 << 30):
+                return None
+            out += [".".join([*head, str(n)]) for n in range(int(first) + 1, int(last) + 1)]
+        else:
+            out.append(token)
+        joined = False
     return list(dict.fromkeys(out))
 
 
+def expand_ranges(text: str) -> list[str]:
+    """The numbers of parts that a remark lists; a range that can't be read is an error, to be annotated by hand."""
+    found = expand_numbers(text, single=True)
+    if found is None:
+        raise ValueError(f"The range in {text!r} has to be annotated by hand")
+    return found
+
+
 class Extractor:
     """Citations of texts; ``aliases`` maps further names of codes, taken literally, to their code."""
 
     def __init__(self, aliases: dict[str, str] | None = None):
-        named = [(code, p) for code, p in CODES.items()]
-        named += [(code, r"\s+".join(map(re.escape, alias.split()))) for alias, code in (aliases or {}).items()]
-        self.codes = [(code, re.compile(rf"(?<!\w)(?:{p})(?!\w)", re.IGNORECASE)) for code, p in named]
-        self.other = re.compile(rf"(?<!\w)(?:{OTHER})", re.IGNORECASE)
+        named = [*CODES.items(), *((code, r"\s*".join(map(re.escape, alias.split()))) for alias, code in (aliases or {}).items())]
+        self.codes = [(canonical(code), re.compile(rf"(?<!\w)(?:{p})(?!\w)", re.IGNORECASE)) for code, p in named]
+        self.other = re.compile(OTHER, re.IGNORECASE)
 
     def markers(self, text: str) -> list[tuple[int, int, str]]:
-        """Code names by place, the longest of those that start together, none inside another."""
-        found = sorted(((m.start(), m.end(), code) for code, p in self.codes for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))
-        out: list[tuple[int, int, str]] = []
-        for f in found:
-            if not out or f[0] >= out[-1][1]:
-                out.append(f)
-        return out
+        """Names of codes by place, the longer of two that start together first."""
+        found = {(m.start(), m.end(), code) for code, p in self.codes for m in p.finditer(text)}
+        return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
 
     def __call__(self, text: str | None) -> list[dict]:
         text = text or ""
         groups = [(m.start(), m.end(), m.group("list")) for m in _ARTICLES.finditer(text)]
         if not groups:
             return []
-        markers, blocks = self.markers(text), [m.start() for m in self.other.finditer(text)]
+        markers, blocks = self.markers(text), [m.span() for m in self.other.finditer(text)]
         out: list[dict] = []
         for k, (start, end, numbers) in enumerate(groups):
             articles = expand_numbers(numbers)
-            if articles is None:
+            if not articles:
                 continue
             left = groups[k - 1][1] if k else 0
             right = groups[k + 1][0] if k + 1 < len(groups) else len(text)
-            code = self._code(start, end, markers, blocks, groups, k)
-            part, point = self._near(_PART, text, start, end, left, right), self._near(_POINT, text, start, end, left, right)
-            out += [{"code": code, "article": a, "part": part, "point": point} for a in articles]
+            before = _BEFORE.search(text[max(left, start - NEAR) : start]).groupdict()
+            after = _AFTER.match(text[end : min(right, end + NEAR)]).groupdict()
+            code = self._code(start, end, left, right, markers, blocks)
+            out += [{"code": code, "article": a} | {x: before[x] or after[x] for x in ("part", "point")} for a in articles]
         return [dict(x) for x in dict.fromkeys(tuple(c.items()) for c in out)]
 
     @staticmethod
-    def _near(pattern: re.Pattern, text: str, start: int, end: int, left: int, right: int) -> str | None:
-        """The last match before the group, else the first after it, within NEAR and on this side of neighbouring groups."""
-        before = list(pattern.finditer(text, max(left, start - NEAR), start))
-        if before and not _BOUND.search(text, before[-1].end(), start):
-            return before[-1].group(1)
-        after = pattern.search(text, end, min(right, end + NEAR))
-        # only other levels of the same citation may stand between
-        return after.group(1) if after and _LEVELS.fullmatch(text, end, after.start()) else None
-
-    @staticmethod
-    def _code(start: int, end: int, markers: list, blocks: list[int], groups: list, k: int) -> str | None:
-        """The nearest code name within REACH, after the group at equal distance; no other instrument or article group between."""
-        left, right = groups[k - 1][1] if k else 0, groups[k + 1][0] if k + 1 < len(groups) else 1 << 60
-        best: tuple[int, int, str] | None = None
+    def _code(start: int, end: int, left: int, right: int, markers: list, blocks: list[tuple[int, int]]) -> str | None:
+        """The nearest code within REACH between the neighbouring groups (ties by name), unless another instrument stands between."""
+        found = []
         for a, b, code in markers:
-            gap, side = (a - end, 0) if a >= end else (start - b, 1)
-            lo, hi = (end, a) if side == 0 else (b, start)
-            i = bisect_left(blocks, lo)
-            if 0 <= gap <= REACH and lo >= left and hi <= right and not (i < len(blocks) and blocks[i] < hi) and (best is None or (gap, side) < best[:2]):
-                best = (gap, side, code)
-        return best[2] if best else None
+            lo, hi = (b, start) if b <= start else (end, a)
+            if (b <= start and b >= left) or (a >= end and a <= right):
+                found.append((hi - lo, code, lo, hi))
+        for gap, code, lo, hi in sorted(found):
+            i = bisect_left(blocks, (lo, 0))
+            if gap <= REACH and not any(y <= hi for _, y in blocks[i : i + 1]):
+                return code
+        return None
+
+
+def canonical(code: str) -> str:
+    """One name for the parts of a code that is split into parts."""
+    name = " ".join(code.split())
+    return "ГК РФ" if re.fullmatch(r"ГК РФ ч\.\s*\d+", name, re.IGNORECASE) else name
 
 
 def extract_citations(aliases: dict[str, str] | None = None):

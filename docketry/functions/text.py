@@ -13,35 +13,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions import rules
 from docketry.schemas import LABELS, SENTENCE
 
 NBSP = " "
 
 
+@dataclass(frozen=True)
+class Reason:
+    """Why a sentence is dropped: the pattern it has to hold, or to be ``whole``; substantive wording may keep it."""
+
+    name: str
+    pattern: str
+    whole: bool = False
+    overridable: bool = False
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Wording that the filters look for; patterns are for Java's and Python's engines alike, case-insensitive unless noted.
+    """Wording that the filters look for; patterns ignore case unless noted.
 
     Every operator takes a lexicon, so that they run on other texts than rulings as well.
     """
 
-    section_marker: str = r"П\s*О\s*С\s*Т\s*А\s*Н\s*О\s*В\s*И\s*Л\s*[АИ]?\s*:?|Р\s*Е\s*Ш\s*И\s*Л\s*[АИ]?\s*:?|О\s*П\s*Р\s*Е\s*Д\s*Е\s*Л\s*И\s*Л\s*[АИ]?\s*:?"
-    substantive: str = r"признать|назначить|наказани|обязать|отменить|изменить|прекратить|взыскать|отказать|удовлетворить"
-    bank_tokens: tuple[str, ...] = ("БИК", "ИНН", "КПП", "ОКТМО", "КБК", "УИН", "ОКАТО", "р/с", "л/с")
-    receipt: str = r"квитанци|реквизит|оплат[аыу] штраф|получатель|уникальный номер"
-    signature: str = r"^\s*(судья|секретарь|председательствующий|помощник судьи)\b|подпись"
-    appeal: str = r"может быть (об)?жалован|жалоба .*пода(ется|на)|вступ(ает|ило) в законную силу"
-    masked: str = r"^[\s*_.<>\[\]-]{3,}$|<данные изъяты>|\[изъято\]"
-    heading: str = r"^\s*(дело|уид|копия)\b"
-    continuation: str = r"^\s*(счет|сч[её]т|банк|отделение|код|номер|лицевой|казначейск|в |на )"
-    substring_markers: tuple[str, ...] = ("реквизит", "квитанци")
+    section_marker: str = "(?iu)" + rules.OPERATIVE
+    substantive: str = rules.SUBSTANTIVE
+    reasons: tuple[Reason, ...] = (
+        Reason("judge_signature", f"{rules.SIGNATURE}|{rules.SIGNATURE_CONTINUED}", whole=True, overridable=True),
+        Reason("masked_only", rules.MASKED, whole=True),
+        Reason("numeric_only", rules.NUMERIC, whole=True),
+        Reason("non_legal_boilerplate", rules.BOILERPLATE, whole=True),
+        Reason("bank_or_payment_details", rules.PAYMENT_TITLE),
+        Reason("bank_or_payment_details", f"{rules.BANK_SIGN}|{rules.BANK_START}", overridable=True),
+        Reason("payment_receipt_instruction", rules.RECEIPT, overridable=True),
+    )
+    #: Reasons after which a sentence may carry a block on, and what such a sentence is as a whole.
+    opening: tuple[str, ...] = ("bank_or_payment_details", "numeric_only", "masked_only")
+    continuation: str = rules.BANK_CONTINUED
+    #: Parts of the lower-cased sentence, and patterns with regard to case, that make it irrelevant.
+    irrelevant_parts: tuple[str, ...] = rules.IRRELEVANT_PARTS
+    irrelevant_signs: str = rules.IRRELEVANT_SIGNS
+    irrelevant_numbers: str = rules.IRRELEVANT_NUMBERS
     hints: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 LEGAL = Lexicon()
 ENGLISH = Lexicon(
-    section_marker=r"R\s*U\s*L\s*I\s*N\s*G\s*:", substantive=r"orders|dismiss|grant|deny", bank_tokens=("IBAN", "BIC", "SWIFT", "ACCT"), receipt=r"receipt|payment details",
-    signature=r"^\s*(judge|clerk)\b|signed", appeal=r"may be appealed", heading=r"^\s*(case|copy)\b", continuation=r"^\s*(account|bank|code|number)\b", substring_markers=("licensed", "copyright"),
+    section_marker=r"R\s*U\s*L\s*I\s*N\s*G\s*:", substantive=r"orders|dismiss|grant|deny",
+    reasons=(
+        Reason("judge_signature", r"^\s*(judge|clerk)\b|signed", overridable=True), Reason("masked_only", r"[\s*_.<>\[\]-]{3,}|\[redacted\]", whole=True), Reason("numeric_only", rules.NUMERIC, whole=True),
+        Reason("bank_or_payment_details", r"(?<!\w)(?:IBAN|BIC|SWIFT|ACCT)(?!\w)", overridable=True), Reason("payment_receipt_instruction", r"receipt|payment details", overridable=True),
+    ), continuation=r"(account|bank|code|number)\b.*", irrelevant_parts=("licensed", "copyright"), irrelevant_signs=r"(?<!\w)(?:IBAN|BIC|SWIFT|ACCT)(?!\w)",
 )
 
 
@@ -59,15 +81,22 @@ def final_section(text: str, marker: str) -> Column:
     return F.when(F.col(text).rlike("(?s)(?:" + marker + ")"), F.regexp_extract(text, pattern, 1))
 
 
-_ABBREVIATIONS = {"ст", "ч", "п", "пп", "г", "гг", "руб", "коп", "т", "д", "др", "см", "рис", "стр", "ред", "им", "ул", "кв", "no", "art", "mr", "mrs", "dr", "vs", "etc", "e", "i", "p"}
-_END = re.compile(r"[.!?…]+[»\")\]]*\s+|\n+")
+def operative_section(text: str, lexicon: Lexicon = LEGAL) -> Column:
+    """The final section without blanks around it; null if there is none or nothing in it."""
+    section = F.regexp_replace(final_section(text, lexicon.section_marker), r"(?U)^\s+|\s+$", "")
+    return F.nullif(section, F.lit(""))
+
+
+_ABBREVIATIONS = {"отд", "ст", "ч", "п", "пп", "г", "гг", "руб", "коп", "т", "д", "др", "см", "рис", "стр", "ред", "им", "ул", "кв", "no", "art", "mr", "mrs", "dr", "vs", "etc", "e", "i", "p"}
+_LINES = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_END = re.compile(rf"[.!?…]+[»\")\]]*\s+|[{_LINES}]+")
 
 
 def split_sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence: cut after final marks before a new start, never after an abbreviation or initial."""
+    """Start and end of each sentence: cut between lines, and after final marks before a new start, never after an abbreviation or initial."""
     out, start = [], 0
     for m in _END.finditer(text):
-        if "\n" not in m.group():
+        if not any(c in _LINES for c in m.group()):
             before = re.search(r"(\w+)$", text[start : m.start()])
             word = before.group(1) if before else ""
             after = text[m.end() : m.end() + 1]
@@ -104,38 +133,41 @@ def simple_sentences(text: str | Column) -> Column:
 
 
 def irrelevant(sentence: str | Column, lexicon: Lexicon = LEGAL) -> Column:
-    """Markers, bank tokens that aren't part of a word (case-sensitive), or nothing but numbers."""
+    """Parts of words, signs that aren't part of a word (with regard to case), or nothing but numbers."""
     c = F.col(sentence) if isinstance(sentence, str) else sentence
-    out = F.lit(False)
-    for m in lexicon.substring_markers:
-        out = out | F.contains(F.lower(c), F.lit(m))
-    tokens = "|".join(map(re.escape, lexicon.bank_tokens))
-    return out | c.rlike(r"(?U)(?<!\w)(?:" + tokens + r")(?!\w)") | c.rlike(r"^[\d\s.,:;/№-]+$")
-
+    parts = F.exists(F.array(*map(F.lit, lexicon.irrelevant_parts)), lambda m: F.contains(F.lower(c), m))
+    numbers = F.regexp_replace(c, r"(?U)^\s+|\s+$", "").rlike(rules.java(lexicon.irrelevant_numbers, whole=True, cased=True))
+    return parts | c.rlike(rules.java(lexicon.irrelevant_signs, cased=True)) | numbers
 
-def drop_reason(sentence: str | Column, lexicon: Lexicon = LEGAL) -> Column:
-    """First reason to drop a sentence, null to keep it. Substantive wording overrides bank, receipt and signature."""
-    c = F.col(sentence) if isinstance(sentence, str) else sentence
-    is_ = lambda p: c.rlike(_ci(p))
-    plain = ~is_(lexicon.substantive)
-    tokens = "|".join(map(re.escape, lexicon.bank_tokens))
-    return (
-        F.when(F.length(F.trim(c)) == 0, "empty").when(c.rlike(r"^[\d\s.,:;/№-]+$"), "numeric").when(is_(lexicon.masked), "masked")
-        .when(c.rlike(r"(?U)(?<!\w)(?:" + tokens + r")(?!\w)") & plain, "bank").when(is_(lexicon.receipt) & plain, "receipt")
-        .when(is_(lexicon.signature) & plain, "signature").when(is_(lexicon.appeal), "appeal").when(is_(lexicon.heading), "heading")
-    )
 
+def collapsed(c: Column) -> Column:
+    """White space as single blanks, none around."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
-def block_continuation(rows: DataFrame, by: str, order: str, reason: str = "reason", sentence: str = "sentence", continuation: str = LEGAL.continuation) -> DataFrame:
-    """After a bank, numeric or masked sentence, sentences that carry it on are dropped too (reason ``continuation``).
 
-    One window: a kept sentence that matches goes if the nearest sentence before it that isn't such a one was a drop of
-    these kinds.
+def drop_reason(sentence: str | Column, lexicon: Lexicon = LEGAL) -> Column:
+    """First reason to drop a sentence, null to keep it; blanks are collapsed first."""
+    c = collapsed(F.col(sentence) if isinstance(sentence, str) else sentence)
+    plain = ~c.rlike(rules.java(lexicon.substantive))
+    out = F.when(c == "", "empty")
+    for r in lexicon.reasons:
+        here = c.rlike(rules.java(r.pattern, r.whole))
+        out = out.when(here & plain if r.overridable else here, r.name)
+    return out
+
+
+def block_continuation(
+    rows: DataFrame, by: str, order: str, reason: str = "reason", sentence: str = "sentence", continuation: str = rules.java(LEGAL.continuation, whole=True), opening: tuple[str, ...] = LEGAL.opening, name: str = "bank_block_continuation",
+) -> DataFrame:
+    """After a sentence dropped for an ``opening`` reason, sentences that carry it on are dropped too, for the reason ``name``.
+
+    One window: a kept sentence that matches ``continuation`` goes if the nearest sentence before it that isn't such a one was
+    a drop of these kinds.
     """
-    kind = F.when(F.col(reason).isin("bank", "numeric", "masked"), "D").when(F.col(reason).isNotNull(), "O").when(F.col(sentence).rlike(_ci(continuation)), "C").otherwise("K")
+    kind = F.when(F.col(reason).isin(*opening), "D").when(F.col(reason).isNotNull(), "O").when(collapsed(F.col(sentence)).rlike(continuation), "C").otherwise("K")
     df = rows.withColumn("__k", kind)
     last = F.last(F.when(F.col("__k") != "C", F.col("__k")), ignorenulls=True).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("__l", last).withColumn(reason, F.when((F.col("__k") == "C") & (F.col("__l") == "D"), "continuation").otherwise(F.col(reason))).drop("__k", "__l")
+    return df.withColumn("__l", last).withColumn(reason, F.when((F.col("__k") == "C") & (F.col("__l") == "D"), name).otherwise(F.col(reason))).drop("__k", "__l")
 
 
 def extract_hypotheses(docs: DataFrame, lexicon: Lexicon = LEGAL) -> DataFrame:
@@ -158,7 +190,7 @@ def extract_hypotheses(docs: DataFrame, lexicon: Lexicon = LEGAL) -> DataFrame:
         return text.map(one)
 
     rows = docs.select("doc_id", F.explode(tail("text")).alias("s")).select("doc_id", "s.index", F.col("s.text").alias("sentence"), "s.start", "s.end")
-    rows = block_continuation(rows.withColumn("reason", drop_reason("sentence", lexicon)), "doc_id", "index", continuation=lexicon.continuation)
+    rows = block_continuation(rows.withColumn("reason", drop_reason("sentence", lexicon)), "doc_id", "index", continuation=rules.java(lexicon.continuation, whole=True), opening=lexicon.opening)
     return rows.withColumn("kept", F.col("reason").isNull())
 
 
@@ -169,39 +201,39 @@ def documents_without_section(docs: DataFrame, lexicon: Lexicon = LEGAL) -> Data
 # pages
 
 
-_BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "header", "footer", "hr", "td", "th", "title"}
+_BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer hr td th title".split())
+_UNSEEN = frozenset(("script", "style"))
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
+class _Events(HTMLParser):
+    """A page as a list of (kind, value): tags that open or close, and text."""
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-        if tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.hidden:
-            self.hidden -= 1
-        if tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+        self.handle_data = lambda data: self.found.append(("text", data))
+        self.handle_starttag = lambda tag, attrs: self.found.append(("open", tag))
+        self.handle_endtag = lambda tag: self.found.append(("close", tag))
 
 
 def visible(page: str | None) -> str | None:
     """Visible text: no scripts and styles, a line for each block, blanks collapsed."""
     if page is None:
         return None
-    parser = _Visible()
-    parser.feed(page)
-    parser.close()
-    lines = (re.sub(r"[\s" + NBSP + "]+", " ", line).strip() for line in "".join(parser.parts).split("\n"))
-    return "\n".join(line for line in lines if line)
+    events = _Events()
+    events.feed(page)
+    events.close()
+    lines, depth = [""], 0
+    for kind, value in events.found:
+        if kind == "text":
+            lines[-1] += value if depth == 0 else ""
+            continue
+        if value in _UNSEEN:
+            depth = max(0, depth + (1 if kind == "open" else -1))
+        elif value in _BLOCKS:
+            lines.append("")
+    folded = (" ".join(line.replace(NBSP, " ").split()) for text in lines for line in text.split("\n"))
+    return "\n".join(line for line in folded if line)
 
 
 @F.pandas_udf(T.StringType())

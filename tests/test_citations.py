@@ -16,6 +16,9 @@ def tuples(text, **aliases):
     ("руководствуясь ст.ст. 3.5, 29.9-29.11 КоАП РФ", [("КоАП РФ", a, None, None) for a in ("3.5", "29.9", "29.10", "29.11")]),
     ("ст. 1 Трудового кодекса Российской Федерации", [("ТК", "1", None, None)]), ("ст. 1 Уголовно-исполнительного кодекса РФ", [("УИК РФ", "1", None, None)]),
     ("ст. 1 Уголовно-процессуального кодекса РФ", [("УПК РФ", "1", None, None)]), ("ст. 1 Гражданского процессуального кодекса РФ", [("ГПК РФ", "1", None, None)]), ("нет ссылок", []), ("", []), (None, []),
+    ("ст. 1 УК", [("УК РФ", "1", None, None)]), ("ст 2 ГК", [("ГК РФ", "2", None, None)]), ("ст. 3.1 КРФ об АП", [("КоАП РФ", "3.1", None, None)]), ("ст. 3.1 КРФоАП", [("КоАП РФ", "3.1", None, None)]), ("ст. 3.1 КоАПРФ", [("КоАП РФ", "3.1", None, None)]),
+    ("ст. 1 Уголовно процессуального кодекса", [("УПК РФ", "1", None, None)]), ("ст. 1 Кодекса РФ об АП", [("КоАП РФ", "1", None, None)]), ("ст. 7 ФЗ и ст. 8.1 ГПК", [(None, "7", None, None), ("ГПК РФ", "8.1", None, None)]), ("ст. 7 ФЗ, КоАП РФ", [(None, "7", None, None)]),
+    ("статьями 1.1, ст. 1.2 КАС РФ", [("КАС РФ", "1.1", None, None), ("КАС РФ", "1.2", None, None)]), ("п. 1 ч. 2 ст. 5.1 УИК", [("УИК РФ", "5.1", "2", "1")]),
     ("ст. 5-7 КоАП РФ", []), ("ст. 12.8 КоАП РФ и ст. 12.8 КоАП РФ", [("КоАП РФ", "12.8", None, None)]),
 ])
 def test_grammar(text, want):
