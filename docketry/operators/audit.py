@@ -70,42 +70,6 @@ def fallback_merge(primary: DataFrame, extra: DataFrame, key: str, value: str) -
     return both.select(key, F.coalesce("a", "b").alias(value)), clash.select(F.lit("conflicting_gold").alias("rule"), F.col(key).cast("string").alias("key"))
 
 
-def comparison_status(gold: Column, detected: Column, resolved: Column | None = None) -> Column:
-    """How detected citations compare with gold ones: seven cases over arrays."""
-    missed, extra = F.size(F.array_except(gold, detected)), F.size(F.array_except(detected, gold))
-    unresolved = F.size(F.array_except(detected, resolved)) > 0 if resolved is not None else F.lit(False)
-    return (
-        F.when((F.size(gold) == 0) & (F.size(detected) == 0), "no_citation").when(F.size(gold) == 0, "only_detected").when(F.size(detected) == 0, "only_gold")
-        .when((missed == 0) & (extra == 0), F.when(unresolved, "match_unresolved").otherwise("match")).when(missed == 0, "extra").when(extra == 0, "missed").otherwise("differs")
-    )
-
-
-def lookup_status(detected: Column, resolved: Column) -> Column:
-    return F.when(F.size(detected) == 0, "not_extracted").when(F.size(F.array_intersect(detected, resolved)) > 0, "resolved").otherwise("unresolved")
-
-
-def citation_rows(audit: DataFrame) -> DataFrame:
-    """One row for each article in gold or detected: status and lookup status. ``audit``: hypothesis_id, gold, detected, resolved."""
-    rows = audit.select("*", F.explode(F.array_union("gold", "detected")).alias("article"))
-    g, d, r = (F.array_contains(c, F.col("article")) for c in ("gold", "detected", "resolved"))
-    status = F.when(g & d & r, "matched").when(g & d, "matched_unresolved").when(g, "missed").when(r, "extra_resolved").otherwise("extra_unresolved")
-    return rows.select("hypothesis_id", "article", status.alias("status"), F.when(~d, "not_extracted").when(r, "resolved").otherwise("unresolved").alias("lookup_status"))
-
-
-def citation_summary(audit: DataFrame, by: str = "dataset") -> DataFrame:
-    """Counts and recalls by dataset and over all (ALL), by grouping sets."""
-    n = lambda c: F.sum(F.size(c)).alias
-    hit = F.array_intersect("gold", "detected")
-    c = audit.rollup(by).agg(
-        F.count("*").alias("hypotheses"), n(F.col("gold"))("expert"), n(F.col("detected"))("detected"), n(F.col("resolved"))("resolved"), n(hit)("matched"),
-        n(F.array_except("gold", "detected"))("missed"), n(F.array_except("detected", "gold"))("extra"), n(F.array_except("detected", "resolved"))("unresolved"),
-        F.count(F.when((F.size("gold") == 0) & (F.size("detected") > 0), 1)).alias("detected_without_gold"), n(F.array_intersect("gold", "resolved"))("retrieved"),
-    )
-    out = c.withColumn(by, F.coalesce(by, F.lit("ALL")))
-    rate = lambda a: F.try_divide(F.col(a).cast("double"), F.col("expert").cast("double"))
-    return out.withColumn("recall", rate("matched")).withColumn("retrieval_recall", rate("retrieved"))
-
-
 def first_duplicate(rows: DataFrame, value: str, location: str, order: str) -> DataFrame:
     """Rows that repeat a value, with the location that had it first."""
     w = W.partitionBy(value).orderBy(order)

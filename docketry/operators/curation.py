@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,24 +10,11 @@ from pyspark.sql import functions as F
 
 from docketry.functions.keys import permanent_id
 from docketry.schemas import LABELS
+from docketry.shared import discard, numbered, set_digest, settled
 
 # groups and splits
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back."""
-    spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="docketry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/docketry/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def duplicate_groups(rows: DataFrame, id_column: str, keys: list[Column]) -> DataFrame:
     """id, group_id: the smallest id that shared keys lead to. Null and blank keys join nothing.
 
@@ -36,15 +22,16 @@ def duplicate_groups(rows: DataFrame, id_column: str, keys: list[Column]) -> Dat
     a row also takes its label's label, so long paths need few rounds. Rounds are written to the shared folder.
     """
     each = F.array(*(F.when(F.coalesce(k.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{n}:"), k.cast("string"))) for n, k in enumerate(keys)))
-    links = _settled(rows.select(F.col(id_column).alias("id"), F.explode(F.array_compact(each)).alias("key")).distinct())
-    label = _settled(rows.select(F.col(id_column).alias("id"), F.col(id_column).alias("g")).distinct())
+    links = settled(rows.select(F.col(id_column).alias("id"), F.explode(F.array_compact(each)).alias("key")).distinct())
+    label = settled(rows.select(F.col(id_column).alias("id"), F.col(id_column).alias("g")).distinct())
     while True:
         by_key = links.join(label, "id").groupBy("key").agg(F.min("g").alias("k"))
         near = links.join(by_key, "key").groupBy("id").agg(F.min("k").alias("k"))
         once = label.join(near, "id", "left").select("id", F.least("g", F.coalesce("k", "g")).alias("g"), F.col("g").alias("old"))
-        once = _settled(once)
+        once = settled(once)
         jump = once.select(F.col("id").alias("g"), F.col("g").alias("top"))
-        after = _settled(once.join(jump, "g", "left").select("id", F.least("g", F.coalesce("top", "g")).alias("g"), "old"))
+        after = settled(once.join(jump, "g", "left").select("id", F.least("g", F.coalesce("top", "g")).alias("g"), "old"))
+        discard(once)
         if after.where("g <> old").isEmpty():
             return after.select(F.col("id").alias(id_column), F.col("g").alias("group_id"))
         label = after.select("id", "g")
@@ -53,19 +40,20 @@ def duplicate_groups(rows: DataFrame, id_column: str, keys: list[Column]) -> Dat
 def grouped_split(groups: DataFrame, sizes: dict[str, int], seed: int = 0) -> DataFrame:
     """group_id, split: groups of documents dealt out so that the splits have exactly the wanted numbers of documents.
 
-    ``groups``: group_id, stratum, n. Only a row for each group reaches the driver. Largest first, in hash order within
-    equal sizes, a group goes to the split that lacks most of it in its stratum, then over all. Raises if it can't fit.
+    ``groups``: group_id, stratum, n. Groups of several documents are dealt on the driver, one row each: largest first, in hash
+    order within equal sizes, a group goes to the split that lacks most of it in its stratum, then over all; raises if one can't
+    fit. Documents on their own, most of them as a rule, stay in Spark: each stratum's are put in hash order and cut at what the
+    splits still lack of it.
     """
-    rows = groups.select("group_id", "stratum", "n", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("group_id").cast("string")), 256).alias("h")).collect()
-    total = sum(r.n for r in rows)
+    spark, kind = groups.sparkSession, groups.schema["group_id"].dataType.simpleString()
+    groups = groups.withColumn("h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("group_id").cast("string")), 256))
+    strata = {r.stratum: (r.n, r.single) for r in groups.groupBy("stratum").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("single")).collect()}  # a row for each stratum
+    total = sum(n for n, _ in strata.values())
     if total != sum(sizes.values()):
         raise ValueError(f"{total} documents can't be split into {sizes}")
-    left, strata = dict(sizes), {}
-    for r in rows:
-        strata[r.stratum] = strata.get(r.stratum, 0) + r.n
-    want = {(s, g): strata[g] * sizes[s] / total for s in sizes for g in strata}
+    left, want = dict(sizes), {(s, g): n * sizes[s] / max(total, 1) for s in sizes for g, (n, _) in strata.items()}
     out = []
-    for r in sorted(rows, key=lambda r: (-r.n, r.h)):
+    for r in sorted(groups.where("n > 1").select("group_id", "stratum", "n", "h").collect(), key=lambda r: (-r.n, r.h)):
         open_ = [s for s in sizes if left[s] >= r.n]
         if not open_:
             raise ValueError(f"group {r.group_id} of {r.n} fits into no split")
@@ -73,7 +61,28 @@ def grouped_split(groups: DataFrame, sizes: dict[str, int], seed: int = 0) -> Da
         left[s] -= r.n
         want[s, r.stratum] -= r.n
         out.append((r.group_id, s))
-    return groups.sparkSession.createDataFrame(out, f"group_id {groups.schema['group_id'].dataType.simpleString()}, split string")
+    dealt = spark.createDataFrame(out, f"group_id {kind}, split string")
+    cuts = []  # stratum, split, first and last number of its documents
+    for g in sorted(strata, key=str):
+        number, open_ = 1, strata[g][1]
+        share = {s: max(0.0, want[s, g]) for s in sizes}
+        for s in sorted(sizes, key=lambda s: (-share[s], s)):
+            rest = sum(v for x, v in share.items() if x not in {c[1] for c in cuts if c[0] == g})
+            take = min(open_, left[s], round(open_ * share[s] / rest) if rest else open_)
+            cuts.append((g, s, number, number + take - 1))
+            number, open_, left[s] = number + take, open_ - take, left[s] - take
+        for s in sizes:  # what rounding and full splits have left over
+            take = min(open_, left[s])
+            cuts.append((g, s, number, number + take - 1))
+            number, open_, left[s] = number + take, open_ - take, left[s] - take
+    table = spark.createDataFrame(cuts, f"__g {groups.schema['stratum'].dataType.simpleString()}, split string, __lo long, __hi long")
+    # numbers run through all strata; each stratum's begin after those of the strata before it
+    single = numbered(groups.where("n = 1").select("group_id", "stratum", "h"), ["stratum", "h", "group_id"])
+    first = single.groupBy("stratum").agg(F.min("number").alias("__first"))
+    known = table.join(first, F.col("__g").eqNullSafe(F.col("stratum"))).select("__g", "split", (F.col("__lo") + F.col("__first") - 1).alias("__lo"), (F.col("__hi") + F.col("__first") - 1).alias("__hi"))
+    # strata x splits rows
+    fits = F.col("stratum").eqNullSafe(F.col("__g")) & F.col("number").between(F.col("__lo"), F.col("__hi"))
+    return dealt.unionByName(single.join(F.broadcast(known), fits).select("group_id", "split"))
 
 
 # quotas, weights, samples
@@ -124,7 +133,7 @@ def sample_with_replacement(rows: DataFrame, weight: str, key: str, n: int, seed
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    line = _settled(rows.where(F.col(weight) > 0).repartitionByRange(parts, key).withColumn("__p", F.spark_partition_id()))
+    line = settled(rows.where(F.col(weight) > 0).repartitionByRange(parts, key).withColumn("__p", F.spark_partition_id()))
     sums = line.groupBy("__p").agg(F.sum(weight).alias("__s"))
     start = sums.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__from"))
     w = W.partitionBy("__p").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
@@ -146,10 +155,8 @@ def register(registry: DataFrame, incoming: DataFrame, split: str) -> DataFrame:
     ``registry``: id, stable_key, split. ``incoming``: stable_key, seq. Ids are never given again, so rows may leave.
     """
     fresh = incoming.join(registry.select("stable_key"), "stable_key", "left_anti").withColumn("__n", F.row_number().over(W.partitionBy("stable_key").orderBy("seq"))).where("__n = 1").drop("__n")
-    top = registry.where(F.col("split") == split).agg(F.coalesce(F.max(F.regexp_extract("id", r"_(\d+)$", 1).cast("long")), F.lit(0)).alias("top"))
-    # new rows of one split, numbered in order
-    number = F.col("top") + F.row_number().over(W.orderBy("seq", "stable_key"))
-    return fresh.crossJoin(F.broadcast(top)).withColumn("id", permanent_id(F.lit(split), number)).withColumn("split", F.lit(split)).drop("top")
+    top = registry.where(F.col("split") == split).agg(F.coalesce(F.max(F.regexp_extract("id", r"_(\d+)$", 1).cast("long")), F.lit(0)).alias("top")).first().top
+    return numbered(fresh, ["seq", "stable_key"], "__n").withColumn("id", permanent_id(F.lit(split), F.col("__n") + top)).withColumn("split", F.lit(split)).drop("__n")
 
 
 def selected_rows(rows: DataFrame, released: bool = False) -> DataFrame:
@@ -170,9 +177,8 @@ def review_plan(rows: DataFrame, strata: list[str], key: str, fraction: float, s
 
 
 def population_signature(rows: DataFrame, *columns: str) -> DataFrame:
-    """SHA-256 over sorted row digests: a plan is fresh while its population has this signature."""
-    lines = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256)
-    return rows.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(lines))), 256).alias("signature"), F.count("*").alias("n"))
+    """A digest of the rows, whatever their order: a plan is fresh while its population has this signature."""
+    return rows.agg(set_digest(F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))).alias("signature"), F.count("*").alias("n"))
 
 
 def split_report(rows: DataFrame, targets: DataFrame, by: tuple[str, ...] = ("split", "label")) -> DataFrame:
@@ -280,25 +286,3 @@ def task_packages(rows: DataFrame, by: list[str], order: str, size: int, fields:
 def choose_rule(candidates: DataFrame, by: str) -> DataFrame:
     """Rule with most hint hits, then the largest remaining quota, then the largest id. ``candidates``: by, rule_id, hits, remaining."""
     return candidates.where("remaining > 0").groupBy(by).agg(F.max_by("rule_id", F.struct("hits", "remaining", "rule_id")).alias("rule_id"))
-
-
-def schedule(candidates: list[dict], quotas: dict[str, int], per_source: int = 2) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """Assign rules to candidate hypotheses: (hypothesis_id, rule_id) pairs and what is short of each quota.
-
-    ``candidates``: hypothesis_id, source_id, hints (rule -> hits), from an aggregation that the driver can hold. Every
-    round gives each hypothesis one rule at most, so that all get one before any gets two.
-    """
-    left, used, out = dict(quotas), {}, []
-    taken: dict[str, set[str]] = {}
-    for _ in range(2):
-        for c in sorted(candidates, key=lambda c: c["hypothesis_id"]):
-            if used.get(c["source_id"], 0) >= per_source:
-                continue
-            free = [r for r, n in left.items() if n > 0 and r not in taken.get(c["hypothesis_id"], set())]
-            if free:
-                r = max(free, key=lambda r: (c["hints"].get(r, 0), left[r], r))
-                left[r] -= 1
-                used[c["source_id"]] = used.get(c["source_id"], 0) + 1
-                taken.setdefault(c["hypothesis_id"], set()).add(r)
-                out.append((c["hypothesis_id"], r))
-    return out, {r: n for r, n in left.items() if n > 0}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.schemas import INVALID, LABELS, RAG_MISS
+from docketry.shared import running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -146,11 +147,11 @@ def relevance(label: str = "label") -> Column:
 def best_threshold(rows: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """threshold, precision, recall, f1 with the largest F1 of "score >= threshold"; ties go to the largest threshold.
 
-    Scores are summed up first, so that the cumulative window runs over distinct scores only.
+    Scores are summed up first; the sums run over ranges of distinct scores.
     """
-    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("tp"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    c = by.select("threshold", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"), F.sum("tp").over(W.partitionBy()).alias("all"))
-    p, r = ratio(F.col("tp"), F.col("n")), ratio(F.col("tp"), F.col("all"))
-    c = c.select("threshold", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
+    by = rows.groupBy((-F.col(score)).alias("__down")).agg(F.sum(F.col(positive).cast("long")).alias("tp"), F.count("*").alias("n"))
+    c = running(running(by, ["__down"], "tp", "__tp"), ["__down"], "n", "__n")
+    every = by.agg(F.coalesce(F.sum("tp"), F.lit(0))).first()[0]
+    p, r = ratio(F.col("__tp"), F.col("__n")), ratio(F.col("__tp"), F.lit(every))
+    c = c.select((-F.col("__down")).alias("threshold"), p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
     return c.orderBy(F.desc(F.round("f1", 12)), F.desc("threshold")).limit(1)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import os
+import uuid
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 
 from docketry.functions.keys import example_id, safe_name, subject_key
 from docketry.schemas import LABELS, PORTABLE_ROW, ConstraintError, blank, label_domain, reject, require_exact_columns, violations
+from docketry.shared import numbered, set_digest
 
 # readers
 
@@ -132,14 +136,14 @@ def resolve_path(root: str, relative: str) -> str:
 
 
 def tree_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted relative paths and digests of files (path, sha256)."""
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "path", "sha256"))), "\n"), 256).alias("sha256"), F.count("*").alias("files"))
+    """A digest of the relative paths and digests of files (path, sha256), and their number."""
+    return files.agg(set_digest(F.concat_ws("\0", "path", "sha256")).alias("sha256"), F.count("*").alias("files"))
 
 
-def frame_hash(df: DataFrame, order: str) -> DataFrame:
-    """SHA-256 over the rows' JSON in order."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))))
-    return df.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["j"]), "\n"), 256).alias("sha256"), F.count("*").alias("rows"))
+def frame_hash(df: DataFrame, order: str | None = None) -> DataFrame:
+    """A digest of the rows' JSON, and their number; with ``order``, a column that numbers the rows, their order counts."""
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.agg(set_digest(line if order is None else F.concat_ws("\0", F.col(order).cast("string"), line)).alias("sha256"), F.count("*").alias("rows"))
 
 
 def check_manifest(expected: dict, actual: dict) -> None:
@@ -163,11 +167,53 @@ def metadata_table(spark: SparkSession, values: dict) -> DataFrame:
     return spark.createDataFrame(rows, "key string, value string")
 
 
+def replace(write: Callable[[str], None], path: str, spark: SparkSession, check: Callable[[str], None] | None = None) -> None:
+    """Write to a staging path, check what is there, and only then put it in the target's place; what was there goes last."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    staged, old = (f"{path.rstrip('/')}.{name}-{uuid.uuid4().hex}" for name in ("staged", "old"))
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, old)}
+    fs = at[path].getFileSystem(conf)
+    try:
+        write(staged)
+        if check:
+            check(staged)
+    except BaseException:
+        fs.delete(at[staged], True)
+        raise
+    if had := fs.exists(at[path]):
+        fs.rename(at[path], at[old])
+    if not fs.rename(at[staged], at[path]):
+        if had:
+            fs.rename(at[old], at[path])
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        fs.delete(at[old], True)
+
+
 def write_tables(tables: dict[str, DataFrame], path: str, metadata: dict | None = None) -> None:
-    """A folder of Parquet tables and one of run metadata; each table is replaced as a whole by Spark's committer."""
+    """A folder of Parquet tables and one of run metadata, replaced as a whole once all are written."""
+    spark = next(iter(tables.values())).sparkSession
+    every = tables | {"run_metadata": metadata_table(spark, metadata or {})}
+    replace(lambda at: [df.write.parquet(f"{at}/{name}") for name, df in every.items()], path, spark)
+
+
+def workbook_path(folder: str, name: str, now: datetime.datetime | None = None) -> str:
+    """Name of a workbook with its time in UTC."""
+    return f"{folder.rstrip('/')}/{name}_{(now or datetime.datetime.now(datetime.UTC)):%Y%m%dT%H%M%SZ}.xlsx"
+
+
+def write_workbook(tables: dict[str, DataFrame], path: str, metadata: dict | None = None, most: int = 1_000_000) -> None:
+    """A workbook with a sheet for each table and one of run metadata, for people: tables of more rows than a sheet takes are refused."""
+    from docketry.sources.office import write_xlsx
+
     spark = next(iter(tables.values())).sparkSession
-    for name, df in (tables | {"run_metadata": metadata_table(spark, metadata or {})}).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in tables.items():
+        if df.limit(most + 1).count() > most:
+            raise ConstraintError(f"{name} has more rows than a sheet; write_tables takes it")
+    every = tables | {"run_metadata": metadata_table(spark, metadata or {})}
+    staged = f"{path}.staged"
+    write_xlsx({name: df.toPandas() for name, df in every.items()}, staged)
+    os.replace(staged, path)
 
 
 def write_review_package(pairs: DataFrame, path: str) -> None:
@@ -183,20 +229,29 @@ def write_export(units: DataFrame, notes: DataFrame, path: str) -> dict:
     units.select(*(F.col(c).cast("string") if k.startswith(("array", "struct")) else F.col(c) for c, k in units.dtypes)).withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(f"{path}/units_csv")
     units.write.mode("overwrite").json(f"{path}/units_jsonl")
     notes.write.mode("overwrite").json(f"{path}/notes_jsonl")
-    h = frame_hash(units, first).first()
+    h = frame_hash(units).first()
     manifest = {"units": h.rows, "units_sha256": h.sha256, "notes": notes.count()}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
 
-def write_split(rows: DataFrame, path: str, label: str = "label") -> None:
-    """Labelled and unlabelled rows, metadata, pending rows and weights of a split."""
-    from docketry.operators.curation import selected_rows, weighted_rows
+def write_split(rows: DataFrame, path: str, label: str = "label", targets: DataFrame | None = None) -> None:
+    """A split as CSV with and without labels, metadata, pending rows, weights, a report against targets and a snapshot of all rows; replaced as a whole."""
+    from docketry.operators.curation import selected_rows, split_report, weighted_rows
 
     chosen = selected_rows(rows)
-    parts = {"labelled": chosen, "unlabelled": chosen.drop(label), "metadata": chosen.select("id", "status", "split"), "pending": rows.where(F.col("status") == "pending"), "weights": weighted_rows(chosen, label).select("id", "weight")}
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    parts = {"metadata": chosen.select("id", "status", "split"), "pending": rows.where(F.col("status") == "pending"), "weights": weighted_rows(chosen, label).select("id", "weight"), "snapshot": rows}
+    if targets is not None:
+        parts["report"] = split_report(chosen, targets, ("split", label))
+    flat = chosen.select(*(F.to_json(c).alias(c) if k.startswith(("array", "struct", "map")) else F.col(c) for c, k in chosen.dtypes))
+
+    def write(at: str) -> None:
+        for name, df in (("labelled", flat), ("unlabelled", flat.drop(label))):
+            df.write.option("header", True).csv(f"{at}/{name}")
+        for name, df in parts.items():
+            df.write.parquet(f"{at}/{name}")
+
+    replace(write, path, rows.sparkSession)
 
 
 def write_links(rows: DataFrame, array: str, key: str, path: str) -> None:
@@ -209,23 +264,38 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_lines(rows: DataFrame, line: Column, order: str, path: str) -> None:
-    """Numbered lines of a report, in order, as text."""
-    n = F.row_number().over(W.orderBy(order))
-    rows.select(F.concat(n.cast("string"), F.lit(". "), line).alias("value"), order).orderBy(order).select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Numbered lines of a report as text, in as many files as there are ranges; the files' names follow the order."""
+    n = numbered(rows.select(line.alias("__line"), order), [order], "__n")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = n.select("__n", F.concat(F.col("__n").cast("string"), F.lit(". "), F.col("__line")).alias("value")).repartitionByRange(parts, "__n").sortWithinPartitions("__n")
+    replace(lambda at: ranged.select("value").write.text(at), path, rows.sparkSession)
+
+
+def write_review_report(reviewed: DataFrame, path: str) -> None:
+    """A review (doc_id, reasons, evidence, flags) for people: its counts and findings as text, and a workbook of three sheets."""
+    counts = reviewed.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("documents")).orderBy("reason")
+    decisions = reviewed.select("doc_id", F.when(F.size("reasons") > 0, "exclude").otherwise("keep").alias("action"), F.array_join("reasons", ", ").alias("reasons"))
+    evidence = reviewed.select("doc_id", F.explode("evidence").alias("reason", "passages")).select("doc_id", "reason", F.explode("passages").alias("passage"))
+    flags = reviewed.select("doc_id", F.explode("flags").alias("flag", "passages")).select("doc_id", "flag", F.explode("passages").alias("passage"))
+    write_workbook({"decisions": decisions.orderBy("doc_id"), "evidence": evidence.orderBy("doc_id", "reason"), "review": flags.orderBy("doc_id", "flag")}, f"{path}/review.xlsx", {r.reason: str(r.documents) for r in counts.collect()})
+    write_lines(evidence.withColumn("key", F.concat_ws("|", F.col("doc_id").cast("string"), "reason", "passage")), F.concat_ws(": ", F.col("doc_id").cast("string"), "reason", "passage"), "key", f"{path}/findings")
 
 
 def write_index(vectors: DataFrame, path: str) -> dict:
-    """Vector table (id, vector) with a check that all rows came back, and its manifest."""
+    """Vector table (id, vector): staged, read back and counted before it takes the old one's place; returns its manifest."""
     from docketry.functions.vectors import is_vector
 
-    bad = vectors.where(~is_vector("vector")).limit(1).count()
-    if bad:
+    spark = vectors.sparkSession
+    if vectors.where(~is_vector("vector")).limit(1).count():
         raise ConstraintError("vectors have to be finite and other than zero")
-    n = vectors.count()
-    vectors.write.mode("overwrite").parquet(path)
-    if vectors.sparkSession.read.parquet(path).count() != n:
-        raise ConstraintError("the index doesn't hold all vectors")
-    return {"rows": n}
+    want = frame_hash(vectors).first()
+
+    def check(at: str) -> None:
+        if frame_hash(spark.read.parquet(at).select(*vectors.columns)).first() != want:
+            raise ConstraintError("the index doesn't hold all vectors")
+
+    replace(lambda at: vectors.write.parquet(at), path, spark, check)
+    return {"rows": want.rows, "sha256": want.sha256}
 
 
 def text_hash(text: str) -> str:

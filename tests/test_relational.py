@@ -135,14 +135,6 @@ def test_diffs(spark):
     assert {r.status for r in none.collect()} == {"current_only"}
 
 
-def test_citation_audit(spark):
-    df = spark.createDataFrame([("a", 1, ["1", "2"], ["1", "3"], ["1"]), ("b", 2, [], ["4"], []), ("b", 3, ["5"], [], [])], "dataset string, hypothesis_id long, gold array<string>, detected array<string>, resolved array<string>")
-    got = {r.dataset: r for r in audit.citation_summary(df).collect()}
-    assert (got["ALL"].expert, got["ALL"].matched, got["ALL"].missed, got["ALL"].unresolved, got["ALL"].detected_without_gold) == (3, 1, 2, 2, 1) and got["b"].recall == 0
-    assert {(r.hypothesis_id, r.article): (r.status, r.lookup_status) for r in audit.citation_rows(df).collect()} == {
-        (1, "1"): ("matched", "resolved"), (1, "2"): ("missed", "not_extracted"), (1, "3"): ("extra_unresolved", "unresolved"), (2, "4"): ("extra_unresolved", "unresolved"), (3, "5"): ("missed", "not_extracted")}
-
-
 def test_fallback_merge(spark):
     a = spark.createDataFrame([("x", ["1"]), ("y", ["2", "1"])], "k string, v array<string>")
     b = spark.createDataFrame([("y", ["1", "2"]), ("x", ["9"]), ("z", ["3"])], "k string, v array<string>")
@@ -251,8 +243,6 @@ def test_samples_and_schedule(spark):
     drawn = curation.sample_with_replacement(w, "w", "id", 4000, 1).groupBy("id").count().collect()
     n = {r.id: r["count"] for r in drawn}
     assert set(n) == {2, 3} and sum(n.values()) == 4000 and abs(n[3] / 4000 - 0.75) < 0.03
-    pairs, short = curation.schedule([{"hypothesis_id": f"h{i}", "source_id": f"s{i}", "hints": {"r2": 1} if i == 1 else {}} for i in range(2)], {"r1": 1, "r2": 4})
-    assert len(pairs) == len(set(pairs)) == 3 and ("h1", "r2") in pairs and short == {"r2": 2}
 
 
 def test_weights_and_reports(spark):
