@@ -300,14 +300,16 @@ def finding_notes(spark, d):
 # snapshots and runs
 
 _FLAT = "trim(regexp_replace(lower(replace(coalesce(text, ''), chr(160), ' ')), '\\s+', ' ', 'g'))"
-_SNAP = f"""a AS (SELECT doc_id AS seq, md5({_FLAT}) AS pair_key, {_PRED} AS label, source FROM documents WHERE doc_id % 10 <> 3),
-b AS (SELECT doc_id AS seq, md5({_FLAT}) AS pair_key, CASE WHEN doc_id % 8 = 0 THEN 'entailment' ELSE {_PRED} END AS label, source FROM documents WHERE doc_id % 10 <> 7)"""
+_SNAP = f"""a AS (SELECT doc_id AS seq, md5({_FLAT}) AS pair_key, {_PRED} AS label, source FROM documents),
+b AS (SELECT doc_id AS seq, md5({_FLAT} || CASE WHEN doc_id % 10 = 7 THEN ' more' ELSE '' END) AS pair_key, CASE WHEN doc_id % 8 = 0 THEN 'entailment' ELSE {_PRED} END AS label, source FROM documents)"""
 
 
 def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.md5(keys.loose_key("text").cast("binary")).alias("pair_key"), _prediction().alias("label"), "source")
-    later = docs.where(F.col("seq") % 10 != 7).withColumn("label", F.when(F.col("seq") % 8 == 0, LABELS[1]).otherwise(F.col("label")))
-    return docs.where(F.col("seq") % 10 != 3), later
+    """All documents, and all of them again with some texts and labels changed."""
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), keys.loose_key("text").alias("flat"), _prediction().alias("label"), "source")
+    named = lambda flat, label: rows.select("seq", F.md5(flat.cast("binary")).alias("pair_key"), label.alias("label"), "source")
+    changed = F.concat("flat", F.when(F.col("seq") % 10 == 7, " more").otherwise(""))
+    return named(F.col("flat"), F.col("label")), named(changed, F.when(F.col("seq") % 8 == 0, LABELS[1]).otherwise(F.col("label")))
 
 
 @query(f"""WITH {_SNAP},
@@ -372,25 +374,25 @@ def final_section(spark, d):
     return docs.select("doc_id", F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
-_REASON = """CASE WHEN length(s) = 0 THEN 'empty' WHEN regexp_matches(s, '^[0-9 .,:;/-]+$') THEN 'numeric' WHEN regexp_matches(lower(s), 'licensed|copyright|license|rights reserved') THEN 'licence'
-WHEN regexp_matches(s, '[A-Z]+!!|[*#$%&]{3}') THEN 'junk' WHEN regexp_matches(s, '@|https?://|[0-9]{3}-[0-9]{2,4}') THEN 'contact' END"""
+#: The filter with a wording for these texts: reasons in order, some of which a word of substance overrides.
+_WORDS = text.Lexicon(
+    substantive=r"permission|granted",
+    reasons=(text.Reason("numeric_only", r"[0-9 .,:;/-]+", whole=True), text.Reason("licence", r"licensed|copyright|rights reserved", overridable=True), text.Reason("junk", r"[*#$%&]{3}"), text.Reason("contact", r"@|https?://|[0-9]{3}-[0-9]{2,4}", overridable=True)),
+)
+_REASON = r"""CASE WHEN c = '' THEN 'empty' WHEN regexp_full_match(c, '[0-9 .,:;/-]+') THEN 'numeric_only' WHEN regexp_matches(lower(c), 'licensed|copyright|rights reserved') AND NOT regexp_matches(lower(c), 'permission|granted') THEN 'licence'
+WHEN regexp_matches(c, '[*#$%&]{3}') THEN 'junk' WHEN regexp_matches(lower(c), '@|https?://|[0-9]{3}-[0-9]{2,4}') AND NOT regexp_matches(lower(c), 'permission|granted') THEN 'contact' END"""
 
 
 def _sentences(spark, d) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.posexplode(text.simple_sentences("text")).alias("index", "sentence"))
 
 
-def _reason() -> Column:
-    s = F.col("sentence")
-    return (
-        F.when(F.length(s) == 0, "empty").when(s.rlike("^[0-9 .,:;/-]+$"), "numeric").when(F.lower(s).rlike("licensed|copyright|license|rights reserved"), "licence")
-        .when(s.rlike("[A-Z]+!!|[*#$%&]{3}"), "junk").when(s.rlike("@|https?://|[0-9]{3}-[0-9]{2,4}"), "contact")
-    )
-
-
-@query(f"SELECT doc_id, coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT doc_id, {_REASON} AS reason FROM (SELECT doc_id, unnest({_SENT}) AS s FROM documents)) GROUP BY 1, 2")
+@query(rf"SELECT doc_id, coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT doc_id, {_REASON} AS reason FROM (SELECT doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS c FROM (SELECT doc_id, unnest({_SENT}) AS s FROM documents))) GROUP BY 1, 2")
 def audited_filter(spark, d):
-    return _sentences(spark, d).groupBy("doc_id", F.coalesce(_reason(), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """Reasons are told apart within each document's row; what is exploded is one row for each reason that it has."""
+    rows = t(spark, d, "documents").select("doc_id", F.transform(text.simple_sentences("text"), lambda s: F.coalesce(text.drop_reason(s, _WORDS), F.lit("kept"))).alias("r"))
+    each = rows.select("doc_id", "r", F.explode(F.array_distinct("r")).alias("reason"))
+    return each.select("doc_id", "reason", F.size(F.filter("r", lambda x: x == F.col("reason"))).cast("long").alias("n"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {_SENT} AS ss FROM documents)),
@@ -400,15 +402,25 @@ l AS (SELECT *, last_value(CASE WHEN k <> 'C' THEN k END IGNORE NULLS) OVER (PAR
 SELECT doc_id, coalesce(CASE WHEN k = 'C' AND l = 'D' THEN 'continuation' ELSE reason END, 'kept') AS reason, count(*) AS n FROM l GROUP BY 1, 2""")
 def block_continuation(spark, d):
     rows = _sentences(spark, d).withColumn("reason", F.when(F.col("sentence").rlike("[A-Z]+!!|[*#$%&]{3}"), "bank").when(F.length("sentence") < 4, "short"))
-    # the operator's patterns ignore case; here a capital is asked for
-    out = text.block_continuation(rows, "doc_id", "index", continuation="(?-i)^[A-E]")
+    out = text.block_continuation(rows, "doc_id", "index", continuation="^[A-E]", opening=("bank",), name="continuation")
     return out.groupBy("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS digest FROM pages""")
+def _entities(c: str) -> str:
+    """DuckDB's text without the entities that pages use; the ampersand's last."""
+    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("#39", "''"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{sign}')"
+    return c
+
+
+_BLOCK = "'(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|hr|td|th|title)(\\s[^>]*)?/?>'"
+
+
+@query(rf"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<![^>]*>', '', 'g'), {_BLOCK}, chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM pages),
+y AS (SELECT page_id, {_entities('h')} AS h FROM x)
+SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))) AS digest FROM y""")
 def page_visible_text(spark, d):
-    return t(spark, d, "pages").select("page_id", F.md5(text.visible_text_sql("html").cast("binary")).alias("digest"))
+    return t(spark, d, "pages").select("page_id", F.md5(text.visible_text("html").cast("binary")).alias("digest"))
 
 
 @query("""SELECT page_id, md5(CASE WHEN i > 0 THEN substring(a, 1, least(CASE WHEN position('</article>' IN a) > 0 THEN position('</article>' IN a) END, CASE WHEN position('<footer' IN a) > 0 THEN position('<footer' IN a) END, length(a) + 1) - 1) END) AS digest
@@ -425,11 +437,14 @@ def number_mentions(spark, d):
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {_SENT} AS ss FROM documents)),
-m AS (SELECT doc_id, i, regexp_extract(s, '([0-9]{{2,4}})', 1) AS law, NOT regexp_matches(s, '[0-9]{{4}}') AS undated FROM s WHERE regexp_matches(s, '[0-9]{{2,4}}'))
-SELECT law, doc_id, i::INT - 1 AS index, undated FROM m QUALIFY row_number() OVER (PARTITION BY law ORDER BY undated, doc_id, i) = 1""")
+m AS (SELECT doc_id * 100000 + i AS mention_id, regexp_extract(s, '([0-9]{{2,4}})', 1) AS number, length(s) % 3 AS year, regexp_matches(s, '[0-9]{{4}}') AS dated FROM s WHERE regexp_matches(s, '[0-9]{{2,4}}'))
+SELECT mention_id, min(mention_id) OVER (PARTITION BY number, year) AS law, row_number() OVER (PARTITION BY number, year ORDER BY dated DESC, mention_id) = 1 AS chosen FROM m""")
 def representative_mentions(spark, d):
-    rows = _sentences(spark, d).where(F.col("sentence").rlike("[0-9]{2,4}")).select("doc_id", "index", F.regexp_extract("sentence", "([0-9]{2,4})", 1).alias("law"), (~F.col("sentence").rlike("[0-9]{4}")).alias("undated"))
-    return curation.capped(rows, ["law"], ["undated", "doc_id", "index"], 1).select("law", "doc_id", "index", "undated")
+    from docketry.operators.release import resolve_laws
+
+    s = F.col("sentence")
+    rows = _sentences(spark, d).where(s.rlike("[0-9]{2,4}")).select((F.col("doc_id") * 100000 + F.col("index") + 1).alias("mention_id"), F.regexp_extract(s, "([0-9]{2,4})", 1).alias("number"), (F.length(s) % 3).alias("year"), F.lit("").alias("title"), s.rlike("[0-9]{4}").alias("dated"))
+    return resolve_laws(rows).select("mention_id", "law", "chosen")
 
 
 @query(f"SELECT doc_id, md5(k) AS key, n_copies FROM (SELECT doc_id, {_FLAT} AS k, count(*) OVER (PARTITION BY {_FLAT}) AS n_copies FROM documents QUALIFY row_number() OVER (PARTITION BY {_FLAT} ORDER BY doc_id) = 1)")
@@ -498,13 +513,11 @@ def task_batches(spark, d):
     return out.select("source", "batch", F.size("rows").cast("long").alias("n"), F.element_at("rows", 1)["doc_id"].alias("first_id"), F.array_join(F.transform("rows", lambda x: x["doc_id"].cast("string")), ",").alias("ids"))
 
 
-@query("""WITH r AS (SELECT 'train_' || lpad((doc_id + 1)::VARCHAR, 6, '0') AS id, 'k' || doc_id AS stable_key FROM documents WHERE doc_id % 3 = 0), x AS (SELECT 'k' || doc_id AS stable_key, doc_id AS seq FROM documents WHERE doc_id % 2 = 0)
-SELECT stable_key, 'train_' || lpad(((SELECT max(regexp_extract(id, '_(\\d+)$', 1)::BIGINT) FROM r) + row_number() OVER (ORDER BY seq))::VARCHAR, 6, '0') AS id FROM x WHERE stable_key NOT IN (SELECT stable_key FROM r)""".replace("\\\\", "\\"))
+@query("""WITH r AS (SELECT doc_id FROM labels) SELECT 'k' || doc_id AS stable_key, 'train_' || lpad(((SELECT max(doc_id + 1) FROM r) + row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)""")
 def register_ids(spark, d):
-    docs, i = t(spark, d, "documents"), F.col("doc_id")
-    key = F.concat(F.lit("k"), i.cast("string")).alias("stable_key")
-    registry = docs.where(i % 3 == 0).select(keys.permanent_id(F.lit("train"), i + 1).alias("id"), key, F.lit("train").alias("split"))
-    return curation.register(registry, docs.where(i % 2 == 0).select(key, i.alias("seq")), "train").select("stable_key", "id")
+    key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("stable_key")
+    registry = t(spark, d, "labels").select(keys.permanent_id(F.lit("train"), F.col("doc_id") + 1).alias("id"), key, F.lit("train").alias("split"))
+    return curation.register(registry, t(spark, d, "documents").select(key, F.col("doc_id").alias("seq")), "train").select("stable_key", "id")
 
 
 @query("""SELECT conv_id, turn, len(m) AS n_messages, md5(array_to_string(m, chr(10))) AS digest FROM (SELECT conv_id, turn, ['system:' || role, 'user:' || coalesce(text, '')] || CASE WHEN role = 'assistant' THEN ['assistant:' || coalesce(text, '')] ELSE [] END AS m FROM conversations)""")
@@ -524,10 +537,10 @@ def label_parse(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", text.parse_label(F.concat(raw, F.coalesce("text", F.lit("")))).alias("label"))
 
 
-@query("""WITH x AS (SELECT doc_id, text, length(text)::INT AS n FROM documents WHERE length(text) >= 40)
+@query("""WITH x AS (SELECT doc_id, coalesce(text, '') || repeat('.', 40) AS text FROM documents)
 SELECT doc_id, md5(substring(text, 1, 10) || 'abc' || substring(text, 16, 15) || 'z' || substring(text, 31)) AS digest, 20 - 2 AS start, 35 - 2 + 1 AS "end" FROM x""")
 def span_mapping(spark, d):
-    docs = t(spark, d, "documents").where(F.length("text") >= 40)
+    docs = t(spark, d, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("." * 40)))
     edit = lambda a, b, s: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.substring("text", a + 1, b - a).alias("before"), F.lit(s).alias("after"))
     df = docs.select("doc_id", "text", F.array(edit(10, 15, "abc"), edit(30, 30, "z")).alias("edits"), F.lit(20).alias("start"), F.lit(35).alias("end"))
     df = df.where(curation.edits_are_valid("text", "edits"))
@@ -560,17 +573,3 @@ def split_report(spark, d):
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"), _gold().alias("label"), F.col("source").alias("document"))
     targets = spark.createDataFrame([("train", LABELS[0], 50), ("train", LABELS[1], 100), ("train", LABELS[2], 40), ("test", LABELS[1], 10)], "split string, label string, target long")
     return curation.split_report(rows, targets)
-
-
-@query("""WITH a AS (SELECT 'src' || (doc_id % 4) AS dataset, doc_id AS hypothesis_id, CASE WHEN doc_id % 5 > 0 THEN [source] ELSE []::VARCHAR[] END AS g, CASE WHEN doc_id % 3 = 0 THEN [source, lang] WHEN doc_id % 3 = 1 THEN [source] ELSE []::VARCHAR[] END AS d,
-  CASE WHEN doc_id % 7 > 0 THEN [source] ELSE []::VARCHAR[] END AS r0 FROM documents), b AS (SELECT *, list_filter(d, lambda x: list_contains(r0, x)) AS r, list_filter(g, lambda x: list_contains(d, x)) AS h FROM a)
-SELECT coalesce(dataset, 'ALL') AS dataset, count(*) AS hypotheses, sum(len(g))::BIGINT AS expert, sum(len(d))::BIGINT AS detected, sum(len(r))::BIGINT AS resolved, sum(len(h))::BIGINT AS matched, (sum(len(g)) - sum(len(h)))::BIGINT AS missed, (sum(len(d)) - sum(len(h)))::BIGINT AS extra,
-  (sum(len(d)) - sum(len(r)))::BIGINT AS unresolved, count(*) FILTER (WHERE len(g) = 0 AND len(d) > 0) AS detected_without_gold, sum(len(list_filter(g, lambda x: list_contains(r, x))))::BIGINT AS retrieved, round(sum(len(h)) / sum(len(g)), 6) AS recall,
-  round(sum(len(list_filter(g, lambda x: list_contains(r, x)))) / sum(len(g)), 6) AS retrieval_recall FROM b GROUP BY GROUPING SETS ((dataset), ())""")
-def citation_summary(spark, d):
-    i, none = F.col("doc_id"), F.array().cast("array<string>")
-    docs = t(spark, d, "documents").select(
-        F.concat(F.lit("src"), (i % 4).cast("string")).alias("dataset"), i.alias("hypothesis_id"), F.when(i % 5 > 0, F.array("source")).otherwise(none).alias("gold"),
-        F.when(i % 3 == 0, F.array("source", "lang")).when(i % 3 == 1, F.array("source")).otherwise(none).alias("detected"), F.when(i % 7 > 0, F.array("source")).otherwise(none).alias("known"),
-    )
-    return rounded(audit.citation_summary(docs.withColumn("resolved", F.array_intersect("detected", "known")).drop("known")))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import docketry.plans.curation_queries  # noqa: F401  (registers its queries)
 from docketry.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
