@@ -1,17 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts have a model each. A word's probability is Kneser-Ney's continuation probability: in how
-many contexts (words before it) the class has seen it, discounted. What the discount frees goes to a backoff that both
-classes share, the contexts in either class, so that a rare word says little for either. A text's position-wise
-log-likelihood ratios are averaged over its windows of 1 and of ``WINDOW`` words and over the text; the largest mean of
-either window and the text's mean are calibrated to a probability on labelled rows that the counts left out.
+Toxic and ordinary texts have a model each, of word pairs. All counts are continuation counts: a pair (v, w) counts once for each word
+that a class has seen before it, a word once for each such word v. So a passage counts once, however often it is copied.
 
-The level of whole pairs is left out of the evidence: pairs of rare words recur in copies of a passage alone, so that
-level only recalls whether copies were toxic (on held-out rows of the test tables: area under the curve 0.75 with
-it, 0.999 without).
+    P_c(w | v) = (max(n_c(v w) - PAIR, 0) + freed_c(v) U_c(w | v)) / n_c(v .)
+    U_c(w | v) = (max(N_c(. w) - WORD, 0) + freed_c P(w | v)) / N_c(. .)
+    P(w | v)   = (max(n(v w) - PAIR, 0) + freed(v) P(w)) / n(v .)         of both classes together
+    P(w)       = (N(. w) + 1/2) / (N(. .) + slots / 2)
 
-Pairs are counted over all learning rows without loss; what they say of words goes to hashed tables that grow with the
-counted vocabulary: ``SPARE`` slots for each word, 2^WORD_BITS at least. Workers get four bytes a slot.
+freed is what the discounts PAIR and WORD take off. The lower two levels are shared, so that a rare expression says little for
+either class. Pairs that both classes together have in PAIR contexts or fewer have no level of their own: what is freed for
+them is taken to be alike in both classes, and their ratio is that of the words, U_1 / U_0 with P(w) as backoff. So is that of
+pairs whose ratio is within ``PRUNE`` of it.
+
+A text's evidence are its log-likelihood ratios by position, divided by length: the mean over the text, the largest mean of
+``WINDOW`` words (toxic expressions are short, texts may be long) and the largest of a single word. These are calibrated to a
+probability on labelled rows that the counts left out.
+
+Counts are over all learning rows. Words are slots of a hashed table that grows with the counted vocabulary: ``SPARE`` slots
+for each word, 2^WORD_BITS at least. Workers get four bytes a slot and twelve for each pair that is kept.
 
 Edge cases: null and empty texts get the score of a text without evidence; an empty table gives an empty result; without
 labelled rows of both classes every score is 0; repeated label rows count once (toxic if any says so), repeated
@@ -28,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import trimmed
+from docketry.llm.common import discard, settle, trimmed
 from docketry.llm.words import WORD_BITS, word_hashes, word_slots
 
-WINDOW, DISCOUNT = 4, 1.5
+WINDOW, WORD, PAIR, PRUNE = 4, 1.5, 3.0, 0.25
 #: Slots for each word of the learning rows.
 SPARE = 4
 #: Label rows that may be broadcast (16 bytes each); beyond that the join shuffles.
@@ -40,37 +47,45 @@ SMALL_LABELS = 2_000_000
 
 def pair_keys(words: np.ndarray, bits: int = WORD_BITS) -> np.ndarray:
     """(word before, word) of each position as one number; slot 0 stands before the first."""
-    before = np.concatenate([[0], words[:-1]]) if len(words) else words
-    return before << bits | words
+    return _before(words, 1) << bits | words
+
+
+def _before(words: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([np.zeros(n, words.dtype), words])[: len(words)]
 
 
 @dataclass
 class Model:
-    """``contexts``: distinct words seen before a word, by class (0 ordinary, 1 toxic) and slot; ``types``: in either class.
+    """``logs``: by slot, the log ratio of a word; ``keys`` and ``ratios``: the pairs with a ratio of their own, by key.
 
     ``weights``: of 1, the largest word, the largest window and the mean.
     """
 
-    contexts: np.ndarray  # 2 x slots, a power of two
-    types: np.ndarray
+    logs: np.ndarray  # a power of two
+    keys: np.ndarray
+    ratios: np.ndarray
     weights: np.ndarray
+    ready: bool = True
 
     def __post_init__(self) -> None:
-        self.bits = len(self.types).bit_length() - 1
-        self.logs, self.ready = np.zeros(len(self.types), np.float32), bool(self.contexts.sum(axis=1).min() > 0)
-        if self.ready:
-            shared = (self.types + 0.5) / (self.types.sum() + 0.5 * len(self.types))
-            by = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * shared) / n.sum() for n in self.contexts]
-            self.logs = (np.log(by[1]) - np.log(by[0])).astype(np.float32)
+        self.bits = len(self.logs).bit_length() - 1
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("contexts", "types")}  # workers need the ratios only
+    def positions(self, words: np.ndarray) -> np.ndarray:
+        """log P_1 - log P_0 of each word after the one before it."""
+        r = self.logs[words].astype(np.float64)
+        if len(self.keys):
+            pairs = pair_keys(words, self.bits)
+            at = np.searchsorted(self.keys, pairs)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == pairs
+            r[hit] = self.ratios[at[hit]]
+        return r
 
     def evidence(self, words: np.ndarray) -> tuple[float, float, float]:
         """Largest ratio of a word, largest mean of a window, mean of the text; a short text counts as a full window."""
         if not len(words):
             return 0.0, 0.0, 0.0
-        r = self.logs[words].astype(np.float64)
+        r = self.positions(words)
         total = np.concatenate([[0.0], np.cumsum(r)])
         k = min(WINDOW, len(r))
         return float(r.max()), float((total[k:] - total[:-k]).max() / WINDOW), float(total[-1] / max(len(r), WINDOW))
@@ -81,24 +96,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, *self.evidence(words)]), -50, 50))))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """The distinct word pairs of each class, as far as the task's memory allows."""
-    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+_TRIPLE = "pair long, before int, classes int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words before each pair in each class, as far as the task's memory allows."""
+    held: tuple[list, list] = ([], [])
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for c in (0, 1):
             if held[c]:
-                keys = np.unique(np.concatenate(held[c]))
+                pair, before = (np.concatenate(x) for x in zip(*held[c], strict=True))
                 held[c].clear()
-                for lo in range(0, len(keys), 100_000):
-                    k = keys[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), 1 << c, np.int32))], ["key", "classes"])
+                order = np.lexsort((before, pair))
+                pair, before = pair[order], before[order]
+                new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])])[: len(pair)])
+                for lo in range(0, len(new), 100_000):
+                    k = new[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[k]), pa.array(before[k].astype(np.int32)), pa.array(np.full(len(k), 1 << c, np.int32))], ["pair", "before", "classes"])
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held[toxic].append(pair_keys(word_slots(text, bits), bits))
-            if sum(map(len, held[0])) + sum(map(len, held[1])) > 4_000_000 or len(held[0]) + len(held[1]) > 50_000:
+            words = word_slots(text, bits)
+            held[toxic].append((pair_keys(words, bits), _before(words, 2)))
+            size += len(words) + 20
+            if size > 2_000_000:
                 yield from flush()
+                size = 0
     yield from flush()
 
 
@@ -115,22 +140,52 @@ def table_bits(words: int) -> int:
     return min(31, max(WORD_BITS, (SPARE * words - 1).bit_length()))
 
 
-def gather(rows: DataFrame) -> Model:
-    """Count over all ``rows`` (text binary, toxic 0/1). The driver gets a row for each slot that a word has."""
-    bits = table_bits(rows.select("text").mapInArrow(trimmed(_vocabulary), "word long").agg(F.approx_count_distinct("word", 0.02)).first()[0])
+def counts(rows: DataFrame, bits: int) -> DataFrame:
+    """pair, n0, n1, n for every pair in ``rows`` (text binary, toxic 0/1): words before it in either class and in both together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _contexts(batches, bits)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, bits)
+    seen = rows.mapInArrow(trimmed(run), _TRIPLE).repartition("pair").groupBy("pair", "before").agg(F.bit_or("classes").alias("classes"))
+    of = [F.count_if(F.col("classes").bitwiseAND(which) > 0).cast("int").alias(n) for n, which in (("n0", 1), ("n1", 2), ("n", 3))]
+    return seen.groupBy("pair").agg(*of)
 
-    seen = rows.mapInArrow(trimmed(pairs), "key long, classes int").groupBy("key").agg(F.bit_or("classes").alias("classes"))
-    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot")
-    counted = [F.sum(F.when(F.col("classes").bitwiseAND(which) > 0, 1).otherwise(0)).cast("int").alias(n) for n, which in (("n0", 1), ("n1", 2), ("n", 3))]
-    whole = seen.groupBy(slot).agg(*counted).toArrow()
-    full = np.zeros((3, 1 << bits), np.int32)
-    at = whole.column(0).to_numpy()
-    for i in range(3):
-        full[i, at] = whole.column(1 + i).to_numpy()
-    return Model(full[:2], full[2], np.zeros(4))
+
+def gather(rows: DataFrame) -> Model:
+    """Count over all ``rows`` (text binary, toxic 0/1). The driver gets a row for each slot that a word has and each pair that is kept."""
+    bits = table_bits(rows.select("text").mapInArrow(trimmed(_vocabulary), "word long").agg(F.approx_count_distinct("word", 0.02)).first()[0])
+    slots = 1 << bits
+    pairs = settle(counts(rows, bits), "pairs")
+    word, before = F.col("pair").bitwiseAND(F.lit(slots - 1)).alias("word"), F.shiftrightunsigned("pair", bits).alias("before")
+    words = settle(pairs.groupBy(word).agg(F.count_if(F.col("n0") > 0).alias("w0"), F.count_if(F.col("n1") > 0).alias("w1"), F.count("*").alias("w")), "words")
+    sums = words.agg(*(F.coalesce(F.sum(e), F.lit(0)).cast("double") for e in ("w0", "w1", "w", F.least(F.col("w0"), F.lit(WORD)), F.least(F.col("w1"), F.lit(WORD))))).first()
+    if not (sums[0] and sums[1]):
+        discard(pairs, words)
+        return Model(np.zeros(slots, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(4), False)
+    every, freed = sums[:2], sums[3:]
+    single = (F.col("w") + 0.5) / (sums[2] + 0.5 * slots)
+
+    def unigram(c: int, backoff):
+        return (F.greatest(F.col(f"w{c}") - WORD, F.lit(0.0)) + freed[c] * backoff) / every[c]
+
+    alone = F.log(unigram(1, single)) - F.log(unigram(0, single))
+    whole = words.select("word", alone.cast("float").alias("ratio")).toArrow()
+    unseen = np.log(freed[1] / every[1]) - np.log(freed[0] / every[0])
+    logs = np.full(slots, unseen, np.float32)
+    logs[whole.column(0).to_numpy()] = whole.column(1).to_numpy()
+
+    names = ("n0", "n1", "n")
+    context = pairs.groupBy(before).agg(*(F.sum(x).alias(f"t_{x}") for x in names), *(F.sum(F.least(F.col(x), F.lit(PAIR))).alias(f"f_{x}") for x in names))
+    apart = pairs.where(F.col("n") > PAIR).withColumn("before", before).withColumn("word", word).join(context, "before").join(words, "word")
+    level = lambda x, lower: (F.greatest(F.col(x) - PAIR, F.lit(0.0)) + F.col(f"f_{x}") * lower) / F.col(f"t_{x}")
+    both = level("n", single)
+    of = [F.when(F.col(f"t_n{c}") > 0, level(f"n{c}", unigram(c, both))).otherwise(unigram(c, both)) for c in (0, 1)]
+    ratio = F.log(of[1]) - F.log(of[0])
+    kept = apart.select("pair", ratio.cast("float").alias("ratio"), alone.alias("alone")).where(F.abs(F.col("ratio") - F.col("alone")) > PRUNE).select("pair", "ratio").toArrow()
+    keys, ratios = kept.column(0).to_numpy(), kept.column(1).to_numpy()
+    order = np.argsort(keys)
+    discard(pairs, words)
+    return Model(logs, keys[order], ratios[order], np.zeros(4))
 
 
 def calibrate(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -175,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, calibration: i
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """key, score of each row of ``docs`` (key, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ratios, four bytes a slot; grows with the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ratios: four bytes a slot, which grow with the vocabulary, and twelve a pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
