@@ -1,9 +1,11 @@
 import heapq
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm.multi_index import search, walk
+from docketry.llm import multi_index
+from docketry.llm.multi_index import search, visited
 
 draw = np.random.default_rng(9)
 
@@ -38,11 +40,24 @@ def test_whole_walk_is_exact_with_ties_and_odd_vectors(spark):
     assert run(spark, rows, share=1.0, centroids=8) == brute(rows)
 
 
-def test_recall_on_vectors_without_clusters(spark):
-    rows = [(i, draw.standard_normal(16).tolist()) for i in range(3000)]
-    want, got = brute(rows), run(spark, rows)
-    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
-    assert hits >= 0.9 * 5 * len(want)
+def recall_of(want, got):
+    return sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) / (5 * len(want))
+
+
+@pytest.mark.parametrize("n", [1000, 6000])
+def test_recall_on_vectors_without_clusters(spark, n):
+    rows = [(i, draw.standard_normal(16).tolist()) for i in range(n)]
+    assert recall_of(brute(rows), run(spark, rows)) >= 0.9
+
+
+def test_walks_are_shorter_where_vectors_have_clusters(spark, monkeypatch):
+    shares, measure = [], multi_index.needed_share
+    monkeypatch.setattr(multi_index, "needed_share", lambda *a: shares.append(measure(*a)) or shares[-1])
+    for n in (1000, 8000):
+        middles = draw.standard_normal((n // 40, 16)) * 3
+        rows = [(i, (middles[i % len(middles)] + 0.3 * draw.standard_normal(16)).tolist()) for i in range(n)]
+        assert recall_of(brute(rows), run(spark, rows)) >= 0.9
+    assert shares[1] < shares[0] < 0.25
 
 
 def test_few_and_no_vectors(spark):
@@ -55,11 +70,11 @@ def test_walk_goes_by_summed_distance():
     for _ in range(30):
         a, b, sizes = draw.random(6), draw.random(5), draw.integers(0, 4, (6, 5))
         enough = draw.integers(1, sizes.sum() + 1)
-        masks = walk(a, b, sizes.tolist(), enough)
+        cells = visited(a, b, sizes.tolist(), enough)
         seen, want = 0, set()
         for i, j in sorted(((i, j) for i in range(6) for j in range(5)), key=lambda c: a[c[0]] + b[c[1]]):
             if seen >= enough:
                 break
             seen += sizes[i, j]
             want.add((i, j))
-        assert {(i, j) for i in range(6) for j in range(5) if int(masks[i]) >> j & 1} == want
+        assert {(i, j) for i, j in zip(*map(list, np.nonzero(cells)))} == want
