@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is lower-cased, comment marks and white space are made one blank, and it is cut into sentences. Each sentence
-is mapped to the identifiers of the known licence sentences it contains; the document's identifiers, in order, are
-matched against ordered licence rules, each a pattern over identifiers. A rule that matches takes its identifiers out
+is mapped to the identifiers of the known licence sentences it contains, in the order in which they begin there (of two
+that begin at one place, the earlier in the table first); the document's identifiers, in order, are matched against ordered
+licence rules, each a pattern over identifiers. A rule that matches takes its identifiers out
 of the sequence, so that the rules after it see what is left; identifiers that no rule takes are reported as
 unknown. Only texts and sentences with one of a few words that every sentence rule needs are looked at closely,
 which changes no result.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of which each sentence rule's matches contain at least one (held by a test).
-NEEDED = ("licen", "copyright", "rights reserved", "permi", "redistribut", "warrant", "gnu", "gpl", "spdx", "cc", "creative commons", "public domain", "endorse", "mozilla", "as is", "version", "bsd")
+NEEDED = ("licen", "copyright", "rights reserved", "permi", "redistribut", "warrant", "gnu", "gpl", "spdx", "cc", "creative commons", "public domain", "endorse", "mozilla", "as is", "as-is", "version", "bsd", "advertising", "wtfpl", "eupl", "psf")
 
 # Licence sentences, as patterns over normalised text.
 SENTENCES = [
@@ -50,12 +51,23 @@ SENTENCES = [
     ("version2", r"gnu [a-z ]*public license,? (version |v)2([^.0-9]|$)|version 2 of the license"),
     ("version3", r"gnu [a-z ]*public license,? (version |v)3|version 3 of the license"),
     ("anyLater", r"(any|or) later version"),
-    ("mplRef", r"mozilla public license,? (version |v\.? ?)2\.0"),
+    ("mplRef", r"mozilla public license,? (version |v\.? ?)2\.0|mozilla public license,? v\.$"),
     ("eplRef", r"eclipse public license"),
+    ("zlibAsIs", r"this software is provided .?as[- ]is.?, without any express or implied warranty"),
+    ("zlibGrant", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    ("boostGrant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boostRef", r"boost software license"),
+    ("x11Name", r"except as contained in this notice, the names? of .*shall not be used in advertising"),
+    ("artisticRef", r"artistic license,? (version |v)?2(\.0)?([^.0-9]|$)"),
+    ("cddlRef", r"common development and distribution license"),
+    ("euplRef", r"european union public licen[cs]e|(^|[^a-z])eupl([^a-z]|$)"),
+    ("wtfplRef", r"do what the f[a-z*]+ you want to public license|(^|[^a-z])wtfpl([^a-z]|$)"),
+    ("psfRef", r"python software foundation license|psf license agreement"),
+    ("oflRef", r"sil open font license"),
     ("iscGrant", r"permission to use, copy, modify, and( ?/?or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("publicDomain", r"(dedicated|placed|released|is) (to|in|into) the public domain"),
-    ("cc0", r"cc0|creative commons zero"),
+    ("cc0", r"(^|[^a-z0-9])cc0([^a-z0-9]|$)|creative commons zero"),
     ("ccByNcSa", r"cc[- ]by-nc-sa|creative commons attribution[- ]noncommercial[- ]sharealike"),
     ("ccByNcNd", r"cc[- ]by-nc-nd|creative commons attribution[- ]noncommercial[- ]noderiv"),
     ("ccByNc", r"cc[- ]by-nc([^a-z-]|$)|creative commons attribution[- ]noncommercial([^a-z -]|$)"),
@@ -67,8 +79,12 @@ SENTENCES = [
 # Licence rules over the identifier sequence, in order; each identifier stands between blanks.
 RULES = [
     ("Unlicense", r" unlicense (publicDomain )?"),
+    ("X11", r" mitGrant (mitNotice )?(mitAsIs )?x11Name "),
     ("MIT", r" mitGrant (mitNotice )?(mitAsIs )?"),
     ("MIT", r" mitRef "),
+    ("Zlib", r" (zlibAsIs )?zlibGrant "),
+    ("BSL-1.0", r" (boostRef )?boostGrant (mitNotice )?(mitAsIs )?"),
+    ("BSL-1.0", r" boostRef "),
     ("ISC", r" iscGrant (mitAsIs )?"),
     ("BSD-4-Clause", r" bsdIntro bsdSource bsdBinary bsdAdvert (bsdEndorse )?(bsdAsIs )?"),
     ("BSD-3-Clause", r" bsdIntro bsdSource bsdBinary bsdEndorse (bsdAsIs )?"),
@@ -91,6 +107,12 @@ RULES = [
     ("AGPL", r" (gplFree )?agplTerms "),
     ("MPL-2.0", r" mplRef "),
     ("EPL", r" eplRef "),
+    ("Artistic-2.0", r" artisticRef "),
+    ("CDDL", r" cddlRef "),
+    ("EUPL", r" euplRef "),
+    ("WTFPL", r" wtfplRef "),
+    ("PSF", r" psfRef "),
+    ("OFL", r" oflRef "),
     ("CC0-1.0", r" cc0 (publicDomain )?"),
     ("CC-BY-NC-SA", r" ccByNcSa "),
     ("CC-BY-NC-ND", r" ccByNcNd "),
@@ -111,6 +133,11 @@ def sentences(text: str | Column) -> Column:
     return F.split(F.regexp_replace(one, _ENDS, "$1" + _MARK), _MARK)
 
 
+def _before(pattern: str) -> str:
+    """A pattern whose group is what stands before the first match."""
+    return f"(?s)^(.*?)(?:{pattern})"
+
+
 def _needs(text: Column) -> Column:
     out = F.lit(False)
     for word in NEEDED:
@@ -123,7 +150,8 @@ def recognise(docs: DataFrame, keep_all: bool = False) -> DataFrame:
     near = F.coalesce(_needs(F.lower("text")), F.lit(False))
 
     def known(s: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(s.rlike(pattern), F.lit(name)) for name, pattern in SENTENCES)))
+        places = (F.when(s.rlike(p), F.struct(F.length(F.regexp_extract(s, _before(p), 1)).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name"))) for k, (name, p) in enumerate(SENTENCES))
+        return F.transform(F.array_sort(F.array_compact(F.array(*places))), lambda x: x["name"])
 
     ids = F.flatten(F.transform(F.filter(sentences("text"), _needs), known))
     none = F.array().cast("array<string>")
@@ -141,7 +169,7 @@ def recognise(docs: DataFrame, keep_all: bool = False) -> DataFrame:
 def oracle(documents: str = "documents") -> str:
     """DuckDB SQL for the rows of ``op7_licences``."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {q(n)} END" for n, p in SENTENCES)
+    cases = ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {{'at': length(regexp_extract(s, {q(_before(p))}, 1)), 'k': {k}, 'name': {q(n)}}} END" for k, (n, p) in enumerate(SENTENCES))
     steps, last = [], "seqs"
     for k, (name, pattern) in enumerate(RULES):
         found = f"CASE WHEN regexp_matches(rest, {q(pattern)}) THEN list_append(found, {q(name)}) ELSE found END"
@@ -152,7 +180,7 @@ WITH cut AS (
   SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(text), '[\\s*#/\\x0B]+', ' ', 'g'), '([.;!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ss
   FROM {documents} WHERE text IS NOT NULL
 ), mapped AS (
-  SELECT doc_id, flatten(list_transform(ss, lambda s: list_filter([{cases}], lambda x: x IS NOT NULL))) AS ids FROM cut
+  SELECT doc_id, flatten(list_transform(ss, lambda s: list_transform(list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)), lambda x: x.name))) AS ids FROM cut
 ), seqs AS (
   SELECT doc_id, ids, []::VARCHAR[] AS found, ' ' || array_to_string(ids, ' ') || ' ' AS rest FROM mapped WHERE len(ids) > 0
 ), {", ".join(steps)}

@@ -39,22 +39,44 @@ def _draw(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the place of each source by code point, null last, in ``rank``; sources are sorted in ranges, not in one task."""
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("source").asc_nulls_last()
+    dealt = settle(sizes.repartitionByRange(n, by).withColumn("__part", F.spark_partition_id()), "sources")
+    counts = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # one row for each range
+    before, seen = {}, 0
+    for part in sorted(counts):
+        before[part], seen = seen, seen + counts[part]
+    if not before:
+        return dealt.drop("__part").withColumn("rank", F.lit(0))
+    offset = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("__part"))
+    return dealt.withColumn("rank", offset + F.row_number().over(W.partitionBy("__part").orderBy(by)) - 1).drop("__part")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
     """source, source_size, units, target, from rows (source, source_size, units).
 
     Weights go to the sources by code point, null last, over and over. A source above ``most`` times its size stays
-    there and the others share the rest. The sources with the smallest limit for their weight are those that stop, so
-    one pass in that order finds what the repeated sharing ends with. Sources, not rows, meet in one task here.
+    there and the others share the rest by weight, until none is above. Each round is a sum over the sources; the share of a
+    weight only rises, so that who has stopped once has stopped for good.
     """
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    limits = sizes.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most))
-    every, earlier = W.partitionBy(), W.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-    found = limits.withColumn("level", level).withColumn("stops", F.col("limit") / F.col("weight") < F.col("level"))
-    found = found.withColumn("level", F.max(F.when(~F.col("stops"), F.col("level"))).over(every))
-    target = F.when(F.col("stops"), F.col("limit")).otherwise(F.least("limit", F.col("level") * F.col("weight")))
-    return found.select("source", "source_size", "units", target.cast("double").alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    limits = _ranked(sizes).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most))
+    per = F.col("limit") / F.col("weight")
+    total, level, stopped = limits.agg(F.sum("source_size")).first()[0] or 0, -1.0, -1
+    while True:
+        stops = per < F.lit(level)
+        fixed, free, n = limits.agg(F.sum(F.when(stops, F.col("limit"))), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        if n == stopped:
+            break
+        stopped = n
+        if not free:  # all have stopped
+            level = float("inf")
+            break
+        level = (total - (fixed or 0.0)) / free
+    target = F.least("limit", F.lit(level) * F.col("weight"))
+    return limits.select("source", "source_size", "units", target.cast("double").alias("target"))
 
 
 def _round(units: Column, seed: int) -> Column:

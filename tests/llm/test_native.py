@@ -41,6 +41,55 @@ def test_licence_rules(spark):
     assert licences.recognise(df.where("false")).count() == 0
 
 
+#: The wording by which licences are known, as it stands in files.
+LABELLED = [
+    ("Zlib", """/* This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+  liable for any damages. Permission is granted to anyone to use this software for any purpose, including commercial
+  applications, and to alter it and redistribute it freely. */"""),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("X11", MIT + """ Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to
+  promote the sale, use or other dealings in this Software without prior written authorization."""),
+    ("MIT", MIT),
+    ("ISC", """# Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+# provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+  conditions are met: 1. Redistributions of source code must retain the above copyright notice. 2. Redistributions in binary form must reproduce
+  the above copyright notice. THIS SOFTWARE IS PROVIDED BY THE AUTHORS "AS IS"."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+  conditions are met: * Redistributions of source code must retain the above copyright notice. * Redistributions in binary form must reproduce the
+  above copyright notice. * Neither the name of the University nor the names of its contributors may be used to endorse or promote products."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+  You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law, software distributed
+  under the License is distributed on an "AS IS" BASIS."""),
+    ("LGPL-2.1-or-later", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+  License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+  published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("AGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+  as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all rights: CC0 1.0 Universal."),
+    ("CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike 4.0 licence."),
+    ("CDDL", "The contents of this file are subject to the terms of the Common Development and Distribution License."),
+    ("EUPL", "Licensed under the EUPL, Version 1.2 or later"), ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"), ("PSF", "PSF LICENSE AGREEMENT FOR PYTHON 3.9"),
+    ("Artistic-2.0", "under the terms of the Artistic License 2.0"), ("OFL", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    (None, "the register at 0xcc0ff is set, mercc0 too"), (None, "a permit was granted; the licence plate was lost"), (None, "my cousin wtfplays and teuplo"),
+]
+
+
+def test_wording_of_known_licences(spark):
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(LABELLED)], "id long, text string")
+    got = {r.id: r.licences for r in licences.recognise(df, keep_all=True).collect()}
+    assert {k: got[k] for k in got} == {k: [name] if name else [] for k, (name, _) in enumerate(LABELLED)}
+
+
+def test_sentence_ids_come_in_order_of_text(spark):
+    df = spark.createDataFrame([(1, "all rights reserved, copyright (c) 2020 by us"), (2, "copyright 2020, all rights reserved")], "id long, text string")
+    assert {r.id: r.sentence_ids for r in licences.recognise(df).collect()} == {1: ["reserved", "copyright"], 2: ["copyright", "reserved"]}
+
+
 def test_needed_words_lose_nothing(spark):
     """Every sentence rule's matches hold one of the words that the filters look for."""
     for name, pattern in licences.SENTENCES:
@@ -199,6 +248,30 @@ def test_warc_files(spark, tmp_path):
     found = resolve(read_warc(spark, str(tmp_path)), ("body",)).collect()
     assert len(found) == 1 and found[0].status == "resolved" and bytes(found[0].body).endswith(b"body</p>")
     assert found[0].headers == {"etag": 'W/"1"', "content-type": "text/html", "date": "now"}
+    bad = two.replace(b"Content-Length: ", b"Content-Length: x")
+    assert [r["kind"] for r in parse(bad + three)] == ["revisit"] and [r["kind"] for r in parse(gzip.compress(two) + b"\x1f\x8bdamaged")] == ["response"]
+    many = b"".join(gzip.compress(record("response", f"http://a.org/{i}", "2020", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 3_000_000)) for i in range(9))
+    (tmp_path / "y.warc.gz").write_bytes(many)
+    assert read_warc(spark, str(tmp_path / "y.warc.gz")).selectExpr("count(*)", "min(length(body))").first() == (9, 3_000_000)
+
+
+def test_only_full_responses_and_not_modified_revisits(spark):
+    tag, uri = {"etag": '"1"'}, "http://netpreserve.org/warc/1.1/revisit/"
+    rows = [
+        (1, "http://a.org/", 1, "response", tag, 200, None, "full"), (2, "http://a.org/", 2, "response", tag, 404, None, "missing"), (3, "http://a.org/", 3, "response", tag, 206, None, "part"),
+        (4, "http://a.org/", 4, "revisit", tag, 304, uri + "server-not-modified", None), (5, "http://a.org/", 5, "revisit", tag, 200, uri + "identical-payload-digest", None), (6, "http://a.org/", 6, "revisit", tag, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, url string, date long, kind string, headers map<string,string>, status int, profile string, body string")
+    got = {r.id: (r.base_id, r.status, r.body) for r in resolve(df, ("body",), "status", "profile").collect()}
+    assert got == {4: (1, "resolved", "full"), 5: (None, "other_profile", None), 6: (1, "resolved", "full")}
+
+
+def test_records_that_share_id_and_date(spark):
+    rows = [(1, "http://a.org/", 1, "response", {"etag": '"1"'}, b) for b in ("x", "y", "x")] + [(1, "http://b.org/", 1, "response", {"etag": '"1"'}, "z")]
+    rows += [(9, "http://a.org/", 2, "revisit", {"etag": '"1"', "date": d}, None) for d in ("p", "q", "p")] + [(9, "http://b.org/", 2, "revisit", {"etag": '"1"'}, None)]
+    schema = "id long, url string, date long, kind string, headers map<string,string>, body string"
+    runs = [sorted((r.headers.get("date"), r.body) if r.body != "z" else ("", "z") for r in resolve(spark.createDataFrame(rows, schema).repartition(n), ("body",)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and [d for d, _ in runs[0]] == ["", "p", "p", "q"] and len({b for _, b in runs[0]}) == 2
 
 
 def test_page_records(spark):
