@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import crc_bucket, settle, table
+from docketry.llm.common import crc_bucket, discard, settle, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*held)
+        held = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads the token store that it has written, no longer the documents
+    discard(*held)
+    return out
