@@ -116,17 +116,21 @@ def resolve_laws(mentions: DataFrame) -> DataFrame:
     distinct = df.groupBy("year", "number", "__title").agg(F.min("mention_id").alias("first"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, laws = pdf.sort_values("first"), []
-        out = []
-        for n, title, first in rows[["number", "__title", "first"]].itertuples(index=False):
-            at = next((k for k, (numbers, titles, _) in enumerate(laws) if (n and n in numbers) or (not (n and numbers) and any(similar_titles(title, t) for t in titles))), None)
+        out, firsts, titles, by_number, unnumbered = [], [], [], {}, []
+        for n, title, first in pdf.sort_values("first")[["number", "__title", "first"]].itertuples(index=False):
+            # a number decides where a law has one; titles are compared with the others, or with all if there is no number
+            near = next((k for k in (unnumbered if n else range(len(firsts))) if any(similar_titles(title, t) for t in titles[k])), None)
+            at = min((k for k in (by_number.get(n) if n else None, near) if k is not None), default=None)
             if at is None:
-                laws.append((set(), [], first))
-                at = len(laws) - 1
+                at = len(firsts)
+                firsts.append(first)
+                titles.append({})
+                unnumbered.append(at)
             if n:
-                laws[at][0].add(n)
-            laws[at][1].append(title)
-            out.append((n, title, laws[at][2]))
+                by_number.setdefault(n, at)
+                unnumbered = [k for k in unnumbered if k != at]
+            titles[at][title] = None
+            out.append((n, title, firsts[at]))
         got = pd.DataFrame(out, columns=["number", "__title", "law"])
         got["year"] = pdf["year"].iloc[0]
         return got

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of both sides that meet in one call.
+QUERY_BLOCK, TRAIN_BLOCK = 1024, 1024
+
 
 def char_grams(text: str, least: int = 3, most: int = 5) -> Column:
     """All character n-grams of the lower-cased text, runs of white space read as one blank."""
@@ -31,19 +36,74 @@ def tfidf(rows: DataFrame, fit_on: DataFrame, least: int = 3, most: int = 5) ->
     return w.join(length, "id").select("id", "gram", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def _packed(rows: DataFrame, fit_on: DataFrame, least: int, most: int) -> DataFrame:
+    """id, grams of ``rows``: the weighed n-grams of a text as one array of (hash, weight)."""
+    return tfidf(rows, fit_on, least, most).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), F.col("weight").alias("w"))).alias("grams"))
+
+
+def _postings(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order with the row and the weight of each."""
+    lists = [[] if x is None else x for x in rows]
+    g = np.array([e["g"] for x in lists for e in x], np.int64)
+    w = np.array([e["w"] for x in lists for e in x], np.float64)
+    order = np.argsort(g, kind="stable")
+    return g[order], np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order], w[order]
+
+
+def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digits: int, least: int, most: int) -> DataFrame:
+    """id, measure, neighbour, score: the best row of ``train`` for each query by each field, and by their mean (``pair``).
+
+    Blocks of both sides meet, so that an n-gram that very many rows share is neither a join key nor a product of rows: it
+    adds to the scores of a block in place. A task holds a block of each side and gives one row for each query and measure.
+    """
+    sides = []
+    for rows, size in ((queries, QUERY_BLOCK), (train, TRAIN_BLOCK)):
+        out = rows.select("id")
+        for f in fields:
+            packed = _packed(rows.select("id", F.col(f).alias("text")), train.select("id", F.col(f).alias("text")), least, most)
+            out = out.join(packed.select("id", F.col("grams").alias(f)), "id", "left")
+        sides.append((out, max(1, -(-rows.count() // size))))
+    (q, nq), (t, nt) = sides
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", block(nq).alias("qb"), every(nt).alias("tb"))
+    t = t.select("*", block(nt).alias("tb"), every(nq).alias("qb"))
+    names = [*fields, "pair"] if len(fields) > 1 else list(fields)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("id", ignore_index=True)
+            held = [_postings(b[f]) for f in fields]
+            for row in a.itertuples(index=False):
+                found = []
+                for f, (grams, of, weights) in zip(fields, held, strict=True):
+                    g, _, w = _postings(pd.Series([getattr(row, f)]))
+                    lo, hi = np.searchsorted(grams, g, "left"), np.searchsorted(grams, g, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    score = np.bincount(of[at], np.repeat(w, n) * weights[at], minlength=len(b))
+                    found.append(np.clip(np.round(score, digits), 0.0, 1.0))
+                if len(fields) > 1:
+                    found.append(np.round(sum(found) / len(fields), digits))
+                for name, score in zip(names, found, strict=True):
+                    k = int(score.argmax())  # rows come by id: ties go to the first
+                    out.append((row.id, name, b["id"].iloc[k], score[k]))
+        return pd.DataFrame(out, columns=["id", "measure", "neighbour", "score"])
+
+    kind = dict(queries.dtypes)["id"]
+    best = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(meet, f"id {kind}, measure string, neighbour {kind}, score double")
+    return best.groupBy("id", "measure").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias("b")).select("id", "measure", "b.*")
+
+
 def nearest(queries: DataFrame, train: DataFrame, digits: int = 9, least: int = 3, most: int = 5) -> DataFrame:
     """id, neighbour, score: the most similar row of ``train`` for each row of ``queries`` (id, text).
 
-    Only rows that share an n-gram meet, through the inverted index. A query that shares none gets the first training
-    row with score 0; ties go to the first row. Scores are rounded to ``digits`` before and limited to [0, 1].
+    A query that shares no n-gram with any gets the first training row with score 0; ties go to the first row. Scores are
+    rounded to ``digits`` before and limited to [0, 1].
     """
-    t = tfidf(train, train, least, most).select(F.col("id").alias("neighbour"), "gram", F.col("weight").alias("tw"))
-    q = tfidf(queries, train, least, most)
-    s = q.join(t, "gram").groupBy("id", "neighbour").agg(F.sum(F.col("weight") * F.col("tw")).alias("score"))
-    s = s.withColumn("score", F.least(F.greatest(F.round("score", digits), F.lit(0.0)), F.lit(1.0)))
-    best = s.groupBy("id").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias("b"))
-    first = train.agg(F.min("id").alias("first"))
-    return queries.select("id").join(best, "id", "left").crossJoin(first).select("id", F.coalesce("b.neighbour", "first").alias("neighbour"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    best = _nearest(queries, train, ("text",), digits, least, most).drop("measure")
+    return queries.select("id").join(best, "id", "left").select("id", "neighbour", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def nearest_pairs(queries: DataFrame, train: DataFrame, digits: int = 9) -> DataFrame:
@@ -51,18 +111,12 @@ def nearest_pairs(queries: DataFrame, train: DataFrame, digits: int = 9) -> Data
 
     The two field maxima may come from different training rows; the pair's score is the mean of both on one row.
     """
-    fields = {}
-    for f in ("premise", "hypothesis"):
-        of = lambda df, f=f: df.select("id", F.col(f).alias("text"))
-        t = tfidf(of(train), of(train)).select(F.col("id").alias("neighbour"), "gram", F.col("weight").alias("tw"))
-        s = tfidf(of(queries), of(train)).join(t, "gram").groupBy("id", "neighbour").agg(F.sum(F.col("weight") * F.col("tw")).alias("score"))
-        fields[f] = s.withColumn("score", F.least(F.greatest(F.round("score", digits), F.lit(0.0)), F.lit(1.0)))
-    pair = fields["premise"].unionByName(fields["hypothesis"]).groupBy("id", "neighbour").agg(F.round(F.sum("score") / 2, digits).alias("score"))
-    out, first = queries.select("id"), train.agg(F.min("id").alias("first"))
-    for name, s in (*fields.items(), ("pair", pair)):
-        best = s.groupBy("id").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias(name))
-        out = out.join(best, "id", "left")
-    return out.crossJoin(first).select("id", *(x for n in ("premise", "hypothesis", "pair") for x in (F.coalesce(f"{n}.neighbour", "first").alias(f"{n}_neighbour"), F.coalesce(f"{n}.score", F.lit(0.0)).alias(f"{n}_score"))))
+    best = _nearest(queries, train, ("premise", "hypothesis"), digits, 3, 5)
+    out = queries.select("id")
+    for name in ("premise", "hypothesis", "pair"):
+        own = best.where(F.col("measure") == name).select("id", F.col("neighbour").alias(f"{name}_neighbour"), F.col("score").alias(f"{name}_score"))
+        out = out.join(own, "id", "left").withColumn(f"{name}_score", F.coalesce(f"{name}_score", F.lit(0.0)))
+    return out
 
 
 def distribution(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
