@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import trimmed
+from docketry.llm.common import discard, settle, trimmed
 
 SLOT_BITS, WIDTH = 16, 16
-#: Languages learned at most, the most frequent first.
-MOST_LANGS = 256
+#: Languages whose shares may be broadcast (a name and a number each); beyond that the join shuffles.
+SMALL = 100_000
 _LETTER = regex.compile(r"\p{L}")
 _TABLE = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
 _BLOCK = 1 << 18
@@ -71,12 +71,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.6, alpha: float = 0.002, seed: int = 7) -> Model:
     """Fit on (language, slots, counts) rows in the order given; every fifth row calibrates."""
     langs = sorted({r[0] for r in rows})
+    place = {g: k for k, g in enumerate(langs)}
     if not langs:
         return Model([], np.zeros((1 << SLOT_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     draw = np.random.default_rng(seed)
     emb = draw.uniform(-1 / WIDTH, 1 / WIDTH, (1 << SLOT_BITS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    data = [(langs.index(g), i, (c / max(c.sum(), 1)).astype(np.float32)) for g, i, c in rows]
+    data = [(place[g], i, (c / max(c.sum(), 1)).astype(np.float32)) for g, i, c in rows]
     held, fit = data[::5], [d for k, d in enumerate(data) if k % 5] or data
     steps, step = epochs * len(fit), 0
     for _ in range(epochs):
@@ -106,13 +107,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
 def learn(docs: DataFrame, per_lang: int = 600, alpha: float = 0.002) -> Model:
     """Train on rows (key, text, lang) of ``docs``: of each language some ``per_lang`` rows, chosen by a hash of key.
 
-    The driver gets the hashed counts of the sample: at most MOST_LANGS x per_lang rows of at most 2^16 entries.
+    The driver gets the hashed counts of the sample, per_lang rows of at most 2^16 entries for each language; all languages are learned.
     """
     docs = docs.where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_lang) / F.col("count")).alias("share"))
+    share = settle(docs.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_lang) / F.col("count")).alias("share")), "shares")
+    few = share.limit(SMALL + 1).count() <= SMALL
     ticket = (F.pmod(F.xxhash64("key"), F.lit(1 << 24)) / (1 << 24)).alias("ticket")
-    chosen = docs.select("text", "lang", ticket).join(F.broadcast(share), "lang").where("ticket < share").select("lang", "ticket", "text")
+    chosen = docs.select("text", "lang", ticket).join(F.broadcast(share) if few else share, "lang").where("ticket < share").select("lang", "ticket", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,6 +128,7 @@ def learn(docs: DataFrame, per_lang: int = 600, alpha: float = 0.002) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.binary(), pa.binary()))], ["lang", "ticket", "at", "n"])
 
     found = sorted(chosen.mapInArrow(trimmed(count), "lang string, ticket double, at binary, n binary").collect(), key=lambda r: (r.ticket, r.lang, bytes(r.at)))
+    discard(share)
     rows, taken = [], dict[str, int]()
     for r in found:
         if taken.get(r.lang, 0) < per_lang:
@@ -137,7 +139,7 @@ def learn(docs: DataFrame, per_lang: int = 600, alpha: float = 0.002) -> Model:
 
 def predictor(docs: DataFrame, model: Model):
     """Column function: text -> struct(lang, score, rejected)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 x languages (256 at most) floats
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 floats for each language that is learned
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(text):
