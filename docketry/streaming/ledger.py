@@ -5,6 +5,8 @@ The reference behaviour is a resumable batch; the streams are an extra and keep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,16 @@ def new_contents(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return once if known is None else once.join(known.select("content_sha256"), "content_sha256", "left_anti")
 
 
-def stream_new_contents(pages: DataFrame) -> DataFrame:
-    """Streaming dedup on content hash; the checkpoint keeps what was seen, so a restarted query goes on."""
-    return pages.withColumn("content_sha256", F.sha2(F.col("html").cast("binary"), 256)).dropDuplicates(["content_sha256"])
+def stream_new_contents(pages: DataFrame, arrived: str | None = None, within: str = "7 days") -> DataFrame:
+    """Streaming dedup on content hash; the checkpoint keeps what was seen, so a restarted query goes on.
+
+    With ``arrived``, a column of event time, hashes are forgotten ``within`` that time after the newest, which bounds the state;
+    without it everything is remembered, as a collection that must never take a page twice needs.
+    """
+    df = pages.withColumn("content_sha256", F.sha2(F.col("html").cast("binary"), 256))
+    if arrived is None:
+        return df.dropDuplicates(["content_sha256"])
+    return df.withWatermark(arrived, within).dropDuplicatesWithinWatermark(["content_sha256"])
 
 
 def stream_ledger(events: DataFrame) -> DataFrame:
@@ -58,3 +67,22 @@ def upsert_batch(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def prepare_missing(variants: DataFrame, path: str, fingerprint: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows prepared under a configuration's ``fingerprint``; only variants (variant_id) that have none yet are prepared.
+
+    Each run adds its rows under the fingerprint's folder, so a run that stopped is taken up where it ended, and another
+    configuration starts anew. A variant for which ``prepare`` gives no row is asked for again.
+    """
+    spark = variants.sparkSession
+    at = f"{path.rstrip('/')}/fingerprint={fingerprint}"
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(at)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo = variants
+    if fs.exists(there) and fs.listStatus(there):
+        todo = variants.join(spark.read.parquet(at).select("variant_id").distinct(), "variant_id", "left_anti")
+    if not todo.isEmpty():
+        prepare(todo).write.mode("append").parquet(at)
+    return spark.read.parquet(at)

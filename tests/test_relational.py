@@ -293,3 +293,22 @@ def test_ledger(spark, tmp_path):
     spark.createDataFrame([(4, "y"), (5, "z")], "page_id long, html string").write.mode("append").parquet(str(tmp_path / "in"))
     write()
     assert {r.html for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"x", "y", "z"} and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_bounded_stream_and_resumed_preparation(spark, tmp_path):
+    import datetime
+
+    pages = spark.createDataFrame([(1, "x", datetime.datetime(2020, 1, 1)), (2, "x", datetime.datetime(2020, 1, 2)), (3, "y", datetime.datetime(2020, 1, 3))], "page_id long, html string, at timestamp")
+    pages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ledger.stream_new_contents(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), "at")
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.html for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
+    variants, asked = spark.createDataFrame([("v1",), ("v2",)], "variant_id string"), []
+
+    def prepare(df):
+        asked.append(sorted(r.variant_id for r in df.collect()))
+        return df.withColumn("pairs", F.lit(len(asked)))
+
+    run = lambda rows, mark: {r.variant_id: r.pairs for r in ledger.prepare_missing(rows, str(tmp_path / "prepared"), mark, prepare).collect()}
+    assert run(variants.where("variant_id = 'v1'"), "a") == {"v1": 1} and run(variants, "a") == {"v1": 1, "v2": 2} and run(variants, "a") == {"v1": 1, "v2": 2} and run(variants, "b") == {"v1": 3, "v2": 3}
+    assert asked == [["v1"], ["v2"], ["v1", "v2"]]
