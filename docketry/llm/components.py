@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import discard, settle, trimmed
+from docketry.llm.common import discard, settle, spread_join, trimmed
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,24 +33,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (its first two columns, longs); component is the smallest node.
 
     Each round is written to the shared folder, so no lineage grows and a lost executor costs one round at most. A
-    round moves the edges a few times; the number of rounds grows with the logarithm of the longest path. Nulls and
-    loops are left out. An empty table gives an empty result.
+    round moves the edges a few times; the number of rounds grows with the logarithm of the longest path. The edges of a
+    node with very many are spread over tasks. Nulls and loops are left out. An empty table gives an empty result.
     """
     u, v = edges.columns[:2]
     now = settle(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").mapInArrow(trimmed(_forest), "u long, v long"), "edges")
-    seen = None
-    while True:
+    seen, n = None, now.count()
+    while n:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(large.where("u <> v").distinct(), "edges")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = spread_join(down, least, "u", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = settle(small.where("u <> v").distinct(), "edges")
-        discard(now)
-        discard(large)
-        mark = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select("v", "v").distinct())
-        now, seen = after, mark
+        discard(now, large)
+        n, mark = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        now = after
+        if (n, mark) == seen:
+            break
+        seen = (n, mark)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -11,9 +11,11 @@ replicated to these. Homes are compared with what was sent to them; an anchor th
 exactly (see there).
 
 ``near_copies`` groups whole texts whose sets of five-word shingles have a similarity of 0.8 or more, as proposed by
-256 bits. Bits of such pairs differ too often (in 15 % at 0.8) for a fixed distance of a few bits, so each of 128
+256 bits. Bits of such pairs differ too often (in 15 % at 0.8) for replicas at every anchor in reach, so each of many
 tables decodes a part of the bits to its anchor; pairs that meet at any anchor are compared over all bits. Bits only
-propose, with a margin of three deviations; the shingle sets of the two texts decide each link.
+propose, with a margin of three deviations; the shingle sets of the two texts decide each link. With more texts a table
+takes more bits, so that anchors hold as few strangers as before, and there are more tables, so that pairs meet as often
+(``tables_for``). An anchor with more than ``CELL`` rows is dealt to cells, in which each two of its blocks meet.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, like any other; repeated rows are kept, and
 are one class; null ids take part and are never the smallest id; an empty table gives an empty result.
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import golay
-from docketry.llm.common import discard, settle, trimmed
+from docketry.llm.common import discard, settle, spread_join, trimmed
 from docketry.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: Homes at one anchor that are still compared one by one.
 CROWD = 256
+#: Rows that may be broadcast (16 bytes each); beyond that the join shuffles.
+SMALL = 1_000_000
 _BLOCK = 1 << 15
 
 
@@ -148,7 +152,9 @@ def components_within_two(docs: DataFrame, size: int = 3, crowd: int = CROWD) ->
     placed = settle(placed, "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     names = placed.join(least, "component").select("fp", "component_id")
-    return prints.withColumnRenamed("f0", "fp").join(names, "fp").select("id", "fp", "component_id")
+    out = settle(prints.withColumnRenamed("f0", "fp").join(names, "fp").select("id", "fp", "component_id"), "components")
+    discard(prints, classes, placed)
+    return out
 
 
 def fingerprint_text(column: str):
@@ -158,15 +164,27 @@ def fingerprint_text(column: str):
 # near copies by similarity
 
 
-LANES, TABLES, EXTRA = 4, 128, 9
-#: Bits within which rows are linked before the shuffle, and within which the links of an anchor are a tree.
-SAME, SURE = 4, 20
+LANES = 4
+#: Tables, and bits of a table besides those of its code, for up to USUAL texts.
+TABLES, EXTRA, USUAL = 128, 9, 1 << 18
+#: How often a bit agrees at a similarity of 0.8.
+AGREES = 0.85
+#: Bits within which the links of an anchor are a tree.
+SURE = 20
+#: Rows of an anchor, or of a cell of it, that are compared in one go; anchors with more are told from one row in SOME.
+CELL, SOME = 4096, 16
+
+
+def tables_for(texts: int) -> tuple[int, int]:
+    """Number of tables and their further bits: a bit more for each doubling, and as many more tables as that bit costs."""
+    more = max(0, (max(texts, 1) - 1).bit_length() - (USUAL.bit_length() - 1))
+    return int(np.ceil(TABLES / AGREES**more)), EXTRA + more
 
 
-def _table_bits() -> np.ndarray:
+def _table_bits(tables: int, extra: int) -> np.ndarray:
     """For each table the places, among all bits, of its 23 code bits and its further bits."""
     draw = np.random.default_rng(SEED)
-    return np.array([draw.choice(64 * LANES, golay.LENGTH + EXTRA, replace=False) for _ in range(TABLES)])
+    return np.array([draw.permutation(64 * LANES)[: golay.LENGTH + extra] for _ in range(tables)])
 
 
 def table_anchor(fps: np.ndarray, places: np.ndarray, table: int) -> np.ndarray:
@@ -175,7 +193,7 @@ def table_anchor(fps: np.ndarray, places: np.ndarray, table: int) -> np.ndarray:
     for i, p in enumerate(places.tolist()):
         word |= ((fps[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)) << np.uint64(i)
     code = golay.home(word & golay.MASK)
-    return (np.uint64(table) << np.uint64(golay.LENGTH + EXTRA)) | (word >> np.uint64(golay.LENGTH) << np.uint64(golay.LENGTH)) | code
+    return (np.uint64(table) << np.uint64(len(places))) | (word >> np.uint64(golay.LENGTH) << np.uint64(golay.LENGTH)) | code
 
 
 def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most: int) -> np.ndarray:
@@ -212,38 +230,8 @@ def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def lead(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows that stay as leaders of their anchors, and (leader, row) places of the rows linked to one.
-
-    Rows of an anchor are taken by id; each joins the first leader within ``most`` bits, or becomes one.
-    """
-    left = np.lexsort((ids, anchors))
-    stay, pairs = [], []
-    while len(left):
-        first = np.concatenate([[True], anchors[left][1:] != anchors[left][:-1]])
-        head = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-        stay.append(left[first])
-        apart = np.zeros(len(left), np.int64)
-        if (rest := np.flatnonzero(~first)).size:
-            apart[rest] = np.bitwise_count(fps[left[rest]] ^ fps[head[rest]]).sum(axis=1)
-        close = ~first & (apart <= most)
-        pairs.append(np.stack([head[close], left[close]], axis=1))
-        left = left[~first & ~close]
-    return np.concatenate(stay) if stay else left, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-
-
 _FIELDS = ["anchor", "id", *(f"f{i}" for i in range(LANES))]
-_LED = "anchor long, id long, " + ", ".join(f"f{i} long" for i in range(LANES)) + ", other long"
-
-
-def _out(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, stay: np.ndarray, pairs: np.ndarray, kept: bool) -> Iterator[pa.RecordBatch]:
-    """Leaders (if ``kept``) with their words, links as rows with ``other`` set."""
-    names = [*_FIELDS, "other"]
-    if kept and len(stay):
-        yield pa.RecordBatch.from_arrays([pa.array(anchors[stay].view(np.int64)), pa.array(ids[stay]), *(pa.array(fps[stay, i].view(np.int64)) for i in range(LANES)), pa.nulls(len(stay), pa.int64())], names)
-    if len(pairs):
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(ids[pairs[:, 0]]), *[none] * LANES, pa.array(ids[pairs[:, 1]])], names)
+_ROW = "anchor long, id long, " + ", ".join(f"f{i} long" for i in range(LANES))
 
 
 def _words(b: pa.RecordBatch, at: int) -> np.ndarray:
@@ -251,46 +239,72 @@ def _words(b: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def near_links(prints: DataFrame, most: int) -> DataFrame:
-    """(a, b): links between rows of ``prints`` (id, f0 ..) that meet at an anchor and differ in ``most`` bits or fewer.
+    """(a, b, bits): links between rows of ``prints`` (id, f0 ..) that meet at an anchor and differ in ``most`` bits or fewer.
 
-    Rows within ``SAME`` bits of a leader in their own batch are linked to it and not shuffled further; a leader stands for
-    these with 2 SAME bits more. All other rows of an anchor are compared with those that joined before, too (``meet``).
+    Which anchors are dealt to cells is told from one row in ``SOME``; that decides where rows meet, not which.
     """
-    bits = _table_bits()
+    tables, extra = tables_for(prints.count())
+    bits = _table_bits(tables, extra)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, fps = b.column(0).to_numpy(zero_copy_only=False), _words(b, 1)
-            for t in range(TABLES):
-                anchors = table_anchor(fps, bits[t], t)
-                yield from _out(anchors, ids, fps, *lead(anchors, ids, fps, SAME), True)
+        """All anchors of each row, one row after the other, so that its words are beside each other in what is shuffled."""
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                fps = _words(b, 1)
+                anchors = np.stack([table_anchor(fps, bits[t], t) for t in range(tables)], axis=1)
+                of = pa.array(np.repeat(np.arange(b.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel().view(np.int64)), *(c.take(of) for c in b.columns)], _FIELDS)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            anchors, ids, fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False), _words(b, 2)
-            yield from _out(anchors, ids, fps, ids[:0], meet(anchors, ids, fps, min(SURE, most), most + 2 * SAME), False)
+        def done() -> Iterator[pa.RecordBatch]:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            at, cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            group, fps = np.cumsum(np.concatenate([[0], (at[1:] != at[:-1]) | (cell[1:] != cell[:-1])])), _words(b, 3)
+            pairs = meet(group, ids, fps, min(SURE, most), most)
+            apart = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]]), pa.array(apart)], ["a", "b", "bits"])
 
         for b in batches:
-            anchors = b.column(0).to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0  # the last anchor may go on
+            if not b.num_rows:
+                continue
+            at, cell = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            apart = np.flatnonzero((at != at[-1]) | (cell != cell[-1]))
+            last = int(apart[-1]) + 1 if len(apart) else 0  # the last group may go on
             held.append(b)
-            if last and sum(x.num_rows for x in held) >= 100_000:
+            if last and sum(x.num_rows for x in held) >= 50_000:
                 held[-1] = b.slice(0, last)
-                yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                yield from done()
                 held = [b.slice(last)]
-        if held and sum(x.num_rows for x in held):
-            yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    led = settle(prints.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(trimmed(first), _LED), "led")
-    rows = led.where("other is null").select(*_FIELDS).repartition("anchor").sortWithinPartitions("anchor")
-    met = rows.mapInArrow(trimmed(second), _LED).select("id", "other")
-    return led.where("other is not null").select("id", "other").union(met).toDF("a", "b").distinct()
+        if held:
+            yield from done()
+
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = prints.select(*_FIELDS[1:]).repartition(n, "id")
+    few = own.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).mapInArrow(trimmed(first), _ROW).groupBy("anchor").count().where(F.col("count") > CELL // SOME)
+    crowded = settle(few.select(F.col("anchor").alias("__of"), F.ceil(F.col("count") * SOME / (CELL // 2)).alias("__blocks")), "crowded")
+    rows, cell = own.mapInArrow(trimmed(first), _ROW), F.lit(0).cast("long").alias("cell")
+    if crowded.isEmpty():
+        dealt = rows.select("anchor", cell, *_FIELDS[1:])
+    else:
+        small = crowded.limit(SMALL + 1).count() <= SMALL
+        marked = rows.join(F.broadcast(crowded) if small else crowded, F.col("anchor") == F.col("__of"), "left")
+        block, every = F.pmod(F.xxhash64("id"), "__blocks"), F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)
+        cells = F.transform(every, lambda k: F.least(block, k) * F.col("__blocks") + F.greatest(block, k))
+        dealt = marked.select("anchor", F.explode(F.coalesce(cells, F.array(cell))).alias("cell"), *_FIELDS[1:])
+    met = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(trimmed(second), "a long, b long, bits int")
+    out = settle(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits")), "links")
+    discard(crowded)
+    return out
 
 
 def alike(links: DataFrame, prints: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) between rows of ``prints`` (id, f0 ..) whose texts in ``docs`` (id, text) have shingle sets of ``similarity`` or more."""
+    """The ``links`` (a, b) between rows of ``prints`` (id, f0 ..) whose texts in ``docs`` (id, text) have shingle sets of ``similarity`` or more.
+
+    A shingle is told by 32 bits of its hash: two different ones agree once in 4 billion.
+    """
     words = [f"f{i}" for i in range(LANES)]
     linked = links.select(F.col("a").alias("__id")).union(links.select("b")).distinct()
     named = prints.join(linked, F.col("id") == F.col("__id")).select("__id", *words)
@@ -303,22 +317,24 @@ def alike(links: DataFrame, prints: DataFrame, docs: DataFrame, size: int, simil
                 h = shingle_hashes(text.as_py(), size)
                 if (majority(h, LANES) == own).all():  # other texts may have this id, too
                     ids.append(i)
-                    found.append(np.unique(h).tobytes())
+                    found.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
 
     of = settle(texts.mapInArrow(trimmed(sets), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
-    pairs = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = spread_join(links, of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return settle(pairs.mapInArrow(trimmed(near), "a long, b long"), "alike")
+    out = settle(pairs.mapInArrow(trimmed(near), "a long, b long"), "alike")
+    discard(of)
+    return out
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -332,14 +348,23 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     words = [f"f{i}" for i in range(LANES)]
     classes = settle(prints.groupBy(*words).agg(F.min("id").alias("least")), "classes")
     known = classes.where("least is not null").withColumnRenamed("least", "id")
-    links = alike(settle(near_links(known, most), "links"), known, docs, size, similarity)
-    parts = settle(components(links), "parts")
+    proposed = near_links(known, most)
+    # each row's nearest first; most of the other links then lie within groups that are linked already
+    ends = proposed.union(proposed.select("b", "a", "bits")).toDF("a", "b", "bits")
+    nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    nearest = settle(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
+    sure = alike(nearest, known, docs, size, similarity)
+    named = settle(components(sure), "named")
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = proposed.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    apart = settle(apart.select("a", "b"), "apart")
+    links = settle(sure.union(alike(apart, known, docs, size, similarity)), "links")
+    discard(nearest, sure, named, apart)
+    parts = components(links)
     named = classes.join(parts.withColumnRenamed("node", "least"), "least", "left").select(*words, F.coalesce("component", "least").alias("group_id"))
-    return prints.join(named, words).select("id", "group_id")
-
-
-#: Rows to drop that may be broadcast (8 bytes each); beyond that the join shuffles.
-SMALL = 1_000_000
+    out = settle(prints.join(named, words).select("id", "group_id"), "groups")
+    discard(prints, classes, proposed, links)
+    return out
 
 
 def keep_one(docs: DataFrame, id_column: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
