@@ -57,23 +57,23 @@ def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digi
     adds to the scores of a block in place. A task holds a block of each side and gives one row for each query and measure.
     """
     sides = []
-    for rows, size in ((queries, QUERY_BLOCK), (train, TRAIN_BLOCK)):
-        out = rows.select("id")
+    for rows, name, size in ((queries, "id", QUERY_BLOCK), (train, "neighbour", TRAIN_BLOCK)):
+        out = rows.select(F.col("id").alias(name))
         for f in fields:
             packed = _packed(rows.select("id", F.col(f).alias("text")), train.select("id", F.col(f).alias("text")), least, most)
-            out = out.join(packed.select("id", F.col("grams").alias(f)), "id", "left")
+            out = out.join(packed.select(F.col("id").alias(name), F.col("grams").alias(f)), name, "left")
         sides.append((out, max(1, -(-rows.count() // size))))
     (q, nq), (t, nt) = sides
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("*", block(nq).alias("qb"), every(nt).alias("tb"))
-    t = t.select("*", block(nt).alias("tb"), every(nq).alias("qb"))
+    q = q.select("*", block("id", nq).alias("qb"), every(nt).alias("tb"))
+    t = t.select("*", block("neighbour", nt).alias("tb"), every(nq).alias("qb"))
     names = [*fields, "pair"] if len(fields) > 1 else list(fields)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            b = b.sort_values("id", ignore_index=True)
+            b = b.sort_values("neighbour", ignore_index=True)
             held = [_postings(b[f]) for f in fields]
             for row in a.itertuples(index=False):
                 found = []
@@ -88,7 +88,7 @@ def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digi
                     found.append(np.round(sum(found) / len(fields), digits))
                 for name, score in zip(names, found, strict=True):
                     k = int(score.argmax())  # rows come by id: ties go to the first
-                    out.append((row.id, name, b["id"].iloc[k], score[k]))
+                    out.append((row.id, name, b["neighbour"].iloc[k], score[k]))
         return pd.DataFrame(out, columns=["id", "measure", "neighbour", "score"])
 
     kind = dict(queries.dtypes)["id"]

@@ -367,7 +367,7 @@ def drop_reasons(spark, d):
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'второе ' || doc_id ELSE 'одно ' || doc_id END AS section FROM documents")
-def operative_sections(spark, d):
+def sections_after_marker(spark, d):
     i = S(doc())
     said = F.when(doc() % 3 == 0, F.concat(F.lit("без раздела "), i)).when(doc() % 3 == 1, F.concat(F.lit("п о с т а н о в и л: первое ПОСТАНОВИЛ. второе "), i, F.lit("  "))).otherwise(F.concat(F.lit("решил: нет. Постановил\nодно "), i))
     return t(spark, d, "documents").withColumn("said", said).select("doc_id", text.operative_section("said").alias("section"))
