@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,7 +64,6 @@ def trimmed(run):
     def wrapped(batches):
         yield from run(batches)
         import ctypes
-        import gc
 
         import pyarrow as pa
 
@@ -100,6 +100,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         drop_path(t.sparkSession, t._settled_at)
     if tables:
+        gc.collect()
         tables[0].sparkSession._jvm.java.lang.System.gc()
 
 
