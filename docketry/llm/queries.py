@@ -120,8 +120,31 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.periodic import repeated, runs
+
+    docs = table(spark, sf_dir, "documents")
+    found = runs(docs.select("doc_id", repeated(F.col("doc_id"), F.col("text")).alias("text")))
+    # of two runs the one with more length for its period (compared as products of whole numbers), the first of equal ones
+    best = F.aggregate("runs", F.get("runs", 0), lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    digest = [F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256) for c in (lines, F.col("collapsed"))]
+    return found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), digest[0].alias("runs_sha256"), digest[1].alias("collapsed_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docketry.llm.byte_bpe import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = decode(encode(table(spark, sf_dir, "documents"), *ranks), *ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op2_passages, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index)}
+    return {f.__name__: f for f in (op1_token_store, op2_passages, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index, op11_periodic_runs, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
