@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def _codec(path: str, pattern: str) -> ByteBpe:
 def _rows(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some ``size`` bytes in their second column, one row at least: what encoding holds at once."""
     lo, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(1)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
         held += n or 0
         if held >= size or i + 1 == batch.num_rows:
             yield batch.slice(lo, i + 1 - lo)
@@ -255,7 +256,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             if flat.null_count:
                 raise ValueError("an id stands for no token of the vocabulary")
             place = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-            ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             raw = memoryview(flat.buffers()[2] or b"")
             at = place[ends].tolist()
             out = [None if null else bytes(raw[lo:to]) for lo, to, null in zip(at, at[1:], lists.is_null().to_pylist())]
