@@ -132,6 +132,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("best", best).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), digest[0].alias("runs_sha256"), digest[1].alias("collapsed_sha256"))
 
 
+def op12_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.migrate import migrate_clients
+
+    return migrate_clients(table(spark, sf_dir, "clients"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -144,7 +150,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op2_passages, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index, op11_periodic_runs, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_passages, op3_language_id, op4_toxicity, op5_simhash_components, op6_decontamination, op7_licences, op8_mixing, op9_warc_revisits, op10_multi_index, op11_periodic_runs, op12_schema_rewrite, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
