@@ -102,6 +102,11 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 0x100 + n for n, b in enumerate(rest)}
 
 
+def _ends_a_piece(stem: bytes) -> bool:
+    """Whether signs after this part of a word are always pieces of their own: it ends in a letter or an ASCII digit."""
+    return stem[-1:].isalnum() or (stem[-1:] > b"\x7f" and stem.decode("utf-8")[-1].isalpha())
+
+
 class WordEncoder:
     """Encodes whole texts through a table of white-space separated words.
 
@@ -167,7 +172,7 @@ class WordEncoder:
             if (ids := older.get(w)) is None:
                 if letters and w.isalpha() and w.islower():  # the same as _word, for most words
                     ids = array(code, [t.id for t in tokens(w.decode())]).tobytes()
-                elif self.parts and (stem := w.rstrip(_TAIL)) != w:
+                elif self.parts and (stem := w.rstrip(_TAIL)) != w and _ends_a_piece(stem):
                     if (ids := known.get(stem) or older.get(stem) or self._word(stem)) is not None:
                         ids += self._tail(w[len(stem) :])
                 else:

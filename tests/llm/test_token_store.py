@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from docketry.llm.common import fresh_path
-from docketry.llm.token_store import Store, WordEncoder, crc_shift, cut, write_store
+from docketry.llm.token_store import Store, WordEncoder, crc_shift, cut, token_digests, write_store
 from docketry.llm.words import word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +33,30 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(packed, "<u2").tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_ids_do_not_depend_on_words_met_before():
+    """Signs alone, as words and as ends of words, in random order; each text is met by warm tables of several sizes."""
+    own, whole = random.Random(11), Tokenizer.from_file(PATH)
+    signs = [*".,;:!?*#$%&)(\"'-=/<>|[]{}@~`^+_"]
+    parts = [*signs, *signs, "yes", "a", "é", "ß", "日", "7", "²", "x1", "'s", "'ll", "a\u0301", "<|endoftext|>", "No"]
+    texts = [" ".join("".join(own.choice(parts) for _ in range(own.randint(1, 4))) for _ in range(own.randint(1, 5))) for _ in range(100_000)]
+    texts += ["'", "a '?", '"', 'He said "yes ".', "-", "-.", "/", "/.", "=", "=;", "(", "(."]
+    want = [array("H", e.ids).tobytes() for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    for words in (300, 700_000):
+        encoder = WordEncoder(PATH, "<u2", words=words)
+        packed = [t.encode() for t in texts]
+        assert encoder.encode(packed) == want
+        assert encoder.encode(packed[::-1]) == want[::-1]
+
+
+def test_digests_do_not_depend_on_partitions(spark):
+    rows = [(1, 'a " b \' ('), (2, 'He said "yes ".'), (3, "a '?"), (4, "(. -. =;"), (5, None)]
+    found = [sorted(map(tuple, token_digests(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(n, "doc_id"), PATH).collect())) for n in (1, 2, 5)]
+    assert found[0] == found[1] == found[2]
+    whole = Tokenizer.from_file(PATH)
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    assert [(r[0], r[2], r[3]) for r in found[0]] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in sorted(ids.items())]
+
+
 def test_checksums_join():
     for _ in range(50):
         parts = [rng.randbytes(rng.randint(0, 3000)) for _ in range(rng.randint(1, 6))]
