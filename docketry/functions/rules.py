@@ -114,7 +114,9 @@ WITH_EXPULSION = r"\bс\s+(?:[а-яё()]+\s+){0,8}выдворени[ея]м|\b
 EXPULSION_CARRIED = r"выдворение[^.;\n]{0,150}(?:назначить|осуществить|произвести)"
 DEPARTURE = r"обязан[а-яё]*\s+(?:самостоятельно\s+)?выехать|\bобязать\b[\s\S]{0,1200}\bвыехать\b"
 ENTREPRENEUR = r"\bИП\b|индивидуальн[а-яё]*\s+предпринимател[а-яё]*"
-OF_ANOTHER = r"\b(?:у|к|от)\s*$|работа[а-яё]*[^,;]{0,75}$|представител[а-яё]*\s*$"
+OF_ANOTHER = r"(?:\b(?:у|к|от)\s*|работа[а-яё]*[^,;]{0,75}|представител[а-яё]*\s*)"
+OPENED = r"\bу\s*с\s*т\s*а\s*н\s*о\s*в\s*и\s*л(?:\s*а)?\b"
+CALLED_TO_ACCOUNT = r"^\s*привлечь"
 OF_THE_ACCUSED = r"в\s+отношении\s*:?\s*(?:ФИО\d+[^\n]{0,160})?$|о\s+привлечении[^\n]{0,180}ответственности[^\n]{0,100}$"
 SEVERAL_PLURAL = r"совершении\s+(?:административных\s+)?правонарушени(?:ях|й)\b"
 SEVERAL_PARTS = r"част(?:ями|ей)\s+\d+\s*(?:,|и)\s*\d+"

@@ -75,13 +75,13 @@ def _ci(pattern: str) -> str:
 # sections and sentences
 
 
-def final_section(text: str, marker: str) -> Column:
+def final_section(text: str | Column, marker: str) -> Column:
     """Text after the last marker, or null."""
-    pattern = r"(?s)^.*(?:" + marker + r")(.*)$"
-    return F.when(F.col(text).rlike("(?s)(?:" + marker + ")"), F.regexp_extract(text, pattern, 1))
+    pattern, text = r"(?s)^.*(?:" + marker + r")(.*)$", F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike("(?s)(?:" + marker + ")"), F.regexp_extract(text, pattern, 1))
 
 
-def operative_section(text: str, lexicon: Lexicon = LEGAL) -> Column:
+def operative_section(text: str | Column, lexicon: Lexicon = LEGAL) -> Column:
     """The final section without blanks around it; null if there is none or nothing in it."""
     section = F.regexp_replace(final_section(text, lexicon.section_marker), r"(?U)^\s+|\s+$", "")
     return F.nullif(section, F.lit(""))
@@ -266,6 +266,17 @@ def strip_tags(fragment: pd.Series) -> pd.Series:
     return fragment.map(lambda t: None if t is None else " ".join(html.unescape(re.sub(r"<[^>]*>", " ", t)).replace(NBSP, " ").split()))
 
 
+def concordance(text: str | Column, pattern: str, before: int, after: int, behind: str | None = None, reach: int = 0, cased: bool = False) -> Column:
+    """array of struct(hit, passage): every match with the characters around it; ``behind`` has to match in the ``reach`` characters before it."""
+    found, led = (re.compile(x, 0 if cased else re.IGNORECASE) if x else None for x in (pattern, behind))
+
+    def lines(t: str | None) -> list[dict]:
+        hits = (m for m in found.finditer(t or "") if not led or led.search(t, max(0, m.start() - reach), m.start()))
+        return [{"hit": m.group(), "passage": t[max(0, m.start() - before) : m.end() + after]} for m in hits]
+
+    return F.pandas_udf(lambda texts: texts.map(lines), "array<struct<hit:string,passage:string>>")(text)
+
+
 def snippet(text: str, start: Column, end: Column, radius: int) -> Column:
     """The surroundings of [start, end), with ellipses where text is left out."""
     lo, hi = F.greatest(start - radius, F.lit(0)), F.least(end + radius, F.length(F.col(text)))

@@ -253,7 +253,8 @@ def test_exclusions(spark):
     assert "missing_operative" in got[6].flags and got[7].protected and got[3].evidence["direct_federal_law"] == ["На основании ст. 5 ФЗ обязать явиться."]
     said = ["Выдворить за пределы.", "Разъяснить: выдворить можно.", "Назначить штраф без выдворения.", "Назначить штраф с административным выдворением.", "О выдворении просили.", None]
     assert col(spark, said, collect.imposes_expulsion("t")) == [True, False, False, True, False, False]
-    assert collect.accused_entrepreneur("", "Признать ИП Ф. виновным.\nПризнать Ф., работающего у ИП Г., виновным.") == ["Признать ИП Ф. виновным."]
+    ruled = "ПОСТАНОВИЛ:\nПризнать ИП Ф. виновным.\nПризнать Ф., работающего у ИП Г., виновным."
+    assert col(spark, [ruled, None], collect.party_evidence("t")) == [["Признать ИП Ф. виновным."], []]
     reasons = found.select("doc_id", "reasons")
     manual = spark.createDataFrame([(4, None, ["split_penalty"], "проверено"), (9, ["manual"], None, None)], "doc_id long, add array<string>, remove array<string>, note string")
     after, bad = collect.override(reasons, manual)
