@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.operators.curation import apply_edits, edits_are_valid
+from docketry.operators.laws import leaders, similar_pairs
 from docketry.schemas import LABELS
+from docketry.shared import settled
 
 
 def apply_variants(documents: DataFrame, variants: DataFrame, caps: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -94,49 +93,39 @@ def bundle_violations(rows: DataFrame, documents: DataFrame) -> DataFrame:
 # laws that sentences mention
 
 
-def similar_titles(a: str, b: str, least: float = 0.8) -> bool:
-    """Sequence similarity of ``least``, or one title inside the other."""
-    return bool(a and b) and (a in b or b in a or difflib.SequenceMatcher(None, a, b).ratio() >= least)
-
-
 def title_key(title: str | Column) -> Column:
-    """Lower case, yo as ye, "федеральный закон" for its abbreviation, letters and digits only."""
+    """Lower case, yo as ye, the country's name for its abbreviation, letters and digits only; as ``laws.normal_title``."""
     c = F.lower(F.col(title) if isinstance(title, str) else title)
-    c = F.regexp_replace(F.translate(c, "ё", "е"), r"(?u)(?<!\p{L})фз(?!\p{L})", "федеральный закон")
+    c = F.regexp_replace(F.translate(c, "ё", "е"), r"(?U)\bрф\b", "российской федерации")
     return F.trim(F.regexp_replace(c, r"[^а-я0-9]+", " "))
 
 
 def resolve_laws(mentions: DataFrame) -> DataFrame:
-    """``mentions`` (mention_id, number, year, title, dated) with law: mentions of one number and year, or of similar titles of a year.
+    """``mentions`` (mention_id, number, year, title, dated) with law: the first mention of their number in their year.
 
-    Mentions are compared within a year only, after equal ones were made one; the first dated mention of a law
-    represents it (``chosen``).
+    Without a number, a title is the earliest law of the year with a like title; of the titles that are like none, the earliest
+    are laws. The first dated mention of a law represents it (``chosen``).
     """
-    df = mentions.withColumn("__title", title_key("title"))
-    distinct = df.groupBy("year", "number", "__title").agg(F.min("mention_id").alias("first"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, firsts, titles, by_number, unnumbered = [], [], [], {}, []
-        for n, title, first in pdf.sort_values("first")[["number", "__title", "first"]].itertuples(index=False):
-            # a number decides where a law has one; titles are compared with the others, or with all if there is no number
-            near = next((k for k in (unnumbered if n else range(len(firsts))) if any(similar_titles(title, t) for t in titles[k])), None)
-            at = min((k for k in (by_number.get(n) if n else None, near) if k is not None), default=None)
-            if at is None:
-                at = len(firsts)
-                firsts.append(first)
-                titles.append({})
-                unnumbered.append(at)
-            if n:
-                by_number.setdefault(n, at)
-                unnumbered = [k for k in unnumbered if k != at]
-            titles[at][title] = None
-            out.append((n, title, firsts[at]))
-        got = pd.DataFrame(out, columns=["number", "__title", "law"])
-        got["year"] = pdf["year"].iloc[0]
-        return got
-
-    kinds = dict(df.dtypes)
-    named = distinct.groupBy("year").applyInPandas(run, f"number {kinds['number']}, __title string, law {kinds['mention_id']}, year {kinds['year']}")
-    same = F.col("m.year").eqNullSafe(F.col("l.year")) & F.col("m.number").eqNullSafe(F.col("l.number")) & F.col("m.__title").eqNullSafe(F.col("l.__title"))
-    out = df.alias("m").join(named.alias("l"), same, "left").select("m.*", "l.law").drop("__title")
-    return out.withColumn("chosen", F.row_number().over(W.partitionBy("law").orderBy(F.desc("dated"), "mention_id")) == 1)
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    df = settled(mentions.select("*", blank("year").alias("__in"), blank("number").alias("__no"), F.coalesce(title_key("title"), F.lit("")).alias("__title")))
+    by_number = df.where("__no <> ''").groupBy("__in", "__no").agg(F.min("mention_id").alias("law"))
+    numbered = df.where("__no <> ''").select("__in", "__no", "__title").distinct().join(by_number, ["__in", "__no"])
+    known = numbered.groupBy("__in", F.col("__title").alias("title")).agg(F.min("law").alias("law"))
+    bare = settled(df.where("__no = ''").groupBy("__in", F.col("__title").alias("title")).agg(F.min("mention_id").alias("id")))
+
+    def earliest(pairs: DataFrame, laws: DataFrame) -> DataFrame:
+        return pairs.join(laws.withColumnRenamed("title", "y"), ["__in", "y"]).groupBy("__in", F.col("x").alias("title")).agg(F.min("law").alias("law"))
+
+    aliased = settled(earliest(similar_pairs(bare, known, ["__in"]), known))
+    rest = settled(bare.join(aliased, ["__in", "title"], "left_anti"))
+    like = settled(similar_pairs(rest, rest, ["__in"]).where("x <> y"))
+    one, two = rest.withColumnRenamed("title", "x"), rest.select("__in", F.col("title").alias("y"), F.col("id").alias("before"))
+    first = leaders(rest, like.join(one, ["__in", "x"]).join(two, ["__in", "y"]).where("before < id"))
+    new = settled(rest.join(first, "id").select("__in", "title", F.col("id").alias("law")))
+    later = earliest(like, new).join(new, ["__in", "title"], "left_anti")
+    by_title = aliased.unionByName(new).unionByName(later)
+    told = df.where("__no <> ''").join(by_number, ["__in", "__no"]).unionByName(df.where("__no = ''").join(by_title.withColumnRenamed("title", "__title"), ["__in", "__title"]))
+    # a law's own first dated mention, found by an aggregate: a law may have any number of mentions
+    best = told.groupBy("law").agg(F.min_by("mention_id", F.struct(~F.col("dated"), "mention_id")).alias("__best"))
+    out = told.join(best, "law").withColumn("chosen", F.col("mention_id") == F.col("__best"))
+    return out.select(*mentions.columns, "law", "chosen")

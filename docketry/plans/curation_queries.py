@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import citations as cites
 from docketry.functions import dates, keys, text, vectors
-from docketry.operators import annotations, audit, citation_audit, collect, corpus, curation, generation, lookups, release
+from docketry.operators import annotations, audit, citation_audit, collect, corpus, curation, generation, laws, lookups, release
 from docketry.plans.queries import _FLAT, _GOLD, _gold, query, rounded, t
 from docketry.schemas import LABELS
 from docketry.sources.tables import portable_path
@@ -434,6 +434,36 @@ def named_laws(spark, d):
     return t(spark, d, "documents").withColumn("said", said).select("doc_id", F.array_join(cites.law_numbers("said"), ",").alias("laws"))
 
 
+_LAW_TITLES = (
+    "О беженцах", "Об охране окружающей среды", "О судебных приставах", "О полиции", "О рекламе", "О банках и банковской деятельности", "О недрах", "О внесении изменений в отдельные акты", "Об исполнительном производстве", "О связи",
+)
+_LAW_SAID = f"""m AS (SELECT doc_id, n_chars % 97 AS n, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '.' || lpad((n_chars % 12 + 1)::VARCHAR, 2, '0') || '.' || (1995 + n_chars % 3) AS day,
+  doc_id % 5 AS kind, {_listed(_LAW_TITLES)} AS titles FROM documents),
+c AS (SELECT doc_id, n, kind, CASE WHEN kind <> 1 THEN day END AS day, CASE WHEN kind = 3 THEN lower(titles[n % 5 + 1]) END AS title FROM m WHERE kind IN (0, 1, 3)),
+named AS (SELECT n, arg_min(day, doc_id) AS law FROM c WHERE kind = 3 GROUP BY 1), dated AS (SELECT n, count(DISTINCT day) AS days, min(day) AS single_day FROM c WHERE day IS NOT NULL GROUP BY 1),
+k AS (SELECT doc_id, n, day IS NULL AS undated, coalesce(law, day, single_day, '') AS law FROM c LEFT JOIN named USING (n) LEFT JOIN dated USING (n) WHERE law IS NOT NULL OR day IS NOT NULL OR coalesce(days, 0) <= 1),
+f AS (SELECT arg_min(doc_id, (undated, doc_id)) AS doc_id, n, arg_min(law, (undated, doc_id)) AS law, min((undated, doc_id)) AS turn FROM k GROUP BY n, right(law, 4)),
+u AS (SELECT min(doc_id) AS doc_id, title FROM (SELECT doc_id, lower(titles[n_chars % 10 + 1]) AS title FROM m JOIN documents USING (doc_id) WHERE kind IN (2, 4)) WHERE title NOT IN (SELECT title FROM c WHERE title IS NOT NULL) GROUP BY 2)"""
+
+
+@query(f"WITH {_LAW_SAID} SELECT doc_id, n || '-ФЗ' || CASE WHEN law <> '' THEN ' от ' || law ELSE '' END AS law FROM f UNION ALL SELECT doc_id, title FROM u")
+def law_labels(spark, d):
+    """Laws of one sentence for each document: its number and date in two notations, its title, or both."""
+    titles, n = F.array(*map(F.lit, _LAW_TITLES)), F.col("n_chars") % 97
+    month = (F.col("n_chars") % 12 + 1).cast("int")
+    day, year = doc() % 28 + 1, S(1995 + F.col("n_chars") % 3)
+    written = F.concat(S(day), F.lit(" "), F.element_at(F.array(*map(F.lit, dates.MONTHS)), month), F.lit(" "), year, F.lit(" года"))
+    numeric = F.concat(F.lpad(S(day), 2, "0"), F.lit("."), F.lpad(S(month), 2, "0"), F.lit("."), year)
+    law, named = F.lit("Согласно Федеральному закону"), lambda k: F.concat(F.lit(" «"), F.element_at(titles, (k + 1).cast("int")), F.lit("»"))
+    kinds = [
+        F.concat(law, F.lit(" от "), written, F.lit(" № "), S(n), F.lit("-ФЗ можно.")), F.concat(law, F.lit(" № "), S(n), F.lit("-ФЗ нельзя.")), F.concat(law, named(F.col("n_chars") % 10), F.lit(".")),
+        F.concat(law, F.lit(" № "), S(n), F.lit("-ФЗ от "), numeric, named(n % 5), F.lit(" нужно.")), F.concat(F.lit("ФЗ"), named(F.col("n_chars") % 10)),
+    ]
+    said = t(spark, d, "documents").select("doc_id", F.get(F.array(*kinds), (doc() % 5).cast("int")).alias("text"))
+    found = laws.representative_mentions(laws.law_mentions(said.withColumnRenamed("doc_id", "source")))
+    return found.select(F.col("source").alias("doc_id"), F.explode("law_labels").alias("law"))
+
+
 _SCOPES = ("Утратило силу.", "Для целей настоящего Кодекса понятно.", "В настоящей главе термин узок.", "Указанное в частях 1 - 3 настоящей статьи верно.", "Действует настоящая статья.", "Просто текст.")
 
 
