@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docketry.shared import discard, settled
 
 #: Rows of both sides that meet in one call.
 QUERY_BLOCK, TRAIN_BLOCK = 1024, 1024
@@ -50,11 +53,12 @@ def _postings(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g[order], np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order], w[order]
 
 
-def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digits: int, least: int, most: int) -> DataFrame:
+def _in_blocks(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digits: int, least: int, most: int) -> DataFrame:
     """id, measure, neighbour, score: the best row of ``train`` for each query by each field, and by their mean (``pair``).
 
     Blocks of both sides meet, so that an n-gram that very many rows share is neither a join key nor a product of rows: it
     adds to the scores of a block in place. A task holds a block of each side and gives one row for each query and measure.
+    All rows meet all: for the queries that bounds on scores leave open.
     """
     sides = []
     for rows, name, size in ((queries, "id", QUERY_BLOCK), (train, "neighbour", TRAIN_BLOCK)):
@@ -96,6 +100,131 @@ def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digi
     return best.groupBy("id", "measure").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias("b")).select("id", "measure", "b.*")
 
 
+#: Training rows that an n-gram has at most to be looked up by, and the rarest n-grams of a query that find its first guess.
+LOOKED_UP, FIRST_GUESS = 1000, 8
+#: Rows that a query is compared with one by one in any case; beyond, a twentieth of all.
+FEW = 50
+#: Products of rows on both sides up to which bounds aren't worth their joins.
+SMALL = 1 << 16
+
+_VECTOR = T.ArrayType(T.StructType().add("g", T.LongType()).add("w", T.DoubleType()))
+
+
+@F.pandas_udf(T.DoubleType())
+def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Scalar products of two columns of vectors, arrays of (g, w) in order of g."""
+
+    def one(x, y) -> float:
+        g, h = (np.fromiter((e["g"] for e in v), np.int64, len(v)) for v in (x, y))
+        _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
+        return float(sum(x[m]["w"] * y[n]["w"] for m, n in zip(i.tolist(), j.tolist())))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def best_matches(q: DataFrame, t: DataFrame, total: float, digits: int, looked_up: int = LOOKED_UP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact best scalar products of vectors, by looking up only what can win.
+
+    ``q`` (id, g, w) and ``t`` (neighbour, g, w) are vectors by components, those of ``t`` of a squared length of ``total`` at
+    most. A first guess, the row of ``t`` that shares most weight among a query's rarest components, gives a score to beat. A row that
+    beats it shares a component of the query's rarest ones, up to where the rest of the query is so short that the rest alone
+    can't reach the score (Cauchy-Schwarz). Rows met by these components are dropped again where what they share, and the lengths
+    that are left on both sides, can't reach it; all others are compared.
+
+    Returns the best (id, neighbour, score; rounded, ties to the first row), all pairs compared (id, neighbour, score), and the
+    ids left open: those for which components that more than ``looked_up`` rows have would have to be looked up, and those
+    with very many rows to compare.
+    """
+    margin = 4 * 10.0**-digits  # rows within this may be rounded to the same score
+    df = t.groupBy("g").agg(F.count("*").alias("df"))
+    packed = lambda v, key: v.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias("v"))
+    ranked = settled(q.join(df, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v")))
+    vectors = settled(packed(q, "id").withColumnRenamed("v", "qv")), settled(packed(t, "neighbour").withColumnRenamed("v", "tv"))
+    rare = F.filter("v", lambda e: e["df"] <= looked_up)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(vectors[0], "id").join(vectors[1], "neighbour").select("id", "neighbour", _dot("qv", "tv").alias("score"))
+
+    guess = ranked.select("id", F.explode(F.slice(rare, 1, FIRST_GUESS)).alias("e")).select("id", "e.g", F.col("e.w").alias("qw")).join(t, "g")
+    guess = guess.groupBy("id", "neighbour").agg(F.sum(F.col("qw") * F.col("w")).alias("part")).groupBy("id").agg(F.max_by("neighbour", F.struct("part", -F.col("neighbour"))).alias("neighbour"))
+    beat = settled(scored(guess).select("id", (F.col("score") - margin).alias("beat")))
+
+    # how many components have to be looked up: all before the first from which on the rest is too short
+    need = F.col("beat") / F.lit(float(np.sqrt(total)))
+    squares = F.transform("v", lambda e: e["w"] * e["w"])
+    # the squared length of the rest is carried from component to component until it is short enough
+    walk = F.aggregate(
+        squares, F.struct(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y).alias("rest"), F.lit(0).alias("n")),
+        lambda x, y: F.when(x["rest"] < need * need - 1e-12, x).otherwise(F.struct((x["rest"] - y).alias("rest"), (x["n"] + 1).alias("n"))),
+    )
+    plan = ranked.join(beat, "id", "left").withColumn("walk", F.when(F.col("beat") > 0, walk))
+    plan = plan.withColumn("open", F.col("walk").isNull() | F.exists(F.slice("v", F.lit(1), F.col("walk.n")), lambda e: e["df"] > looked_up))
+    plan = settled(plan.select("id", "v", "beat", "open", F.col("walk.n").alias("n"), F.sqrt(F.greatest(F.col("walk.rest"), F.lit(0.0))).alias("rest")))
+    probes = plan.where("not open").select("id", "beat", "rest", F.explode(F.slice("v", F.lit(1), F.col("n"))).alias("e")).select("id", "beat", "rest", "e.g", F.col("e.w").alias("qw"))
+    met = probes.join(t, "g").groupBy("id", "neighbour").agg(F.sum(F.col("qw") * F.col("w")).alias("part"), F.sum(F.col("w") * F.col("w")).alias("used"), F.first("beat").alias("beat"), F.first("rest").alias("rest"))
+    able = F.col("part") + F.col("rest") * F.sqrt(F.greatest(F.lit(total) - F.col("used"), F.lit(0.0))) + 1e-12 >= F.col("beat")
+    pairs = settled(met.where(able).select("id", "neighbour"))
+    # where a query is like nothing, bounds tell little, and a block of rows is the cheaper way to the same result
+    crowded = settled(pairs.groupBy("id").count().where(F.col("count") > max(FEW, vectors[1].count() // 20)).select("id"))
+    compared = settled(scored(pairs.join(F.broadcast(crowded) if crowded.count() <= FEW * 1000 else crowded, "id", "left_anti")))
+    rounded = compared.withColumn("score", F.least(F.greatest(F.round("score", digits), F.lit(0.0)), F.lit(1.0)))
+    best = rounded.groupBy("id").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias("b")).select("id", "b.*")
+    open_ = settled(plan.where("open").select("id").unionByName(crowded))
+    best = settled(best)
+    discard(ranked, *vectors, beat, plan, pairs, crowded)
+    return best, compared, open_
+
+
+def _vectors(rows: DataFrame, fit_on: DataFrame, fields: tuple[str, ...], least: int, most: int) -> DataFrame:
+    """id, field, g, w: the weighed n-grams of each field."""
+    each = [tfidf(rows.select("id", F.col(f).alias("text")), fit_on.select("id", F.col(f).alias("text")), least, most).select("id", F.lit(f).alias("field"), F.xxhash64(F.lit(f), "gram").alias("g"), F.col("weight").alias("w")) for f in fields]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return settled(out)
+
+
+def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digits: int, least: int, most: int, looked_up: int = LOOKED_UP) -> DataFrame:
+    """id, measure, neighbour, score: the best row of ``train`` for each query by each field, and by their mean (``pair``).
+
+    By bounds on scores where they decide; queries that they leave open meet all rows in blocks. Queries that share no n-gram
+    with any row get the first row with score 0.
+    """
+    if queries.count() * train.count() <= SMALL:
+        return _in_blocks(queries, train, fields, digits, least, most)
+    q, t = (_vectors(rows, train, fields, least, most) for rows in (queries, train))
+    measures = {f: (f,) for f in fields} | ({"pair": fields} if len(fields) > 1 else {})
+    # queries that share nothing have the first row; so have those whose best score is rounded to nothing
+    none = queries.select("id").crossJoin(train.agg(F.min("id").alias("first")))  # one row
+    found = None
+    for name, own in measures.items():
+        mine, theirs = q.where(F.col("field").isin(*own)), t.where(F.col("field").isin(*own))
+        here = mine.select("id", "g", (F.col("w") / len(own)).alias("w"))
+        best, compared, open_ = best_matches(here, theirs.select(F.col("id").alias("neighbour"), "g", "w"), float(len(own)), digits, looked_up)
+        if len(own) > 1:  # the mean of rounded scores: of all rows that may reach the best one, by their own products
+            parts = [_scores(compared, mine.where(F.col("field") == f), theirs.where(F.col("field") == f), digits).withColumnRenamed("score", f) for f in own]
+            joined = compared.select("id", "neighbour")
+            for p in parts:
+                joined = joined.join(p, ["id", "neighbour"])
+            mean = joined.select("id", "neighbour", F.round(sum((F.col(f) for f in own[1:]), F.col(own[0])) / len(own), digits).alias("score"))
+            best = mean.groupBy("id").agg(F.max_by(F.struct("neighbour", "score"), F.struct("score", -F.col("neighbour"))).alias("b")).select("id", "b.*")
+        best = best.where("score > 0")
+        if not open_.isEmpty():
+            some = queries.join(open_, "id", "left_semi")
+            best = best.unionByName(_in_blocks(some, train, fields, digits, least, most).where(F.col("measure") == name).select("id", "neighbour", "score"))
+        whole = none.join(best, "id", "left").select("id", F.lit(name).alias("measure"), F.coalesce("neighbour", "first").alias("neighbour"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        found = whole if found is None else found.unionByName(whole)
+    return found.where("neighbour is not null")
+
+
+def _scores(pairs: DataFrame, q: DataFrame, t: DataFrame, digits: int) -> DataFrame:
+    """id, neighbour, score: rounded products of given pairs; 0 where one has no vector."""
+    packed = lambda v, key, name: v.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias(name))
+    both = pairs.select("id", "neighbour").join(packed(q, "id", "qv"), "id", "left").join(packed(t, "neighbour", "tv"), "neighbour", "left")
+    none = F.array().cast(_VECTOR)
+    return both.select("id", "neighbour", F.least(F.greatest(F.round(_dot(F.coalesce("qv", none), F.coalesce("tv", none)), digits), F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
 def nearest(queries: DataFrame, train: DataFrame, digits: int = 9, least: int = 3, most: int = 5) -> DataFrame:
     """id, neighbour, score: the most similar row of ``train`` for each row of ``queries`` (id, text).
 
