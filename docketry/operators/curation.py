@@ -25,64 +25,75 @@ def duplicate_groups(rows: DataFrame, id_column: str, keys: list[Column]) -> Dat
     links = settled(rows.select(F.col(id_column).alias("id"), F.explode(F.array_compact(each)).alias("key")).distinct())
     label = settled(rows.select(F.col(id_column).alias("id"), F.col(id_column).alias("g")).distinct())
     while True:
-        by_key = links.join(label, "id").groupBy("key").agg(F.min("g").alias("k"))
+        by_key = links.join(label.select("id", "g"), "id").groupBy("key").agg(F.min("g").alias("k"))
         near = links.join(by_key, "key").groupBy("id").agg(F.min("k").alias("k"))
-        once = label.join(near, "id", "left").select("id", F.least("g", F.coalesce("k", "g")).alias("g"), F.col("g").alias("old"))
+        once = label.select("id", "g").join(near, "id", "left").select("id", F.least("g", F.coalesce("k", "g")).alias("g"), F.col("g").alias("old"))
         once = settled(once)
         jump = once.select(F.col("id").alias("g"), F.col("g").alias("top"))
         after = settled(once.join(jump, "g", "left").select("id", F.least("g", F.coalesce("top", "g")).alias("g"), "old"))
-        discard(once)
+        discard(once, label)
         if after.where("g <> old").isEmpty():
+            discard(links)
             return after.select(F.col("id").alias(id_column), F.col("g").alias("group_id"))
-        label = after.select("id", "g")
+        label = after
+
+
+def deal_alike(k: int, lacks: dict[str, int], left: dict[str, int], n: int, step: int) -> dict[str, int]:
+    """How many of ``k`` groups of ``n`` documents go to each split if each goes where most is lacking.
+
+    A split's lack falls by ``step`` with each group, and a split with fewer than ``n`` places left takes none. So one after
+    another means: the ``k`` largest of all lacks met on the way. A level is sought by halving that these reach; of those right at it,
+    the splits with more places left come first, then in their order. The number of steps doesn't depend on ``k``.
+    """
+    most = {s: left[s] // n for s in lacks}
+    if sum(most.values()) < k:
+        raise ValueError(f"{k} groups of {n} don't fit into the splits")
+    taken = lambda level: {s: min(most[s], max(0, (lacks[s] - level) // step + 1)) for s in lacks}
+    low, high = min(lacks[s] - step * most[s] for s in lacks) - 1, max(lacks.values()) + 1  # enough at low, none at high
+    while high - low > 1:
+        level = (low + high) // 2
+        low, high = (level, high) if sum(taken(level).values()) >= k else (low, level)
+    out = taken(high)
+    at = [s for s in lacks if out[s] < most[s] and lacks[s] - step * out[s] == low]
+    for s in sorted(at, key=lambda s: -(left[s] - n * out[s]))[: k - sum(out.values())]:
+        out[s] += 1
+    return out
 
 
 def grouped_split(groups: DataFrame, sizes: dict[str, int], seed: int = 0) -> DataFrame:
     """group_id, split: groups of documents dealt out so that the splits have exactly the wanted numbers of documents.
 
-    ``groups``: group_id, stratum, n. Groups of several documents are dealt on the driver, one row each: largest first, in hash
-    order within equal sizes, a group goes to the split that lacks most of it in its stratum, then over all; raises if one can't
-    fit. Documents on their own, most of them as a rule, stay in Spark: each stratum's are put in hash order and cut at what the
-    splits still lack of it.
+    ``groups``: group_id, stratum, n. Large groups go first, then those of small strata, each to the split with room for it that
+    lacks most of its stratum, then most at all, then in order of ``sizes``; raises if one can't fit. Groups of one
+    stratum and size are alike, so the driver deals numbers of them, from one row for each stratum and size (``deal_alike``);
+    which groups these are is their hash order, numbered in Spark.
     """
-    spark, kind = groups.sparkSession, groups.schema["group_id"].dataType.simpleString()
+    spark = groups.sparkSession
     groups = groups.withColumn("h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("group_id").cast("string")), 256))
-    strata = {r.stratum: (r.n, r.single) for r in groups.groupBy("stratum").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("single")).collect()}  # a row for each stratum
-    total = sum(n for n, _ in strata.values())
+    classes = [(r.stratum, r.n, r.k) for r in groups.groupBy("stratum", "n").agg(F.count("*").alias("k")).collect()]
+    of_stratum: dict = {}
+    for g, n, k in classes:
+        of_stratum[g] = of_stratum.get(g, 0) + n * k
+    total = sum(of_stratum.values())
     if total != sum(sizes.values()):
         raise ValueError(f"{total} documents can't be split into {sizes}")
-    left, want = dict(sizes), {(s, g): n * sizes[s] / max(total, 1) for s in sizes for g, (n, _) in strata.items()}
-    out = []
-    for r in sorted(groups.where("n > 1").select("group_id", "stratum", "n", "h").collect(), key=lambda r: (-r.n, r.h)):
-        open_ = [s for s in sizes if left[s] >= r.n]
-        if not open_:
-            raise ValueError(f"group {r.group_id} of {r.n} fits into no split")
-        s = max(open_, key=lambda s: (want[s, r.stratum], left[s], s))
-        left[s] -= r.n
-        want[s, r.stratum] -= r.n
-        out.append((r.group_id, s))
-    dealt = spark.createDataFrame(out, f"group_id {kind}, split string")
-    cuts = []  # stratum, split, first and last number of its documents
-    for g in sorted(strata, key=str):
-        number, open_ = 1, strata[g][1]
-        share = {s: max(0.0, want[s, g]) for s in sizes}
-        for s in sorted(sizes, key=lambda s: (-share[s], s)):
-            rest = sum(v for x, v in share.items() if x not in {c[1] for c in cuts if c[0] == g})
-            take = min(open_, left[s], round(open_ * share[s] / rest) if rest else open_)
-            cuts.append((g, s, number, number + take - 1))
-            number, open_, left[s] = number + take, open_ - take, left[s] - take
-        for s in sizes:  # what rounding and full splits have left over
-            take = min(open_, left[s])
-            cuts.append((g, s, number, number + take - 1))
-            number, open_, left[s] = number + take, open_ - take, left[s] - take
-    table = spark.createDataFrame(cuts, f"__g {groups.schema['stratum'].dataType.simpleString()}, split string, __lo long, __hi long")
-    # numbers run through all strata; each stratum's begin after those of the strata before it
-    single = numbered(groups.where("n = 1").select("group_id", "stratum", "h"), ["stratum", "h", "group_id"])
-    first = single.groupBy("stratum").agg(F.min("number").alias("__first"))
-    known = table.join(first, F.col("__g").eqNullSafe(F.col("stratum"))).select("__g", "split", (F.col("__lo") + F.col("__first") - 1).alias("__lo"), (F.col("__hi") + F.col("__first") - 1).alias("__hi"))
-    # strata x splits rows
-    fits = F.col("stratum").eqNullSafe(F.col("__g")) & F.col("number").between(F.col("__lo"), F.col("__hi"))
-    return dealt.unionByName(single.join(F.broadcast(known), fits).select("group_id", "split"))
+    left, cuts = dict(sizes), []
+    lacks = {g: {s: m * sizes[s] for s in sizes} for g, m in of_stratum.items()}  # in parts of one document by all
+    for g, n, k in sorted(classes, key=lambda c: (-c[1], of_stratum[c[0]], c[0] is None, c[0])):
+        number = 0
+        for s, m in deal_alike(k, lacks[g], left, n, n * total).items():
+            left[s] -= n * m
+            lacks[g][s] -= n * m * total
+            cuts.append((g, n, s, number, number + m - 1))
+            number += m
+    kinds = dict(groups.dtypes)
+    table = spark.createDataFrame(cuts, f"__g {kinds['stratum']}, __n {kinds['n']}, split string, __lo long, __hi long")
+    # numbers run through all strata and sizes; each class begins after those before it
+    each = settled(numbered(groups.select("group_id", "stratum", "n", "h"), ["stratum", "n", "h", "group_id"]))
+    first = each.groupBy("stratum", "n").agg(F.min("number").alias("__first"))
+    mine = F.col("stratum").eqNullSafe(F.col("__g")) & (F.col("n") == F.col("__n"))
+    known = settled(first.join(table, mine).select("__g", "__n", "split", (F.col("__lo") + F.col("__first")).alias("__lo"), (F.col("__hi") + F.col("__first")).alias("__hi")))
+    return each.join(F.broadcast(known) if len(cuts) <= 100_000 else known, mine & F.col("number").between(F.col("__lo"), F.col("__hi"))).select("group_id", "split")
 
 
 # quotas, weights, samples
@@ -98,13 +109,6 @@ def largest_remainder(weights: DataFrame, total: int, minimum: int = 0, key: str
     return df.select(key, (F.lit(minimum) + F.col("__floor") + extra.cast("long")).cast("long").alias("quota"))
 
 
-def class_weights(rows: DataFrame, label: str, classes: tuple[str, ...] = LABELS) -> Column:
-    """Weight of a row so that all classes weigh alike; null for all rows if a class is missing."""
-    present = F.size(F.collect_set(F.when(F.col(label).isin(*classes), F.col(label))).over(W.partitionBy()))
-    n, mine = F.count(F.when(F.col(label).isin(*classes), 1)).over(W.partitionBy()), F.count("*").over(W.partitionBy(label))
-    return F.when((present == len(classes)) & F.col(label).isin(*classes), n / (len(classes) * mine))
-
-
 def weighted_rows(rows: DataFrame, label: str, classes: tuple[str, ...] = LABELS) -> DataFrame:
     """``rows`` with weight = all / (classes x own class), from one small table of counts; null if a class is missing."""
     counts = rows.where(F.col(label).isin(*classes)).groupBy(label).agg(F.count("*").alias("__mine"))

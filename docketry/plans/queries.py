@@ -491,7 +491,17 @@ def duplicate_groups(spark, d):
     return curation.duplicate_groups(docs, "doc_id", [F.md5(keys.loose_key("text").cast("binary")), near])
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT min(doc_id) AS group_id, min(lang) AS stratum, count(*) AS n FROM documents GROUP BY md5({_FLAT})), t AS (SELECT count(*) AS t, count(*) // 5 AS fifth FROM documents),
+a AS (SELECT stratum, sum(n)::BIGINT AS m, row_number() OVER () AS x, count(*) OVER () AS strata FROM g GROUP BY 1), z AS (SELECT t, [t - 2 * fifth, fifth, fifth] AS size FROM t),
+o AS (SELECT group_id, n, m, x, row_number() OVER (ORDER BY n DESC, m, g.stratum NULLS LAST, sha256('0:' || group_id), group_id) AS i,
+  row_number() OVER (PARTITION BY x, n ORDER BY sha256('0:' || group_id), group_id) AS r FROM g JOIN a ON g.stratum IS NOT DISTINCT FROM a.stratum),
+s AS (SELECT 0::BIGINT AS i, size AS free, list_transform(range(3 * (SELECT max(strata) FROM a)), lambda y: 0::BIGINT) AS used, 0 AS c FROM z UNION ALL
+  SELECT i, list_transform(free, lambda y, k: y - (k = c)::INT * n), list_transform(used, lambda y, k: y + (k = 3 * (x - 1) + c)::INT * n), c
+  FROM (SELECT *, -list_reverse_sort(list_transform(list_filter([1, 2, 3], lambda k: free[k] >= n), lambda k: {{'lack': m * size[k] - used[3 * (x - 1) + k] * t, 'free': free[k], 'k': -k}}))[1].k AS c
+    FROM (SELECT o.i, o.n, o.m, o.x, s.free, s.used, z.t, z.size FROM s JOIN o ON o.i = s.i + 1, z))),
+w AS (SELECT x, n, c, count(*) AS k FROM s JOIN o USING (i) GROUP BY ALL), v AS (SELECT x, n, c, sum(k) OVER (PARTITION BY x, n ORDER BY c) AS upto FROM w),
+f AS (SELECT group_id, (SELECT min(c) FROM v WHERE v.x = o.x AND v.n = o.n AND o.r <= upto) AS c FROM o)
+SELECT doc_id, group_id, ['train', 'val', 'test'][c] AS split FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({_FLAT})) AS group_id FROM documents) JOIN f USING (group_id)""")
 def grouped_split(spark, d):
     docs = t(spark, d, "documents")
     groups = curation.duplicate_groups(docs, "doc_id", [F.md5(keys.loose_key("text").cast("binary"))])

@@ -355,3 +355,38 @@ def test_split_of_groups_and_single_documents(spark):
         assert all(abs(sum(n for i, h, n in rows if h == g and got[i] == s) - mine * sizes[s] / total) <= 8 for s in sizes)
     with pytest.raises(ValueError):
         curation.grouped_split(df, {"train": 1})
+
+
+def test_groups_dealt_alike_as_one_by_one():
+    rng = random.Random(8)
+    for _ in range(400):
+        names, n, step = ["a", "b", "c"][: rng.randint(1, 3)], rng.randint(1, 4), rng.randint(1, 9)
+        lacks, left = {s: rng.randint(-30, 60) for s in names}, {s: rng.randint(0, 40) for s in names}
+        k = rng.randint(0, sum(v // n for v in left.values()))
+        lack, room, want = dict(lacks), dict(left), dict.fromkeys(names, 0)
+        for _ in range(k):
+            s = max((s for s in names if room[s] >= n), key=lambda s: (lack[s], room[s], -names.index(s)))
+            want[s], lack[s], room[s] = want[s] + 1, lack[s] - step, room[s] - n
+        assert curation.deal_alike(k, lacks, left, n, step) == want
+    with pytest.raises(ValueError):
+        curation.deal_alike(3, {"a": 5}, {"a": 5}, 2, 1)
+
+
+def test_split_follows_the_lack_of_each_stratum(spark):
+    """Group by group, in order of size and hash, as a reader of the rule would deal them."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice([1, 1, 1, 2, 3, 5])) for i in range(200)]
+    total = sum(n for *_, n in rows)
+    sizes = {"train": total - 90, "val": 60, "test": 30}
+    of = {g: sum(n for _, h, n in rows if h == g) for g in ("x", "y", None)}
+    left, used, want = dict(sizes), {}, {}
+    for _, g, n in sorted(rows, key=lambda r: (-r[2], of[r[1]], r[1] is None, r[1] or "")):
+        s = max((s for s in sizes if left[s] >= n), key=lambda s: (of[g] * sizes[s] - used.get((g, s), 0) * total, left[s], -list(sizes).index(s)))
+        left[s] -= n
+        used[g, s] = used.get((g, s), 0) + n
+        want[g, n, s] = want.get((g, n, s), 0) + 1
+    found = {}
+    split = {r.group_id: r.split for r in curation.grouped_split(spark.createDataFrame(rows, "group_id long, stratum string, n int"), sizes).collect()}
+    for i, g, n in rows:
+        found[g, n, split[i]] = found.get((g, n, split[i]), 0) + 1
+    assert found == want
