@@ -107,19 +107,21 @@ FEW = 50
 #: Products of rows on both sides up to which bounds aren't worth their joins.
 SMALL = 1 << 16
 
-_VECTOR = T.ArrayType(T.StructType().add("g", T.LongType()).add("w", T.DoubleType()))
-
-
 @F.pandas_udf(T.DoubleType())
-def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Scalar products of two columns of vectors, arrays of (g, w) in order of g."""
+def _dot(g: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series) -> pd.Series:
+    """Scalar products of vectors: arrays of components, each once, with arrays of their weights."""
 
-    def one(x, y) -> float:
-        g, h = (np.fromiter((e["g"] for e in v), np.int64, len(v)) for v in (x, y))
+    def one(g, w, h, x) -> float:
         _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
-        return float(sum(x[m]["w"] * y[n]["w"] for m, n in zip(i.tolist(), j.tolist())))
+        return float(np.dot(w[i], x[j]))
+
+    return pd.Series([one(*v) for v in zip(g, w, h, x, strict=True)], dtype="float64")
+
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _packed_vectors(v: DataFrame, key: str, name: str) -> DataFrame:
+    """key, {name}_g, {name}_w: vectors (id, g, w) as two arrays."""
+    both = v.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("g", "w")).alias("v"))
+    return both.select(key, F.col("v.g").alias(f"{name}_g"), F.col("v.w").alias(f"{name}_w"))
 
 
 def best_matches(q: DataFrame, t: DataFrame, total: float, digits: int, looked_up: int = LOOKED_UP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,13 +139,12 @@ def best_matches(q: DataFrame, t: DataFrame, total: float, digits: int, looked_u
     """
     margin = 4 * 10.0**-digits  # rows within this may be rounded to the same score
     df = t.groupBy("g").agg(F.count("*").alias("df"))
-    packed = lambda v, key: v.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias("v"))
     ranked = settled(q.join(df, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v")))
-    vectors = settled(packed(q, "id").withColumnRenamed("v", "qv")), settled(packed(t, "neighbour").withColumnRenamed("v", "tv"))
+    vectors = settled(_packed_vectors(q, "id", "q")), settled(_packed_vectors(t.withColumnRenamed("neighbour", "id"), "neighbour", "t"))
     rare = F.filter("v", lambda e: e["df"] <= looked_up)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors[0], "id").join(vectors[1], "neighbour").select("id", "neighbour", _dot("qv", "tv").alias("score"))
+        return pairs.join(vectors[0], "id").join(vectors[1], "neighbour").select("id", "neighbour", _dot("q_g", "q_w", "t_g", "t_w").alias("score"))
 
     guess = ranked.select("id", F.explode(F.slice(rare, 1, FIRST_GUESS)).alias("e")).select("id", "e.g", F.col("e.w").alias("qw")).join(t, "g")
     guess = guess.groupBy("id", "neighbour").agg(F.sum(F.col("qw") * F.col("w")).alias("part")).groupBy("id").agg(F.max_by("neighbour", F.struct("part", -F.col("neighbour"))).alias("neighbour"))
@@ -192,7 +193,11 @@ def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digi
     """
     if queries.count() * train.count() <= SMALL:
         return _in_blocks(queries, train, fields, digits, least, most)
-    q, t = (_vectors(rows, train, fields, least, most) for rows in (queries, train))
+    # equal texts are one: of training rows the first, of queries the first as well, whose result the others share
+    text = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    first = lambda rows: rows.groupBy(text.alias("__text")).agg(F.min("id").alias("id"), *(F.first(f).alias(f) for f in fields))
+    same, queries = queries.select(F.col("id").alias("__id"), text.alias("__text")), settled(first(queries))
+    q, t = _vectors(queries, train, fields, least, most), _vectors(first(train), train, fields, least, most)
     measures = {f: (f,) for f in fields} | ({"pair": fields} if len(fields) > 1 else {})
     # queries that share nothing have the first row; so have those whose best score is rounded to nothing
     none = queries.select("id").crossJoin(train.agg(F.min("id").alias("first")))  # one row
@@ -214,15 +219,15 @@ def _nearest(queries: DataFrame, train: DataFrame, fields: tuple[str, ...], digi
             best = best.unionByName(_in_blocks(some, train, fields, digits, least, most).where(F.col("measure") == name).select("id", "neighbour", "score"))
         whole = none.join(best, "id", "left").select("id", F.lit(name).alias("measure"), F.coalesce("neighbour", "first").alias("neighbour"), F.coalesce("score", F.lit(0.0)).alias("score"))
         found = whole if found is None else found.unionByName(whole)
-    return found.where("neighbour is not null")
+    by_text = queries.select("__text", "id").join(found.where("neighbour is not null"), "id").drop("id")
+    return same.join(by_text, "__text").select(F.col("__id").alias("id"), "measure", "neighbour", "score")
 
 
 def _scores(pairs: DataFrame, q: DataFrame, t: DataFrame, digits: int) -> DataFrame:
     """id, neighbour, score: rounded products of given pairs; 0 where one has no vector."""
-    packed = lambda v, key, name: v.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias(name))
-    both = pairs.select("id", "neighbour").join(packed(q, "id", "qv"), "id", "left").join(packed(t, "neighbour", "tv"), "neighbour", "left")
-    none = F.array().cast(_VECTOR)
-    return both.select("id", "neighbour", F.least(F.greatest(F.round(_dot(F.coalesce("qv", none), F.coalesce("tv", none)), digits), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    both = pairs.select("id", "neighbour").join(_packed_vectors(q, "id", "q"), "id", "left").join(_packed_vectors(t, "neighbour", "t"), "neighbour", "left")
+    sides = [F.coalesce(c, F.array().cast(k)) for c, k in (("q_g", "array<long>"), ("q_w", "array<double>"), ("t_g", "array<long>"), ("t_w", "array<double>"))]
+    return both.select("id", "neighbour", F.least(F.greatest(F.round(_dot(*sides), digits), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def nearest(queries: DataFrame, train: DataFrame, digits: int = 9, least: int = 3, most: int = 5) -> DataFrame:
