@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import discard, settle, trimmed
-from docketry.llm.words import SLOTS, word_slots
+from docketry.llm.words import SLOTS, WORD_BITS, word_hashes
 
 PASSAGE, MAX_DF, RANK, OVERSAMPLE = 32, 0.05, 128, 10
 #: Passages without a word that are added to those counted, so that few passages make no stop words.
@@ -48,7 +48,7 @@ SMALL = 1_000_000
 
 @dataclass
 class Space:
-    vocabulary: np.ndarray  # word slots, ascending
+    vocabulary: np.ndarray  # 64-bit hashes of words, ascending
     items: list[tuple[int, np.ndarray, np.ndarray]]  # id, columns of the words, columns of the answer's words
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     axes: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # vocabulary x rank, weighed by idf
@@ -61,12 +61,28 @@ def columns(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1).astype(np.int32)
 
 
+def marked_slots(vocabulary: np.ndarray) -> np.ndarray:
+    """Which slots of a small table words of the vocabulary have."""
+    out = np.zeros(SLOTS, bool)
+    out[(vocabulary >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = True
+    return out
+
+
+def text_columns(text: bytes | None, vocabulary: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Columns of a text's words: by its whole hash for each word whose slot is marked, -1 for all others."""
+    words = word_hashes(text)
+    out = np.full(len(words), -1, np.int32)
+    some = np.flatnonzero(marked[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)])
+    out[some] = columns(words[some], vocabulary)
+    return out
+
+
 def read_items(rows: list) -> Space:
     """Items from rows (item_id, text, answer)."""
-    words = [(r[0], word_slots((r[1] or "").encode()), word_slots(r[2].encode()) if r[2] else None) for r in rows]
+    words = [(r[0], word_hashes((r[1] or "").encode()), word_hashes(r[2].encode()) if r[2] else None) for r in rows]
     words = [w for w in words if len(w[1])]
     every = [x for w in words for x in (w[1], w[2]) if x is not None]
-    vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
+    vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
     items = []
     for i, text, answer in words:
         c = columns(text, vocabulary)
@@ -309,11 +325,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Columns of each text; a task's last row (n) has its passages and their frequencies."""
-        place = np.full(SLOTS, -1, np.int32)
-        place[words.value] = np.arange(len(words.value))
+        marked = marked_slots(words.value)
         df, n = np.zeros(size, np.int64), 0
         for b in batches:
-            found = [place[word_slots(t.as_py())] for t in b.column(2)]
+            found = [text_columns(t.as_py(), words.value, marked) for t in b.column(2)]
             for cols in _filled(iter(found)):
                 df += _frequencies(cols, size)
                 n += len(cols) // PASSAGE

@@ -110,3 +110,21 @@ def test_empty_tables(spark):
     assert contaminated(docs, bench.where("false")).count() == 0 and contaminated(docs.where("false"), bench).count() == 0
     assert filter_clean(docs, bench.where("false")).count() == 1
     assert [r.item_id for r in contaminated(docs, bench).collect()] == [1]
+
+
+def test_words_that_share_a_slot_are_not_the_same(spark):
+    """Words with the same leading 20 bits of their hashes, as items and in clean texts."""
+    from docketry.llm.words import word_slots
+
+    seen, pairs = {}, []
+    own = random.Random(4)
+    while len(pairs) < 12:
+        w = "".join(own.choice("abcdefghijklmnop") for _ in range(7))
+        k = int(word_slots(w.encode())[0])
+        if seen.setdefault(k, w) != w:
+            pairs.append((seen[k], w))
+    pairs.append(("nefiopk", "pfidmhe"))
+    items = [(i, a) for i, (a, _) in enumerate(pairs)] + [(100, " ".join(a for a, _ in pairs))]
+    docs = [(i, f"clean text {b} more") for i, (_, b) in enumerate(pairs)] + [(100, " ".join(b for _, b in pairs)), (200, f"here {pairs[3][0]} is")]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(200, 3)}
