@@ -61,19 +61,21 @@ def columns(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1).astype(np.int32)
 
 
-def marked_slots(vocabulary: np.ndarray) -> np.ndarray:
-    """Which slots of a small table words of the vocabulary have."""
-    out = np.zeros(SLOTS, bool)
-    out[(vocabulary >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = True
+def slot_table(vocabulary: np.ndarray) -> np.ndarray:
+    """Column of a word of the vocabulary for each slot of a small table, -1 where none is."""
+    out = np.full(SLOTS, -1, np.int32)
+    out[(vocabulary >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = np.arange(len(vocabulary))
     return out
 
 
-def text_columns(text: bytes | None, vocabulary: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Columns of a text's words: by its whole hash for each word whose slot is marked, -1 for all others."""
+def text_columns(text: bytes | None, vocabulary: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Columns of a text's words: that of their slot if the whole hashes agree, else they are sought; -1 for others."""
     words = word_hashes(text)
-    out = np.full(len(words), -1, np.int32)
-    some = np.flatnonzero(marked[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)])
-    out[some] = columns(words[some], vocabulary)
+    out = table[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    some = np.flatnonzero(out >= 0)
+    other = some[vocabulary[out[some]] != words[some]]
+    if len(other):
+        out[other] = columns(words[other], vocabulary)
     return out
 
 
@@ -325,10 +327,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Columns of each text; a task's last row (n) has its passages and their frequencies."""
-        marked = marked_slots(words.value)
+        table = slot_table(words.value)
         df, n = np.zeros(size, np.int64), 0
         for b in batches:
-            found = [text_columns(t.as_py(), words.value, marked) for t in b.column(2)]
+            found = [text_columns(t.as_py(), words.value, table) for t in b.column(2)]
             for cols in _filled(iter(found)):
                 df += _frequencies(cols, size)
                 n += len(cols) // PASSAGE
