@@ -10,7 +10,7 @@ import docketry.plans.curation_queries  # noqa: F401  (registers its queries)
 from docketry.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
