@@ -184,6 +184,23 @@ def overlapping_spans(spark, d):
     return curation.overlapping(a, b, "doc_id")
 
 
+def seconds(c: str) -> Column:
+    """Whole seconds since 1970 of a timestamp without a zone, whatever the session's zone is."""
+    return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+@query("""WITH c AS (SELECT client_id, click_id, epoch(date_trunc('second', ts))::BIGINT AS s, floor(value)::BIGINT AS n FROM clicks), o AS (SELECT client_id, sale_id, epoch(date_trunc('second', sold_at))::BIGINT AS s, 10 * priority AS n FROM sales)
+SELECT client_id, sale_id, count(*) AS n_pairs, min(click_id) AS first_click, sum(least(c.s + c.n, o.s + o.n) - greatest(c.s, o.s))::BIGINT AS shared_seconds
+FROM o JOIN c USING (client_id) WHERE c.n >= 0 AND o.n >= 0 AND c.s < o.s + o.n AND o.s < c.s + c.n GROUP BY 1, 2""")
+def sale_click_overlaps(spark, d):
+    """Sales during whose checkout (ten seconds times priority) a click of the same client lasted (its value, in seconds)."""
+    clicks = t(spark, d, "clicks").select("client_id", "click_id", seconds("ts").alias("start"), F.floor("value").alias("n"))
+    sales = t(spark, d, "sales").select("client_id", "sale_id", seconds("sold_at").alias("start"), (10 * F.col("priority")).alias("n"))
+    spans = [x.withColumn("end", F.col("start") + F.col("n")).drop("n") for x in (sales, clicks)]
+    shared = F.least("end", "other_end") - F.greatest("start", "other_start")
+    return curation.overlapping(*spans, "client_id").groupBy("client_id", "sale_id").agg(F.count("*").alias("n_pairs"), F.min("other_click_id").alias("first_click"), F.sum(shared).alias("shared_seconds"))
+
+
 @query("""WITH x AS (SELECT doc_id, doc_id % 40 AS e FROM documents), m AS (SELECT doc_id, 10 + (e + 3 <= 10)::INT AS s, 30 + (e < 30)::INT AS t FROM x),
 h AS (SELECT doc_id, unnest([0, 20]) AS s, unnest([15, 45]) AS t, unnest([['u0'], ['u1', 'u' || (doc_id % 3)]]) AS u FROM documents WHERE doc_id % 4 > 0),
 j AS (SELECT m.doc_id, count(h.s) AS n, flatten(list(h.u) FILTER (WHERE h.u IS NOT NULL)) AS units FROM m LEFT JOIN h ON m.doc_id = h.doc_id AND m.s < h.t AND h.s < m.t GROUP BY 1)

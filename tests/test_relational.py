@@ -234,6 +234,26 @@ def test_review_and_verification(spark):
     assert {x.id: x.status for x in curation.apply_verifications(r, v).collect()} == {"1": "pending", "2": "pending", "3": "approved"}
 
 
+def test_overlapping_spans_of_any_length(spark):
+    rng = random.Random(7)
+    span = lambda: (s := rng.randrange(-3000, 3000), s + rng.choice([-5, 0, 1, 2, 3, 64, 65, rng.randrange(4000)]))
+    rows = [[(rng.choice(["hot", "hot", "k1", "k2", None]), i, *rng.choice([span(), span(), (None, 3), (0, 8), (8, 16)])) for i in range(300)] for _ in range(2)]
+    a, b = (spark.createDataFrame(r, "key string, id int, start long, end long") for r in rows)
+    whole = lambda x: x[0] is not None and x[2] is not None and x[2] <= x[3]
+    want = sorted((x[0], *x[1:], *y[1:]) for x in rows[0] for y in rows[1] if whole(x) and whole(y) and x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+    out = curation.overlapping(a, b, "key")
+    assert out.columns == ["key", "id", "start", "end", "other_id", "other_start", "other_end"] and len(want) > 1000
+    assert sorted(map(tuple, out.collect())) == want
+    assert curation.overlapping(a.where("false"), b, "key").count() == curation.overlapping(a, b.where("false"), "key").count() == 0
+
+
+def test_hot_key_of_overlaps_meets_by_bins(spark):
+    """20,000 short spans of one key on each side: 4e8 pairs of the key, of which bins let through few more than overlap."""
+    a, b = (spark.range(20000).select(F.lit("hot").alias("key"), "id", (F.col("id") * 100 + shift).alias("start")).withColumn("end", F.col("start") + 60) for shift in (0, 50))
+    out = curation.overlapping(a, b, "key")
+    assert out.count() == 39999 and out.agg(F.max(F.abs(F.col("id") - F.col("other_id")))).first()[0] <= 1
+
+
 def test_samples_and_schedule(spark):
     rows = spark.createDataFrame([(i, "a" if i < 50 else "b") for i in range(60)], "id long, s string")
     got = curation.stratified_sample(rows, ["s"], "id", 0.1, "x")
