@@ -1,7 +1,8 @@
 """Generation of edited variants: candidates, reservations, schedules, tasks.
 
-Candidates and what is reserved come from aggregations in Spark; the greedy dealing of rules, one hypothesis after the other, runs on
-the driver over one small row for each candidate of a split.
+Candidates, what is reserved and what has failed come from aggregations and anti-joins in Spark. Of a held-out split the driver reads
+the first sources in order, as many as slots are open. The dealing of rules to a train split, one hypothesis after the other, runs on
+the driver over one small row for each candidate.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.keys import digest_id
 from docketry.schemas import LABELS, ConstraintError, reject
+from docketry.shared import discard, settled
 
 #: Variants that a train hypothesis may have; a source of another split has one.
 PER_HYPOTHESIS = 2
@@ -138,46 +140,96 @@ def schedule_train(found: list[Candidate], weights: dict[str, float], reserved:
     return out
 
 
+def apply_feedback(plan: DataFrame, feedback: DataFrame, unusable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A plan (source_id, target_hypothesis_id, rule_id, planned_status, ...) as what still stands and what failed or is inactive.
+
+    ``feedback``: source_id, target_hypothesis_id, rule_id, status, rationale, at; an assignment whose last word on failure is
+    ``needs_review`` gives its slot back, so does one whose applied variant can't be used (``unusable``, by the same three columns).
+    Failed ones keep their place in the saved plan, with failure_reason.
+    """
+    key = ["source_id", "target_hypothesis_id", "rule_id"]
+    said = feedback.where("status = 'needs_review'").groupBy(*key).agg(F.coalesce(F.max_by("rationale", "at"), F.lit("")).alias("__said"))
+    out = plan.join(said, key, "left").join(unusable.select(*key, F.lit(True).alias("__unusable")).distinct(), key, "left")
+    reason = F.coalesce("__said", F.when(F.col("__unusable"), "Applied variant lacks a usable retrieved contradiction target"))
+    out = out.withColumn("failure_reason", reason).withColumn("planned_status", F.when(reason.isNotNull(), "needs_review").otherwise(F.col("planned_status")))
+    out = out.select(*plan.columns, "failure_reason")
+    gone = F.coalesce(F.col("planned_status").isin("needs_review", "inactive"), F.lit(False))
+    return out.where(~gone).drop("failure_reason"), out.where(gone)
+
+
+def _choices(found: DataFrame, barred: DataFrame, rules: list[str], seed: int, widest: bool) -> DataFrame:
+    """One row for each source, by ``seeded``: for each rule that a hypothesis of it may still have, that hypothesis and its hits.
+
+    ``widest``: the hypothesis with most hits of the rule, else the first; ties go to the smaller id. A source's hypotheses combine
+    before the shuffle, so one with very many of them is no hot group.
+    """
+    key = ["source_id", "hypothesis_id", "rule_id"]
+    each = found.where("source_id is not null and hypothesis_id is not null").select("source_id", "hypothesis_id", "hits", F.explode(F.array(*map(F.lit, rules))).alias("rule_id"))
+    each = each.withColumn("n", F.coalesce(F.try_element_at("hits", "rule_id"), F.lit(0))).join(barred.select(*key).distinct(), key, "left_anti")
+    first = F.struct(-F.col("n"), "hypothesis_id") if widest else F.struct("hypothesis_id", -F.col("n"))
+    best = each.groupBy("source_id", "rule_id").agg(F.min_by(F.struct("hypothesis_id", "n"), first).alias("c"))
+    return best.groupBy("source_id").agg(F.collect_list(F.struct("rule_id", "c.hypothesis_id", "c.n")).alias("choices")).withColumn("place", F.struct(seeded(seed, "source_id").alias("h"), "source_id"))
+
+
+def _deal(choices: DataFrame, left: Counter, taken: set[str], widest: bool) -> list[Pick]:
+    """Sources in order, as many at a time as there are open slots: each takes the best of its open rules."""
+    picks, last, table = [], None, settled(choices)
+    while open_ := sum(left.values()):
+        rest = table if last is None else table.where(F.col("place") > F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias("source_id")))
+        rows = rest.orderBy("place").limit(open_ + len(taken)).collect()
+        for row in rows:
+            own = [c for c in row.choices if left[c.rule_id] > 0]
+            if not own or row.source_id in taken:
+                continue
+            if not widest:
+                start = min(c.hypothesis_id for c in own)
+                own = [c for c in own if c.hypothesis_id == start]
+            c = max(own, key=lambda c: (c.n, left[c.rule_id], c.rule_id))
+            picks.append(Pick(row.source_id, c.hypothesis_id, c.rule_id))
+            left[c.rule_id] -= 1
+        if len(rows) < open_ + len(taken):
+            break
+        last = tuple(rows[-1].place)
+    discard(table)
+    return picks
+
+
 def schedule_heldout(
-    found: list[Candidate], weights: dict[str, float], controls: dict[str, float], target: int, least: int, taken: set[str], done: set[str], planned: int, controlled: int, used: dict[tuple[str, str], set[str]]
+    found: DataFrame, barred: DataFrame, closed: DataFrame, weights: dict[str, float], controls: dict[str, float], target: int, least: int, reached: int, controlled: int, seed: int
 ) -> Schedule:
     """Deal rules to val or test sources, one variant each: contradictions up to ``target`` documents, then controls in proportion.
 
-    ``taken``: sources that are reserved; ``done``: sources with a confirmed contradiction; ``planned``: sources planned besides these;
-    ``controlled``: sources that have a control; ``least``: documents that each rule gets if the target allows.
+    ``found``: source_id, hypothesis_id, hits (map of rule to terms found); ``barred``: source_id, hypothesis_id, rule_id that were
+    planned, applied or failed before; ``closed``: source_id of sources that are reserved or have a confirmed contradiction;
+    ``reached``: sources that count toward the target already; ``controlled``: sources that have a control; ``least``: documents that
+    each rule gets if the target allows. Candidates without source or hypothesis take no part, nor do rules of hits that aren't
+    asked for; repeated candidates count once.
+
+    Spark reduces each source to one choice for each rule, drops what is barred and closed by anti-joins, and orders sources by a
+    seeded hash. The driver reads as many of the first sources as there are open slots, so what it holds depends on ``target`` and
+    the number of rules; it reads on only if sources were passed over.
     """
-    out, taken = Schedule(), set(taken)
-    open_ = max(0, target - len(done) - planned)
+    out, open_ = Schedule(), max(0, target - reached)
     minimum = least if open_ >= least * len(weights) else 1 if open_ >= len(weights) else 0
     out.requested = quotas(weights, open_, minimum)
-    left, by_source = Counter(out.requested), dict[str, list[Candidate]]()
-    for c in found:
-        by_source.setdefault(c.source_id, []).append(c)
-    for source, own in by_source.items():
-        if source in taken or source in done or not any(left.values()):
-            continue
-        choices = [(best, c) for c in own if (best := _best(c, left, used.get(c.key, set())))]
-        if choices:
-            (_, _, rule), c = max(choices, key=lambda x: x[0])
-            out.picks.append(Pick(*c.key, rule))
-            left[rule] -= 1
-            taken.add(source)
+    free = found.join(closed.select("source_id").distinct(), "source_id", "left_anti")
+    left = Counter(out.requested)
+    out.picks = _deal(_choices(free, barred, list(weights), seed, True), left, set(), True)
     out.shortage = Counter({r: n for r, n in left.items() if n > 0})
     if controls:
         whole, share = sum(weights.values()), sum(controls.values())
         wanted = max(1, round(target * share / whole)) if target and share else 0
         left = quotas(controls, max(0, wanted - controlled))
-        for c in found:
-            if not any(left.values()):
-                break
-            if c.source_id not in taken and c.source_id not in done and (best := _best(c, left, used.get(c.key, set()))):
-                out.picks.append(Pick(*c.key, best[2]))
-                left[best[2]] -= 1
-                taken.add(c.source_id)
+        out.picks += _deal(_choices(free, barred, list(controls), seed, False), left, {p.source_id for p in out.picks}, False)
         out.shortage.update({f"control:{r}": n for r, n in left.items() if n > 0})
     return out
 
 
+def seeded(seed: int, source: str) -> Column:
+    """The place of a source in ``seeded_order``, as a column."""
+    return F.sha2(F.concat(F.lit(f"[{seed}, "), F.expr(f"substring(to_json(array({source})), 2)")), 256)
+
+
 def seeded_order(found: list[Candidate], seed: int) -> list[Candidate]:
     """Candidates by a seeded hash of their source, then by hypothesis."""
     return sorted(found, key=lambda c: (digest([seed, c.source_id]), c.hypothesis_id))

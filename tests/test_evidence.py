@@ -90,12 +90,6 @@ def test_schedules():
     firsts = [p.round for p in out.picks[:5]]
     assert firsts == [1] * 5 and sum(out.shortage.values()) == 10 - len(out.picks)
     many = [Candidate(f"s{i}", f"h{i}", {}) for i in range(30)]
-    held = generation.schedule_heldout(many, {"r1": 1.0, "r2": 3.0}, {"k": 1.0}, 10, 3, {"s0"}, {"s1"}, 2, 0, {})
-    rules = [p.rule_id for p in held.picks]
-    assert len({p.source_id for p in held.picks}) == len(held.picks) and not {"s0", "s1"} & {p.source_id for p in held.picks}
-    assert rules.count("r1") == 3 and rules.count("r2") == 4 and rules.count("k") == 2 and not held.shortage
-    short = generation.schedule_heldout(many[:4], {"r1": 1.0}, {"k": 1.0}, 10, 1, set(), set(), 0, 0, {})
-    assert short.shortage == {"r1": 6, "control:k": 10}
     assert generation.quotas({"a": 1.0, "b": 1.0, "c": 1.0}, 4) == {"a": 2, "b": 1, "c": 1} and sum(generation.quotas({"a": 1.0, "b": 9.0}, 7, 2).values()) == 7
     plan = [Pick("s", "h", "r1"), Pick("s", "h", "r2")]
     assert generation.reservations(plan, generation.Counter({("s", "h", "r1"): 2, ("s", "g", "r9"): 1})) == {("s", "h"): 3, ("s", "g"): 1}
@@ -390,3 +384,61 @@ def test_split_follows_the_lack_of_each_stratum(spark):
     for i, g, n in rows:
         found[g, n, split[i]] = found.get((g, n, split[i]), 0) + 1
     assert found == want
+
+
+def _one_by_one(found, barred, closed, weights, controls, target, least, reached, controlled, seed):
+    """Held-out dealing, one source after the other, over all candidates in a list."""
+    order = generation.seeded_order(found, seed)
+    best = lambda c, left: max(((c.hits.get(r, 0), n, r) for r, n in left.items() if n > 0 and (*c.key, r) not in barred), default=None)
+    open_, taken, picks = max(0, target - reached), set(closed), []
+    left = generation.quotas(weights, open_, least if open_ >= least * len(weights) else 1 if open_ >= len(weights) else 0)
+    for source in dict.fromkeys(c.source_id for c in order):
+        got = [(best(c, left), c) for c in order if c.source_id == source and source not in taken]
+        if got := [x for x in got if x[0]]:
+            (_, _, rule), c = max(got, key=lambda x: x[0])
+            picks.append((*c.key, rule))
+            left[rule] -= 1
+            taken.add(source)
+    short = {r: n for r, n in left.items() if n}
+    left = generation.quotas(controls, max(0, max(1, round(target * sum(controls.values()) / sum(weights.values()))) - controlled)) if controls else {}
+    for c in order:
+        if c.source_id not in taken and (b := best(c, left)):
+            picks.append((*c.key, b[2]))
+            left[b[2]] -= 1
+            taken.add(c.source_id)
+    return picks, short | {f"control:{r}": n for r, n in left.items() if n}
+
+
+def test_heldout_schedule_in_spark(spark):
+    rng = random.Random(3)
+    barred_of = lambda rows: spark.createDataFrame(rows, "source_id string, hypothesis_id string, rule_id string")
+    closed_of = lambda rows: spark.createDataFrame([(x,) for x in rows], "source_id string")
+    many = [Candidate(f"s{i // 3}é", f"h{i}", {r: rng.randrange(3) for r in ("r1", "r2", "k1") if rng.random() < 0.4}) for i in range(90)]
+    barred = [(*c.key, r) for c in many for r in ("r1", "r2", "r3", "k1", "k2") if rng.random() < 0.5 or int(c.hypothesis_id[1:]) < 40]
+    table = spark.createDataFrame([(*c.key, c.hits) for c in many] + [(None, "h", {}), ("s", None, {}), (*many[80].key, many[80].hits)], "source_id string, hypothesis_id string, hits map<string,int>")
+    for target, least, reached, controlled, closed in ((10, 3, 2, 0, []), (10, 1, 0, 1, ["s29é", "s28é", None]), (200, 1, 5, 0, ["s20é"]), (0, 1, 0, 0, []), (3, 3, 9, 0, [])):
+        args = {"r1": 1.0, "r2": 3.0, "r3": 2.0}, {"k1": 1.0, "k2": 2.0}, target, least, reached, controlled, 5
+        if target == 0:
+            args = args[0], {}, *args[2:]
+        want = _one_by_one(many, set(barred), closed, *args)
+        got = generation.schedule_heldout(table, barred_of(barred), closed_of(closed), *args)
+        assert ([(p.source_id, p.hypothesis_id, p.rule_id) for p in got.picks], dict(got.shortage)) == want
+    empty = generation.schedule_heldout(table.where("false"), barred_of([]), closed_of([]), {"r1": 1.0}, {"k": 1.0}, 10, 1, 0, 0, 5)
+    assert not empty.picks and empty.shortage == {"r1": 10, "control:k": 10}
+
+
+def test_failed_assignments_are_kept_and_dealt_again(spark):
+    plan = spark.createDataFrame([("a1", "s1", "h1", "r1", "planned"), ("a2", "s2", "h2", "r1", "planned"), ("a3", "s3", "h3", "r1", "inactive"), ("a4", "s4", "h4", "r1", None)], "assignment_id string, source_id string, target_hypothesis_id string, rule_id string, planned_status string")
+    key = "source_id string, target_hypothesis_id string, rule_id string"
+    feedback = spark.createDataFrame([("s1", "h1", "r1", "needs_review", "no contradiction", 1), ("s1", "h1", "r1", "needs_review", "none at all", 2), ("s2", "h2", "r1", "done", "", 1), ("s2", "h2", "r2", "needs_review", "x", 1)], f"{key}, status string, rationale string, at int")
+    unusable = spark.createDataFrame([("s4", "h4", "r1"), ("s4", "h4", "r1"), ("s1", "h1", "r1")], key)
+    active, failed = generation.apply_feedback(plan, feedback, unusable)
+    assert [r.assignment_id for r in active.collect()] == ["a2"] and active.columns == plan.columns
+    assert {r.assignment_id: (r.planned_status, r.failure_reason) for r in failed.collect()} == {
+        "a1": ("needs_review", "none at all"), "a3": ("inactive", None), "a4": ("needs_review", "Applied variant lacks a usable retrieved contradiction target")
+    }
+    # the failed rule isn't dealt to its hypothesis again, another is; a source whose variant was applied stays closed
+    found = spark.createDataFrame([("s1", "h1", {"r1": 5}), ("s4", "h4", {"r1": 9})], "source_id string, hypothesis_id string, hits map<string,int>")
+    barred = failed.select("source_id", F.col("target_hypothesis_id").alias("hypothesis_id"), "rule_id")
+    again = generation.schedule_heldout(found, barred, unusable.where("source_id = 's4'"), {"r1": 1.0, "r2": 1.0}, {}, 2, 1, 0, 0, 1)
+    assert [(p.hypothesis_id, p.rule_id) for p in again.picks] == [("h1", "r2")] and again.shortage == {"r1": 1}
