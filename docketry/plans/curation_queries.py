@@ -184,6 +184,32 @@ def overlapping_spans(spark, d):
     return curation.overlapping(a, b, "doc_id")
 
 
+#: Rules of ``heldout_schedule``: weight and terms.
+_RULES = {"r1": (50.0, ["the ", "ing "]), "r2": (30.0, ["der ", "und ", "th"]), "r3": (20.0, ["que ", "los ", "an"])}
+_TERMS = ", ".join(f"({k}, '{r}', {w}, {terms})" for k, (r, (w, terms)) in enumerate(_RULES.items(), 1))
+
+
+@query(f"""WITH RECURSIVE rules(k, rule_id, w, terms) AS (VALUES {_TERMS}), q AS (SELECT list(floor(40 * w / 100)::BIGINT ORDER BY k) AS q FROM rules),
+c AS (SELECT (doc_id // 3)::VARCHAR AS source_id, doc_id::VARCHAR AS hypothesis_id, k, len(list_filter(terms, lambda x: contains(lower(coalesce(text, '')), x))) AS hits FROM documents, rules
+  WHERE NOT (k = 1 AND doc_id % 11 = 0) AND NOT (doc_id % 4 = 1) AND (doc_id // 3) NOT IN (SELECT doc_id // 3 FROM documents WHERE source IS NULL)),
+b AS (SELECT source_id, k, max(hits) AS hits, min(hypothesis_id) FILTER (WHERE hits = m) AS hypothesis_id FROM (SELECT *, max(hits) OVER (PARTITION BY source_id, k) AS m FROM c) GROUP BY 1, 2),
+o AS (SELECT source_id, row_number() OVER (ORDER BY sha256('[7, "' || source_id || '"]')) AS i, list({{'k': k, 'hits': hits, 'h': hypothesis_id}}) AS own FROM b GROUP BY 1),
+g AS (SELECT 0::BIGINT AS i, q AS free, NULL::VARCHAR AS source_id, NULL::VARCHAR AS h, 0 AS k FROM q UNION ALL
+  SELECT i, list_transform(free, lambda y, n: y - (n = best.k)::INT), source_id, best.h, best.k FROM (SELECT o.i, g.free, o.source_id, list_reverse_sort(list_transform(list_filter(own, lambda x: free[x.k] > 0), lambda x: {{'hits': x.hits, 'free': free[x.k], 'k': x.k, 'h': x.h}}))[1] AS best
+    FROM g JOIN o ON o.i = g.i + 1 WHERE list_sum(free) > 0))
+SELECT source_id, h AS hypothesis_id, rule_id, 'gen_' || sha256('["val","' || source_id || '","' || h || '","' || rule_id || '"]')[:20] AS assignment_id FROM g JOIN rules USING (k)""")
+def heldout_schedule(spark, d):
+    """40 documents' edits dealt to sources of three documents each: failed and applied assignments are barred, some sources closed."""
+    rows = t(spark, d, "documents").withColumn("source_id", F.floor(doc() / 3).cast("string")).withColumn("hypothesis_id", S(doc()))
+    hits = F.create_map(*(x for r, (_, terms) in _RULES.items() for x in (F.lit(r), generation.hint_hits(F.coalesce("text", F.lit("")), F.array(*map(F.lit, terms))))))
+    failed = rows.where(doc() % 11 == 0).select("source_id", "hypothesis_id", F.lit("r1").alias("rule_id"))
+    applied = rows.where(doc() % 4 == 1).select("source_id", "hypothesis_id", F.explode(F.array(*map(F.lit, _RULES))).alias("rule_id"))
+    weights = {r: w for r, (w, _) in _RULES.items()}
+    found = generation.schedule_heldout(rows.select("source_id", "hypothesis_id", hits.alias("hits")), failed.unionByName(applied), rows.where("source is null").select("source_id"), weights, {}, 40, 0, 0, 0, 7)
+    picks = spark.createDataFrame([(p.source_id, p.hypothesis_id, p.rule_id) for p in found.picks], "source_id string, hypothesis_id string, rule_id string")
+    return picks.withColumn("assignment_id", generation.assignment_id("val", "source_id", "hypothesis_id", "rule_id"))
+
+
 def seconds(c: str) -> Column:
     """Whole seconds since 1970 of a timestamp without a zone, whatever the session's zone is."""
     return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
