@@ -253,12 +253,13 @@ def map_span(start: str, end: str, edits: str) -> Column:
     return F.struct((F.col(start) + shift(lambda x: x["end"] <= F.col(start))).alias("start"), (F.col(end) + shift(lambda x: x["start"] < F.col(end))).alias("end"))
 
 
-def _binned(spans: DataFrame, levels: DataFrame | None, own: bool, role: int) -> DataFrame:
-    """``spans`` in each bin they touch, two at most of a level: on their own level if ``own``, and on all longer ones of ``levels``."""
+def _binned(spans: DataFrame, key: str, levels: DataFrame | None, own: bool, role: int) -> DataFrame:
+    """``spans`` in each bin they touch, two at most of a level: on their own level, or on those of ``levels`` for their key that are
+    longer (or as long, if ``own``)."""
     out = spans.withColumn("__level", F.col("__own"))
     if levels is not None:
         longer = F.col("__level") >= F.col("__own") if own else F.col("__level") > F.col("__own")
-        out = spans.join(F.broadcast(levels), longer)
+        out = spans.join(levels, key).where(longer)
     first, last = (F.call_function("shiftright", x, F.col("__level")) for x in (F.col("start"), F.greatest("start", F.col("end") - 1)))
     return out.withColumn("__role", F.lit(role)).withColumn("__bin", F.explode(F.sequence(first, last)))
 
@@ -266,20 +267,21 @@ def _binned(spans: DataFrame, levels: DataFrame | None, own: bool, role: int) ->
 def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of spans (start, end; whole numbers) of one key that overlap: a.start < b.end and b.start < a.end.
 
-    A binned interval join. A span's level is the least power of two that holds its length, and bins of a level are that wide, so a
+    A binned interval join. A span's level is the least power of four that holds its length, and bins of a level are that wide, so a
     span touches two of them at most. A pair meets on the level of the longer span, where the shorter one is entered too, and only
     in the bin of the later start: once, with no pairs to make distinct. A key with very many spans is thereby spread over its
-    bins; of a bin's pairs a good part overlaps. Levels (63 at most) are broadcast. Spans that lack key or offset, or end
-    before their start, take no part; an empty span overlaps one that holds its place inside. Repeated spans pair each.
+    bins; of a bin's pairs a good part overlaps. A span is entered only on levels (32 at most) that its key has on the other side.
+    Spans that lack key or offset, or end before their start, take no part; an empty span overlaps one that holds its place inside.
+    Repeated spans pair each.
     """
     sides, levels = [], []
     for side in (a, b):
         span = side.where(F.col(key).isNotNull() & (F.col("start") <= F.col("end"))).withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
-        span = span.withColumn("__own", F.length(F.bin(F.greatest(F.col("end") - F.col("start") - 1, F.lit(0).cast("long")))))
-        sides.append(span)
-        levels.append(span.select(F.col("__own").alias("__level")).distinct())
-    left = _binned(sides[0], None, True, 0).unionByName(_binned(sides[0], levels[1], False, 1))
-    right = _binned(sides[1], levels[0], True, 0).unionByName(_binned(sides[1], None, True, 1))
+        bits = F.length(F.bin(F.greatest(F.col("end") - F.col("start") - 1, F.lit(0).cast("long"))))
+        sides.append(span.withColumn("__own", bits + bits % 2))
+        levels.append(sides[-1].select(key, F.col("__own").alias("__level")).distinct())
+    left = _binned(sides[0], key, None, True, 0).unionByName(_binned(sides[0], key, levels[1], False, 1))
+    right = _binned(sides[1], key, levels[0], True, 0).unionByName(_binned(sides[1], key, None, True, 1))
     met = [key, "__role", "__level", "__bin"]
     right = right.select(*met, *(F.col(c).alias(f"other_{c}") for c in b.columns if c != key))
     later = F.call_function("shiftright", F.greatest("start", "other_start"), F.col("__level"))
