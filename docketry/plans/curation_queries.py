@@ -6,6 +6,9 @@ row of a table, and the SQL says what has to be found in it.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from docketry.functions import dates, keys, text, vectors
 from docketry.operators import annotations, audit, citation_audit, collect, corpus, curation, generation, laws, lookups, release
 from docketry.plans.queries import _FLAT, _GOLD, _gold, query, rounded, t
 from docketry.schemas import LABELS
+from docketry.shared import shared_dir
+from docketry.sources import commits
 from docketry.sources.tables import portable_path
 
 
@@ -184,6 +189,18 @@ def overlapping_spans(spark, d):
     return curation.overlapping(a, b, "doc_id")
 
 
+@query()
+def committed_splits(spark, d):
+    """Splits of all documents committed as one, then once more without documents of no language; both versions as read back."""
+    path = f"{shared_dir(spark)}/docketry/commits-{uuid.uuid4().hex}"
+    rows = t(spark, d, "documents").withColumn("split", split())
+    for part in (rows, rows.where("lang is not null")):
+        commits.commit_tables({name: part.where(F.col("split") == name) for name in ("train", "val", "test")}, path)
+    read = [df.select(F.lit(v).alias("version"), F.lit(name).alias("split"), "doc_id", "lang", "text") for v in commits.versions(spark, path) for name, df in commits.read_tables(spark, path, v).items()]
+    found = functools.reduce(lambda x, y: x.unionByName(y), read)
+    return found.groupBy("version", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.count("lang").alias("with_lang"), F.sum(F.length("text")).alias("chars"))
+
+
 #: Rules of ``heldout_schedule``: weight and terms.
 _RULES = {"r1": (50.0, ["the ", "ing "]), "r2": (30.0, ["der ", "und ", "th"]), "r3": (20.0, ["que ", "los ", "an"])}
 _TERMS = ", ".join(f"({k}, '{r}', {w}, {terms})" for k, (r, (w, terms)) in enumerate(_RULES.items(), 1))

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.plans.curation_queries import committed_splits
 from docketry.schemas import ConstraintError
 from docketry.sources import commits
 
@@ -39,3 +40,16 @@ def test_both_splits_or_none(spark, tmp_path):
     assert commits.forget(spark, at) == [1] and commits.versions(spark, at) == [2] and ids()["train"] == [3, 4]
     with pytest.raises(ConstraintError):
         commits.commit_tables({}, at)
+
+
+def test_committed_splits_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text").collect()
+    want = {}
+    for version in (1, 2):
+        for r in rows:
+            if version == 1 or r.lang is not None:
+                name = "train" if r.doc_id % 7 < 4 else "val" if r.doc_id % 7 < 6 else "test"
+                n, ids, langs, chars = want.get((version, name), (0, 0, 0, 0))
+                want[version, name] = n + 1, ids + r.doc_id, langs + (r.lang is not None), chars + len(r.text or "")
+    got = {(r.version, r.split): (r.n, r.ids, r.with_lang, r.chars) for r in committed_splits(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and len(got) == 6
