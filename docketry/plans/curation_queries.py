@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import citations as cites
 from docketry.functions import dates, keys, text, vectors
-from docketry.operators import annotations, audit, citation_audit, collect, corpus, curation, generation, laws, lookups, release
+from docketry.operators import annotations, audit, citation_audit, collect, corpus, curation, generation, laws, lookups, provisions, release
 from docketry.plans.queries import _FLAT, _GOLD, _gold, query, rounded, t
 from docketry.schemas import LABELS
 from docketry.shared import shared_dir
@@ -551,3 +551,42 @@ SELECT vec_id, round(sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(e, e))
 def unit_vectors(spark, d):
     rows = t(spark, d, "embeddings").where(vectors.is_vector("embedding")).withColumn("u", vectors.normalize("embedding"))
     return rows.select("vec_id", F.round(F.sqrt(vectors.dot("u", "u")), 6).alias("norm"), F.round(F.col("u")[0].cast("double"), 6).alias("first"))
+
+
+# provisions
+
+
+@query("""WITH p AS (SELECT coalesce(source, 'none') AS path, doc_id AS i, (doc_id * 37) % 101 AS k FROM documents),
+m AS (SELECT *, CASE WHEN k = 0 THEN 'section' WHEN k <= 2 THEN 'chapter' WHEN k <= 9 THEN 'article' WHEN k <= 11 THEN 'note' WHEN k <= 35 THEN 'part' WHEN k <= 61 THEN 'point' WHEN k <= 65 THEN 'change' WHEN k <= 69 THEN 'version' WHEN k <= 72 THEN 'comment'
+  WHEN k <= 80 THEN 'shared' WHEN k <= 90 THEN 'last' ELSE 'letter' END AS mk FROM p),
+c AS (SELECT *, coalesce(max(CASE WHEN mk = 'section' THEN i END) OVER w, -1) AS sec, coalesce(max(CASE WHEN mk = 'chapter' THEN i END) OVER w, -1) AS chap, coalesce(max(CASE WHEN mk = 'article' THEN i END) OVER w, -1) AS art,
+  coalesce(max(CASE WHEN mk = 'note' THEN i END) OVER w, -1) AS note, coalesce(max(CASE WHEN mk = 'part' THEN i END) OVER w, -1) AS numb, coalesce(max(CASE WHEN mk = 'point' THEN i END) OVER w, -1) AS pnt,
+  coalesce(max(CASE WHEN mk = 'change' THEN i END) OVER w, -1) AS chg, coalesce(max(CASE WHEN mk NOT IN ('change', 'version', 'comment') THEN i END) OVER w, -1) AS pln FROM m WINDOW w AS (PARTITION BY path ORDER BY i)),
+d AS (SELECT *, art > greatest(sec, chap) AS art_on, art > greatest(sec, chap) AND note > art AS in_notes, (art * 37) % 101 = 9 AS art_idle, (numb * 37) % 101 = 35 AS numb_idle, (pnt * 37) % 101 = 61 AS pnt_idle FROM c),
+e AS (SELECT *, CASE WHEN art_on AND NOT in_notes AND numb > art THEN numb ELSE -1 END AS prt, CASE WHEN (note * 37) % 101 = 11 AND numb > note THEN numb ELSE note END AS nte,
+  CASE WHEN mk = 'change' OR (mk = 'version' AND chg > pln) THEN 'amendment' WHEN mk IN ('version', 'comment') THEN CASE WHEN art_on OR sec >= 0 THEN 'commentary' ELSE 'front_matter' END
+  WHEN mk = 'article' AND art_idle THEN 'inactive_article_heading' WHEN mk IN ('section', 'chapter', 'article') THEN mk || '_heading' WHEN NOT art_on THEN 'front_matter' WHEN in_notes THEN 'note' ELSE 'legal_text' END AS kind FROM d),
+f AS (SELECT *, CASE WHEN pnt > greatest(art, prt) AND mk <> 'shared' THEN pnt ELSE -1 END AS ptt, pnt > greatest(art, prt) AND mk IN ('shared', 'last') AS placed FROM e),
+legal AS (SELECT path, i, art, prt, ptt, art_idle OR (prt >= 0 AND numb_idle) OR (ptt >= 0 AND pnt_idle) AS gone FROM f WHERE kind = 'legal_text'),
+nodes AS (SELECT path, art, prt, ptt, bool_or(gone) AS gone FROM legal GROUP BY ALL),
+leaves AS (SELECT *, 'c:article:' || (art % 50 + 1) || '.' || (art % 4) || CASE WHEN prt >= 0 THEN ':part:' || (prt % 9 + 1) ELSE '' END || CASE WHEN ptt >= 0 THEN ':point:' || (ptt % 9 + 1) ELSE '' END AS u FROM nodes n WHERE NOT gone
+  AND (ptt >= 0 OR NOT EXISTS (SELECT 1 FROM nodes x WHERE x.path = n.path AND x.art = n.art AND x.ptt >= 0 AND x.prt = n.prt)) AND (ptt >= 0 OR prt >= 0 OR NOT EXISTS (SELECT 1 FROM nodes x WHERE x.path = n.path AND x.art = n.art AND (x.ptt >= 0 OR x.prt >= 0)))),
+held AS (SELECT l.path, l.i, v.u FROM legal l JOIN leaves v ON v.path = l.path AND v.art = l.art AND (l.prt = v.prt OR l.prt < 0) AND (l.ptt = v.ptt OR l.ptt < 0) WHERE NOT l.gone),
+noted AS (SELECT path, i, art_idle OR (nte * 37) % 101 = 35 AS gone, 'c:article:' || (art % 50 + 1) || '.' || (art % 4) || ':note:' || CASE WHEN nte = numb AND numb > note THEN (nte % 9 + 1)::VARCHAR WHEN (nte * 37) % 101 = 11 THEN '1' ELSE 'unnumbered' END AS u FROM f WHERE kind = 'note'),
+every AS (SELECT path, i, u FROM held UNION ALL SELECT path, i, u FROM noted WHERE NOT gone),
+ids AS (SELECT path, i, count(DISTINCT u) AS n, min(u) AS u FROM every GROUP BY ALL),
+gone AS (SELECT path, i FROM legal WHERE gone UNION SELECT path, i FROM noted WHERE gone)
+SELECT f.path, f.i AS index, CASE WHEN g.i IS NOT NULL THEN 'inactive_placeholder' ELSE kind END AS kind, CASE WHEN kind <> 'legal_text' OR NOT placed THEN NULL WHEN mk = 'shared' THEN 'shared_list_closing_rule' ELSE 'point_specific_continuation' END AS context_assignment,
+  coalesce(n, 0)::INT AS n_units, u AS first_unit FROM f LEFT JOIN ids USING (path, i) LEFT JOIN gone g ON g.path = f.path AND g.i = f.i""")
+def provision_audit(spark, d):
+    """Every document is a paragraph of its source, with a heading or a marker before its text that its id says."""
+    i, k = doc(), (doc() * 37) % 101
+    said = F.concat(F.lit("текст "), F.coalesce("text", F.lit("")))
+    start = (
+        F.when(k == 0, "Раздел IV. ").when(k <= 2, F.concat(F.lit("Глава "), S(i % 7), F.lit(". "))).when(k <= 9, F.concat(F.lit("Статья "), S(i % 50 + 1), F.lit("."), S(i % 4), F.when(k == 9, ". Утратила силу ").otherwise(". ")))
+        .when(k == 10, "Примечание. ").when(k == 11, "Примечания: 1. ").when(k <= 35, F.concat(S(i % 9 + 1), F.when(k == 35, ". Утратила силу ").otherwise(". "))).when(k <= 61, F.concat(S(i % 9 + 1), F.when(k == 61, ") Не применяется ").otherwise(") ")))
+        .when(k <= 65, "Информация об изменениях: ").when(k <= 72, "").when(k <= 80, "Кроме того, ").when(k <= 90, "Данное обстоятельство: ").otherwise("а) ")
+    )
+    style = F.when((k >= 66) & (k <= 69), "Информация о версии").when((k >= 70) & (k <= 72), "Комментарий")
+    placed = provisions.place(docs(spark, d).select(F.col("source").alias("path"), i.alias("index"), F.concat(start, said).alias("text"), style.alias("style")))
+    return provisions.audit(placed, "c").select("path", "index", "kind", "context_assignment", F.size("unit_ids").alias("n_units"), F.get("unit_ids", F.lit(0)).alias("first_unit"))
