@@ -5,7 +5,7 @@ is mapped to the identifiers of the known licence sentences it contains, in the
 that begin at one place, the earlier in the table first); the document's identifiers, in order, are matched against ordered
 licence rules, each a pattern over identifiers. A rule that matches takes its identifiers out
 of the sequence, so that the rules after it see what is left; identifiers that no rule takes are reported as
-unknown. Only texts and sentences with one of a few words that every sentence rule needs are looked at closely,
+unknown. A rule without a name takes out what a sentence denies ("not released under the MIT license"). Only texts and sentences with one of a few words that every sentence rule needs are looked at closely,
 which changes no result.
 
 All of it is one projection without a shuffle. ``oracle`` writes the same rules as DuckDB SQL.
@@ -30,6 +30,10 @@ SENTENCES = [
     ("mitGrant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("mitNotice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("mitAsIs", r"the software is provided .?as is.?, without warranty of any kind"),
+    ("notMit", r"(not|never|no longer) (released|licensed|distributed|available|provided) under (the )?(terms of )?(the )?(mit|expat) licen[cs]e"),
+    ("notApache", r"(not|never|no longer) licensed under the apache license,? version 2\.0"),
+    ("notGnu", r"(not|never|no longer) (released|licensed|distributed|available|provided) (under|by) (the )?(terms of )?(the )?gnu (affero |lesser |library )?general public license"),
+    ("mitHead", r"^ ?(the )?mit license|licen[cs]e: (the )?mit([^a-z]|$)"),
     ("mitRef", r"(released|licensed|distributed|available|provided) under (the )?(terms of the )?(mit|expat) licen[cs]e"),
     ("bsdIntro", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("bsdSource", r"redistributions of source code must retain the above copyright notice"),
@@ -40,6 +44,7 @@ SENTENCES = [
     ("bsd2Ref", r"(2|two)[- ]clause bsd|bsd[- ](2|two)[- ]clause"),
     ("bsd3Ref", r"(3|three)[- ]clause bsd|bsd[- ](3|three)[- ]clause"),
     ("apacheRef", r"licensed under the apache license,? version 2\.0"),
+    ("apacheHead", r"^ ?apache license,? (version |v\.? ?)2\.0"),
     ("apacheUse", r"you may not use this (file|work|software) except in compliance with the license"),
     ("apacheCopy", r"you may obtain a copy of the license at"),
     ("apacheBasis", r"software distributed under the license is distributed on an .?as is.? basis"),
@@ -47,11 +52,25 @@ SENTENCES = [
     ("agplTerms", r"(under|by) (the )?(terms of )?(the )?gnu affero general public license"),
     ("lgplTerms", r"(under|by) (the )?(terms of )?(the )?gnu (lesser|library) general public license"),
     ("gplTerms", r"(under|by) (the )?(terms of )?(the )?gnu general public license"),
-    ("version21", r"version 2\.1( of the license)?"),
-    ("version2", r"gnu [a-z ]*public license,? (version |v)2([^.0-9]|$)|version 2 of the license"),
-    ("version3", r"gnu [a-z ]*public license,? (version |v)3|version 3 of the license"),
+    ("agplHead", r"(^ ?|: |\()(the )?gnu affero general public license,? (version |v\.? ?)[0-9]"),
+    ("lgplHead", r"(^ ?|: |\()(the )?gnu (lesser|library) general public license,? (version |v\.? ?)[0-9]"),
+    ("gplHead", r"(^ ?|: |\()(the )?gnu general public license,? (version |v\.? ?)[0-9]"),
+    ("agpl3Later", r"(^|[^a-z0-9-])agpl[ -]?(version |v)?3(\.0)?(\+|-or-later)"),
+    ("agpl3Ref", r"(^|[^a-z0-9-])agpl[ -]?(version |v)?3(\.0)?([^.0-9]|\.?$)"),
+    ("lgpl21Later", r"(^|[^a-z0-9-])lgpl[ -]?(version |v)?2\.1(\+|-or-later)"),
+    ("lgpl21Ref", r"(^|[^a-z0-9-])lgpl[ -]?(version |v)?2\.1([^.0-9]|\.?$)"),
+    ("lgpl3Later", r"(^|[^a-z0-9-])lgpl[ -]?(version |v)?3(\.0)?(\+|-or-later)"),
+    ("lgpl3Ref", r"(^|[^a-z0-9-])lgpl[ -]?(version |v)?3(\.0)?([^.0-9]|\.?$)"),
+    ("gpl2Later", r"(^|[^a-z0-9-])gpl[ -]?(version |v)?2(\.0)?(\+|-or-later)"),
+    ("gpl2Ref", r"(^|[^a-z0-9-])gpl[ -]?(version |v)?2(\.0)?([^.0-9]|\.?$)"),
+    ("gpl3Later", r"(^|[^a-z0-9-])gpl[ -]?(version |v)?3(\.0)?(\+|-or-later)"),
+    ("gpl3Ref", r"(^|[^a-z0-9-])gpl[ -]?(version |v)?3(\.0)?([^.0-9]|\.?$)"),
+    ("version21", r"gnu [a-z ]*public license,? (version |v\.? ?)2\.1|version 2\.1( of the license)?"),
+    ("version2", r"gnu [a-z ]*public license,? (version |v\.? ?)2(\.0)?([^.0-9]|\.?$)|version 2 of the license"),
+    ("version3", r"gnu [a-z ]*public license,? (version |v\.? ?)3|version 3 of the license"),
     ("anyLater", r"(any|or) later version"),
-    ("mplRef", r"mozilla public license,? (version |v\.? ?)2\.0|mozilla public license,? v\.$"),
+    ("mpl11Ref", r"mozilla public license,? (version |v\.? ?)1\.1"),
+    ("mplRef", r"mozilla public license,? (version |v\.? ?)2\.0"),
     ("eplRef", r"eclipse public license"),
     ("zlibAsIs", r"this software is provided .?as[- ]is.?, without any express or implied warranty"),
     ("zlibGrant", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
@@ -78,10 +97,14 @@ SENTENCES = [
 
 # Licence rules over the identifier sequence, in order; each identifier stands between blanks.
 RULES = [
+    ("", r" notMit mitRef "),
+    ("", r" notApache apacheRef (apacheUse )?(apacheCopy )?(apacheBasis )?"),
+    ("", r" notGnu (agplTerms|lgplTerms|gplTerms) (version(21|2|3) )?(anyLater )?"),
     ("Unlicense", r" unlicense (publicDomain )?"),
     ("X11", r" mitGrant (mitNotice )?(mitAsIs )?x11Name "),
     ("MIT", r" mitGrant (mitNotice )?(mitAsIs )?"),
     ("MIT", r" mitRef "),
+    ("MIT", r" mitHead "),
     ("Zlib", r" (zlibAsIs )?zlibGrant "),
     ("BSL-1.0", r" (boostRef )?boostGrant (mitNotice )?(mitAsIs )?"),
     ("BSL-1.0", r" boostRef "),
@@ -92,6 +115,17 @@ RULES = [
     ("BSD-2-Clause", r" bsdIntro bsdSource bsdBinary (bsdAsIs )?"),
     ("BSD-2-Clause", r" bsd2Ref "),
     ("Apache-2.0", r" apacheRef (apacheUse )?(apacheCopy )?(apacheBasis )?"),
+    ("Apache-2.0", r" apacheHead "),
+    ("AGPL-3.0-or-later", r" agpl3Later (agpl3Ref )?"),
+    ("AGPL-3.0", r" agplHead version3 | agpl3Ref "),
+    ("LGPL-2.1-or-later", r" lgpl21Later (lgpl21Ref )?"),
+    ("LGPL-2.1", r" lgplHead version21 | lgpl21Ref "),
+    ("LGPL-3.0-or-later", r" lgpl3Later (lgpl3Ref )?"),
+    ("LGPL-3.0", r" lgplHead version3 | lgpl3Ref "),
+    ("GPL-2.0-or-later", r" gplHead version2 anyLater | gpl2Later (gpl2Ref )?"),
+    ("GPL-2.0", r" gplHead version2 | gpl2Ref "),
+    ("GPL-3.0-or-later", r" gplHead version3 anyLater | gpl3Later (gpl3Ref )?"),
+    ("GPL-3.0", r" gplHead version3 | gpl3Ref "),
     ("AGPL-3.0-or-later", r" (gplFree )?agplTerms version3 anyLater "),
     ("AGPL-3.0", r" (gplFree )?agplTerms version3 "),
     ("LGPL-2.1-or-later", r" (gplFree )?lgplTerms version21 anyLater "),
@@ -105,6 +139,7 @@ RULES = [
     ("GPL", r" (gplFree )?gplTerms "),
     ("LGPL", r" (gplFree )?lgplTerms "),
     ("AGPL", r" (gplFree )?agplTerms "),
+    ("MPL-1.1", r" mpl11Ref "),
     ("MPL-2.0", r" mplRef "),
     ("EPL", r" eplRef "),
     ("Artistic-2.0", r" artisticRef "),
@@ -125,11 +160,11 @@ RULES = [
     ("all-rights-reserved", r" (copyright )?reserved "),
 ]
 
-_BLANKS, _ENDS, _MARK = r"[\s*#/]+", r"([.;!?]) ", "\n"
+_BLANKS, _SHORT, _ENDS, _MARK = r"[\s*#/]+", r" v\. ", r"([.;!?]) ", "\n"
 
 
 def sentences(text: str | Column) -> Column:
-    one = F.regexp_replace(F.lower(text), _BLANKS, " ")
+    one = F.regexp_replace(F.regexp_replace(F.lower(text), _BLANKS, " "), _SHORT, " v.")  # "v. 2" doesn't end a sentence
     return F.split(F.regexp_replace(one, _ENDS, "$1" + _MARK), _MARK)
 
 
@@ -161,7 +196,7 @@ def recognise(docs: DataFrame, keep_all: bool = False) -> DataFrame:
     # each identifier has blanks of its own, so that neighbours can be taken out alike
     out = out.withColumn("rest", F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" ")))
     for k, (name, pattern) in enumerate(RULES):
-        out = out.withColumn(f"r{k}", F.when(F.col("rest").rlike(pattern), F.lit(name))).withColumn("rest", F.regexp_replace("rest", pattern, " "))
+        out = out.withColumn(f"r{k}", F.when(F.col("rest").rlike(pattern), F.lit(name or None).cast("string"))).withColumn("rest", F.regexp_replace("rest", pattern, " "))
     found = F.array_distinct(F.array_compact(F.array(*(f"r{k}" for k in range(len(RULES))))))
     return out.select("id", "sentence_ids", found.alias("licences"), F.array_remove(F.split("rest", " "), "").alias("unknown"))
 
@@ -172,12 +207,12 @@ def oracle(documents: str = "documents") -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(s, {q(p)}) THEN {{'at': length(regexp_extract(s, {q(_before(p))}, 1)), 'k': {k}, 'name': {q(n)}}} END" for k, (n, p) in enumerate(SENTENCES))
     steps, last = [], "seqs"
     for k, (name, pattern) in enumerate(RULES):
-        found = f"CASE WHEN regexp_matches(rest, {q(pattern)}) THEN list_append(found, {q(name)}) ELSE found END"
+        found = f"CASE WHEN regexp_matches(rest, {q(pattern)}) THEN list_append(found, {q(name)}) ELSE found END" if name else "found"
         steps.append(f"s{k} AS (SELECT doc_id, ids, {found} AS found, regexp_replace(rest, {q(pattern)}, ' ', 'g') AS rest FROM {last})")
         last = f"s{k}"
     return f"""
 WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(text), '[\\s*#/\\x0B]+', ' ', 'g'), '([.;!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ss
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\\s*#/\\x0B]+', ' ', 'g'), ' v\\. ', ' v.', 'g'), '([.;!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ss
   FROM {documents} WHERE text IS NOT NULL
 ), mapped AS (
   SELECT doc_id, flatten(list_transform(ss, lambda s: list_transform(list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)), lambda x: x.name))) AS ids FROM cut

@@ -278,3 +278,32 @@ def test_page_records(spark):
     pages = spark.createDataFrame([(2, "http://a.org/x#1", "<title>T</title>"), (1, "https://a.org/x/", "<title>T</title>"), (3, None, None)], "page_id long, url string, html string")
     got = resolve(page_records(pages), ("body_bytes",)).collect()
     assert [(r.id, r.base_id, r.status, r.body_bytes) for r in got] == [(2, 1, "resolved", 16)]
+
+
+#: Short names, headings and versions; what is denied or only resembles a licence's name has none.
+NAMED = [
+    (["MPL-1.1"], "subject to the Mozilla Public License, v. 1.1 only"), (["MPL-1.1"], "Mozilla Public License Version 1.1"), (["MPL-2.0"], "the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed"),
+    (["GPL-2.0"], "GNU General Public License v2.0"), (["GPL-2.0"], "License: GNU General Public License v2."), (["GPL-3.0"], "Licensed under GPLv3"), (["GPL-3.0"], "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"),
+    (["GPL-2.0"], "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991"), (["LGPL-2.1"], "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"), (["AGPL-3.0"], "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    (["GPL-3.0-or-later"], "released as GPL-3.0-or-later"), (["GPL-2.0-or-later"], "this is GPLv2+ code"), (["LGPL-3.0"], "the LGPLv3"), (["LGPL-2.1-or-later"], "LGPL-2.1+"), (["AGPL-3.0"], "It is AGPLv3."), (["GPL-2.0", "SPDX"], "SPDX-License-Identifier: GPL-2.0-only"),
+    (["GPL-2.0"], "under the terms of the GNU General Public License, version 2."), (["MIT"], "MIT License"), (["MIT"], "License: MIT"), (["Apache-2.0"], "                                 Apache License\n                           Version 2.0, January 2004"),
+    ([], "This is not released under the MIT license."), ([], "The code is no longer licensed under the Apache License, Version 2.0."), ([], "It is not distributed under the terms of the GNU General Public License, version 2 or any later version."),
+    (["GPL-3.0"], "It is not released under the MIT license. Licensed under GPLv3."), ([], "the gplv34 board"), ([], "our mygpl-3 tool"), ([], "license: mitigated"), ([], "he lost v. 2 of the book about licences"), ([], "GPL-1 was old"), ([], "lgpl 2.15"),
+]
+
+
+def test_licences_by_name_version_and_heading(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(NAMED)], "id long, text string")
+    got = {r.id: r.licences for r in licences.recognise(df, keep_all=True).collect()}
+    assert [(t, got[i]) for i, (_, t) in enumerate(NAMED)] == [(t, w) for w, t in NAMED]
+
+
+def test_licences_agree_with_the_sql_on_names(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(NAMED)])
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(NAMED)], "id long, text string")
+    ours = {(r.id, ",".join(r.sentence_ids), ",".join(r.licences), ",".join(r.unknown)) for r in licences.recognise(df).collect()}
+    assert ours == set(con.execute(f"SELECT doc_id, sentence_ids, licences, unknown FROM ({licences.oracle()})").fetchall())
