@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.schemas import ConstraintError
+from docketry.shared import settled
 
 
 class Encoder(Protocol):
@@ -127,7 +128,8 @@ def with_retry(send: Callable[[dict], dict], attempts: int = 3, wait: float = 0.
 def ask_server(requests: DataFrame, send: Callable[[dict], dict], payload: Callable[[str], dict], cache: DataFrame | None = None, prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
     """``requests`` with key and response (JSON), and the answers that are new to the cache (key, response).
 
-    Every distinct payload is sent once; one that the cache has is not sent. ``payload`` makes the request of a prompt.
+    Every distinct payload is sent once; one that the cache has is not sent. ``payload`` makes the request of a prompt. The answers are
+    written to the shared folder before anything reads them, so only a task that is repeated sends again.
     """
 
     @F.pandas_udf("string")
@@ -141,7 +143,7 @@ def ask_server(requests: DataFrame, send: Callable[[dict], dict], payload: Calla
     asked = requests.withColumn("key", name(prompt))
     todo = asked.groupBy("key").agg(F.min(prompt).alias("__prompt"))
     known = cache.select("key", "response") if cache is not None else requests.sparkSession.createDataFrame([], "key string, response string")
-    new = todo.join(known, "key", "left_anti").select("key", answer("__prompt").alias("response"))
+    new = settled(todo.join(known, "key", "left_anti").select("key", answer("__prompt").alias("response")))
     return asked.join(known.unionByName(new), "key", "left"), new
 
 

@@ -5,6 +5,7 @@ The reference behaviour is a resumable batch; the streams are an extra and keep
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -72,17 +73,22 @@ def upsert_batch(path: str):
 def prepare_missing(variants: DataFrame, path: str, fingerprint: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All rows prepared under a configuration's ``fingerprint``; only variants (variant_id) that have none yet are prepared.
 
-    Each run adds its rows under the fingerprint's folder, so a run that stopped is taken up where it ended, and another
-    configuration starts anew. A variant for which ``prepare`` gives no row is asked for again.
+    Each run writes a folder of its own, which counts only with the marker that Spark's committer leaves in it last: a run that stopped
+    halfway is as if it had not been, its variants are prepared again, and none of its rows is read. Another configuration
+    starts anew. A variant for which ``prepare`` gives no row is asked for again.
     """
     spark = variants.sparkSession
     at = f"{path.rstrip('/')}/fingerprint={fingerprint}"
     jvm = spark._jvm
     there = jvm.org.apache.hadoop.fs.Path(at)
     fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    todo = variants
-    if fs.exists(there) and fs.listStatus(there):
-        todo = variants.join(spark.read.parquet(at).select("variant_id").distinct(), "variant_id", "left_anti")
-    if not todo.isEmpty():
-        prepare(todo).write.mode("append").parquet(at)
-    return spark.read.parquet(at)
+
+    def runs() -> list[str]:
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{at}/run-*/_SUCCESS"))
+        return sorted(f.getPath().getParent().toString() for f in found or [])
+
+    done = runs()
+    todo = variants.join(spark.read.parquet(*done).select("variant_id").distinct(), "variant_id", "left_anti") if done else variants
+    if not done or not todo.isEmpty():
+        prepare(todo).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{at}/run-{uuid.uuid4().hex}")
+    return spark.read.parquet(*runs())
