@@ -92,17 +92,34 @@ def recall_at_depths(hits: DataFrame, gold: DataFrame, depths: list[int], by: tu
     return out.withColumn("recall", F.try_divide(F.col("hits").cast("double"), F.col("gold").cast("double")))
 
 
+def unit_ways(units: DataFrame) -> DataFrame:
+    """``units`` (unit_id, code, article, part, point) under every citation that leads to them: four rows of a unit at most.
+
+    A citation that leaves part or point open finds the rows where it is null, so that all are found by equality alone.
+    """
+    either = lambda c: F.explode(F.array_distinct(F.array(F.lit(None), F.col(c)))).alias(c)
+    return units.select("unit_id", "code", "article", either("part"), "point").select("unit_id", "code", "article", "part", either("point"))
+
+
+def led_by(citations: DataFrame, ways: DataFrame) -> DataFrame:
+    """``citations`` joined with ``ways`` by code, article, part and point, which ``ways`` loses."""
+    named = ways.select(*(F.col(c).alias(f"__{c}") if c in ("code", "article", "part", "point") else F.col(c) for c in ways.columns))
+    on = (F.col("code") == F.col("__code")) & (F.col("article") == F.col("__article")) & F.col("part").eqNullSafe(F.col("__part")) & F.col("point").eqNullSafe(F.col("__point"))
+    return citations.join(named, on).drop("__code", "__article", "__part", "__point")
+
+
 def exact_lookup(citations: DataFrame, units: DataFrame) -> DataFrame:
     """Citations resolved against structured units by code and article, narrowed by part and point where given.
 
     ``citations``: hypothesis_id, citation_no, code, article, part, point. ``units``: unit_id and the same four. A bare article
-    or a bare point has to lead to one unit, else to none; a part may lead to many.
+    or a bare point has to lead to one unit, else to none; a part may lead to many. Units are counted before they are joined:
+    only those that are in the result become rows.
     """
-    u = units.select("unit_id", F.col("code").alias("u_code"), F.col("article").alias("u_article"), F.col("part").alias("u_part"), F.col("point").alias("u_point"))
-    fits = lambda c: F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"u_{c}"), F.lit(False))
-    met = citations.join(u, (F.col("code") == F.col("u_code")) & (F.col("article") == F.col("u_article")) & fits("part") & fits("point"))
-    n = F.count("*").over(W.partitionBy("hypothesis_id", "citation_no"))
-    return met.withColumn("n", n).where(F.col("part").isNotNull() | (F.col("n") == 1)).select(*citations.columns, "unit_id")
+    ways = unit_ways(units)
+    counted = ways.groupBy("code", "article", "part", "point").agg(F.count("*").alias("__n"), F.min("unit_id").alias("__one"))
+    n = F.sum("__n").over(W.partitionBy("hypothesis_id", "citation_no"))
+    bare = led_by(citations, counted).withColumn("__n", n).where(F.col("part").isNull() & (F.col("__n") == 1)).select(*citations.columns, F.col("__one").alias("unit_id"))
+    return bare.unionByName(led_by(citations.where(F.col("part").isNotNull()), ways.where(F.col("part").isNotNull())).select(*citations.columns, "unit_id"))
 
 
 def route_rules_first(hypotheses: DataFrame, exact: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -110,11 +127,15 @@ def route_rules_first(hypotheses: DataFrame, exact: DataFrame, semantic: DataFra
 
     ``exact``: hypothesis_id, citation_no, unit_id. ``semantic``: hypothesis_id, unit_id, rank, score.
     """
-    once = exact.groupBy("hypothesis_id", "unit_id").agg(F.min("citation_no").alias("citation_no"))
-    rank = F.row_number().over(W.partitionBy("hypothesis_id").orderBy("citation_no", "unit_id"))
-    rules = hypotheses.select("hypothesis_id").join(once, "hypothesis_id").select("hypothesis_id", "unit_id", rank.alias("rank"), F.lit(None).cast("double").alias("score"), F.lit("exact").alias("method"))
-    rest = hypotheses.select("hypothesis_id").join(exact.select("hypothesis_id").distinct(), "hypothesis_id", "left_anti")
-    return rules.unionByName(rest.join(semantic, "hypothesis_id").select("hypothesis_id", "unit_id", "rank", "score", F.lit("semantic").alias("method")))
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(exact.dtypes) | {f"s_{c}": k for c, k in semantic.dtypes}
+    once = exact.select("hypothesis_id", "unit_id", "citation_no").repartition("hypothesis_id").groupBy("hypothesis_id", "unit_id").agg(F.min("citation_no").alias("citation_no"))
+    both = once.select("*", none(kinds["s_rank"]).alias("rank"), none(kinds["s_score"]).alias("score"), F.lit(True).alias("exact"))
+    both = both.unionByName(semantic.select("hypothesis_id", "unit_id", none(kinds["citation_no"]).alias("citation_no"), "rank", "score", F.lit(False).alias("exact")))
+    by = W.partitionBy("hypothesis_id")
+    rows = hypotheses.select("hypothesis_id").join(both, "hypothesis_id")
+    rows = rows.withColumn("__n", F.row_number().over(by.orderBy(F.desc("exact"), "citation_no", "unit_id"))).withColumn("__any", F.max("exact").over(by)).where(F.col("exact") == F.col("__any"))
+    return rows.select("hypothesis_id", "unit_id", F.when(F.col("exact"), F.col("__n")).otherwise(F.col("rank")).alias("rank"), F.when(~F.col("exact"), F.col("score").cast("double")).alias("score"), F.when(F.col("exact"), "exact").otherwise("semantic").alias("method"))
 
 
 def fill_after_exact(exact: DataFrame, semantic: DataFrame, top_k: int, most: int) -> DataFrame:
@@ -122,8 +143,13 @@ def fill_after_exact(exact: DataFrame, semantic: DataFrame, top_k: int, most: in
 
     Returns hypothesis_id, unit_id, rank, score, methods, overflow (more exact hits than ``most``: to be rejected).
     """
-    e = exact.groupBy("hypothesis_id", "unit_id").agg(F.min("citation_no").alias("no"))
-    both = e.join(semantic.withColumnRenamed("rank", "s_rank"), ["hypothesis_id", "unit_id"], "full")
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(exact.dtypes) | {f"s_{c}": k for c, k in semantic.dtypes}
+    e = exact.select("hypothesis_id", "unit_id", F.col("citation_no").alias("no"), none(kinds["s_rank"]).alias("s_rank"), none(kinds["s_score"]).alias("score"), F.lit(False).alias("__near"))
+    s = semantic.select("hypothesis_id", "unit_id", none(kinds["citation_no"]).alias("no"), F.col("rank").alias("s_rank"), "score", F.lit(True).alias("__near"))
+    # a pair's exact rows go if it has semantic ones, which take over its citation; else one of them stays
+    pair = W.partitionBy("hypothesis_id", "unit_id", F.when(F.col("hypothesis_id").isNull() | F.col("unit_id").isNull(), F.col("__near")))
+    both = e.unionByName(s).repartition("hypothesis_id").withColumn("__k", F.row_number().over(pair.orderBy(F.desc("__near")))).withColumn("no", F.min("no").over(pair)).where(F.col("__near") | (F.col("__k") == 1))
     exactly = F.col("no").isNotNull()
     by = W.partitionBy("hypothesis_id")
     ranked = both.withColumn("n_exact", F.count("no").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.col("no").asc_nulls_last(), F.col("s_rank").asc_nulls_last(), "unit_id")))
