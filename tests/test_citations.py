@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import citations as C
-from docketry.operators import retrieval
+from docketry.operators import citation_audit, retrieval
 
 
 def tuples(text, **aliases):
@@ -65,6 +65,32 @@ def test_exact_lookup_and_routing(spark):
     assert routed == {(1, 0, "exact"), (2, 0, "exact"), (2, 1, "exact"), (4, 4, "exact"), (5, 5, "exact"), (7, 0, "exact"), (3, 99, "semantic"), (6, 99, "semantic"), (8, 99, "semantic")}
 
 
+def test_citations_meet_units_by_equality_alone(spark):
+    c, u = cited(spark, (1, 0, "5.35", None, None)), units(spark)
+    for found in (retrieval.exact_lookup(c, u), citation_audit.unit_lookup(u, c.withColumnRenamed("hypothesis_id", "key"))):
+        assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()  # no candidates of a whole article that a condition thins
+
+
+def test_exact_lookup_counts_all_hits_of_a_citation_number(spark):
+    c = cited(spark, (1, 0, "5.36", None, None), (1, 0, "5.35", "1", "1"), (2, 0, "5.36", None, None), (None, 0, "5.36", None, None))
+    got = sorted((str(r.hypothesis_id), r.article, r.unit_id) for r in retrieval.exact_lookup(c, units(spark)).collect())
+    assert got == [("1", "5.35", 0), ("2", "5.36", 4), ("None", "5.36", 4)]
+
+
+def test_unit_classes_hold_all_pairs(spark):
+    rows = [(1, "5.35", "1", None), (2, "5.35", "1", None), (3, "5.35", None, None), (4, "5.35", None, None), (5, "9.9", None, None), (6, "5.35", None, "1"), (7, "5.35", "1", None)]
+    c = spark.createDataFrame([(k, "КоАП РФ", a, p, q) for k, a, p, q in rows], "key long, code string, article string, part string, point string")
+    classes = [(r.key, r.same_as, r.unit_id) for r in citation_audit.unit_classes(units(spark), c).collect()]
+    assert sorted((k, s) for k, s, u in classes if u is None) == [(2, 1), (4, 3), (7, 1)]
+    own = {}
+    for k, s, u in classes:
+        if u is not None:
+            assert k == s
+            own.setdefault(k, []).append(u)
+    pairs = sorted((k, u) for k, s in {(k, s) for k, s, _ in classes} for u in own[s])
+    assert pairs == sorted((r.key, r.unit_id) for r in citation_audit.unit_lookup(units(spark), c).collect())
+
+
 def test_fill_after_exact(spark):
     e = spark.createDataFrame([(1, 0, 7), (1, 1, 8)], "hypothesis_id long, citation_no int, unit_id long")
     s = spark.createDataFrame([(1, 8, 1, 0.9), (1, 5, 2, 0.8), (1, 6, 3, 0.7), (2, 4, 1, 0.6)], "hypothesis_id long, unit_id long, rank int, score double")
@@ -83,3 +109,18 @@ def test_law_numbers_and_articles(spark):
     assert df.first().x == ["7-ФЗ", "115-ФЗ"]
     t = spark.createDataFrame([("ст. 5.35 КоАП",), ("ст. 5.35.1 КоАП",), ("статьи 5.35.",), ("ст. 15.35",)], "t string")
     assert [r.x for r in t.select(F.col("t").rlike(C.article_pattern("5.35")).alias("x")).collect()] == [True, False, True, False]
+
+
+def test_sql_of_visible_text_reads_entities_without_semicolon():
+    import hashlib
+
+    import duckdb
+
+    from docketry.functions.text import visible
+    from docketry.plans.queries import SQL
+
+    page = "<title>a&amp;amp b &amp</title><p>x &lt y &copy z &nbsp;&quot;&#39;&amp;lt;</p>"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [page])
+    assert visible(page) == "a&amp b &\nx < y © z \"'&lt;"
+    assert con.execute(SQL["page_visible_text"]).fetchone()[1] == hashlib.md5(visible(page).encode()).hexdigest()
