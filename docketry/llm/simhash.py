@@ -196,11 +196,12 @@ def table_anchor(fps: np.ndarray, places: np.ndarray, table: int) -> np.ndarray:
     return (np.uint64(table) << np.uint64(len(places))) | (word >> np.uint64(golay.LENGTH) << np.uint64(golay.LENGTH)) | code
 
 
-def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most: int) -> np.ndarray:
+def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most: int, of: np.ndarray | None = None, nearest: bool = False) -> np.ndarray:
     """(a, b) places of links within the anchors: trees that connect what ``sure`` bits connect, and, for each row and each
-    other of these trees, the nearest member within ``most`` bits.
+    other of these trees, the nearest member within ``most`` bits (``nearest``: of all other trees together).
 
-    A row that is reached is compared with all rows that no tree has reached yet, not just the first of its anchor.
+    A row that is reached is compared with all rows that no tree has reached yet, not just the first of its anchor. Where groups
+    are known (``of``), only links between different ones are given: for each row the nearest member of each other group in each tree.
     """
     order = np.lexsort((ids, anchors))
     links = []
@@ -215,17 +216,21 @@ def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most:
             while todo and len(left):
                 i = todo.pop()
                 near = np.bitwise_count(words[left] ^ words[i]).sum(axis=1) <= sure
-                links += [(part[i], part[j]) for j in left[near].tolist()]
+                if of is None:
+                    links += [(part[i], part[j]) for j in left[near].tolist()]
                 tree[left[near]] = trees
                 todo += left[near].tolist()
                 left = left[~near]
             trees += 1
-        if trees > 1:
+        group = tree if of is None else of[part]
+        if (group != group[0]).any():
             for i in range(len(part)):
                 apart = np.bitwise_count(words ^ words[i]).sum(axis=1)
-                there = np.flatnonzero((apart <= most) & (tree != tree[i]))
-                there = there[np.lexsort((apart[there], tree[there]))]
-                first = np.concatenate([[True], np.diff(tree[there]) != 0])[: len(there)]
+                there = np.flatnonzero((apart <= most) & (group != group[i]))
+                there = there[np.lexsort((apart[there], group[there], tree[there]))]
+                if nearest:
+                    there = there[apart[there].argmin()][None] if len(there) else there
+                first = np.concatenate([[True], (np.diff(tree[there]) != 0) | (np.diff(group[there]) != 0)])[: len(there)]
                 links += [(part[min(i, j)], part[max(i, j)]) for j in there[first].tolist()]
     return np.array(links, np.int64).reshape(-1, 2)
 
@@ -238,13 +243,15 @@ def _words(b: pa.RecordBatch, at: int) -> np.ndarray:
     return np.stack([b.column(at + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(LANES)], axis=1)
 
 
-def near_links(prints: DataFrame, most: int) -> DataFrame:
+def near_links(prints: DataFrame, most: int, texts: int | None = None, nearest: bool = False) -> DataFrame:
     """(a, b, bits): links between rows of ``prints`` (id, f0 ..) that meet at an anchor and differ in ``most`` bits or fewer.
 
-    Which anchors are dealt to cells is told from one row in ``SOME``; that decides where rows meet, not which.
+    See ``meet`` for which; a column ``of`` of ``prints`` tells groups. Tables are as many as for ``texts`` texts (those of ``prints``). Which anchors are dealt to cells is told from one row in ``SOME``; that decides where rows meet, not which.
     """
-    tables, extra = tables_for(prints.count())
+    tables, extra = tables_for(prints.count() if texts is None else texts)
     bits = _table_bits(tables, extra)
+    grouped = "of" in prints.columns
+    fields, row = (_FIELDS + ["of"], _ROW + ", of long") if grouped else (_FIELDS, _ROW)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All anchors of each row, one row after the other, so that its words are beside each other in what is shuffled."""
@@ -254,7 +261,7 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
                 fps = _words(b, 1)
                 anchors = np.stack([table_anchor(fps, bits[t], t) for t in range(tables)], axis=1)
                 of = pa.array(np.repeat(np.arange(b.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel().view(np.int64)), *(c.take(of) for c in b.columns)], _FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel().view(np.int64)), *(c.take(of) for c in b.columns)], fields)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -263,7 +270,8 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             at, cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             group, fps = np.cumsum(np.concatenate([[0], (at[1:] != at[:-1]) | (cell[1:] != cell[:-1])])), _words(b, 3)
-            pairs = meet(group, ids, fps, min(SURE, most), most)
+            of = b.column(3 + LANES).to_numpy(zero_copy_only=False) if grouped else None
+            pairs = meet(group, ids, fps, min(SURE, most), most, of, nearest)
             apart = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]]), pa.array(apart)], ["a", "b", "bits"])
 
@@ -282,18 +290,18 @@ def near_links(prints: DataFrame, most: int) -> DataFrame:
             yield from done()
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = prints.select(*_FIELDS[1:]).repartition(n, "id")
-    few = own.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).mapInArrow(trimmed(first), _ROW).groupBy("anchor").count().where(F.col("count") > CELL // SOME)
+    own = prints.select(*fields[1:]).repartition(n, "id")
+    few = own.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).mapInArrow(trimmed(first), row).groupBy("anchor").count().where(F.col("count") > CELL // SOME)
     crowded = settle(few.select(F.col("anchor").alias("__of"), F.ceil(F.col("count") * SOME / (CELL // 2)).alias("__blocks")), "crowded")
-    rows, cell = own.mapInArrow(trimmed(first), _ROW), F.lit(0).cast("long").alias("cell")
+    rows, cell = own.mapInArrow(trimmed(first), row), F.lit(0).cast("long").alias("cell")
     if crowded.isEmpty():
-        dealt = rows.select("anchor", cell, *_FIELDS[1:])
+        dealt = rows.select("anchor", cell, *fields[1:])
     else:
         small = crowded.limit(SMALL + 1).count() <= SMALL
         marked = rows.join(F.broadcast(crowded) if small else crowded, F.col("anchor") == F.col("__of"), "left")
         block, every = F.pmod(F.xxhash64("id"), "__blocks"), F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)
         cells = F.transform(every, lambda k: F.least(block, k) * F.col("__blocks") + F.greatest(block, k))
-        dealt = marked.select("anchor", F.explode(F.coalesce(cells, F.array(cell))).alias("cell"), *_FIELDS[1:])
+        dealt = marked.select("anchor", F.explode(F.coalesce(cells, F.array(cell))).alias("cell"), *fields[1:])
     met = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(trimmed(second), "a long, b long, bits int")
     out = settle(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits")), "links")
     discard(crowded)
@@ -348,18 +356,19 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     words = [f"f{i}" for i in range(LANES)]
     classes = settle(prints.groupBy(*words).agg(F.min("id").alias("least")), "classes")
     known = classes.where("least is not null").withColumnRenamed("least", "id")
-    proposed = near_links(known, most)
-    # each row's nearest first; most of the other links then lie within groups that are linked already
-    ends = proposed.union(proposed.select("b", "a", "bits")).toDF("a", "b", "bits")
-    nearest = ends.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    nearest = settle(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    sure = alike(nearest, known, docs, size, similarity)
+    texts = known.count()
+    # each row's nearest first; most of the other links then lie within groups that are linked already, and are not made
+    nearest = near_links(known, most, texts, nearest=True)
+    sure = alike(nearest.select("a", "b"), known, docs, size, similarity)
     named = settle(components(sure), "named")
-    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = proposed.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    apart = settle(apart.select("a", "b"), "apart")
+    # a row without a nearest one has no link at all
+    met = nearest.select(F.col("a").alias("__id")).union(nearest.select("b")).distinct()
+    again = settle(known.join(met, F.col("id") == F.col("__id")).join(named, F.col("id") == F.col("node"), "left").select("id", *words, F.coalesce("component", "id").alias("of")), "again")
+    discard(named)
+    proposed = near_links(again, most, texts)
+    apart = settle(proposed.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "apart")
     links = settle(sure.union(alike(apart, known, docs, size, similarity)), "links")
-    discard(nearest, sure, named, apart)
+    discard(nearest, sure, again, apart)
     parts = components(links)
     named = classes.join(parts.withColumnRenamed("node", "least"), "least", "left").select(*words, F.coalesce("component", "least").alias("group_id"))
     out = settle(prints.join(named, words).select("id", "group_id"), "groups")
