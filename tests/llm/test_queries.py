@@ -92,6 +92,13 @@ def test_messy_and_empty_tables(spark, tables, name):
         assert {r.query_id for r in rows} == {0, 50, 100} and not {200, 201, 202, 203, 204, 206, None} & {r.vec_id for r in rows}
 
 
+def test_passages_name_both_documents_by_doc_id(spark, tables):
+    rows = queries()["op2_passages"](spark, tables["messy"]).collect()
+    sides = sorted((r.doc_id, r.other_id, r.first, r.last) for r in rows)
+    pairs = {(r.doc_a, r.doc_b, r.first_a, r.last_a, r.first_b, r.last_b) for r in rows}
+    assert rows and set(sides) == {x for a, b, fa, la, fb, lb in pairs for x in ((a, b, fa, la), (b, a, fb, lb))}
+
+
 def test_pipeline_on_empty_tables(spark, tables):
     assert corpus_pipeline.run(spark, tables["empty"]).count() == 0
 
