@@ -175,6 +175,20 @@ def test_crowded_anchors_lose_nothing(spark, monkeypatch):
     assert groups[0] == groups[1] and len(groups[0]) == 120
 
 
+def test_links_are_made_between_groups_only(spark):
+    base, rows = rng.getrandbits(256), []
+    for k in range(120):
+        x = base ^ sum(1 << p for p in rng.sample(range(256), 14))
+        rows.append((k, *((x >> 64 * i & (1 << 64) - 1) - (x >> 64 * i + 63 & 1) * (1 << 64) for i in range(4)), k % 2))
+    df = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long, of long")
+    every, first, between = (near_links(d, 30, nearest=n) for d, n in ((df.drop("of"), False), (df.drop("of"), True), (df, False)))
+    assert len({i for r in first.collect() for i in (r.a, r.b)}) == 120 and first.count() < every.count() / 2
+    found = between.collect()
+    assert found and all((r.a + r.b) % 2 for r in found) and len({i for r in found for i in (r.a, r.b)}) == 120
+    alone = near_links(df.withColumn("of", df.of * 0), 30)
+    assert alone.count() == 0  # of one group nothing is left to link
+
+
 def test_shingle_sets_decide(spark):
     rows, near = [], {}
     for g in range(60):
