@@ -55,17 +55,29 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """Cyclic-polynomial hash of the 32 ids that end at each place (fewer at the start)."""
-    h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    if ids.dtype.itemsize == 2:  # few enough ids to hold all their hashes
+        if not _MIXED:
+            _MIXED.append(_mixed(np.arange(1 << 16)))
+        h = _MIXED[0][ids]
+    else:
+        h = _mixed(ids)
     for s in (1, 2, 4, 8, 16):
-        turned = (h[:-s] << np.uint64(s)) | (h[:-s] >> np.uint64(64 - s))
-        h = h.copy()
+        turned = h[:-s] << np.uint64(s)
+        turned |= h[:-s] >> np.uint64(64 - s)
         h[s:] ^= turned
     return h
 
 
+_MIXED: list[np.ndarray] = []
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def cut(ids: np.ndarray, bits: int = 8, least: int = 64, most: int = 2048) -> list[int]:
     """Ends of the chunks of an id stream: where the rolling hash has ``bits`` low zeros, within the two bounds."""
     n, last, ends = len(ids), 0, []
