@@ -50,3 +50,12 @@ def test_messy_rows(spark):
     t = spark.createDataFrame([(7, "hello world"), (8, "hello world"), (5, None)], "id long, text string")
     assert sorted({(r.id, r.neighbour, r.score) for r in similarity.nearest(q, t).collect()}) == [(1, 5, 0.0), (2, 5, 0.0), (3, 5, 0.0), (4, 7, 1.0)]
     assert {(r.neighbour, r.score) for r in similarity.nearest(q, t.limit(0)).collect()} == {(None, 0.0)}
+
+
+def test_nearest_clients_searches_for_every_fiftieth_id_against_all(spark, tmp_path):
+    from docketry.plans.queries import QUERIES
+
+    rows = [(i, f"client number {i} of house {i % 7}", i if i % 10 else i + 1) for i in range(1, 121)] + [(150, None, 1), (200, "client number 33 of house 5", 1)]
+    spark.createDataFrame(rows, "client_id long, name string, master_id long").write.parquet(f"{tmp_path}/clients.parquet")
+    got = {r.id: (r.neighbour, r.score) for r in QUERIES["nearest_clients"](spark, str(tmp_path)).collect()}
+    assert set(got) == {50, 100, 200} and got[200] == (33, 1.0)
