@@ -22,7 +22,8 @@ import hashlib
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,21 +54,39 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Ids that a rolling hash covers.
+REACH = 32
+
+
 def rolling(ids: np.ndarray) -> np.ndarray:
-    """Cyclic-polynomial hash of the 32 ids that end at each place (fewer at the start)."""
+    """Cyclic-polynomial hash of the REACH ids that end at each place (fewer at the start)."""
+    return _rolled(_hashed(ids))
+
+
+def _hashed(ids: np.ndarray) -> np.ndarray:
     if ids.dtype.itemsize == 2:  # few enough ids to hold all their hashes
         if not _MIXED:
             _MIXED.append(_mixed(np.arange(1 << 16)))
-        h = _MIXED[0][ids]
-    else:
-        h = _mixed(ids)
-    for s in (1, 2, 4, 8, 16):
-        turned = h[:-s] << np.uint64(s)
-        turned |= h[:-s] >> np.uint64(64 - s)
-        h[s:] ^= turned
-    return h
-
-
+        return _MIXED[0][ids]
+    return _mixed(ids)
+
+
+def _rolled(h: np.ndarray) -> np.ndarray:
+    """In parts that stay near, each with the REACH - 1 places before it."""
+    out = np.empty_like(h)
+    for lo in range(0, len(h), _PART):
+        at = max(0, lo - REACH + 1)
+        part = h[at : lo + _PART].copy()
+        for s in (1, 2, 4, 8, 16):
+            turned = part[:-s] << np.uint64(s)
+            turned |= part[:-s] >> np.uint64(64 - s)
+            part[s:] ^= turned
+        out[lo : lo + _PART] = part[lo - at :]
+    return out
+
+
+#: Places that are hashed in one go.
+_PART = 1 << 14
 _MIXED: list[np.ndarray] = []
 
 
@@ -80,15 +99,29 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
 
 def cut(ids: np.ndarray, bits: int = 8, least: int = 64, most: int = 2048) -> list[int]:
     """Ends of the chunks of an id stream: where the rolling hash has ``bits`` low zeros, within the two bounds."""
-    n, last, ends = len(ids), 0, []
-    if n > least:
-        for c in (np.flatnonzero((rolling(ids) & np.uint64((1 << bits) - 1)) == 0) + 1).tolist():
-            while c - last > most:
-                last += most
-                ends.append(last)
-            if c - last >= least:
-                ends.append(c)
-                last = c
+    return cuts([ids], bits, least, most)[0]
+
+
+def cuts(streams: list[np.ndarray], bits: int = 8, least: int = 64, most: int = 2048) -> list[list[int]]:
+    """``cut`` of each of the streams, which are hashed in one go: zeros between them keep their windows apart."""
+    sizes = np.array([len(x) for x in streams], np.int64)
+    apart = np.zeros(REACH - 1, np.uint64)
+    h = np.concatenate([x for ids in streams for x in (_hashed(ids), apart)]) if streams else apart
+    starts = np.cumsum(sizes + len(apart)) - sizes - len(apart)
+    found = np.flatnonzero((_rolled(h) & np.uint64((1 << bits) - 1)) == 0)
+    lo, hi = np.searchsorted(found, starts), np.searchsorted(found, starts + sizes)
+    return [_bounded((found[i:j] - at + 1).tolist() if n > least else [], n, least, most) for i, j, at, n in zip(lo.tolist(), hi.tolist(), starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def _bounded(places: list[int], n: int, least: int, most: int) -> list[int]:
+    last, ends = 0, []
+    for c in places:
+        while c - last > most:
+            last += most
+            ends.append(last)
+        if c - last >= least:
+            ends.append(c)
+            last = c
     while n - last > most:
         last += most
         ends.append(last)
@@ -103,8 +136,8 @@ _SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TAIL = b".,;:!?*#$%&)"
 #: Words of more bytes are encoded anew each time and never held.
 _LONGEST = 256
-#: The letters up to here are their own normal form; words of nothing else may go to the tokenizer's model itself.
-_PLAIN = "\u024f"
+#: Bytes of the letters below U+0240, which are their own normal form; words of nothing else may go to the tokenizer's model itself.
+_PLAIN_BYTES = bytes([*range(0xC0), *range(0xC2, 0xC9)])
 
 
 def _byte_letters() -> dict[int, int]:
@@ -119,6 +152,17 @@ def _ends_a_piece(stem: bytes) -> bool:
     return stem[-1:].isalnum() or (stem[-1:] > b"\x7f" and stem.decode("utf-8")[-1].isalpha())
 
 
+class _Known(dict):
+    """Ids of words; those of a word that isn't there are learned."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.learn(word)
+
+
 class WordEncoder:
     """Encodes whole texts through a table of white-space separated words.
 
@@ -140,10 +184,11 @@ class WordEncoder:
         self.parts = _SPLIT in split
         # and a run of letters is one piece, which the model takes as its bytes' letters.
         self.direct = self.folds and self.parts and "ByteLevel(add_prefix_space=False" in split and normal.count("Replace(") == normal.count(r'Replace(pattern=Regex("\s+")')
-        self.letters, self.code = _byte_letters(), "H" if self.dtype.itemsize == 2 else "I"
+        self.letters, self.code = "".join(map(chr, map(_byte_letters().get, range(256)))), "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
         self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tails: dict[bytes, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._learn)
         self.older: dict[bytes, bytes] = {}
 
     def __len__(self) -> int:
@@ -159,15 +204,17 @@ class WordEncoder:
         if not self.direct:
             return None
         if word.isalpha():  # of ASCII letters only
-            piece = word.decode("ascii")
             if not word.islower():
                 return None
+            piece = word.decode("ascii")
         else:
+            if word.translate(None, _PLAIN_BYTES):
+                return None
             text = word.decode("utf-8")
-            if not text.isalpha() or max(text) > _PLAIN or text != text.lower():
+            if not text.isalpha() or text != text.lower():
                 return None
-            piece = word.decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+            piece = charmap_decode(word, "strict", self.letters)[0]
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _tail(self, tail: bytes) -> bytes:
         if tail not in self.tails:
@@ -176,40 +223,28 @@ class WordEncoder:
             self.tails[tail] = self._whole([tail])[0]
         return self.tails[tail]
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Find and hold the ids of words that the younger generation hasn't; those too long to be held are returned."""
-        known, older, extra, hard = self.known, self.older, dict[bytes, bytes](), []
-        code, letters, tokens = self.code, self.direct, self.tokenizer.model.tokenize
-        for w in dict.fromkeys(words):
-            if (ids := older.get(w)) is None:
-                if letters and w.isalpha() and w.islower():  # the same as _word, for most words
-                    ids = array(code, [t.id for t in tokens(w.decode())]).tobytes()
-                elif self.parts and (stem := w.rstrip(_TAIL)) != w and _ends_a_piece(stem):
-                    if (ids := known.get(stem) or older.get(stem) or self._word(stem)) is not None:
-                        ids += self._tail(w[len(stem) :])
-                else:
-                    ids = self._word(w)
-            if ids is None:
-                hard.append(w)
+    def _learn(self, word: bytes) -> bytes:
+        """Find the ids of a word that the younger generation hasn't, and hold them unless it is too long."""
+        ids = self.older.get(word)
+        if ids is None:
+            if self.direct and word.isalpha() and word.islower():  # the same as _word, for most words
+                ids = array(self.code, [t.id for t in self.tokenize(word.decode())]).tobytes()
+            elif self.parts and (stem := word.rstrip(_TAIL)) != word and _ends_a_piece(stem):
+                if (ids := self.known.get(stem) or self.older.get(stem) or self._word(stem)) is not None:
+                    ids += self._tail(word[len(stem) :])
             else:
-                (extra if len(w) > _LONGEST else known)[w] = ids
-        for w, ids in zip(hard, self._whole(hard) if hard else [], strict=True):
-            (extra if len(w) > _LONGEST else known)[w] = ids
-        return extra
+                ids = self._word(word)
+            if ids is None:
+                ids = self._whole([word])[0]
+        if len(word) <= _LONGEST:
+            self.known[word] = ids
+        return ids
 
     def _text(self, text: bytes) -> bytes:
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None not in found:
-            return b"".join(found)
-        at = [i for i, x in enumerate(found) if x is None]
-        extra = self._learn([words[i] for i in at])
-        for i in at:
-            w = words[i]
-            found[i] = extra[w] if w in extra else self.known[w]
+        packed = b"".join(map(self.known.__getitem__, text.split()))
         if len(self.known) >= self.half:
-            self.known, self.older = {}, self.known
-        return b"".join(found)
+            self.known, self.older = _Known(self._learn), self.known
+        return packed
 
     def _folded(self, text: bytes) -> bytes:
         """The text with ASCII letters lower-cased, unless this could make a special token of something else."""
@@ -268,10 +303,11 @@ def encode_chunks(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, b
         for whole in batches:
             for batch in _slices(whole):
                 rows = []
-                for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    packed += end
+                streams = [packed + end for packed in encoder.encode(batch.column(1).to_pylist())]
+                places = cuts([np.frombuffer(packed, dtype) for packed in streams], bits)
+                for doc_id, packed, ends in zip(batch.column(0).to_pylist(), streams, places, strict=True):
                     at, leaves, sizes = 0, [], []
-                    for to in cut(np.frombuffer(packed, dtype), bits):
+                    for to in ends:
                         part = packed[at * id_bytes : to * id_bytes]
                         leaves.append(d := digest(part))
                         sizes.append(to - at)

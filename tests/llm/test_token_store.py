@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from docketry.llm.common import fresh_path
-from docketry.llm.token_store import Store, WordEncoder, crc_shift, cut, token_digests, write_store
+from docketry.llm.token_store import Store, WordEncoder, crc_shift, cut, cuts, rolling, token_digests, write_store
 from docketry.llm.words import word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,16 @@ def test_ids_do_not_depend_on_words_met_before():
         assert encoder.encode(packed[::-1]) == want[::-1]
 
 
+def test_a_text_is_encoded_in_one_pass_over_its_words():
+    """Words are learned as they are met, also where a table turns over, and none too long is held."""
+    whole, encoder = Tokenizer.from_file(PATH), WordEncoder(PATH, "<u2", words=8)
+    texts = ["école über, straße ąę ɂ ɏ ʒ Ⱥ ÷ x÷ ﬁ naïve's", "q" * 300 + " q", "über über école, straße"]
+    for t in texts * 2:
+        assert np.frombuffer(encoder.encode([t.encode()])[0], "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert max(map(len, [*encoder.known, *encoder.older, b""])) <= 256 and len(encoder) <= 20
+    assert encoder.known["über".encode()] and encoder.known[b"never-met"] and b"never-met" in encoder.known
+
+
 def test_digests_do_not_depend_on_partitions(spark):
     rows = [(1, 'a " b \' ('), (2, 'He said "yes ".'), (3, "a '?"), (4, "(. -. =;"), (5, None)]
     found = [sorted(map(tuple, token_digests(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(n, "doc_id"), PATH).collect())) for n in (1, 2, 5)]
@@ -141,3 +151,13 @@ def test_rolling_hash_is_the_same_by_table():
     assert len(token_store.rolling(ids[:0].astype("<u2"))) == 0
     assert (token_store.rolling(ids.astype("<u2")) == token_store.rolling(ids.astype("<u4"))).all()
     assert (token_store._MIXED[0] == token_store._mixed(np.arange(1 << 16))).all()  # what is held isn't written to
+
+
+def test_streams_are_cut_alike_together():
+    own = np.random.default_rng(5)
+    streams = [own.integers(0, 40, n).astype("<u2") for n in (0, 1, 31, 32, 33, 64, 65, 700, 20_000, 5, 40_000)]
+    assert cuts(streams) == [cut(x) for x in streams] and cuts([]) == []
+    assert [cuts([x.astype("<u4")])[0] for x in streams] == cuts(streams)
+    for x in streams[1:]:
+        zeros = (np.flatnonzero(rolling(x) & np.uint64(7) == 0) + 1).tolist()
+        assert [e for e in cut(x, 3, 1, 1 << 20) if e < len(x)] == [e for e in zeros if e < len(x) and len(x) > 1]
