@@ -12,10 +12,13 @@ exactly (see there).
 
 ``near_copies`` groups whole texts whose sets of five-word shingles have a similarity of 0.8 or more, as proposed by
 256 bits. Bits of such pairs differ too often (in 15 % at 0.8) for replicas at every anchor in reach, so each of many
-tables decodes a part of the bits to its anchor; pairs that meet at any anchor are compared over all bits. Bits only
-propose, with a margin of three deviations; the shingle sets of the two texts decide each link. With more texts a table
+tables decodes a part of the bits to its anchor. Rows that meet at any anchor and differ in few bits, with a margin of three
+deviations, are of one cluster; of an anchor only trees are kept. Within a cluster all pairs within the margin are compared by
+the shingle sets of the two texts, which decide each link, unless links connect the pair already. With more texts a table
 takes more bits, so that anchors hold as few strangers as before, and there are more tables, so that pairs meet as often
-(``tables_for``). An anchor with more than ``CELL`` rows is dealt to cells, in which each two of its blocks meet.
+(``tables_for``). An anchor with more than ``CELL`` rows is dealt to cells, in which each two of its blocks meet, and so is a
+cluster whose sets have more than ``CLUSTER`` bytes: a cluster's comparisons of bits grow with the square of its rows, its
+memory and the rows that leave its tasks don't.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, like any other; repeated rows are kept, and
 are one class; null ids take part and are never the smallest id; an empty table gives an empty result.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import golay
-from docketry.llm.common import discard, settle, spread_join, trimmed
+from docketry.llm.common import discard, settle, trimmed
 from docketry.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -235,6 +238,23 @@ def meet(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, sure: int, most:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
+def forest(anchors: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
+    """(a, b) places of trees that connect what pairs within ``most`` bits connect in each anchor: fewer links than rows."""
+    order = np.lexsort((ids, anchors))
+    links = []
+    for part in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):
+        words, left = fps[part], np.arange(len(part))
+        while len(left) > 1:
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                i = todo.pop(0)
+                near = np.bitwise_count(words[left] ^ words[i]).sum(axis=1) <= most
+                links += [(part[i], part[j]) for j in left[near].tolist()]
+                todo += left[near].tolist()
+                left = left[~near]
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
 _FIELDS = ["anchor", "id", *(f"f{i}" for i in range(LANES))]
 _ROW = "anchor long, id long, " + ", ".join(f"f{i} long" for i in range(LANES))
 
@@ -243,10 +263,10 @@ def _words(b: pa.RecordBatch, at: int) -> np.ndarray:
     return np.stack([b.column(at + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(LANES)], axis=1)
 
 
-def near_links(prints: DataFrame, most: int, texts: int | None = None, nearest: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, most: int, texts: int | None = None, nearest: bool = False, trees: bool = False) -> DataFrame:
     """(a, b, bits): links between rows of ``prints`` (id, f0 ..) that meet at an anchor and differ in ``most`` bits or fewer.
 
-    See ``meet`` for which; a column ``of`` of ``prints`` tells groups. Tables are as many as for ``texts`` texts (those of ``prints``). Which anchors are dealt to cells is told from one row in ``SOME``; that decides where rows meet, not which.
+    See ``meet`` for which (``trees``: ``forest``); a column ``of`` of ``prints`` tells groups. Tables are as many as for ``texts`` texts (those of ``prints``). Which anchors are dealt to cells is told from one row in ``SOME``; that decides where rows meet, not which.
     """
     tables, extra = tables_for(prints.count() if texts is None else texts)
     bits = _table_bits(tables, extra)
@@ -271,7 +291,7 @@ def near_links(prints: DataFrame, most: int, texts: int | None = None, nearest:
             at, cell, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             group, fps = np.cumsum(np.concatenate([[0], (at[1:] != at[:-1]) | (cell[1:] != cell[:-1])])), _words(b, 3)
             of = b.column(3 + LANES).to_numpy(zero_copy_only=False) if grouped else None
-            pairs = meet(group, ids, fps, min(SURE, most), most, of, nearest)
+            pairs = forest(group, ids, fps, most) if trees else meet(group, ids, fps, min(SURE, most), most, of, nearest)
             apart = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]]), pa.array(apart)], ["a", "b", "bits"])
 
@@ -308,40 +328,98 @@ def near_links(prints: DataFrame, most: int, texts: int | None = None, nearest:
     return out
 
 
-def alike(links: DataFrame, prints: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) between rows of ``prints`` (id, f0 ..) whose texts in ``docs`` (id, text) have shingle sets of ``similarity`` or more.
+#: Bytes of shingle sets that are compared in one go; a cluster with more is dealt to cells, in which each two of its blocks meet.
+CLUSTER = 8 << 20
+
+
+def linked_within(fps: np.ndarray, sets: list[np.ndarray], block: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
+    """(a, b) places of trees that connect all pairs of rows within ``most`` bits whose ``sets`` have the ``similarity``.
 
-    A shingle is told by 32 bits of its hash: two different ones agree once in 4 billion.
+    Pairs that links found before connect are not compared. Rows of two blocks are compared across these only.
+    """
+    sizes, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    own, across = np.zeros(1 + max((int(c.max()) for c in codes if len(c)), default=0), bool), (block != block[0]).any()
+    for i in range(len(sets) - 1):
+        there = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= most) + i + 1
+        fits = np.minimum(sizes[there], sizes[i]) >= np.maximum(similarity * np.maximum(sizes[there], sizes[i]), 1)
+        there = there[fits & (block[there] != block[i])] if across else there[fits]
+        own[codes[i]] = True
+        while len(there := there[label[there] != label[i]]):
+            now, there = there[:256], there[256:]
+            both = np.add.reduceat(own[np.concatenate([codes[j] for j in now.tolist()])].astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+            for j in now[both >= similarity * (sizes[now] + sizes[i] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+        own[codes[i]] = False
+    return out
+
+
+def alike(links: DataFrame, prints: DataFrame, docs: DataFrame, size: int, similarity: float, most: int) -> DataFrame:
+    """(a, b): links that connect all pairs of rows of ``prints`` (id, f0 ..) that ``links`` connect, in whatever way, and that
+    differ in ``most`` bits or fewer and whose texts in ``docs`` (id, text) have shingle sets of ``similarity`` or more.
+
+    Sets are compared where their clusters are, so that what leaves a task is a tree, not pairs. A shingle is told by 32 bits of
+    its hash: two different ones agree once in 4 billion.
     """
     words = [f"f{i}" for i in range(LANES)]
-    linked = links.select(F.col("a").alias("__id")).union(links.select("b")).distinct()
-    named = prints.join(linked, F.col("id") == F.col("__id")).select("__id", *words)
-    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(named, F.col("id") == F.col("__id")).select("id", "text", *words)
+    clusters = settle(components(links), "clusters")
+    named = prints.join(clusters, F.col("id") == F.col("node")).select(F.col("id").alias("__id"), *words, "component")
+    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(named, F.col("id") == F.col("__id")).select("id", "text", "component", *words)
+    fields = ["id", "component", *words, "shingles"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for i, text, own in zip(b.column(0).to_pylist(), b.column(1), _words(b, 2), strict=True):
+            keep, found = [], []
+            for text, own in zip(b.column(1), _words(b, 3), strict=True):
                 h = shingle_hashes(text.as_py(), size)
-                if (majority(h, LANES) == own).all():  # other texts may have this id, too
-                    ids.append(i)
-                    found.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
+                keep.append(bool((majority(h, LANES) == own).all()))  # other texts may have this id, too
+                found.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() if keep[-1] else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found, pa.binary())], fields).filter(pa.array(keep, pa.bool_()))
+
+    row = ", ".join(f"{f} {'binary' if f == 'shingles' else 'long'}" for f in fields)
+    of = settle(texts.mapInArrow(trimmed(sets), row).groupBy("id").agg(F.min(F.struct(*fields[1:])).alias("of")).select("id", "of.*"), "shingles")
+    large = of.groupBy("component").agg(F.sum(F.length("shingles") + 64).alias("bytes")).where(F.col("bytes") > CLUSTER)
+    large = settle(large.select(F.col("component").alias("__of"), F.ceil(F.col("bytes") / (CLUSTER // 2)).alias("__blocks")), "large")
+    none = F.lit(0).cast("long")
+    if large.isEmpty():
+        dealt = of.select("component", none.alias("cell"), none.alias("block"), "id", *words, "shingles")
+    else:
+        few = large.limit(SMALL + 1).count() <= SMALL
+        marked = of.join(F.broadcast(large) if few else large, F.col("component") == F.col("__of"), "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "__blocks"), none))
+        cells = F.transform(F.sequence(none, F.col("__blocks") - 1), lambda k: F.least("block", k) * F.col("__blocks") + F.greatest("block", k))
+        dealt = marked.select("component", F.explode(F.coalesce(cells, F.array(none))).alias("cell"), "block", "id", *words, "shingles")
 
-    of = settle(texts.mapInArrow(trimmed(sets), "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
-    pairs = spread_join(links, of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            block, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            held_sets = [np.frombuffer(x, np.uint32) for x in b.column(4 + LANES).to_pylist()]
+            pairs = np.array(linked_within(_words(b, 4), held_sets, block, most, similarity), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs.min(axis=1)]), pa.array(ids[pairs.max(axis=1)])], ["a", "b"])
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    out = settle(pairs.mapInArrow(trimmed(near), "a long, b long"), "alike")
-    discard(of)
+            if not b.num_rows:
+                continue
+            at, cell = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ends = [*(np.flatnonzero((at[1:] != at[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), b.num_rows]
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (at[0], cell[0]):
+                yield from done()
+                held = []
+            for lo, to in zip([0, *ends], ends):
+                if lo:
+                    yield from done()
+                    held = []
+                held.append(b.slice(lo, to - lo))
+        if held:
+            yield from done()
+
+    met = dealt.repartition("component", "cell").sortWithinPartitions("component", "cell", "id").mapInArrow(trimmed(compare), "a long, b long")
+    out = settle(met, "alike")
+    discard(clusters, of, large)
     return out
 
 
@@ -356,19 +434,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     words = [f"f{i}" for i in range(LANES)]
     classes = settle(prints.groupBy(*words).agg(F.min("id").alias("least")), "classes")
     known = classes.where("least is not null").withColumnRenamed("least", "id")
-    texts = known.count()
-    # each row's nearest first; most of the other links then lie within groups that are linked already, and are not made
-    nearest = near_links(known, most, texts, nearest=True)
-    sure = alike(nearest.select("a", "b"), known, docs, size, similarity)
-    named = settle(components(sure), "named")
-    # a row without a nearest one has no link at all
-    met = nearest.select(F.col("a").alias("__id")).union(nearest.select("b")).distinct()
-    again = settle(known.join(met, F.col("id") == F.col("__id")).join(named, F.col("id") == F.col("node"), "left").select("id", *words, F.coalesce("component", "id").alias("of")), "again")
-    discard(named)
-    proposed = near_links(again, most, texts)
-    apart = settle(proposed.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "apart")
-    links = settle(sure.union(alike(apart, known, docs, size, similarity)), "links")
-    discard(nearest, sure, again, apart)
+    # bits only tell which rows may be of one group: their clusters, within which the sets are compared
+    proposed = near_links(known, most, known.count(), trees=True)
+    links = alike(proposed.select("a", "b"), known, docs, size, similarity, most)
     parts = components(links)
     named = classes.join(parts.withColumnRenamed("node", "least"), "least", "left").select(*words, F.coalesce("component", "least").alias("group_id"))
     out = settle(prints.join(named, words).select("id", "group_id"), "groups")

@@ -202,3 +202,59 @@ def test_shingle_sets_decide(spark):
     got = {r.id: r.group_id for r in near_copies(spark.createDataFrame(rows, "id long, text string"), similarity=0.8).collect()}
     assert not any(got[i] != i for i, yes in near.items() if not yes)
     assert sum(got[i] == i - 1 for i, yes in near.items() if yes) >= 28
+
+
+def test_texts_half_alike_give_no_more_links_than_texts(spark, monkeypatch):
+    """A large group of texts, some of which are near copies: the links are trees, the groups those of brute force over the sets."""
+    base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(120)]
+    rows, shingles = [], []
+    for i in range(240):
+        other = list(base)
+        for p in rng.sample(range(6), rng.randint(2, 4)) if i % 4 else []:
+            other[p * 20 + 5] = f"changed{rng.randrange(3)}"
+        rows.append((i, " ".join(other)))
+        shingles.append({tuple(other[k : k + 5]) for k in range(len(other) - 4)})
+    want = list(range(240))
+    for i in range(240):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    made = []
+    alike = simhash.alike
+
+    def counted(*args):
+        out = alike(*args)
+        made.append((args[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    for cluster in (simhash.CLUSTER, 20_000):
+        monkeypatch.setattr(simhash, "CLUSTER", cluster)
+        got = {r.id: r.group_id for r in near_copies(spark.createDataFrame(rows, "id long, text string").repartition(3)).collect()}
+        assert [got[i] for i in range(240)] == want
+    assert made[0][1] < 240 and len(made) == 2
+
+
+def test_sets_of_all_pairs_of_a_cluster_are_met():
+    """Against brute force, also where rows are dealt to two blocks."""
+    own = np.random.default_rng(4)
+    core = own.choice(1 << 30, 100, replace=False).astype(np.uint32)
+    sets = [np.unique(np.concatenate([core[own.permutation(100)[: own.integers(70, 100)]], own.integers(0, 1 << 30, own.integers(0, 12)).astype(np.uint32)])) for _ in range(80)]
+    fps = own.integers(0, 1 << 8, (80, 4)).astype(np.uint64)
+    for block in (np.zeros(80, np.int64), np.arange(80) % 2):
+        for most in (10, 16, 256):
+            label = list(range(80))
+            for i in range(80):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    near = int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= most and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+                    if near and (not block.any() or block[i] != block[j]):
+                        label = [label[i] if x == label[j] else x for x in label]
+            found = simhash.linked_within(fps, sets, block, most, 0.8)
+            again = list(range(80))
+            for i, j in found:
+                assert again[i] != again[j]
+                again = [again[i] if x == again[j] else x for x in again]
+            pairs = lambda of: {(i, j) for i in range(80) for j in range(i) if of[i] == of[j]}
+            assert pairs(again) == pairs(label)
