@@ -124,3 +124,15 @@ def test_sql_of_visible_text_reads_entities_without_semicolon():
     con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [page])
     assert visible(page) == "a&amp b &\nx < y © z \"'&lt;"
     assert con.execute(SQL["page_visible_text"]).fetchone()[1] == hashlib.md5(visible(page).encode()).hexdigest()
+
+
+def test_unit_lookup_lists_every_pair_of_equal_citations(spark, tmp_path):
+    import docketry.plans.curation_queries  # noqa: F401  (its queries register themselves)
+    from docketry.plans.queries import QUERIES
+
+    rows = [(k, "B", "T" if k < 8 else "S", k % 5) for k in range(1, 10)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    fits = lambda k, s, u: (k % 2 or s % 3 == u % 3) and (k % 4 or s % 2 == u % 2)
+    want = sorted((k, u) for k, _, t, s in rows for u, _, v, z in rows if t == v and fits(k, s, z))
+    got = QUERIES["unit_lookup"](spark, str(tmp_path))
+    assert got.columns == ["key", "unit_id"] and sorted(map(tuple, got.collect())) == want
