@@ -59,3 +59,26 @@ def test_nearest_clients_searches_for_every_fiftieth_id_against_all(spark, tmp_p
     spark.createDataFrame(rows, "client_id long, name string, master_id long").write.parquet(f"{tmp_path}/clients.parquet")
     got = {r.id: (r.neighbour, r.score) for r in QUERIES["nearest_clients"](spark, str(tmp_path)).collect()}
     assert set(got) == {50, 100, 200} and got[200] == (33, 1.0)
+
+
+def test_nearest_clients_searches_for_every_other_name(spark, tmp_path):
+    from docketry.plans.queries import QUERIES
+
+    rows = [(i, f"client number {i} of house {i % 7}", i if i % 10 else i + 1) for i in range(1, 121)] + [(150, None, 1), (200, "client number 33 of house 5", 1), (203, "client number 41 of house 6", 1)]
+    spark.createDataFrame(rows, "client_id long, name string, master_id long").write.parquet(f"{tmp_path}/clients.parquet")
+    got = {r.id: (r.neighbour, r.score) for r in QUERIES["nearest_clients"](spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(10, 121, 10), 200, 203} and got[200] == (33, 1.0) and got[203] == (41, 1.0)
+
+
+def test_names_in_blocks_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TASK_QUERIES", 9)
+    monkeypatch.setattr(similarity, "TASK_TRAIN", 17)
+    rng = random.Random(5)
+    q, t = (spark.createDataFrame([r[:2] for r in _rows(rng, n, s)] + more, "id long, text string") for n, s, more in ((70, 1000, [(3000, "##"), (3001, None), (3002, "≠≠≠≠")]), (90, 0, [(500, None)])))
+    want = {r.id: r for r in similarity.nearest(q, t).collect()}  # few pairs: all in blocks of rows
+    monkeypatch.setattr(similarity, "SMALL", 0)
+    monkeypatch.setattr(similarity, "best_matches", None)
+    got = {r.id: r for r in similarity.nearest(q, t).collect()}
+    assert got.keys() == want.keys() and len(got) == 73
+    assert all(got[k].neighbour == want[k].neighbour and abs(got[k].score - want[k].score) < 2e-9 for k in got)
+    assert {r.neighbour for r in similarity.nearest(q, t.limit(0)).collect()} == {None}
